@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import cut
 from .prefix import prefix_sums
 
-STEPS = 40
-SCALE = 1 << 20
+#: Bisections of the exponent; LEVELS of them share a pass over the sources.
+LEVELS, PASSES = 5, 8
 
 
 def word_count(text: str) -> F.Column:
@@ -25,12 +25,13 @@ def word_count(text: str) -> F.Column:
     return F.when(F.length(clean) == 0, 0).otherwise(F.length(clean) - F.length(F.replace(clean, F.lit(" "))) + 1).cast("long")
 
 
-def _spread(totals: DataFrame, a: float, total: int) -> tuple[float, float]:
-    """Largest over smallest repetition, and entropy in nats, of weights p**a: one distributed pass, one row back."""
+def _spread(totals: DataFrame, exponents: list[float], total: int) -> dict[float, tuple[float, float]]:
+    """For each exponent a: largest over smallest repetition, and entropy in nats, of weights p**a. A row an exponent comes back."""
     p = F.col("tokens") / F.lit(float(total))
-    w = F.pow(p, F.lit(a))
-    row = totals.agg(F.sum(w).alias("z"), F.sum(w * F.log(w)).alias("wl"), F.max(w / p).alias("hi"), F.min(w / p).alias("lo")).first()
-    return row.hi / row.lo, math.log(row.z) - row.wl / row.z
+    w = F.pow(p, F.col("a"))
+    each = totals.select("tokens", F.explode(F.array(*map(F.lit, exponents))).alias("a"))  # an array, so that passes share compiled code
+    rows = each.groupBy("a").agg(F.sum(w).alias("z"), F.sum(w * F.log(w)).alias("wl"), F.max(w / p).alias("hi"), F.min(w / p).alias("lo")).collect()
+    return {r.a: (r.hi / r.lo, math.log(r.z) - r.wl / r.z) for r in rows}
 
 
 def exponent(totals: DataFrame, max_repeat: float | None = None, entropy: float | None = None) -> float:
@@ -40,7 +41,8 @@ def exponent(totals: DataFrame, max_repeat: float | None = None, entropy: float
     is repeated more than so many times as often as the least repeated one.
     `entropy`: the exponent whose mixture has this entropy in nats, or the
     nearer end of [0, 1] where none has.  Sources are never collected: each of
-    the STEPS passes brings back one row.
+    the PASSES looks at the midpoints of the next LEVELS bisections at once and
+    brings back a row for each.
     """
     if (max_repeat is None) == (entropy is None):
         raise ValueError("give either max_repeat or entropy")
@@ -49,18 +51,21 @@ def exponent(totals: DataFrame, max_repeat: float | None = None, entropy: float
         return 1.0
     lo, hi = 0.0, 1.0
 
-    def steep(a: float) -> bool:
-        ratio, h = _spread(totals, a, total)
+    def steep(found: tuple[float, float]) -> bool:
+        ratio, h = found
         return ratio <= max_repeat if max_repeat is not None else h <= entropy
 
-    if steep(lo):
+    if steep(_spread(totals, [lo], total)[lo]):
         return lo
-    for _ in range(STEPS):
-        mid = (lo + hi) / 2
-        if steep(mid):
-            hi = mid
-        else:
-            lo = mid
+    for _ in range(PASSES):
+        n = 1 << LEVELS
+        step = (hi - lo) / n
+        found = _spread(totals, [lo + i * step for i in range(1, n)], total)
+        low, high = 0, n
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (low, mid) if steep(found[lo + mid * step]) else (mid, high)
+        lo, hi = lo + low * step, hi if high == n else lo + high * step
     return hi
 
 
@@ -97,6 +102,7 @@ def mix(
     base = docs.select(
         *named, F.col(source_col).alias("__s"), F.col(id_col).alias("__id"), word_count(text_col).alias("__n"), F.lit(1).cast("long").alias("__one")
     )
+    base = cut(base)  # texts are read once
     totals = cut(base.groupBy("__s").agg(F.sum("__n").alias("tokens")).where("tokens > 0"))
     total = totals.agg(F.sum("tokens")).first()[0]
     if not total:
