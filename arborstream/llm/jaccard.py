@@ -79,14 +79,13 @@ def _sets(bits: np.ndarray):
         for batch in batches:
             slot = _slot(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False))
             batch = batch.filter(pa.array((bits[slot >> 6] >> (slot & 63)) & 1 == 1))
-            ids, sets, n = [], [], 0
+            ids, sets = [], []
             for lo, hi, words in word_chunks(batch.column(1)):
                 for i in range(hi - lo):
                     s = shingle_hashes(words, i, WORDS)
                     ids.append(_set_id(s))
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "set_id", "shingles"])
-            del n
 
     return run
 

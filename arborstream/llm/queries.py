@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, sharding, topk
+from . import jaccard, langid, mixing, packing, sharding, topk, toxicity
 from .common import load
 
 
@@ -25,6 +25,14 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op4_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op6_backoff_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_documents(load(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -41,6 +49,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_signature_tree_jaccard": op2_signature_tree_jaccard,
         "op3_exact_topk": op3_exact_topk,
+        "op4_segment_toxicity": op4_segment_toxicity,
+        "op6_backoff_langid": op6_backoff_langid,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_byte_sharding": op8_byte_sharding,
         "op10_temperature_mixing": op10_temperature_mixing,
