@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel handles at once (a longer single text is handled alone).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 #: Rows of an Arrow batch sent to Python; texts of a few kB keep a batch at a few MB.
 ARROW_ROWS = 1024
 
@@ -46,14 +47,27 @@ def shared_dir(spark: SparkSession) -> str:
     return own if "://" in own or own.startswith("file:") else f"file://{own}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and read them back: later reads neither recompute nor see other rows."""
+def cut(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Write the rows to the shared folder and read them back, which ends their lineage.
+
+    files: into so many files at most (a small result of many partitions would
+    leave as many tiny files).
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Keep rows that several later steps read in the executors' memory and disks.
+
+    Only for rows that a given input determines: what a lost executor held is
+    computed again, and must come out the same.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hold
+
+#: Edges of a file between rounds.
+FILE_ROWS = 250_000
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -15,10 +18,10 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (u long, v long): root is the smallest node of its component.
 
-    Each round is two group-bys over the edges, written to the shared folder;
+    Each round is a few joins and group-bys over the edges, written to the shared folder;
     the edges never leave the executors.  Rounds end when the edges stand still.
     """
-    now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    now = hold(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     state = _state(now)
     while state[0]:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -26,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
         small = large.join(least, F.col("u") == F.col("w")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        after = cut(small.select("e.u", "e.v").where("u <> v").distinct())
+        after = cut(small.select("e.u", "e.v").where("u <> v").distinct(), files=1 + state[0] // FILE_ROWS)
         then, now = state, after
         state = _state(now)
         if then == state:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, arrow_rows, cut, fold, mix64
+from .common import U64, arrow_rows, fold, hold, mix64
 from .letters import LetterWords, find, letter_chunks
 
 #: Rows of each language that the model is fitted on (chosen by a hash of the id).
@@ -126,7 +126,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
     share = rows.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("share")).withColumnRenamed("lang", "own")
     chosen = rows.join(share, F.col("lang") == F.col("own")).where(F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
     counts = chosen.select("text", "lang").mapInArrow(_counts, "kind int, h long, lang string, n long").groupBy("kind", "h", "lang").agg(F.sum("n").alias("n"))
-    counts = cut(counts)
+    counts = hold(counts)
     best = counts.where("kind = 0").groupBy("h").agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST).orderBy(F.desc("all"), "h").limit(MAX_WORDS)
     words = counts.where("kind = 0").join(best.select(F.col("h").alias("bh")), F.col("h") == F.col("bh")).drop("bh")
     table = counts.where("kind > 0").unionByName(words).toArrow()  # bounded by MAX_WORDS, SLOTS and the languages

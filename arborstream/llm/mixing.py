@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hold
 from .prefix import prefix_sums
 
 #: Bisections of the exponent; LEVELS of them share a pass over the sources.
@@ -102,8 +102,8 @@ def mix(
     base = docs.select(
         *named, F.col(source_col).alias("__s"), F.col(id_col).alias("__id"), word_count(text_col).alias("__n"), F.lit(1).cast("long").alias("__one")
     )
-    base = cut(base)  # texts are read once
-    totals = cut(base.groupBy("__s").agg(F.sum("__n").alias("tokens")).where("tokens > 0"))
+    base = hold(base)  # texts are read once
+    totals = cut(base.groupBy("__s").agg(F.sum("__n").alias("tokens")).where("tokens > 0"), files=8)
     total = totals.agg(F.sum("tokens")).first()[0]
     if not total:
         total, a, z, least = 1, 1.0, 1.0, 1.0

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut, parts, text_buffer
+from .common import arrow_rows, hold, parts, text_buffer
 
 CAPACITY = 2048
 #: A bin with at most so many free places is emitted as it is.
@@ -24,7 +24,7 @@ SLACK = 8
 #: Partitions whose leftovers meet in one partition of the next round.
 FAN_IN = 8
 #: Distinct words a worker remembers; beyond that it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 END_ID = 0
 
 
@@ -46,7 +46,7 @@ class WordTokenizer:
         spec = json.loads(self.tok.to_str())
         self.by_word = self._splits_at_space(spec)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.cache: dict[str, np.ndarray] = {}
+        self.cache: dict[str, bytes] = {}
 
     @staticmethod
     def _splits_at_space(spec: dict) -> bool:
@@ -67,13 +67,13 @@ class WordTokenizer:
         new = list({w for ws, odd in zip(words, whole, strict=True) if not odd for w in ws if w not in cache})
         for a in range(0, len(new), 4096):
             for w, e in zip(new[a : a + 4096], self.tok.encode_batch_fast(new[a : a + 4096], add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, np.uint32)
+                cache[w] = np.array(e.ids, np.uint32).tobytes()
         out = []
         for ws, odd in zip(words, whole, strict=True):
             if odd:
                 out.append(np.array(self.tok.encode(ws[0], add_special_tokens=False).ids, np.uint32))
             else:
-                out.append(np.concatenate([cache[w] for w in ws]) if ws else np.empty(0, np.uint32))
+                out.append(np.frombuffer(b"".join([cache[w] for w in ws]), np.uint32))
         return out
 
 
@@ -156,8 +156,8 @@ def _pack(round_no: int, capacity: int):
 def pack(pieces: DataFrame, item: str, size: str, capacity: int = CAPACITY, slack: int = SLACK) -> DataFrame:
     """item, sequence_id, offset for every row of `pieces` (item ids are unique; 1 <= size <= capacity).
 
-    Each round is written before its leftovers go on, so a lost executor never
-    changes bins that another task has used.  A partition holds one row of
+    Items are dealt by a hash and sorted within partitions, so a round that a
+    lost executor makes run again fills the same bins.  A partition holds one row of
     bookkeeping a bin and an item of its own range; a later round gets only
     underfull bins, of which a best-fit partition leaves few.
     """
@@ -166,7 +166,7 @@ def pack(pieces: DataFrame, item: str, size: str, capacity: int = CAPACITY, slac
     n, level, rounds = parts(spark), 1, []
     while True:
         dealt = todo.repartition(n, F.xxhash64("item")) if n > 1 else todo.coalesce(1)
-        packed = cut(dealt.sortWithinPartitions(F.desc("size"), "item").mapInArrow(_pack(level, capacity), "item long, bin long, at long, fill long"))
+        packed = hold(dealt.sortWithinPartitions(F.desc("size"), "item").mapInArrow(_pack(level, capacity), "item long, bin long, at long, fill long"))
         rounds.append(packed)
         if n == 1:
             break
@@ -197,7 +197,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     named = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(ids)]
     schema = "".join(f"k{i} {kinds[c]}, " for i, c in enumerate(ids)) + "piece int, start long, length long, ids_crc32 long"
     pieces = docs.select(*named, F.col(text_col).alias("text")).mapInArrow(_pieces(tokenizer_path, capacity), schema)
-    pieces = cut(pieces.withColumn("item", F.monotonically_increasing_id()))
+    pieces = hold(pieces.withColumn("item", F.monotonically_increasing_id()))
     places = pack(pieces, "item", "length", capacity, slack)
     out = pieces.join(places, "item")
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(ids)], "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, parts
+from .common import hold, parts
 
 
 def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, str], group: list[str] | None = None) -> DataFrame:
@@ -21,11 +21,11 @@ def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, str], group:
     the group's columns, so that a hot group spreads over many ranges.  Rows
     equal in every order column come in an arbitrary but fixed order.  Each
     new column has a companion `<name>_total`: the sum over the whole group.
-    The input is written once (its range numbers must not change between reads).
+    The dealt rows are held, so that all steps see the same ranges.
     """
     group = group or []
     spark = df.sparkSession
-    ranged = cut(df.repartitionByRange(parts(spark), *order).withColumn("__part", F.spark_partition_id()))
+    ranged = hold(df.repartitionByRange(parts(spark), *order).withColumn("__part", F.spark_partition_id()))
     keys = ["__part", *group]
     totals = ranged.groupBy(*keys).agg(*[F.sum(c).alias(f"__t_{new}") for new, c in sums.items()])
     before = W.partitionBy(*group).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, mixing, packing, sharding, topk, toxicity
+from . import fingerprints, jaccard, langid, mixing, packing, sharding, topk, toxicity
 from .common import load
 
 
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(load(spark, sf_dir, "documents"))
+
+
 def op2_signature_tree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash": op1_simhash,
         "op2_signature_tree_jaccard": op2_signature_tree_jaccard,
         "op3_exact_topk": op3_exact_topk,
         "op4_segment_toxicity": op4_segment_toxicity,

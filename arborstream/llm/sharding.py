@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import hold
 from .prefix import prefix_sums
 
 OVERHEAD = 16
@@ -37,7 +37,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, overhead: int = OVERHEA
     # the quotient stays below n_shards, as the middle of the last span lies before the total
     exact = f"""cast((cast(2 * __before + size as decimal(38, 0)) * {n_shards})
         div (2 * cast(__before_total as decimal(38, 0))) as int)"""
-    sharded = cut(placed.withColumn("shard", F.expr(exact)))
+    sharded = hold(placed.withColumn("shard", F.expr(exact)))
     first = sharded.groupBy("shard").agg(F.min("__index").alias("__first"))  # one row a shard: n_shards bounds it
     return sharded.join(F.broadcast(first), "shard").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("__index") - F.col("__first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut
+from .common import arrow_rows, cut, hold
 
 #: Bytes of a block of queries (as doubles): what is broadcast at once.
 BLOCK_BYTES = 8 << 20
@@ -120,7 +120,7 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "vec
     spark = vectors.sparkSession
     arrow_rows(spark, 4096)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("embedding"))
-    queries = cut(rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & is_query))
+    queries = hold(rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & is_query))
     stats = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
     n_blocks = max(1, -(-stats[0] * max(1, stats[1] or 1) * 8 // BLOCK_BYTES))
     found = None

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut, fold
+from .common import arrow_rows, fold, hold
 from .letters import LetterWords, find, letter_chunks
 
 #: Labelled rows of each class that the model is fitted on (chosen by a hash of the id).
@@ -164,9 +164,9 @@ def labelled(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLA
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
     spark = docs.sparkSession
     arrow_rows(spark)
-    train = cut(labelled(docs, labels, per_class))
+    train = hold(labelled(docs, labels, per_class))
     counts = train.select("text", "toxic").mapInArrow(_presence, "h long, toxic_texts long, other_texts long, other_words long")
-    counts = cut(counts.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("toxic_texts", "other_texts", "other_words")]))
+    counts = hold(counts.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("toxic_texts", "other_texts", "other_words")]))
     sums = counts.where("h is null").first()
     empty = Model(np.empty(0, np.uint64), np.empty(0))
     if sums is None or not sums.toxic_texts or not sums.other_texts:
