@@ -7,8 +7,10 @@ each take the leftovers of several, until one partition packs the last of them.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, hold, parts, text_buffer
+from .common import arrow_rows, hold, parts
 
 CAPACITY = 2048
 #: A bin with at most so many free places is emitted as it is.
@@ -24,60 +26,79 @@ SLACK = 8
 #: Partitions whose leftovers meet in one partition of the next round.
 FAN_IN = 8
 #: Distinct words a worker remembers; beyond that it starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 END_ID = 0
 
 
+# Fixed values of the tokenizer file whose words can be encoded one by one.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Letters up to U+024F after lower-casing; texts with characters beyond these, ASCII and white space go whole.
+_LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+")
+_OTHER = re.compile("[^\t-\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
+
+
+def _byte_names() -> dict[int, str]:
+    """The printable character by which byte-level BPE names each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordTokenizer:
-    """Ids of a tokenizer file, with the ids of plain ASCII words remembered.
+    """Ids of a tokenizer file, with the ids of words remembered.
 
-    A text is cut at white space into words.  Where the tokenizer drops white
-    space and splits at it (checked in its file), a word's ids do not depend on
-    its neighbours, so the ids of a text are those of its words in order; any
-    other tokenizer is applied to whole texts.
+    Where the file lower-cases, drops white space and splits there (checked
+    against its settings), a word's ids do not depend on its neighbours, so a
+    text's ids are those of its words in order.  Texts with unusual characters
+    or the spelling of a special token, and any other tokenizer, are encoded
+    whole.
     """
 
     def __init__(self, path: str):
-        import json
-
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         spec = json.loads(self.tok.to_str())
         self.by_word = self._splits_at_space(spec)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.cache: dict[str, bytes] = {}
+        self.model = self.tok.model
+        self.names = _byte_names()
+        self.words: dict[str, bytes] = {}
 
     @staticmethod
     def _splits_at_space(spec: dict) -> bool:
-        pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
-        norm = (spec.get("normalizer") or {}).get("normalizers") or []
-        split = [p for p in pre if p.get("type") == "Split" and p.get("invert") and p.get("behavior") == "Removed"]
-        return bool(split) and r"[^\s\p{L}\p{N}]+" in split[0]["pattern"].get("Regex", "") and {n["type"] for n in norm} <= {"NFC", "Replace", "Lowercase"}
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_word:
-            return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        # str.split() also cuts at \x1c-\x1f, which \s of the tokenizer does not hold: such texts go whole
-        whole = [bool(_ODD.search(t)) or any(s in t for s in self.special) for t in texts]
-        words = [[t] if w else t.split() for t, w in zip(texts, whole, strict=True)]
-        cache = self.cache
-        new = list({w for ws, odd in zip(words, whole, strict=True) if not odd for w in ws if w not in cache})
-        for a in range(0, len(new), 4096):
-            for w, e in zip(new[a : a + 4096], self.tok.encode_batch_fast(new[a : a + 4096], add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, np.uint32).tobytes()
-        out = []
-        for ws, odd in zip(words, whole, strict=True):
-            if odd:
-                out.append(np.array(self.tok.encode(ws[0], add_special_tokens=False).ids, np.uint32))
-            else:
-                out.append(np.frombuffer(b"".join([cache[w] for w in ws]), np.uint32))
-        return out
-
-
-_ODD = re.compile("[\x1c-\x1f]")
+        norm = (spec.get("normalizer") or {}).get("normalizers")
+        pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+        split, level = pre[0], pre[-1]
+        return (
+            norm == _NORMALIZERS
+            and len(pre) == 2
+            and split.get("pattern") == {"Regex": _PATTERN}
+            and split.get("behavior") == "Removed"
+            and split.get("invert") is True
+            and (level.get("type"), level.get("add_prefix_space"), level.get("use_regex")) == ("ByteLevel", False, False)
+            and spec.get("model", {}).get("type") == "BPE"
+        )
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a lower-case word without white space."""
+        ids = array("I")
+        for piece in _PIECES.findall(word):
+            ids.extend([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.names))])
+        return ids.tobytes()
+
+    def __call__(self, text: str) -> np.ndarray:
+        if not self.by_word or _OTHER.search(text) or any(s in text for s in self.special):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+        words, known = text.lower().split(), self.words
+        for w in set(words).difference(known):
+            known[w] = self._word(w)
+        ids = np.frombuffer(b"".join([known[w] for w in words]), np.uint32)
+        if len(known) > CACHE_WORDS:
+            self.words = {}
+        return ids
 
 
 def _pieces(path: str, capacity: int):
@@ -86,16 +107,15 @@ def _pieces(path: str, capacity: int):
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
             texts = batch.column(batch.num_columns - 1).fill_null("").to_pylist()
-            for a in range(0, len(texts), 128):
-                for i, ids in enumerate(tokenizer(texts[a : a + 128]), a):
-                    ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
-                    for p, s in enumerate(range(0, len(ids), capacity)):
-                        part = ids[s : s + capacity]
-                        rows.append(i)
-                        piece.append(p)
-                        start.append(s)
-                        length.append(len(part))
-                        crc.append(zlib.crc32(part.tobytes()))
+            for i, text in enumerate(texts):
+                ids = np.append(tokenizer(text), np.uint32(END_ID)).astype("<u4", copy=False)
+                for p, s in enumerate(range(0, len(ids), capacity)):
+                    part = ids[s : s + capacity]
+                    rows.append(i)
+                    piece.append(p)
+                    start.append(s)
+                    length.append(len(part))
+                    crc.append(zlib.crc32(part))
             take = pa.array(rows, pa.int64())
             cols = [batch.column(j).take(take) for j in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(
