@@ -50,12 +50,12 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, files: int | None = None) -> DataFrame:
     """Write the rows to the shared folder and read them back, which ends their lineage.
 
-    files: into so many files at most (a small result of many partitions would
-    leave as many tiny files).
+    files: into so many files at most, by default two a core of the cluster; a
+    small result of many partitions would leave as many tiny files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    (df.coalesce(files) if files else df).write.parquet(path)
+    df.coalesce(files or 2 * spark.sparkContext.defaultParallelism).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

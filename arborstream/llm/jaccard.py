@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, hold, shingle_hashes, word_chunks
+from .common import arrow_rows, cut, shingle_hashes, word_chunks
 from .graph import components
 
 WORDS = 5
@@ -222,7 +222,7 @@ def _candidates(keys: DataFrame) -> DataFrame:
         met = keys.join(times, F.col("key") == F.col("k")).drop("k")
         mine = W.partitionBy("c")  # KEYS rows at most
         met = met.withColumn("met", F.count("*").over(mine)).withColumn("hot", F.sum((F.col("times") > HOT).cast("int")).over(mine))
-        keys = hold(met.where("met >= need").select("key", "c", "need", "times", "hot"))
+        keys = cut(met.where("met >= need").select("key", "c", "need", "times", "hot"))
         result, keys = keys, keys.select("key", "c", "need")
     return result.where((F.col("times") <= HOT) | (F.col("hot") >= F.col("need"))).select("key", "c")
 
@@ -243,13 +243,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     arrow_rows(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = rows.mapInArrow(_sketch, "doc_id long, n_shingles long, set_id binary, keys array<long>")
-    sketch = hold(sketch.withColumn("uid", F.monotonically_increasing_id()))
-    classes = hold(sketch.where("n_shingles > 0").groupBy("set_id").agg(F.min("uid").alias("c"), F.min("doc_id").alias("low")))
+    sketch = cut(sketch.withColumn("uid", F.monotonically_increasing_id()), files=4 * spark.sparkContext.defaultParallelism)
+    classes = cut(sketch.where("n_shingles > 0").groupBy("set_id").agg(F.min("uid").alias("c"), F.min("doc_id").alias("low")))
     one = classes.select("c", F.col("set_id").alias("cs"))
     reps = sketch.join(one, (F.col("uid") == F.col("c")) & (F.col("set_id") == F.col("cs")))
     need = F.least(F.lit(SHARED), F.ceil(F.col("n_shingles") * (SHARED / KEYS))).cast("int")
     keys = reps.select("c", need.alias("need"), F.explode("keys").alias("key"))
-    met = hold(_candidates(keys))
+    met = _candidates(keys)
 
     # keys with the same members are one unit
     mark = met.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "c")).alias("y"))
@@ -260,10 +260,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other = F.explode(F.sequence(F.lit(0), cuts - 1))
     members = members.select("unit", "c", chunk.alias("i"), other.alias("j"), cuts.alias("cuts"))
     members = members.select(F.xxhash64("unit", F.least("i", "j"), F.greatest("i", "j")).alias("unit"), "c")
-    members = hold(members)
+    members = cut(members)
 
     needed = sketch.join(members.select("c").distinct(), F.col("uid") == F.col("c")).select("c", "doc_id", "set_id")
-    needed = hold(needed)
     slots = needed.select("doc_id").mapInArrow(_slots, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     bits[slots.column("word").to_numpy()] = slots.column("bits").to_numpy()

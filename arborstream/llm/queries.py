@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, langid, mixing, packing, sharding, topk, toxicity
+from . import fingerprints, html, jaccard, langid, mixing, packing, sharding, topk, toxicity
 from .common import load
 
 
@@ -33,6 +33,10 @@ def op4_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op5_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(load(spark, sf_dir, "pages"))
+
+
 def op6_backoff_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_documents(load(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_signature_tree_jaccard": op2_signature_tree_jaccard,
         "op3_exact_topk": op3_exact_topk,
         "op4_segment_toxicity": op4_segment_toxicity,
+        "op5_page_differencing": op5_page_differencing,
         "op6_backoff_langid": op6_backoff_langid,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_byte_sharding": op8_byte_sharding,
