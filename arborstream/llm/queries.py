@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html, jaccard, langid, mixing, packing, sharding, topk, toxicity
+from . import fingerprints, html, jaccard, langid, mixing, packing, sharding, topk, toxicity, warc
 from .common import load
 
 
@@ -49,6 +49,10 @@ def op8_byte_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(load(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(load(spark, sf_dir, "pages"))
+
+
 def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"), max_repeat=2.0)
 
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_backoff_langid": op6_backoff_langid,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_byte_sharding": op8_byte_sharding,
+        "op9_warc": op9_warc,
         "op10_temperature_mixing": op10_temperature_mixing,
     }
 
