@@ -29,6 +29,8 @@ SLOTS = 1 << 16
 GRAM_WEIGHT = 0.25
 #: Words are not independent: the posterior is softened by this factor.
 SOFTEN = 0.25
+#: Languages whose sampling shares stand in the plan itself; with more, they are joined.
+MAX_INLINE = 512
 UNDETERMINED = "und"
 
 
@@ -123,8 +125,14 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
     """Fit on rows with a language: at most about `per_lang` of each, chosen by a hash of the id. None without rows."""
     arrow_rows(train.sparkSession)
     rows = train.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    share = rows.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("share")).withColumnRenamed("lang", "own")
-    chosen = rows.join(share, F.col("lang") == F.col("own")).where(F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    share = rows.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("share"))
+    some = share.limit(MAX_INLINE + 1).collect()
+    if len(some) <= MAX_INLINE:  # a bounded table in the plan, so that no text is moved by its language
+        inline = F.create_map(*[F.lit(x) for r in some for x in (r.lang, r.share)]) if some else F.create_map().cast("map<string,double>")
+        chosen = rows.withColumn("share", F.element_at(inline, F.col("lang")))
+    else:
+        chosen = rows.join(share.withColumnRenamed("lang", "own"), F.col("lang") == F.col("own"))
+    chosen = chosen.where(F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
     counts = chosen.select("text", "lang").mapInArrow(_counts, "kind int, h long, lang string, n long").groupBy("kind", "h", "lang").agg(F.sum("n").alias("n"))
     counts = hold(counts)
     best = counts.where("kind = 0").groupBy("h").agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST).orderBy(F.desc("all"), "h").limit(MAX_WORDS)
