@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, arrow_rows, hold, mix64, word_chunks
-from .neighbours import AFTER, BEFORE, OWN, deal, ranges
+from .common import U64, Words, arrow_rows, cut, mix64, word_chunks
+from .neighbours import AFTER, BEFORE, OWN, deal, ranges, unsqueeze
 
 BITS = 256
 RADIUS = 7
@@ -91,7 +91,7 @@ def _ring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     part, held, out, size = None, None, [], 0
     for batch in batches:
-        texts = batch.column(1).fill_null("").to_pylist()
+        texts = [t or "" for t in unsqueeze(batch.column(1))]
         for i, p, edge, text, fp in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), texts, _prints(texts), strict=True):
             if p != part:
                 part, held = p, None
@@ -187,10 +187,10 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     arrow_rows(docs.sparkSession, 512)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     edges = ranges(rows.select("doc_id"))
-    dealt = deal(rows, ["doc_id"], edges).where(F.col("__edge") != AFTER)
+    dealt = deal(rows, ["doc_id"], edges, "text").where(F.col("__edge") != AFTER)
     # in falling order a range is followed by the last row of the range below it
     ordered = dealt.sortWithinPartitions("__part", F.col("__edge") == BEFORE, F.desc_nulls_last("doc_id"), F.xxhash64("text"))
-    prints = hold(
+    prints = cut(
         ordered.select("doc_id", "text", "__part", "__edge").mapInArrow(
             _ring, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
         )

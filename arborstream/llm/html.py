@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows
-from .neighbours import AFTER, BEFORE, OWN, deal, ranges
+from .neighbours import AFTER, BEFORE, OWN, deal, ranges, unsqueeze
 
 # Elements of HTML by their part in a page.
 BLOCKS = frozenset(
@@ -193,7 +193,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         out = []
-        for pid, url, html, host, path, part, edge in zip(*[batch.column(j).to_pylist() for j in range(7)], strict=True):
+        columns = [unsqueeze(batch.column(j)) if j == 2 else batch.column(j).to_pylist() for j in range(7)]
+        for pid, url, html, host, path, part, edge in zip(*columns, strict=True):
             new = (pid, url, blocks(html or ""), host, path, part, edge)
             if now is not None and now[6] == OWN:
                 out.append(one(before, now, new))
@@ -223,7 +224,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"),
     )
     keys = ["host", "path", "page_id"]
-    dealt = deal(rows, keys, ranges(rows.select(*keys)))
+    dealt = deal(rows, keys, ranges(rows.select(*keys)), "html")
     place = F.when(F.col("__edge") == BEFORE, 0).when(F.col("__edge") == AFTER, 2).otherwise(1)
     ordered = dealt.sortWithinPartitions("__part", place, *[F.asc_nulls_first(k) for k in keys])
     return ordered.mapInArrow(_pairs, "page_id long, url string, text string, n_chars long, shared_lines long")
