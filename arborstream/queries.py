@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import detection, forests, relational
+
 
 def queries() -> dict:
-    return {}
+    return {**relational.QUERIES, **forests.QUERIES, **detection.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {**relational.ORACLES, **forests.ORACLES, **detection.ORACLES}
