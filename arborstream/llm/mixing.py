@@ -122,7 +122,7 @@ def mix(
     uses = uses.withColumn("__h", F.xxhash64(F.lit(seed), "mix_epoch", "__id"))
     order = [F.col("__s").asc_nulls_first(), F.col("mix_epoch"), F.col("__h"), F.col("__id")]
     placed = prefix_sums(uses, order, {"__before": "__n"}, ["__s"])
-    drawn = placed.where(F.col("__quota").isNull() | (F.col("__before") < F.col("__quota")))
+    drawn = placed.where(F.col("__quota").isNull() | (F.col("__n") == 0) | (F.col("__before") < F.col("__quota")))
     block = F.when(F.coalesce(F.col("__quota"), F.lit(0)) > 0, F.least(F.lit(n_blocks - 1), F.floor(F.col("__before") / F.col("__quota") * n_blocks))).otherwise(0)
     return drawn.select(
         *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],

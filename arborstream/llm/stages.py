@@ -26,15 +26,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents without words are components of their own and stay.
     """
     groups = cut(jaccard.near_duplicates(docs).select("doc_id", "component_id"))
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("g"))
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("g")), "left_anti")
-    twice = groups.groupBy(F.col("doc_id").alias("t")).agg(F.count("*").alias("n")).where("n > 1").select("t")
-    if twice.isEmpty():
-        return kept
-    same = F.col("doc_id").eqNullSafe(F.col("t"))
-    first = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    repeated = kept.join(twice, same, "left_semi").withColumn("__rank", F.row_number().over(first)).where("__rank = 1").drop("__rank")
-    return kept.join(twice, same, "left_anti").unionByName(repeated)
+    rows, back = _plain(docs)
+    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone"))
+    kept = rows.join(gone, F.col("id").eqNullSafe(F.col("gone")), "left_anti")
+    twice = groups.groupBy(F.col("doc_id").alias("twice")).agg(F.count("*").alias("n")).where("n > 1").select("twice")
+    if not twice.isEmpty():
+        same = F.col("id").eqNullSafe(F.col("twice"))
+        first = W.partitionBy("id").orderBy(F.xxhash64("body"))
+        repeated = kept.join(twice, same, "left_semi").withColumn("place", F.row_number().over(first)).where("place = 1").drop("place")
+        kept = kept.join(twice, same, "left_anti").unionByName(repeated)
+    return kept.select(*back)
+
+
+def _plain(docs: DataFrame) -> tuple[DataFrame, list]:
+    """The rows under names that nothing clashes with (id and body among them), and the columns that restore the old ones."""
+    names = ["id" if c == "doc_id" else "body" if c == "text" else f"p{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +52,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     uses = mixing.mix(docs, max_repeat=2.0, keep=["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("uses"))
     rows = docs.groupBy("doc_id").agg(F.count("*").alias("rows"))
-    times = uses.join(rows.withColumnRenamed("doc_id", "r"), F.col("doc_id").eqNullSafe(F.col("r"))).select(F.col("doc_id").alias("u"), F.ceil(F.col("uses") / F.col("rows")).cast("int").alias("__times"))
-    repeated = docs.join(times, F.col("doc_id").eqNullSafe(F.col("u"))).withColumn("__use", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return repeated.select(*docs.columns)
+    times = uses.join(rows.withColumnRenamed("doc_id", "same"), F.col("doc_id").eqNullSafe(F.col("same")))
+    times = times.select(F.col("doc_id").alias("used"), F.ceil(F.col("uses") / F.col("rows")).cast("int").alias("times"))
+    plain, back = _plain(docs)
+    repeated = plain.join(times, F.col("id").eqNullSafe(F.col("used"))).withColumn("use", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return repeated.select(*back)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
