@@ -33,8 +33,13 @@ SHARED = 14
 #: A key of more classes is hot: only classes with SHARED hot keys meet by it
 #: (any others that are linked share a key that is not hot).
 HOT = 128
-#: Classes of a unit's side; more are cut into chunks that meet pairwise.
+#: Classes of a unit; more are cut into chunks of about so many that meet pairwise.
 CHUNK = 2048
+#: Smallest keys that are not hot, and smallest hot ones, by which a class meets
+#: others.  Two linked sets differ in a fifth of their union at most, so of the
+#: part by which they must meet three quarters or more is shared, and the chance
+#: that none of so many smallest keys is lies below 1e-11.
+USED = 20
 LEAF = 32
 FANOUT = 8
 #: Bits of the filter that keeps texts of no candidate class from being moved (1 MB, whatever the input).
@@ -224,7 +229,10 @@ def _candidates(keys: DataFrame) -> DataFrame:
         met = met.withColumn("met", F.count("*").over(mine)).withColumn("hot", F.sum((F.col("times") > HOT).cast("int")).over(mine))
         keys = cut(met.where("met >= need").select("key", "c", "need", "times", "hot"))
         result, keys = keys, keys.select("key", "c", "need")
-    return result.where((F.col("times") <= HOT) | (F.col("hot") >= F.col("need"))).select("key", "c")
+    warm = F.col("times") > HOT
+    result = result.where(~warm | (F.col("hot") >= F.col("need"))).withColumn("warm", warm)
+    rank = F.row_number().over(W.partitionBy("c", "warm").orderBy("key"))
+    return result.withColumn("rank", rank).where(F.col("rank") <= USED).select("key", "c")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,8 +265,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = met.join(units.select("unit", "n"), F.col("key") == F.col("unit")).select("unit", "n", "c")
     cuts = F.ceil(F.col("n") / CHUNK).cast("int")
     chunk = F.pmod(F.xxhash64("c"), cuts).cast("int")
-    other = F.explode(F.sequence(F.lit(0), cuts - 1))
-    members = members.select("unit", "c", chunk.alias("i"), other.alias("j"), cuts.alias("cuts"))
+    # every pair of chunks is a unit, which holds the pairs inside them too
+    other = F.when(cuts == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), cuts - 1), chunk))
+    members = members.select("unit", "c", chunk.alias("i"), F.explode(other).alias("j"))
     members = members.select(F.xxhash64("unit", F.least("i", "j"), F.greatest("i", "j")).alias("unit"), "c")
     members = cut(members)
 
