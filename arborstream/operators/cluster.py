@@ -116,7 +116,7 @@ def _assign(items: list[tuple[Any, float]], clusters: list[Cluster], d: Distance
                 c.representatives = [(centre, c.weight)]
 
 
-def cluster(items: list[tuple[Any, float]], most: int, distance: Distance = l2, start: int | None = None, stop_at: int = 1, representatives: int = 1, shrinkage: float = 0.0, overlap: float = 0.5, seed: int = 0, previous: list[Cluster] | None = None) -> list[Cluster]:
+def cluster(items: list[tuple[Any, float]], most: int, distance: Distance = l2, start: int | None = None, stop_at: int = 1, representatives: int = 1, shrinkage: float = 0.0, overlap: float = 1.2, seed: int = 0, previous: list[Cluster] | None = None) -> list[Cluster]:
     """Clusters of (item, weight) pairs, heaviest first: at most `most`, fewer down to `stop_at` while centres overlap.
 
     Centres start at items drawn by weight (and at the previous clusters'
