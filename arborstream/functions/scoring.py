@@ -28,8 +28,16 @@ def displacement_seen(depth: Column, mass: Column) -> Column:
     return 1.0 / (mass + 1.0)
 
 
-def height(depth: Column, mass: Column) -> Column:
-    return depth + F.log2(mass + 1.0)
+def displacement_unseen(depth: Column, mass: Column) -> Column:
+    return mass.cast("double")
+
+
+def displacement_normalizer(score: Column, tree_mass: Column) -> Column:
+    return score / (1.0 + tree_mass)
+
+
+def height_seen(depth: Column, mass: Column) -> Column:
+    return depth + F.log(mass)
 
 
 def _pairs(a: Column, b: Column, f) -> Column:

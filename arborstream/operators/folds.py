@@ -175,12 +175,13 @@ class Density:
 
 
 def displacement() -> Score:
-    """How much mass a point would push down: 1 for a lone point at the root, small in a dense group."""
-    return Score(lambda d, m: 1.0 / (m + 1.0), lambda d, m: 1.0 / (m + 1.0), lambda a, b: 1.0, lambda s, t: s * t)
+    """Share of the tree that a point would push down: near 1 for a lone point, small in a dense group."""
+    return Score(lambda d, m: 1.0 / (1.0 + m), lambda d, m: 1.0 * m, damp, lambda s, t: s / (1.0 + t))
 
 
 def height() -> Score:
-    return Score(lambda d, m: d + np.log2(m + 1.0), lambda d, m: d + 1.0, lambda a, b: 1.0, lambda s, t: s)
+    """Expected depth at which a point would end; copies count as depth."""
+    return Score(lambda d, m: d + np.log(m), lambda d, m: 1.0 * d, lambda a, b: 1.0, lambda s, t: s)
 
 
 def simulated(tree: Tree, queries: np.ndarray, ranges: Callable[[np.ndarray, np.ndarray], np.ndarray], score: Score | None = None) -> np.ndarray:

@@ -83,8 +83,8 @@ def forest_center_of_mass(spark, sf_dir):
 
 _DAMP = "(1 - {m} / (2.0 * {t}))"
 _SCORE = scores_sql(f"{_DAMP} * (1.0 / ({{d}} + log2({{m}} + 1)))", "1.0 / ({d} + 1)", "1.0 / ({d} + 1)", "raw * log2(t + 1)")
-_DISPLACED = scores_sql("1.0 / ({m} + 1)", "1.0 / ({m} + 1)", "1.0 / ({m} + 1)", "raw * t")
-_HEIGHT = scores_sql("{d} + log2({m} + 1)", "{d} + 1", "{d} + 1", "raw")
+_DISPLACED = scores_sql(f"{_DAMP} * (1.0 / ({{m}} + 1))", "{m}", "{m}", "raw / (1.0 + t)")
+_HEIGHT = scores_sql("{d} + ln({m})", "{d}", "{d}", "raw")
 _MEAN = f"SELECT seq, floor(sum(score) / {TREES} * 1e6 + 0.5) / 1e6 AS score FROM per_tree GROUP BY seq"
 
 

@@ -562,14 +562,15 @@ _GRID = "(1 + event_id % 7) AS d, (1 + event_id % 11) AS m, 64 AS t"
 
 @query(
     f"""SELECT event_id, {sql_six('1.0 / (d + log2(m + 1))')} AS seen, {sql_six('1.0 / (d + 1)')} AS unseen, {sql_six('1 - m / (2.0 * t)')} AS damp,
-{sql_six('value * log2(t + 1)')} AS normalized, {sql_six('1.0 / (m + 1)')} AS displaced, {sql_six('d + log2(m + 1)')} AS height FROM (SELECT event_id, value, {_GRID} FROM events)"""
+{sql_six('value * log2(t + 1)')} AS normalized, {sql_six('1.0 / (m + 1)')} AS displaced_seen, {sql_six('m')} AS displaced_unseen, {sql_six('value / (1.0 + t)')} AS displaced_normal, {sql_six('d + ln(m)')} AS height FROM (SELECT event_id, value, {_GRID} FROM events)"""
 )
 def score_functions(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     d, m, t = 1 + F.col("event_id") % 7, 1 + F.col("event_id") % 11, F.lit(64)
     shown = {
         "seen": fn.seen(d, m), "unseen": fn.unseen(d, m), "damp": fn.damp(m, t), "normalized": fn.normalizer(F.col("value"), t),
-        "displaced": fn.displacement_seen(d, m), "height": fn.height(d, m),
+        "displaced_seen": fn.displacement_seen(d, m), "displaced_unseen": fn.displacement_unseen(d, m),
+        "displaced_normal": fn.displacement_normalizer(F.col("value"), t), "height": fn.height_seen(d, m),
     }
     return e.select("event_id", *[six(c).alias(n) for n, c in shown.items()])
 
