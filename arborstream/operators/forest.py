@@ -57,7 +57,9 @@ class Forest:
         return np.stack([folds.traverse(t, queries, make()) for t in self.trees], axis=1)
 
     def score(self, queries: np.ndarray) -> np.ndarray:
-        return self.fold(queries, folds.Score) if self.ready else np.zeros(len(queries))
+        if not self.ready:
+            return np.zeros(len(queries))
+        return sum(folds.scores(t, queries) for t in self.trees) / len(self.trees)
 
     def attribution(self, queries: np.ndarray) -> np.ndarray:
         return self.fold(queries, folds.Attribution) if self.ready else np.zeros((len(queries), 2 * queries.shape[1]))
@@ -114,6 +116,15 @@ class Forest:
                 entry[2] += 1
         return sorted(((i, f, n, k) for k, (i, f, n) in found.items()), key=lambda x: (x[1], x[0]))
 
+    def near_list(self, query: np.ndarray, percentile: float = 1.0) -> list[tuple[float, tuple, float]]:
+        """(score in the tree, point, distance) of each tree's leaf, nearest first, up to the percentile of distances."""
+        rows = []
+        for t in self.trees:
+            p, far = folds.neighbours(t, query[None, :])
+            rows.append((float(folds.scores(t, query[None, :])[0]), tuple(t.points[p[0]].tolist()), float(far[0])))
+        rows.sort(key=lambda r: r[2])
+        return rows[: max(1, int(np.ceil(percentile * len(rows))))]
+
     def conditional_samples(self, query: np.ndarray, missing: list[int], centrality: float = 1.0) -> pd.DataFrame:
         """One sample a tree: tree, point_id, distance, and the point's coordinates."""
         rng = np.random.default_rng(self.seed)
@@ -240,7 +251,7 @@ def replay(df: DataFrame, vector: list[str], sequence: str, trees: int, capacity
             b = min(a + block, len(seq))
             if len(held) > max(1, capacity // 4):
                 tree = build(x[np.sort(held)], t, seed)
-                scores[a:b] = folds.traverse(tree, x[a:b], folds.Score())
+                scores[a:b] = folds.scores(tree, x[a:b])
             both = np.concatenate([held, np.arange(a, b)])
             held = both[np.lexsort((both, keys[both]))[:capacity]]
         return pd.DataFrame({"seq": seq, "score": scores})

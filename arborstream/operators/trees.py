@@ -35,6 +35,9 @@ class Tree:
     points: np.ndarray
     members: list[np.ndarray]
 
+    def __post_init__(self) -> None:
+        self.width = (self.high - self.low).sum(axis=1) if len(self.low) else np.empty(0)
+
     @property
     def leaves(self) -> np.ndarray:
         return np.flatnonzero(self.dim < 0)

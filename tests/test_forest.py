@@ -67,6 +67,9 @@ def test_score_by_definition(model):
     q = np.concatenate([cloud(40, 3, 9) * 2, t.points[:12]])
     want = np.array([naive(x) * math.log2(t.total + 1) for x in q])
     assert np.allclose(folds.traverse(t, q, folds.Score()), want)
+    assert np.allclose(folds.scores(t, q), want)
+    near = model.near_list(q[0], 0.5)
+    assert len(near) == 15 and [r[2] for r in near] == sorted(r[2] for r in near)
 
 
 def test_attribution_adds_up_and_points_the_right_way(model):
