@@ -11,7 +11,7 @@ import json
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,18 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class WordIds(dict):
+    """Ids of words as bytes; a word not yet known is encoded when it is looked up."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.encode(word)
+        return ids
+
+
 class WordTokenizer:
     """Ids of a tokenizer file, with the ids of words remembered.
 
@@ -65,7 +77,7 @@ class WordTokenizer:
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.model = self.tok.model
         self.names = _byte_names()
-        self.words: dict[str, bytes] = {}
+        self.words, self.pieces = WordIds(self._word), WordIds(self._piece)
 
     @staticmethod
     def _splits_at_space(spec: dict) -> bool:
@@ -84,20 +96,19 @@ class WordTokenizer:
 
     def _word(self, word: str) -> bytes:
         """Ids of a lower-case word without white space."""
-        ids = array("I")
-        for piece in _PIECES.findall(word):
-            ids.extend([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.names))])
-        return ids.tobytes()
+        pieces = _PIECES.findall(word)
+        return self.pieces[word] if len(pieces) == 1 else b"".join(map(self.pieces.__getitem__, pieces))
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of what the tokenizer takes as one word."""
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.names))]).tobytes()
 
     def __call__(self, text: str) -> np.ndarray:
         if not self.by_word or _OTHER.search(text) or any(s in text for s in self.special):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
-        words, known = text.lower().split(), self.words
-        for w in set(words).difference(known):
-            known[w] = self._word(w)
-        ids = np.frombuffer(b"".join([known[w] for w in words]), np.uint32)
-        if len(known) > CACHE_WORDS:
-            self.words = {}
+        ids = np.frombuffer(b"".join(map(self.words.__getitem__, text.lower().split())), np.uint32)
+        if len(self.words) > CACHE_WORDS:
+            self.words, self.pieces = WordIds(self._word), WordIds(self._piece)
         return ids
 
 
