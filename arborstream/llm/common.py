@@ -36,7 +36,10 @@ def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), one made here."""
+    """A folder of this application in that of spark.checkpoint.dir; where it is unset (tests), in one made here.
+
+    The path is qualified by the file system that Spark resolves it with.
+    """
     sc = spark.sparkContext
     own = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not own:
@@ -44,7 +47,16 @@ def shared_dir(spark: SparkSession) -> str:
         own = have.get() if have.isDefined() else tempfile.mkdtemp(prefix="arborstream-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(own)
-    return own if "://" in own or own.startswith("file:") else f"file://{own}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{own}/arborstream-{sc.applicationId}")
+    full = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"file://{full.removeprefix('file:')}" if full.startswith("file:/") and not full.startswith("file:///") else full
+
+
+def sweep(spark: SparkSession) -> None:
+    """Remove what this application has written to the shared folder; results that still read it must be written first."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, files: int | None = None) -> DataFrame:

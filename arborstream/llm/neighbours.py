@@ -26,10 +26,15 @@ def _order(key: tuple) -> tuple:
 
 
 def ranges(keys: DataFrame, n: int | None = None) -> list[tuple[tuple, tuple]]:
-    """First and last key of each of about n equal ranges of the rows, ascending; at most n pairs come back."""
+    """First and last key of each of about n equal ranges of the rows, ascending; at most n pairs come back.
+
+    n: by default as many as the input has partitions, or shuffles have if they
+    are more, so that a range's payload stays near the size of a split.
+    """
     cols = keys.columns
+    n = n or max(parts(keys.sparkSession), keys.rdd.getNumPartitions())
     order = [F.col(c).asc_nulls_first() for c in cols]
-    dealt = hold(keys.repartitionByRange(n or parts(keys.sparkSession), *order).withColumn("__part", F.spark_partition_id()))
+    dealt = hold(keys.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
     ends = dealt.groupBy("__part").agg(F.min(F.struct(*cols)).alias("first"), F.max(F.struct(*cols)).alias("last")).collect()
     return sorted(((tuple(r["first"]), tuple(r["last"])) for r in ends), key=lambda e: _order(e[1]))
 

@@ -35,3 +35,13 @@ def test_letter_words_match_python(texts):
             want = "".join(c if c.isalpha() else " " for c in low).split(" ")
             got = ["".join(map(chr, w.code[a:b])) for a, b, r in zip(w.starts, w.ends, w.row) if r == i]
             assert got == [x for x in want if x]
+
+
+def test_shared_folder(spark):
+    from arborstream.llm.common import cut, shared_dir, sweep
+
+    first = shared_dir(spark)
+    assert first == shared_dir(spark) and first.startswith("file:///")
+    assert cut(spark.range(5)).count() == 5
+    sweep(spark)
+    assert cut(spark.range(6)).count() == 6
