@@ -71,13 +71,17 @@ def cut(df: DataFrame, files: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hold(df: DataFrame) -> DataFrame:
+def hold(df: DataFrame, now: bool = False) -> DataFrame:
     """Keep rows that several later steps read in the executors' memory and disks.
 
     Only for rows that a given input determines: what a lost executor held is
-    computed again, and must come out the same.
+    computed again, and must come out the same.  now: make them at once, where
+    steps that run side by side would otherwise each begin to.
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if now:
+        held.count()
+    return held
 
 
 def parts(spark: SparkSession) -> int:

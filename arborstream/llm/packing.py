@@ -197,7 +197,7 @@ def pack(pieces: DataFrame, item: str, size: str, capacity: int = CAPACITY, slac
     n, level, rounds = parts(spark), 1, []
     while True:
         dealt = todo.repartition(n, F.xxhash64("item")) if n > 1 else todo.coalesce(1)
-        packed = hold(dealt.sortWithinPartitions(F.desc("size"), "item").mapInArrow(_pack(level, capacity), "item long, bin long, at long, fill long"))
+        packed = hold(dealt.sortWithinPartitions(F.desc("size"), "item").mapInArrow(_pack(level, capacity), "item long, bin long, at long, fill long"), now=True)
         rounds.append(packed)
         if n == 1:
             break
@@ -228,7 +228,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     named = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(ids)]
     schema = "".join(f"k{i} {kinds[c]}, " for i, c in enumerate(ids)) + "piece int, start long, length long, ids_crc32 long"
     pieces = docs.select(*named, F.col(text_col).alias("text")).mapInArrow(_pieces(tokenizer_path, capacity), schema)
-    pieces = hold(pieces.withColumn("item", F.monotonically_increasing_id()))
+    pieces = hold(pieces.withColumn("item", F.monotonically_increasing_id()), now=True)
     places = pack(pieces, "item", "length", capacity, slack)
     out = pieces.join(places, "item")
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(ids)], "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
