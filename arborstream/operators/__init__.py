@@ -1 +1 @@
-
+"""Operators: shingles, samples, trees, folds, forests, transforms, detectors, forecasts, clusters."""

@@ -232,8 +232,9 @@ def attribute(df: DataFrame, forest: Forest, vector: list[str] | Column, keep: l
 def replay(df: DataFrame, vector: list[str], sequence: str, trees: int, capacity: int, decay: float, block: int, seed: int = 0) -> DataFrame:
     """Score each row against the model as of its block's start, every tree on its own: sequence, score.
 
-    Trees are independent given the stream, so each is one group; within it
-    blocks of rows are scored, then absorbed.  The sample at each block's start
+    Trees are independent given the stream, so each has a task of its own that
+    the ordered rows stream past: it holds a sample and a block, never the
+    stream.  Blocks are scored, then absorbed; the sample at each block's start
     is exact.
     """
     from ..functions.uniforms import uniform_of
@@ -241,20 +242,34 @@ def replay(df: DataFrame, vector: list[str], sequence: str, trees: int, capacity
     points = df.select(F.col(sequence).cast("long").alias("seq"), vector_column(vector).alias("v"))
     sent = points.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        t = int(pdf["tree"].iloc[0])
-        seq, x = pdf["seq"].to_numpy(), np.array(pdf["v"].tolist(), float)
-        keys = np.array([np.log(-np.log(uniform_of(seed, t, int(s)))) - s * decay for s in seq])
-        held, scores = np.empty(0, int), np.zeros(len(seq))
-        for a in range(0, len(seq), block):
-            b = min(a + block, len(seq))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, rows = None, []
+        held: list[tuple[float, int, list]] = []
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held
+            x = np.array([v for _, v in rows], float)
+            scores = np.zeros(len(rows))
             if len(held) > max(1, capacity // 4):
-                tree = build(x[np.sort(held)], t, seed)
-                scores[a:b] = folds.scores(tree, x[a:b])
-            both = np.concatenate([held, np.arange(a, b)])
-            held = both[np.lexsort((both, keys[both]))[:capacity]]
-        return pd.DataFrame({"seq": seq, "score": scores})
+                sample = np.array([v for _, _, v in sorted(held, key=lambda h: h[1])], float)
+                scores = folds.scores(build(sample, tree, seed), x)
+            new = [(float(np.log(-np.log(uniform_of(seed, tree, s))) - s * decay), s, v) for s, v in rows]
+            held = sorted(held + new, key=lambda h: h[:2])[:capacity]
+            out = pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array(scores)], names=["seq", "score"])
+            rows.clear()
+            return out
 
-    each = sent.groupBy("tree").applyInPandas(one, "seq long, score double")
+        for batch in batches:
+            for s, v, t in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if t != tree:
+                    if rows:
+                        yield flush()
+                    tree, held = t, []
+                rows.append((s, v))
+                if len(rows) == block:
+                    yield flush()
+        if rows:
+            yield flush()
+
+    each = sent.repartition(trees, "tree").sortWithinPartitions("tree", "seq").mapInArrow(run, "seq long, score double")
     return each.groupBy(F.col("seq").alias(sequence)).agg((F.sum("score") / trees).alias("score"))

@@ -1 +1 @@
-
+"""Queries over the driver's tables and their SQL."""

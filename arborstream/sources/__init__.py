@@ -1 +1 @@
-
+"""Text, snapshots and generated streams."""
