@@ -16,8 +16,10 @@ from .thresholder import Thresholder
 from .transforms import Transform
 from .trees import DynamicTree
 
+# Names of the settings.
 STRATEGIES = ("EXPECTED_INVERSE_DEPTH", "DISTANCE", "MULTI_MODE", "MULTI_MODE_RECALL")
 MODES = ("STANDARD", "TIME_AUGMENTED", "STREAMING_IMPUTE")
+IMPUTATIONS = ("ZERO", "FIXED_VALUES", "PREVIOUS", "NEXT", "LINEAR", "RCF")
 CORRECTIONS = ("NONE", "NOISE", "MULTI_MODE", "ANOMALY_IN_SHINGLE", "CONDITIONAL_FORECAST", "FORECAST", "DATA_DRIFT", "ALERT_ONCE")
 
 # Fixed values of the correction rules.
@@ -195,7 +197,7 @@ class Detector:
 
     base: values a row; shingle: rows a point.  STREAMING_IMPUTE fills missing
     values and gaps in time by `imputation` (RCF: from the model once it is
-    ready); TIME_AUGMENTED adds the normalised time step as one more value.
+    ready; NEXT and LINEAR know no later row yet and repeat the last); TIME_AUGMENTED adds the normalised time step as one more value.
     """
 
     base: int = 1
@@ -220,7 +222,7 @@ class Detector:
     accept: float = 1.0
 
     def __post_init__(self) -> None:
-        for value, known, what in ((self.mode, MODES, "mode"), (self.strategy, STRATEGIES, "strategy")):
+        for value, known, what in ((self.mode, MODES, "mode"), (self.strategy, STRATEGIES, "strategy"), (self.imputation, IMPUTATIONS, "imputation")):
             if value not in known:
                 raise ValueError(f"unknown {what} {value}")
         if self.base < 1 or self.shingle < 1 or self.capacity < 2 or self.trees < 1:
