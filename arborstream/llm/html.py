@@ -160,8 +160,7 @@ def shared_lines(page: list[str], other: list[str]) -> set[int]:
 def main_text(page: list[tuple[str, bool, bool]], other: list[tuple[str, bool, bool]] | None) -> tuple[str, int]:
     """The page's text, and how many lines the neighbour shares."""
     shared = shared_lines([b[0] for b in page], [b[0] for b in other]) if other else set()
-    inside = any(kept and not frame for _, frame, kept in page)
-    lines = [b for i, (b, frame, kept) in enumerate(page) if not frame and (kept or not inside) and (kept or i not in shared)]
+    lines = [b for i, (b, frame, kept) in enumerate(page) if not frame and (kept or i not in shared)]
     return "\n".join(lines), len(shared)
 
 

@@ -52,3 +52,10 @@ def test_shared_article_lines_stay(spark):
     page = "<nav>x</nav><article><p>same</p><p>lines</p></article>"
     df = spark.createDataFrame([(i, f"http://h.x/{i}", page) for i in range(4)], "page_id long, url string, html string")
     assert {r.text for r in html.extract(df).collect()} == {"same\nlines"}
+
+
+def test_differencing_decides_beside_an_article(spark):
+    page = "<div>Menu</div><div><p>own text {0}</p></div><article>teaser {0}</article><div>Imprint</div>"
+    df = spark.createDataFrame([(i, f"http://h.x/{i}", page.format(i)) for i in range(4)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert got == {i: f"own text {i}\nteaser {i}" for i in range(4)}
