@@ -2,8 +2,10 @@
 
 Each distinct word votes with its weight on the signed bits of its hash; the
 sign of each sum is a bit of the fingerprint.  For the search, fingerprints
-are cut into radius + 1 blocks: two within the radius agree in one block at
-least, so permuted tables keyed by each block in turn bring them together.
+are cut into 16 blocks of two bytes: two within the radius of 31 differ by one
+bit at most in one block at least, and so agree in one of its bytes.  Tables
+keyed by each byte in turn bring them together; within a key only rows whose
+other byte of the block differs by a bit at most are compared.
 """
 
 from __future__ import annotations
@@ -20,10 +22,13 @@ from .common import U64, Words, arrow_rows, cut, mix64, word_chunks
 from .neighbours import AFTER, BEFORE, OWN, deal, ranges, unsqueeze
 
 BITS = 256
-RADIUS = 7
-#: Rows of a block's bucket that are compared at once.
-STRIP = 1024
+#: Of copies with a 5-word Jaccard similarity of 0.78 to 0.82, 99 % lie within it (sf0.1; see the README).
+RADIUS = 31
+#: Pairs of rows of a key that are compared at once.
+STRIP = 1 << 19
 _LANES = BITS // 64
+_BYTES = BITS // 8
+assert RADIUS < _BYTES  # else a block's two bytes may both differ
 
 
 def _votes(h: np.ndarray, weight: np.ndarray) -> bytes:
@@ -107,53 +112,78 @@ def _ring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fingerprint, copies) to a row for each permuted table: (block, key, fingerprint, copies)."""
-    blocks = RADIUS + 1
+    """(fingerprint, copies) to a row for each table: (byte's place and value, fingerprint, copies)."""
     for batch in batches:
-        raw = np.frombuffer(bytes.fromhex("".join(batch.column(0).to_pylist())), np.uint8).reshape(batch.num_rows, BITS // 8)
-        keys = raw.reshape(batch.num_rows, blocks, -1).copy().view(">u4").reshape(batch.num_rows, blocks)
+        raw = np.frombuffer(bytes.fromhex("".join(batch.column(0).to_pylist())), np.uint8).reshape(batch.num_rows, _BYTES)
         fps = pa.array([r.tobytes() for r in raw], pa.binary())
-        for b in range(blocks):
-            yield pa.RecordBatch.from_arrays([pa.array((np.int64(b) << 32) + keys[:, b].astype(np.int64)), fps, batch.column(1)], names=["key", "fp", "copies"])
+        for b in range(_BYTES):
+            yield pa.RecordBatch.from_arrays([pa.array((b << 8) + raw[:, b].astype(np.int32), pa.int32()), fps, batch.column(1)], names=["key", "fp", "copies"])
+
+
+def _close(place: int, raw: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For rows that agree in the byte at `place`: the copies within the radius that no earlier table has brought together."""
+    other = raw[:, place ^ 1].astype(np.int64)
+    order = np.argsort(other, kind="stable")
+    raw, weight, other = raw[order], weight[order], other[order]
+    wide = raw.view(np.uint64)
+    start = np.searchsorted(other, np.arange(257))
+    here = np.arange(len(raw))
+    near = np.zeros(len(raw), np.int64)
+    for flip in (0, *(1 << k for k in range(8))):
+        # each pair once: later rows of the same byte, or rows where the flipped bit is set
+        first = np.where(other & flip == 0, start[other ^ flip], 0) if flip else here + 1
+        last = np.where(other & flip == 0, start[(other ^ flip) + 1], 0) if flip else start[other + 1]
+        ends = np.cumsum(last - first)
+        lo = 0
+        while lo < len(raw):
+            done = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, done + STRIP, "right")))
+            count = (last - first)[lo:hi]
+            x = np.repeat(here[lo:hi], count)
+            y = np.arange(len(x)) + np.repeat(first[lo:hi] - (ends[lo:hi] - count - done), count)
+            far = np.zeros(len(x), np.int64)
+            for k in range(_LANES):
+                far += np.bitwise_count(wide[x, k] ^ wide[y, k])
+                some = far <= RADIUS
+                x, y, far = x[some], y[some], far[some]
+            apart = np.bitwise_count(raw[x] ^ raw[y])
+            meets = (apart == 0) & (apart[:, np.arange(_BYTES) ^ 1] <= 1)
+            new = meets.argmax(axis=1) == place
+            np.add.at(near, x[new], weight[y[new]])
+            np.add.at(near, y[new], weight[x[new]])
+            lo = hi
+    out = np.empty_like(near)
+    out[order] = near
+    return out
 
 
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by key to (fp, near): the copies within the radius that no earlier block's table has brought together."""
-
-    def compare(block: int, fps: list[bytes], copies: list[int]) -> tuple[list[bytes], list[int]]:
-        raw = np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), BITS // 8)
-        wide, part = raw.view(np.uint64), raw.view(np.uint32)
-        weight = np.array(copies, np.int64)
-        near = np.zeros(len(fps), np.int64)
-        for a in range(0, len(fps), STRIP):
-            for b in range(0, len(fps), STRIP):
-                x, y = slice(a, a + STRIP), slice(b, b + STRIP)
-                far = np.zeros((len(wide[x]), len(wide[y])), np.int64)
-                for k in range(_LANES):
-                    far += np.bitwise_count(wide[x, None, k] ^ wide[None, y, k])
-                hit = far <= RADIUS
-                for k in range(block):
-                    hit &= part[x, None, k] != part[None, y, k]
-                if a == b:
-                    np.fill_diagonal(hit, False)
-                near[x] += hit @ weight[y]
+    """Rows by key to (fp, near), where there are any."""
+
+    def finish(key: int, held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[bytes], list[int]]:
+        raw, weight = (np.concatenate([h[j] for h in held]) for j in (0, 1))
+        near = _close(key >> 8, raw, weight)
         some = np.flatnonzero(near)
-        return [fps[i] for i in some], near[some].tolist()
+        return [raw[i].tobytes() for i in some], near[some].tolist()
 
-    key, fps, copies = None, [], []
+    key, held = None, []
     for batch in batches:
         out: tuple[list[bytes], list[int]] = ([], [])
-        for k, f, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if k != key:
-                if len(fps) > 1:
-                    for mine, new in zip(out, compare(key >> 32, fps, copies), strict=True):
+        keys, weight = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(keys), _BYTES)
+        cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if keys[a] != key:
+                if held:
+                    for mine, new in zip(out, finish(key, held), strict=True):
                         mine += new
-                key, fps, copies = k, [], []
-            fps.append(f)
-            copies.append(c)
+                key, held = int(keys[a]), []
+            held.append((raw[a:b], weight[a:b]))
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64())], names=["fp", "near"])
-    if len(fps) > 1:
-        f, n = compare(key >> 32, fps, copies)
+    if held:
+        f, n = finish(key, held)
         yield pa.RecordBatch.from_arrays([pa.array(f, pa.binary()), pa.array(n, pa.int64())], names=["fp", "near"])
 
 
@@ -165,7 +195,7 @@ def count_near(prints: DataFrame, column: str = "fingerprint") -> DataFrame:
     table that holds both.
     """
     distinct = prints.groupBy(column).agg(F.count("*").alias("copies"))
-    tables = distinct.mapInArrow(_tables, "key long, fp binary, copies long")
+    tables = distinct.mapInArrow(_tables, "key int, fp binary, copies long")
     near = tables.repartition("key").sortWithinPartitions("key").mapInArrow(_within, "fp binary, near long")
     return near.groupBy("fp").agg(F.sum("near").alias("others"))
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 
@@ -47,3 +48,33 @@ def test_edges(spark, edge, empty):
     assert one.near_next == 1.0
     blank = fp.fingerprint_documents(edge.where("doc_id = 4")).first()
     assert blank.fingerprint == "0" * 64 and blank.n_chars == 0
+
+
+def test_copies_around_four_fifths_alike_are_near(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 11))) for _ in range(3000)]
+    rows = []
+    for i in range(60):
+        words = [rng.choice(vocabulary) for _ in range(300)]
+        rows.append((2 * i, " ".join(words)))
+        for at in range(25, 300, 50):  # 2 % of the words, each in 5 shingles: 266 of 326 stay
+            words[at] = rng.choice(vocabulary)
+        rows.append((2 * i + 1, " ".join(words)))
+    got = fp.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.near_rows == 1 for r in got) >= 0.95 * len(got)
+
+
+def test_pairs_at_every_distance_are_counted_once(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(40):
+        bits = rng.integers(0, 2, 256, dtype=np.uint8)
+        other = bits.copy()
+        # spread evenly over the bytes, the hardest case
+        places = 8 * rng.permutation(32) + rng.integers(0, 8, 32)
+        other[places[: rng.integers(28, 33)]] ^= 1
+        rows += [(np.packbits(b).tobytes().hex(),) for b in (bits, other, other)]
+    got = {bytes(r.fp).hex(): r.others for r in fp.count_near(spark.createDataFrame(rows, "fingerprint string")).collect()}
+    prints = [np.frombuffer(bytes.fromhex(r[0]), np.uint64) for r in rows]
+    for (text,), p in zip(rows, prints):
+        assert got.get(text, 0) == sum(0 < int(np.bitwise_count(p ^ q).sum()) <= fp.RADIUS for q in prints)
