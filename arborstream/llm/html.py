@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from html import unescape
+from itertools import pairwise
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -121,6 +122,11 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
+def _steps(state: int, n: int) -> int:
+    """Length of the longest common subsequence with the last n lines."""
+    return n - (state & ((1 << n) - 1)).bit_count()
+
+
 def shared_lines(page: list[str], other: list[str]) -> set[int]:
     """Places in `page` of the lines of a longest common subsequence with `other`."""
     found: set[int] = set()
@@ -132,28 +138,39 @@ def shared_lines(page: list[str], other: list[str]) -> set[int]:
         found.add(len(page) - 1 - b)
         b += 1
     x, y = page[a : len(page) - b], other[a : len(other) - b]
-    if len(x) * len(y) <= 1 << 22:
-        # lengths of common subsequences of the tails, row by row
-        table = [[0] * (len(y) + 1)]
-        for line in reversed(x):
-            below = table[-1]
-            row = [0] * (len(y) + 1)
-            for j in range(len(y) - 1, -1, -1):
-                row[j] = below[j + 1] + 1 if line == y[j] else max(below[j], row[j + 1])
-            table.append(row)
-        table.reverse()
-        i = j = 0
-        while i < len(x) and j < len(y):
+    # bit q of rows[i] says whether line len(y) - 1 - q lengthens the longest common subsequence of x[i:] and what follows it in y
+    m = len(y)
+    full = (1 << m) - 1
+    at: dict[str, int] = {}
+    for j, line in enumerate(y):
+        at[line] = at.get(line, 0) | 1 << (m - 1 - j)
+
+    def back(v: int, lo: int, hi: int) -> list[int]:
+        """States of rows hi - 1 down to lo, from that of row hi."""
+        out = []
+        for line in reversed(x[lo:hi]):
+            both = v & at.get(line, 0)
+            v = ((v + both) | (v - both)) & full
+            out.append(v)
+        return out
+
+    # every step-th state is kept and those between are made again, so memory is lines times the root of lines, in bits
+    step = isqrt(len(x)) + 1
+    kept = {len(x): full}
+    for hi in range(len(x), 0, -step):
+        kept[max(0, hi - step)] = back(kept[hi], max(0, hi - step), hi)[-1]
+    i = j = 0
+    for lo, hi in pairwise(sorted(kept)):
+        rows = [*reversed(back(kept[hi], lo, hi)), kept[hi]]
+        while i < hi and j < m:
             if x[i] == y[j]:
                 found.add(a + i)
                 i, j = i + 1, j + 1
-            elif table[i + 1][j] >= table[i][j + 1]:
+            # a bit that is 0 in the state is a step up of the length
+            elif j + 1 == m or _steps(rows[i + 1 - lo], m - j) >= _steps(rows[i - lo], m - j - 1):
                 i += 1
             else:
                 j += 1
-    else:  # as much memory as lines: pages of thousands of lines
-        for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks():
-            found.update(range(a + m.a, a + m.a + m.size))
     return found
 
 

@@ -59,3 +59,12 @@ def test_differencing_decides_beside_an_article(spark):
     df = spark.createDataFrame([(i, f"http://h.x/{i}", page.format(i)) for i in range(4)], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html.extract(df).collect()}
     assert got == {i: f"own text {i}\nteaser {i}" for i in range(4)}
+
+
+def test_long_pages_follow_the_rule_of_short_ones():
+    rng = random.Random(2)
+    a, b = ([rng.choice("abcdefgh") for _ in range(2100)] for _ in range(2))
+    found = sorted(html.shared_lines(a, b))
+    it = iter(b)
+    assert all(any(x == a[i] for x in it) for i in found)
+    assert len(found) == lcs(a, b)
