@@ -5,13 +5,18 @@ path within its host; blocks that both share are the site's frame and go.
 Differencing alone gives wrong results in two ways: a frame may differ from
 page to page (menus of other words, a footer with a changing line), and two
 pages may truly share lines of their articles.  So marked-up frames go whatever
-the neighbour holds, and blocks inside an article stay.
+the neighbour holds, and blocks inside an article stay.  A third: a page's
+nearest page may be a copy of it, which shares everything.  So pages of one
+path, or of nearly the same text, that follow each other are a run, and each
+page of a run is differenced against the pages beside the run.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 from itertools import pairwise
 from math import isqrt
@@ -38,6 +43,8 @@ FRAME_WORDS = frozenset(
     "disqus footer header menu menubar modal nav navbar navigation newsletter notice notices pagination popup promo promoted related replies respond search "
     "share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Pages that share this part of their text outside marked frames (by characters, of the longer one) are copies.
+COPY = 0.9
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -190,42 +197,151 @@ def _alike(a: str, b: str) -> int:
     return n
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (page_id, url, html, host, path, __part, __edge) by range, host, path: each with the nearer of its two neighbours."""
-    before: tuple | None = None
-    now: tuple | None = None
+class _Page:
+    """A page in order; the blocks of one that waits are made again from its squeezed bytes."""
 
-    def one(left: tuple | None, page: tuple, right: tuple | None) -> tuple:
-        near = [(-_alike(page[4], r[4]), k, r) for k, r in enumerate((left, right)) if r is not None and r[5] == page[5] and r[3] == page[3]]
-        best = min(near, key=lambda x: x[:2])[2] if near else None
-        text, shared = main_text(page[2], best[2] if best else None)
-        return page[0], page[1], text, len(text), shared
+    __slots__ = ("page_id", "url", "packed", "host", "path", "held", "sketch")
+
+    def __init__(self, page_id: int | None, url: str | None, packed: bytes | None, host: str, path: str) -> None:
+        self.page_id, self.url, self.packed, self.host, self.path = page_id, url, packed, host, path
+        self.held: list[tuple[str, bool, bool]] | None = self.blocks()
+        self.sketch = sketch(self.held)
 
-    names = ["page_id", "url", "text", "n_chars", "shared_lines"]
+    def blocks(self) -> list[tuple[str, bool, bool]]:
+        return getattr(self, "held", None) or blocks(unsqueeze(pa.array([self.packed], pa.binary()))[0] or "")
+
+
+def sketch(page: list[tuple[str, bool, bool]]) -> Counter[str]:
+    """Characters of each line outside marked frames, by a hash of the line."""
+    out: Counter[str] = Counter()
+    for line, frame, _ in page:
+        if not frame:
+            out[blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()] += len(line)
+    return out
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names=names)
 
+def copies(host: str, path: str, a: Counter[str], other_host: str, other_path: str, b: Counter[str]) -> bool:
+    """Whether two pages of a host have the same path or nearly the same text."""
+    if host != other_host:
+        return False
+    longer = max(a.total(), b.total())
+    return path == other_path or (longer > 0 and (a & b).total() >= COPY * longer)
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        columns = [unsqueeze(batch.column(j)) if j == 2 else batch.column(j).to_pylist() for j in range(7)]
-        for pid, url, html, host, path, part, edge in zip(*columns, strict=True):
-            new = (pid, url, blocks(html or ""), host, path, part, edge)
-            if now is not None and now[6] == OWN:
-                out.append(one(before, now, new))
-            before, now = now, new
-        yield batch_of(out)
-    if now is not None and now[6] == OWN:
-        yield batch_of([one(before, now, None)])
+        out = [" ".join(f"{h}:{n}" for h, n in sketch(blocks(t or "")).items()) for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.string())], names=[*batch.schema.names[1:], "sketch"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (host, path, page_id, sketch, __part, __edge) by range and key to one a range.
+
+    __part; whether its first row begins a run; the first row that begins one;
+    the row before the last that does (nulls: none).
+    """
+    got: list[tuple] = []
+    last: tuple | None = None
+    for batch in batches:
+        columns = [unsqueeze(batch.column(j)) if j == 3 else batch.column(j).to_pylist() for j in range(6)]
+        for host, path, pid, text, part, edge in zip(*columns, strict=True):
+            if edge == AFTER or (edge == BEFORE and part == 0):  # the order is no ring here
+                continue
+            now = (host, path, pid), Counter({h: int(n) for h, n in (x.split(":") for x in text.split())}), part
+            if last is not None and last[2] != part:
+                last = None
+            if edge == OWN:
+                begins = last is None or not copies(*now[0][:2], now[1], *last[0][:2], last[1])
+                if not got or got[-1][0] != part:
+                    got.append((part, begins, None, None))
+                if begins:
+                    got[-1] = (part, got[-1][1], got[-1][2] or now[0], last and last[0])
+            last = now
+    key = pa.struct([("host", pa.string()), ("path", pa.string()), ("page_id", pa.int64())])
+    named = [[r[0], r[1], *[k and dict(zip(("host", "path", "page_id"), k, strict=True)) for k in r[2:]]] for r in got]
+    kinds = (pa.int32(), pa.bool_(), key, key)
+    yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in named], k) for j, k in enumerate(kinds)], names=["part", "begins", "first", "before"])
+
+
+def beside_runs(rows: DataFrame, keys: list[str], edges: list[tuple[tuple, tuple]]) -> list[tuple[tuple | None, tuple | None]]:
+    """For each range the keys of the row before the run that holds its first row, and of the row after the run that holds its last one."""
+    kinds = "host string, path string, page_id long"
+    sketches = rows.select("html", *keys).mapInArrow(_sketches, f"{kinds}, sketch string")
+    dealt = deal(sketches, keys, edges, "sketch")
+    ordered = dealt.sortWithinPartitions("__part", F.col("__edge") != BEFORE, *[F.asc_nulls_first(k) for k in keys])
+    key = f"struct<{kinds.replace(' string', ':string').replace(' long', ':long')}>"
+    found = {r.part: r for r in ordered.mapInArrow(_runs, f"part int, begins boolean, first {key}, before {key}").collect()}  # one row a range
+    left: list[tuple | None] = []
+    right: list[tuple | None] = []
+    carried = None
+    for p in range(len(edges)):
+        left.append(edges[p - 1][1] if p and found[p].begins else carried)
+        if found[p].first is not None:
+            carried = found[p].before and tuple(found[p].before)
+    carried = None
+    for p in reversed(range(len(edges))):
+        right.append(carried)
+        if found[p].first is not None:
+            carried = tuple(found[p].first)
+    return list(zip(left, reversed(right), strict=True))
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (page_id, url, html, host, path, __part, __edge) by range, host, path: each with the nearer of the two pages beside its run."""
+    part: int | None = None
+    ahead: _Page | None = None
+    last: _Page | None = None
+    run: list[_Page] = []
+
+    def one(page: _Page, beside: list[_Page | None]) -> tuple:
+        near = [(-_alike(page.path, r.path), k, r) for k, r in enumerate(beside) if r is not None and r.host == page.host and not same(page, r)]
+        best = min(near, key=lambda x: x[:2])[2] if near else None
+        text, shared = main_text(page.blocks(), best.blocks() if best else None)
+        return page.page_id, page.url, text, len(text), shared
+
+    def same(a: _Page, b: _Page) -> bool:
+        return copies(a.host, a.path, a.sketch, b.host, b.path, b.sketch)
+
+    def finish(right: _Page | None) -> Iterator[pa.RecordBatch]:
+        for r in (ahead, right):
+            if r is not None:
+                r.held = r.blocks()
+        for a in range(0, len(run), 512):
+            rows = [one(page, [ahead, right]) for page in run[a : a + 512]]
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names=["page_id", "url", "text", "n_chars", "shared_lines"])
+        run.clear()
+
+    for batch in batches:
+        for pid, url, packed, host, path, p, edge in zip(*[batch.column(j).to_pylist() for j in range(7)], strict=True):
+            page = _Page(pid, url, packed, host, path)
+            if p != part:
+                yield from finish(None)
+                part, ahead, last = p, None, None
+            if edge == BEFORE:
+                ahead = page
+                continue
+            if edge == AFTER:
+                yield from finish(page)
+                continue
+            if last is not None and not same(page, last):
+                yield from finish(page)
+                ahead = last
+            if run:
+                page.held = None
+            run.append(page)
+            last = page
+    yield from finish(None)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars, shared_lines for every page.
 
-    Pages lie in order of host, path and id; each is differenced against the
-    neighbour on its host with more leading path segments in common (the
-    earlier one on a tie).  A page alone on its host is not differenced.  A
+    Pages lie in order of host, path and id; pages that follow each other with
+    one path, or nearly the same text, are a run.  Each page is differenced
+    against the one of the two pages beside its run, on its host and no copy of
+    it, with more leading path segments in common (the earlier one on a tie).
+    A page without any is not differenced.  A
     null html is empty and gives an empty text; a null url is a host of its
     own.  Repeated rows are separate pages.  An empty table gives no rows;
     other columns are ignored.
@@ -240,7 +356,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"),
     )
     keys = ["host", "path", "page_id"]
-    dealt = deal(rows, keys, ranges(rows.select(*keys)), "html")
+    edges = ranges(rows.select(*keys))
+    dealt = deal(rows, keys, edges, "html", beside_runs(rows, keys, edges))
     place = F.when(F.col("__edge") == BEFORE, 0).when(F.col("__edge") == AFTER, 2).otherwise(1)
-    ordered = dealt.sortWithinPartitions("__part", place, *[F.asc_nulls_first(k) for k in keys])
+    ordered = dealt.sortWithinPartitions("__part", place, *[F.asc_nulls_first(k) for k in keys], "html")
     return ordered.mapInArrow(_pairs, "page_id long, url string, text string, n_chars long, shared_lines long")

@@ -54,9 +54,11 @@ def unsqueeze(packed: pa.Array) -> list[str | None]:
     return [None if b is None else unpack(b).decode("utf-8", "surrogatepass") for b in packed.to_pylist()]
 
 
-def deal(df: DataFrame, key_cols: list[str], edges: list[tuple[tuple, tuple]], text_col: str) -> DataFrame:
+def deal(df: DataFrame, key_cols: list[str], edges: list[tuple[tuple, tuple]], text_col: str, beside: list[tuple[tuple | None, tuple | None]] | None = None) -> DataFrame:
     """df with __part (its range) and __edge; edge rows stand in the adjoining ranges too, the order taken as a ring.
 
+    With `beside`, the keys of the rows that stand before and after each range
+    (None: no row) take the place of the edge rows.
     A range is never split over partitions; the caller sorts within them.
     `text_col` comes as squeezed bytes.
     """
@@ -64,6 +66,11 @@ def deal(df: DataFrame, key_cols: list[str], edges: list[tuple[tuple, tuple]], t
     first = [_order(e[0]) for e in edges]
     n = len(edges)
     at = [df.columns.index(c) for c in key_cols]
+    sent: dict[tuple, list[tuple[int, int]]] = {}
+    for p, pair in enumerate(beside or []):
+        for kind, key in zip((BEFORE, AFTER), pair, strict=True):
+            if key is not None:
+                sent.setdefault(_order(key), []).append((p, kind))
     body = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,11 +79,14 @@ def deal(df: DataFrame, key_cols: list[str], edges: list[tuple[tuple, tuple]], t
             part = [bisect_left(last, k) for k in keys]
             rows, where, edge = list(range(len(keys))), list(part), [OWN] * len(keys)
             for i, (k, p) in enumerate(zip(keys, part, strict=True)):
-                for hit, step, kind in ((k == last[p], 1, BEFORE), (k == first[p], -1, AFTER)):
-                    if hit:
-                        rows.append(i)
-                        where.append((p + step) % n)
-                        edge.append(kind)
+                if beside is None:
+                    goes = [((p + step) % n, kind) for hit, step, kind in ((k == last[p], 1, BEFORE), (k == first[p], -1, AFTER)) if hit]
+                else:
+                    goes = sent.get(k, [])
+                for to, kind in goes:
+                    rows.append(i)
+                    where.append(to)
+                    edge.append(kind)
             take = pa.array(rows, pa.int64())
             cols = [(squeeze(c) if j == body else c).take(take) for j, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(where, pa.int32()), pa.array(edge, pa.int32())], names=[*batch.schema.names, "__part", "__edge"])

@@ -68,3 +68,18 @@ def test_long_pages_follow_the_rule_of_short_ones():
     it = iter(b)
     assert all(any(x == a[i] for x in it) for i in found)
     assert len(found) == lcs(a, b)
+
+
+def test_copies_do_not_erase_each_other(spark):
+    page = "<div>Menu one</div><p>story {0} is told in a line of its own</p><p>and ends {0}</p><div>Imprint</div>"
+    rows = [(i, f"http://h.x/a?utm={i}", page.format("first")) for i in range(30)]  # one path
+    rows += [(100 + i, f"http://h.x/b/{i}", page.format("second") + f"<p>{i}</p>") for i in range(30)]  # nearly one text
+    rows += [(200, "http://h.x/c", page.format("third")), (300, "http://k.x/a?1", page.format("lone")), (301, "http://k.x/a?2", page.format("lone"))]
+    for n in (1, 7):
+        got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(n)).collect()}
+        story = "story {0} is told in a line of its own\nand ends {0}"
+        assert len(got) == len(rows)
+        assert all(got[i] == story.format("first") for i in range(30))
+        assert all(got[100 + i] == story.format("second") + f"\n{i}" for i in range(30))
+        assert got[200] == story.format("third")
+        assert got[300] == got[301] == "Menu one\n" + story.format("lone") + "\nImprint"
