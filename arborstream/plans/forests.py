@@ -163,6 +163,14 @@ def forest_attribution(spark, sf_dir):
 # ---------------------------------------------------------------- without SQL
 
 
+@query()
+def forest_attribution_all(spark, sf_dir):
+    """As forest_attribution, of every row: those equal to a sampled point look at the boxes beside it."""
+    p, f = model(spark, sf_dir)
+    got = fo.attribute(p, f, ["x0", "x1"], ["seq"])
+    return got.select("seq", *[six(c).alias(c) for c in ("high0", "high1", "low0", "low1")])
+
+
 @query()
 def forest_attribution_total(spark, sf_dir):
     """Every row's score beside the sum of its parts, sample rows too."""
