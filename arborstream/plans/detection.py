@@ -8,7 +8,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import cluster as cl
@@ -178,20 +177,54 @@ def cluster_centers(spark, sf_dir):
     return spark.createDataFrame([(i, float(c.weight), float(c.radius), [float(x) for x in c.primary]) for i, c in enumerate(found)], "cluster int, weight double, radius double, centre array<double>")
 
 
+#: Weighted points of a nation that are clustered, and those that are merged to as many at once on the way there.
+CLUSTERED, PART = 64, 1024
+
+
+def _distance(a: np.ndarray, b: np.ndarray) -> float:
+    return abs(float(a[0]) - float(b[0]))
+
+
+def _merged(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """CLUSTERED weighted points at most: of ascending ones the two whose merger moves least (by squares) are merged first."""
+    while len(x) > CLUSTERED:
+        i = int(np.argmin(w[:-1] * w[1:] / (w[:-1] + w[1:]) * np.diff(x) ** 2))
+        total = w[i] + w[i + 1]
+        x[i], w[i] = (x[i] * w[i] + x[i + 1] * w[i + 1]) / total, total
+        x, w = np.delete(x, i + 1), np.delete(w, i + 1)
+    return x, w
+
+
+def _condensed(points: DataFrame) -> DataFrame:
+    """(c_nationkey, x, w): equal values of a nation as one weighted point, merged in parts until it has CLUSTERED at most; weights add up."""
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("x")
+        x, w = _merged(pdf["x"].to_numpy(copy=True), pdf["w"].to_numpy(copy=True))
+        return pd.DataFrame({"c_nationkey": pdf["c_nationkey"].iloc[0], "x": x, "w": w})
+
+    equal = points.groupBy("c_nationkey", "x").agg(F.sum("w").alias("w")).persist()
+    sizes = equal.groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= CLUSTERED:
+        return equal
+    parts = sizes.select(F.col("c_nationkey").alias("nation"), F.ceil(F.col("n") / PART).alias("parts"))
+    dealt = equal.join(F.broadcast(parts), F.col("c_nationkey").eqNullSafe(F.col("nation")))  # nations: a fixed list
+    dealt = dealt.select("c_nationkey", "x", "w", F.pmod(F.xxhash64("x"), F.col("parts")).alias("part"))
+    return _condensed(dealt.groupBy("c_nationkey", "part").applyInPandas(part, "c_nationkey int, x double, w double"))
+
+
 @query
 def cluster_multi(spark, sf_dir):
-    """Clusters with several representatives each, of each group of suppliers' balances by nation."""
-    s = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_acctbal").where("c_acctbal is not null")
-    ranked = F.row_number().over(W.partitionBy("c_nationkey").orderBy(F.xxhash64("c_custkey")))
-    # clustering is of a reservoir: a fixed number of rows a group
-    sample = s.withColumn("r", ranked).where("r <= 256").drop("r")
+    """Clusters with several representatives each, of each nation's customers' balances; their weights add up to its rows."""
+    s = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("int").alias("c_nationkey"), F.col("c_acctbal").cast("double").alias("x"), F.lit(1.0).alias("w")).where("x is not null")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = cl.cluster([(np.array([v]), 1.0) for v in pdf["c_acctbal"]], 4, cl.l1, representatives=3, shrinkage=0.1)
-        rows = [(int(pdf["c_nationkey"].iloc[0]), i, float(r[0]), float(w)) for i, c in enumerate(found) for r, w in c.representatives]
+        pdf = pdf.sort_values("x")
+        found = cl.cluster([(np.array([x]), w) for x, w in zip(pdf["x"], pdf["w"], strict=True)], 4, _distance, start=len(pdf), representatives=3, shrinkage=0.1)
+        rows = [(pdf["c_nationkey"].iloc[0], i, float(r[0]), float(w)) for i, c in enumerate(found) for r, w in c.representatives]
         return pd.DataFrame(rows, columns=["c_nationkey", "cluster", "representative", "weight"])
 
-    return sample.groupBy("c_nationkey").applyInPandas(one, "c_nationkey int, cluster int, representative double, weight double")
+    return _condensed(s).groupBy("c_nationkey").applyInPandas(one, "c_nationkey int, cluster int, representative double, weight double")
 
 
 @query
