@@ -1,4 +1,4 @@
-"""Command line: score, attribution, density or impute the rows of a delimited file.
+"""Command line: score, attribution, density (one value, or directional) or impute the rows of a delimited file.
 
     spark-submit arborstream/cli.py score --input in.csv --output out [options]
 """
@@ -15,7 +15,7 @@ from arborstream.operators.detector import StreamForest
 from arborstream.operators.scan import scan
 from arborstream.sources import delimited
 
-COMMANDS = ("score", "attribution", "density", "impute")
+COMMANDS = ("score", "attribution", "density", "directional-density", "impute")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -72,9 +72,10 @@ def stepper(command: str, args: argparse.Namespace):
                     result = [forest.score(point)]
                 elif command == "attribution":
                     result = forest.attribution(point)
+                elif command == "density":
+                    result = [forest.density(point)]
                 else:
-                    far = forest.distance(point)
-                    result = [1.0 / far if far > 0 else float("inf")]
+                    result = forest.directional_density(point)
             forest.update(point)
             return [(line, cells, result)]
 

@@ -11,6 +11,9 @@ import math
 import random
 from dataclasses import dataclass, field
 
+import numpy as np
+
+from . import folds
 from .deviation import Deviation
 from .thresholder import Thresholder
 from .transforms import Transform
@@ -119,6 +122,64 @@ class StreamForest:
     def score(self, x: tuple) -> float:
         return sum(self.attribution(x)) if self.ready else 0.0
 
+    def interpolation(self, x: tuple) -> np.ndarray:
+        """Measure, distances and probability mass (rows) above (first half) and below in each dimension: the mean of folds.Density over the trees."""
+        d = len(x)
+        paths = [p for t in self.trees if (p := t.path(x))]
+        if not paths:
+            return np.zeros((3, 2 * d))
+        # every tree is a row of one fold
+        queries = np.tile(np.array(x, float), (len(paths), 1))
+        fold = folds.Density()
+        leaves = [p[-1] for p in paths]
+        equal = np.array([n.point == x for n in leaves])
+
+        def level(rows: np.ndarray, nodes: list[DynamicTree.Node], depth: np.ndarray, low: np.ndarray, high: np.ndarray) -> folds.Level:
+            mass = np.array([n.mass for n in nodes])
+            gaps = np.concatenate([np.maximum(0.0, queries[rows] - high), np.maximum(0.0, low - queries[rows])], axis=1)
+            total, width = gaps.sum(axis=1), (high - low).sum(axis=1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                p = np.where(total > 0, total / (total + width), 0.0)
+            return folds.Level(rows, np.arange(len(rows)), depth, mass, gaps, total, width, p, low, high)
+
+        boxes = lambda nodes: (np.array([n.low for n in nodes], float), np.array([n.high for n in nodes], float))
+        last = np.array([len(p) - 1 for p in paths])
+        fold.leaf(level(np.arange(len(paths)), leaves, last, *boxes(leaves)), equal, None)
+        # above its own point a query looks at the boxes beside it
+        shadow_low, shadow_high = np.full(queries.shape, np.inf), np.full(queries.shape, -np.inf)
+        for k in range(last.max() - 1, -1, -1):
+            rows = np.flatnonzero(last > k)
+            nodes = [paths[r][k] for r in rows]
+            low, high = boxes(nodes)
+            same = equal[rows]
+            if same.any():
+                r = rows[same]
+                beside_low, beside_high = boxes([n.right if n.left is paths[i][k + 1] else n.left for i, n in zip(rows, nodes, strict=True) if equal[i]])
+                shadow_low[r] = np.minimum(shadow_low[r], beside_low)
+                shadow_high[r] = np.maximum(shadow_high[r], beside_high)
+                low[same], high[same] = shadow_low[r], shadow_high[r]
+            fold.up(level(rows, nodes, np.full(len(rows), k), low, high), same, None)
+        return fold.result().sum(axis=0) / len(paths)
+
+    def directional_density(self, x: tuple, q: float = 0.001) -> list[float]:
+        """Parts of the density above (first half) and below in each dimension; their sum is the density. Zeros while warming up."""
+        d = len(x)
+        measure, distance, mass = self.interpolation(x) if self.ready else np.zeros((3, 2 * d))
+        total = float(measure.sum())
+        if total <= 0:
+            return [0.0] * (2 * d)
+        size = sum(t.root.mass for t in self.trees if t.root is not None) / sum(t.root is not None for t in self.trees)
+        # both sides of a dimension together; its distance counts as often as there are dimensions
+        p, far = mass[:d] + mass[d:], distance[:d] + distance[d:]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            volume = float((np.where(p > 0, far / p, 0.0) ** d * p).sum())
+        density = total / size / (q * total / size + volume)
+        return [float(v) for v in measure * density / total]
+
+    def density(self, x: tuple) -> float:
+        """Mass near the point by the distance at which it lies; at most 1 / q, also for copies of a point."""
+        return sum(self.directional_density(x))
+
     def distance(self, x: tuple) -> float:
         """Mean L1 distance to the leaves' points over the trees."""
         if not self.ready:

@@ -185,11 +185,10 @@ class Density:
     def leaf(self, level: Level, equal: np.ndarray, tree: Tree) -> None:
         d2 = level.gaps.shape[1]
         self.mass = np.where(equal, 1.0 + level.mass, 1.0)
-        depth = np.maximum(level.depth, 1)
         whole = level.total[:, None]
         with np.errstate(invalid="ignore", divide="ignore"):
             share = np.where(whole > 0, level.gaps / whole, 0.0)
-        same = 0.5 / depth[:, None] * np.ones(d2)
+        same = np.full(level.gaps.shape, 1.0 / d2)  # an equal point lies on no side: its mass goes to all alike
         self.measure = np.where(equal[:, None], same * self.mass[:, None], share * (level.mass + 1.0)[:, None])
         self.prob = np.where(equal[:, None], same, share)
         self.distance = np.where(equal[:, None], 0.0, share * level.gaps)

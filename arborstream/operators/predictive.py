@@ -58,6 +58,9 @@ class PredictiveForest:
         return self.forest.distance_attribution(self._in(row))
 
     def density(self, row) -> float:
-        """Sample points a unit of distance: how many trees lead to a point how near."""
-        far = self.forest.distance(self._in(row))
-        return 1.0 / far if far > 0 else float("inf")
+        """Interpolated density of the samples, with their mass."""
+        return self.forest.density(self._in(row))
+
+    def directional_density(self, row) -> list[float]:
+        """Its parts above (first half) and below in each dimension."""
+        return self.forest.directional_density(self._in(row))
