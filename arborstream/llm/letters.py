@@ -23,7 +23,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 class LetterWords:
-    """code: code points of the lower-cased rows; starts, ends, row, hash: of each word; rows: number of rows."""
+    """code: code points of the lower-cased rows, values: their hashes; starts, ends, row, hash: of each word; rows: number of rows."""
 
     def __init__(self, texts: list[str | None]):
         low = [t.lower() if t else "" for t in texts]
@@ -32,7 +32,8 @@ class LetterWords:
         self.code = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
         self.off = np.concatenate([[0], np.cumsum([len(t) for t in low])]).astype(np.int64)
         self.starts, self.ends, self.row = runs_of(self.code, self.off, letter[self.code])
-        self.hash = span_hash(hashed[self.code], self.starts, self.ends) if len(self.starts) else np.empty(0, U64)
+        self.values = hashed[self.code]
+        self.hash = span_hash(self.values, self.starts, self.ends) if len(self.starts) else np.empty(0, U64)
 
 
 def letter_chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, LetterWords]]:

@@ -11,12 +11,22 @@ from .common import cut, load
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is identified (op 6): not `und`, posterior 0.5 or more."""
+    """Keep documents whose language is identified (op 6): not `und`, posterior 0.5 or more.
+
+    Null, empty and letterless texts are `und` and go, as does everything where
+    no row has a language to learn from; repeated rows are judged alike.  An
+    empty table stays empty.  Columns, and their names, are as they were.
+    """
     return langid.keep_identified(docs)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose toxicity (op 4), learnt from the labels of those left, is below 0.5."""
+    """Keep documents whose toxicity (op 4), learnt from the labels of those left, is below 0.5.
+
+    Null, empty and letterless texts have no toxic passage and stay, as does
+    everything where the labels are of one kind or none; repeated rows are
+    judged alike.  An empty table stays empty.  Columns are as they were.
+    """
     return toxicity.keep_civil(docs, load(spark, sf_dir, "labels"))
 
 
@@ -60,7 +70,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of every document in sequences of 2048 (op 7)."""
+    """Token pieces of every document in sequences of 2048 (op 7).
+
+    A null or empty text is one piece, the closing id; very long texts are cut
+    every 2048 ids; repeated rows are packed each for itself.  An empty table
+    gives no pieces.  Other columns are ignored.
+    """
     from .queries import tokenizer_path
 
     return packing.pack_documents(docs, tokenizer_path())

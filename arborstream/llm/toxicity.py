@@ -1,35 +1,40 @@
 """Toxicity by maximum-scoring segments.
 
-Words get log-odds between toxic and other texts under an informative
-Dirichlet prior.  In each text every maximal segment of the running score is
-found in one pass (each positive word is pushed and merged at most once), and
-a segment counts by how far it lies beyond what chance gives a text of that
-length under the extreme-value law of segment scores.
+Words get log-odds between toxic and other texts under a Dirichlet prior.  A
+word's forms are itself and its beginnings of 3 to 8 letters: a form's prior is
+what its next shorter form says, so an inflected word that no labelled text
+holds still counts as its stem does.  In each text every maximal segment of the
+running score is found in one pass (each positive word is pushed and merged at
+most once), and a segment counts by how far it lies beyond what chance gives a
+text of that length under the extreme-value law of segment scores.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, fold, hold
+from .common import _BASE, U64, arrow_rows, fold, hold, mix64
 from .letters import LetterWords, find, letter_chunks
 
 #: Labelled rows of each class that the model is fitted on (chosen by a hash of the id).
 SAMPLE_PER_CLASS = 8000
-#: Words with significant log-odds that the model holds, and from which z-score a word is significant.
-MAX_TERMS = 20_000
-LEAST_Z = 3.0
-#: Weight of the Dirichlet prior, in texts.
-PRIOR = 200.0
-#: Score of a word that is not in the model: running scores fall outside passages.
+#: Letters of the beginnings of a word that count as its forms; a word itself is the level WHOLE.
+SHORTEST, LONGEST, WHOLE = 3, 8, 9
+#: Weight of the Dirichlet prior, in texts: a form behaves in so many more texts as its shorter form does.
+PRIOR = 2.0
+#: A form is told from its shorter form if its odds are further apart than this (natural logarithm) ...
+LEAST_ODDS = 2.0
+#: ... and a word is scored at all if its odds lie so far from even.  All others score DRIFT, so that running scores fall outside passages.
 DRIFT = -0.02
+#: Forms that a partition counts before it adds up what it has.
+HELD_FORMS = 2_000_000
 HELD_OUT = (5, 0)
 
 
@@ -55,19 +60,56 @@ def segments(before: np.ndarray, after: np.ndarray) -> list[tuple[int, int, floa
     return [(int(a), int(b), hi - lo) for a, b, lo, hi in stack]
 
 
+def beginnings(words: LetterWords, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(k, which of the words `at` have k letters or more, hash of their first k letters) for k from SHORTEST to LONGEST."""
+    size = (words.ends - words.starts)[at]
+    sums, power = np.zeros(len(at), U64), 1
+    own = np.arange(len(at))
+    with np.errstate(over="ignore"):
+        for k in range(1, LONGEST + 1):
+            own = own[size[own] >= k]
+            sums[own] += words.values[words.starts[at[own]] + k - 1] * U64(power)
+            power = power * _BASE & (1 << 64) - 1
+            if k >= SHORTEST:
+                yield k, own, mix64(sums[own] ^ U64(0xA3B195354A39B70D * k & (1 << 64) - 1))
+
+
 @dataclass
 class Model:
-    vocab: np.ndarray  # ascending hashes
-    weight: np.ndarray
-    rate: float = 1.0  # lambda of the extreme-value law
+    """vocab: ascending hashes of the forms that are told from their shorter forms; weight: their log-odds.
+
+    roots: ascending hashes of the first letters of those forms.  rate and
+    log_k: the extreme-value law; base and slope: from surprise to probability.
+    """
+
+    vocab: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    weight: np.ndarray = field(default_factory=lambda: np.empty(0))
+    roots: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    rate: float = 1.0
     log_k: float = 0.0
-    slope: float = 0.0
     base: float = -2.0
+    slope: float = 0.0
+
+    def scores(self, words: LetterWords) -> np.ndarray:
+        """Each word's score: the log-odds of its longest form in the model, or DRIFT."""
+        out = np.zeros(len(words.starts))
+        if len(self.vocab):
+            size = words.ends - words.starts
+            some = np.flatnonzero(size < SHORTEST)
+            for k, own, h in beginnings(words, np.flatnonzero(size >= SHORTEST)):
+                if k == SHORTEST:  # the other forms of a word are looked up only where some form begins alike
+                    some = np.append(some, np.flatnonzero(size >= SHORTEST)[own[find(self.roots, h)[1]]])
+                break
+            for _, own, h in beginnings(words, some):
+                at, seen = find(self.vocab, h)
+                out[some[own[seen]]] = self.weight[at[seen]]
+            at, seen = find(self.vocab, words.hash[some])
+            out[some[seen]] = self.weight[at[seen]]
+        return np.where(np.abs(out) >= LEAST_ODDS, out, DRIFT)
 
     def passages(self, words: LetterWords) -> Iterator[tuple[int, int, list[tuple[int, int, float]]]]:
         """(row, number of words, maximal segments as word ranges of the row) for each row with words."""
-        at, seen = find(self.vocab, words.hash)
-        score = np.where(seen, self.weight[at] if len(self.weight) else 0.0, DRIFT)
+        score = self.scores(words)
         first = np.searchsorted(words.row, np.arange(words.rows + 1))
         good = np.flatnonzero(score > 0)
         mine = np.searchsorted(good, first)
@@ -88,41 +130,88 @@ class Model:
         return sum(max(0.0, self.rate * s - chance) for _, _, s in found)
 
     def probability(self, surprise: float) -> float:
-        return 1.0 / (1.0 + math.exp(-min(500.0, max(-500.0, self.base + self.slope * surprise))))
+        return 1.0 / (1.0 + math.exp(-min(500.0, max(-500.0, self.base + self.slope * math.log1p(surprise)))))
+
+
+_FORMS = ["h", "shorter", "root", "level", "toxic", "texts"]
+_FORM_TYPES = "h long, shorter long, root long, level int, toxic long, texts long"
 
 
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, toxic) to (h, toxic_texts, other_texts, other_words), summed in the partition; h null: all texts or words."""
-    hashes, toxic, count = [], [], []
-    sums = np.zeros(3, np.int64)
+    """(text, toxic) to a row for each form: its hash, that of its shorter form (0: none), of its first letters, its level, and in how many toxic texts and texts it stands."""
+    held: list[np.ndarray] = []
+
+    def add_up() -> None:
+        rows = np.concatenate(held, axis=1)
+        order = np.argsort(rows[0], kind="stable")
+        rows = rows[:, order]
+        new = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1]))
+        held[:] = [np.concatenate([rows[:4, new], np.add.reduceat(rows[4:], new, axis=1)])]
+
     for batch in batches:
         labels = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         for lo, hi, words in letter_chunks(batch.column(0)):
-            own = labels[lo:hi]
-            sums += [own.sum(), (own == 0).sum(), (own[words.row] == 0).sum() if len(words.row) else 0]
+            if not len(words.hash):
+                continue
             order = np.lexsort((words.hash, words.row))
-            h, r = words.hash[order], words.row[order]
-            if len(h):
-                new = np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])])
-                hashes.append(h[new])
-                toxic.append(own[r[new]])
-                count.append(np.diff(np.append(np.flatnonzero(new), len(h))))
-    if hashes:
-        h, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-        t, c = np.concatenate(toxic), np.concatenate(count)
-        cols = [np.bincount(inverse, weights=w, minlength=len(h)).astype(np.int64) for w in (t, 1 - t, (1 - t) * c)]
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *map(pa.array, cols)], names=["h", "toxic_texts", "other_texts", "other_words"])
-    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), *[pa.array([int(x)]) for x in sums]], names=["h", "toxic_texts", "other_texts", "other_words"])
-
-
-def _rate(weight: np.ndarray, p: np.ndarray) -> float:
-    """The positive root of sum p e^(rate s) = 1 over the scores of other texts' words; 1 where the scores give none."""
-    s, q = np.append(weight, DRIFT), np.append(p, max(0.0, 1.0 - p.sum()))
-    if not (s > 0).any() or (s * q).sum() >= 0 or not q[s > 0].any():
-        return 1.0
-    f = lambda x: float((q * np.exp(np.minimum(700.0, x * s))).sum()) - 1.0
-    lo, hi = 1e-6, 1e-3
-    while f(hi) < 0 and hi < 64:
+            new = np.append(True, (np.diff(words.row[order]) != 0) | (words.hash[order][1:] != words.hash[order][:-1]))
+            at = order[new]  # each row's distinct words
+            row = words.row[at]
+            shorter, root = np.zeros(len(at), U64), words.hash[at].copy()
+            some = []
+            for k, own, h in beginnings(words, at):
+                if k == SHORTEST:
+                    root[own] = h
+                some.append((row[own], h, shorter[own], root[own], np.full(len(own), k)))
+                shorter[own] = h
+            some.append((row, words.hash[at], shorter, root, np.full(len(at), WHOLE)))
+            row, h, shorter, root, level = (np.concatenate(x) for x in zip(*some, strict=True))
+            order = np.lexsort((h, row))
+            once = order[np.append(True, (np.diff(row[order]) != 0) | (h[order][1:] != h[order][:-1]))]
+            own = labels[lo:hi][row[once]]
+            held.append(np.stack([h[once].view(np.int64), shorter[once].view(np.int64), root[once].view(np.int64), level[once], own, np.ones(len(once), np.int64)]))
+            if sum(x.shape[1] for x in held) > HELD_FORMS:
+                add_up()
+    if held:
+        add_up()
+        for a in range(0, held[0].shape[1], 1 << 16):
+            rows = held[0][:, a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32) if name == "level" else x) for name, x in zip(_FORMS, rows, strict=True)], names=_FORMS)
+
+
+def _logit(q):
+    return np.log(q) - np.log1p(-q)
+
+
+def evidence(a, n, q):
+    """Twice the log-likelihood ratio of a toxic texts among n against the share q."""
+    b = n - a
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 2 * (np.where(a > 0, a * np.log(a / (n * q)), 0.0) + np.where(b > 0, b * np.log(b / (n * (1 - q))), 0.0))
+
+
+def tell_apart(table: pa.Table, q0: float, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forms (columns of _presence) to (vocab, weight, roots): from short to long, those whose share of toxic texts their shorter form does not explain."""
+    h, shorter, root = (table.column(c).to_numpy().view(np.uint64) for c in ("h", "shorter", "root"))
+    order = np.argsort(h)
+    h, shorter, root = h[order], shorter[order], root[order]
+    level, a, n = (table.column(c).to_numpy()[order] for c in ("level", "toxic", "texts"))
+    up, known = find(h, shorter)
+    q, kept = np.full(len(h), q0), np.zeros(len(h), bool)
+    for k in range(SHORTEST, WHOLE + 1):
+        own = np.flatnonzero(level == k)
+        before = np.where(known[own], q[up[own]], q0)
+        after = (a[own] + PRIOR * before) / (n[own] + PRIOR)
+        kept[own] = (evidence(a[own], n[own], before) >= least) & (np.abs(_logit(after) - _logit(before)) >= LEAST_ODDS)
+        q[own] = np.where(kept[own], after, before)
+    return h[kept], (_logit(q) - _logit(q0))[kept], np.unique(root[kept])
+
+
+def _rate(score: np.ndarray, p: np.ndarray) -> float:
+    """The positive root of sum p e^(rate s) = 1 over scores of words of other texts (some positive, the mean negative)."""
+    f = lambda x: float((p * np.exp(np.minimum(700.0, x * score))).sum()) - 1.0
+    lo, hi = 0.0, 1e-3
+    while f(hi) < 0:
         lo, hi = hi, hi * 2
     for _ in range(60):
         mid = (lo + hi) / 2
@@ -130,6 +219,27 @@ def _rate(weight: np.ndarray, p: np.ndarray) -> float:
     return hi
 
 
+def law(weight: np.ndarray, words: int, segments_seen: int, hits: np.ndarray) -> tuple[float, float]:
+    """(rate, ln K) of the extreme-value law from the other texts: their number of words, of positive segments, and the scores of their words in the model.
+
+    Every positive form counts half a word more than was seen, so that forms
+    of toxic texts alone have a finite rate.  If even so the mean score is not
+    negative, all scores are lowered in the law until it is.  K is what the
+    number of segments seen says of a segment of the least positive score.
+    """
+    good = weight[weight >= LEAST_ODDS]
+    if not len(good):
+        return 1.0, 0.0
+    score = np.concatenate([good, hits, [DRIFT]])
+    count = np.concatenate([np.full(len(good), 0.5), np.ones(len(hits)), [max(1.0, words - len(hits))]])
+    p = count / count.sum()
+    mean = float((p * score).sum())
+    if mean >= DRIFT / 2:
+        score = score - (mean - DRIFT / 2)
+    rate = _rate(score, p)
+    return rate, math.log((segments_seen + 0.5) / max(1, words)) + rate * float(good.min())
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
     """Intercept and slope by Newton steps with a slight ridge."""
     b = np.zeros(2)
@@ -162,47 +272,50 @@ def labelled(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLA
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
+    """The model of the labelled rows; with no toxic or no other text, one that gives every text the same low probability."""
     spark = docs.sparkSession
     arrow_rows(spark)
     train = hold(labelled(docs, labels, per_class))
-    counts = train.select("text", "toxic").mapInArrow(_presence, "h long, toxic_texts long, other_texts long, other_words long")
-    counts = hold(counts.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("toxic_texts", "other_texts", "other_words")]))
-    sums = counts.where("h is null").first()
-    empty = Model(np.empty(0, np.uint64), np.empty(0))
-    if sums is None or not sums.toxic_texts or not sums.other_texts:
-        return empty
-    n1, n0 = float(sums.toxic_texts), float(sums.other_texts)
-    prior = F.lit(PRIOR) * (F.col("toxic_texts") + F.col("other_texts")) / F.lit(n1 + n0)
-    y1, y0 = F.col("toxic_texts") + prior, F.col("other_texts") + prior
-    odds = F.log(y1 / (F.lit(n1 + PRIOR + 1) - y1)) - F.log(y0 / (F.lit(n0 + PRIOR + 1) - y0))
-    terms = counts.where("h is not null").withColumn("weight", odds).withColumn("z", F.col("weight") / F.sqrt(1 / y1 + 1 / y0)).where(F.abs("z") >= LEAST_Z)
-    table = terms.orderBy(F.desc(F.abs("z")), "h").limit(MAX_TERMS).select("h", "weight", "other_words").toArrow()
-    h = table.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    weight = table.column("weight").to_numpy()[order].astype(float)
-    p = table.column("other_words").to_numpy()[order] / max(1.0, float(sums.other_words))
-    model = Model(h[order], weight, _rate(weight, p))
+    counts = train.select("text", "toxic").mapInArrow(_presence, _FORM_TYPES)
+    counts = hold(counts.groupBy("h").agg(*[F.first(c).alias(c) for c in ("shorter", "root", "level")], *[F.sum(c).alias(c) for c in ("toxic", "texts")]))
+    # a form of a single text is never told from its shorter form
+    whole = F.col("level") == WHOLE
+    sums = counts.agg(F.sum(F.when(whole, F.col("toxic"))).alias("a"), F.sum(F.when(whole, F.col("texts"))).alias("n"), F.count_if(F.col("texts") > 1).alias("forms")).first()
+    if not sums.n or not 0 < sums.a < sums.n:
+        return Model()
+    q0 = sums.a / sums.n
+    least = 2 * math.log(max(2, sums.forms))  # by chance about one of all forms has more evidence
+    counts = counts.where("texts > 1")
+    a, n = F.col("toxic"), F.col("texts")
+    both = 2 * (F.when(a > 0, a * F.log(a / (n * q0))).otherwise(0.0) + F.when(a < n, (n - a) * F.log((n - a) / (n * (1 - q0)))).otherwise(0.0))
+    # what has no longer form with evidence against q0 tells nothing apart
+    families = counts.where(both >= least).select(F.col("root").alias("family")).distinct()
+    table = counts.join(families, F.col("root") == F.col("family"), "left_semi").select(*_FORMS).toArrow()  # bounded by the sample
+    model = Model(*tell_apart(table, q0, least))
     held = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            n, best, every = [0] * batch.num_rows, [0.0] * batch.num_rows, [[] for _ in range(batch.num_rows)]
+            n, every, hits = [0] * batch.num_rows, [[] for _ in range(batch.num_rows)], [[] for _ in range(batch.num_rows)]
             for lo, _, words in letter_chunks(batch.column(0)):
                 for i, k, found in m.passages(words):
                     n[lo + i], every[lo + i] = k, [s for *_, s in found]
-                    best[lo + i] = max(every[lo + i], default=0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(every, pa.list_(pa.float64()))], names=["toxic", "weight", "n", "best", "every"])
-
-    got = train.mapInArrow(measure, "toxic int, weight double, n long, best double, every array<double>").toArrow()  # the bounded sample
-    toxic = got.column("toxic").to_numpy().astype(float)
-    size, best = got.column("n").to_numpy().astype(float), got.column("best").to_numpy()
-    clean = (toxic == 0) & (best > 0) & (size > 0)
-    if clean.any():  # the mean of a Gumbel variable is its location plus Euler's constant
-        model.log_k = float((model.rate * best[clean] - np.log(size[clean])).mean() - 0.5772156649)
-    every = got.column("every").to_pylist()
-    x = np.array([model.surprise(int(n), [(0, 0, s) for s in e]) for n, e in zip(size, every, strict=True)])
-    model.base, model.slope = _logistic(x, toxic, got.column("weight").to_numpy())
+                score = m.scores(words)
+                for j in np.flatnonzero(score != DRIFT).tolist():
+                    hits[lo + int(words.row[j])].append(float(score[j]))
+            lists = [pa.array(x, pa.list_(pa.float64())) for x in (every, hits)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(n, pa.int64()), *lists], names=["toxic", "weight", "n", "every", "hits"])
+
+    got = train.mapInArrow(measure, "toxic int, weight double, n long, every array<double>, hits array<double>").toArrow()  # the bounded sample
+    toxic, size = got.column("toxic").to_numpy(), got.column("n").to_numpy()
+    every, hits = got.column("every").to_pylist(), got.column("hits").to_pylist()
+    other = np.flatnonzero(toxic == 0)
+    model.rate, model.log_k = law(model.weight, int(size[other].sum()), sum(len(every[i]) for i in other), np.array([s for i in other for s in hits[i]]))
+    x = np.log1p([model.surprise(int(n), [(0, 0, s) for s in e]) for n, e in zip(size, every, strict=True)])
+    model.base, model.slope = _logistic(x, toxic.astype(float), got.column("weight").to_numpy())
+    train.unpersist()
+    counts.unpersist()
     return model
 
 
@@ -243,7 +356,17 @@ def held_out(id_col: str = "doc_id"):
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row. A null id is never held out and has no label."""
+    """doc_id, held_out, score, predicted for every row.
+
+    Only labelled rows outside the held-out fold are learnt from; a null id is
+    never held out and has no label.  Null, empty and letterless texts get the
+    probability of a text without passages.  Very long texts are read whole,
+    a chunk of rows or one row at a time.  Repeated rows and rows with one id
+    are scored each for itself and equal texts alike; a score of exactly 0.5
+    is predicted toxic.  An empty table gives no rows; no labels, or labels of
+    one kind only, give every text the same score below 0.5.  Other columns,
+    whatever their names, are ignored.
+    """
     model = fit(docs, labels, per_class)
     scored = score(docs.select("doc_id", held_out().alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
     return scored.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))

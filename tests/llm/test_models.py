@@ -1,12 +1,17 @@
 import math
+import random
+import zlib
+from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from arborstream.llm import langid, toxicity
 from arborstream.llm.common import fold, load
+from arborstream.llm.letters import LetterWords
 
 from .conftest import SCHEMA
 
@@ -90,6 +95,128 @@ def test_toxicity_edges(spark, edge, empty):
     assert SCHEMA
 
 
+STEMS = {"en": ["scumbag", "vermin"], "de": ["widerlich", "ekelhaft"], "fr": ["salop", "ordur"], "es": ["imbecil", "basur"]}
+ENDS = ["", "a", "en", "er", "ost", "ung", "ible", "amos", "ette", "ish"]
+
+
+def multilingual(n, seed=5):
+    """Texts in four invented languages, a tenth of them with a toxic passage of inflected stems, one language rare."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        lang = rng.choices(list(STEMS), [60, 20, 14, 6])[0]
+        words = [lang + "".join(rng.choice("abcdeirst") for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(30, 120))]
+        toxic = rng.random() < 0.12
+        if toxic:
+            at = rng.randrange(len(words))
+            words[at:at] = [rng.choice(STEMS[lang]) + rng.choice(ENDS) for _ in range(rng.randrange(2, 6))]
+        out.append((i, " ".join(words), lang, int(toxic)))
+    return out
+
+
+@pytest.mark.parametrize("n", [3000, 9000])
+def test_toxicity_of_rare_languages_and_unseen_inflections(spark, n):
+    rows = multilingual(n)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_documents(docs, labels, per_class=2000).collect()}
+    for lang in STEMS:
+        hit = [got[i].predicted for i, _, x, toxic in rows if x == lang and toxic and got[i].held_out]
+        clean = [got[i].predicted for i, _, x, toxic in rows if x == lang and not toxic and got[i].held_out]
+        assert np.mean(hit) >= 0.9 and np.mean(clean) <= 0.02, (lang, np.mean(hit), np.mean(clean))
+
+
+def brute_forms(word):
+    """A word's forms from short to long; the word itself is marked."""
+    return [word[:k] + "-" for k in range(toxicity.SHORTEST, toxicity.LONGEST + 1) if len(word) >= k] + [word]
+
+
+def brute_fit(rows):
+    """The model of (text, toxic) rows by its definition, with dictionaries of strings: log-odds by form, law, and a text's surprise."""
+    texts, bad = Counter(), Counter()
+    for text, toxic in rows:
+        forms = {f for w in text.split() for f in brute_forms(w)}
+        texts.update(forms)
+        bad.update(forms if toxic else ())
+    whole = [f for f in texts if not f.endswith("-")]
+    q0 = sum(bad[f] for f in whole) / sum(texts[f] for f in whole)
+    least = 2 * math.log(sum(n > 1 for n in texts.values()))
+    logit = lambda q: math.log(q / (1 - q))
+    share, told = {}, {}
+    for text, _ in rows:
+        for w in text.split():
+            before = q0
+            for f in brute_forms(w):
+                n, a = texts[f], bad[f]
+                g = 2 * sum(x * math.log(x / (n * q)) for x, q in ((a, before), (n - a, 1 - before)) if x)
+                after = (a + toxicity.PRIOR * before) / (n + toxicity.PRIOR)
+                if n > 1 and g >= least and abs(logit(after) - logit(before)) >= toxicity.LEAST_ODDS:
+                    told[f] = logit(after) - logit(q0)
+                    before = after
+                share[f] = before
+
+    def score(word):
+        own = [told[f] for f in brute_forms(word) if f in told]
+        return own[-1] if own and abs(own[-1]) >= toxicity.LEAST_ODDS else toxicity.DRIFT
+
+    return told, score
+
+
+def test_fit_and_score_match_brute_force(spark):
+    rows = [r for r in multilingual(2500, seed=9)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    train = [(r[1], r[3]) for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    told, score = brute_fit(train)
+    model = toxicity.fit(docs, labels)
+    assert len(model.vocab) == len(told) > 5
+    words = sorted({w for t, _ in train for w in t.split()} | {s + e for own in STEMS.values() for s in own for e in ENDS} | {"ab", "salo"})
+    assert np.allclose(model.scores(LetterWords([" ".join(words)])), [score(w) for w in words])
+
+    def found(text):
+        return [s for *_, s in naive_segments([score(w) for w in text.split()])]
+
+    other = [t for t, toxic in train if not toxic]
+    size = sum(len(t.split()) for t in other)
+    good = [w for w in told.values() if w >= toxicity.LEAST_ODDS]
+    hits = [score(w) for t in other for w in t.split() if score(w) != toxicity.DRIFT]
+    counted = [(0.5, s) for s in good] + [(1.0, s) for s in hits] + [(size - len(hits), toxicity.DRIFT)]
+    total = sum(c for c, _ in counted)
+    assert math.isclose(sum(c / total * math.exp(model.rate * s) for c, s in counted), 1, abs_tol=1e-6)
+    assert math.isclose(model.log_k, math.log((sum(len(found(t)) for t in other) + 0.5) / size) + model.rate * min(good))
+
+    def surprise(text):
+        n = len(text.split())
+        return math.log1p(sum(max(0.0, model.rate * s - max(0.0, model.log_k + math.log(n))) for s in found(text)))
+
+    x = np.array([surprise(t) for t, _ in train])
+    y = np.array([toxic for _, toxic in train])
+    p = 1 / (1 + np.exp(-(model.base + model.slope * x)))
+    assert abs((y - p).sum() - 1e-3 * model.base) < 1e-4 and abs(((y - p) * x).sum() - 1e-3 * model.slope) < 1e-4
+    got = {r.doc_id: r.score for r in toxicity.score_documents(docs, labels).collect()}
+    for i, text, *_ in rows[:300]:
+        assert math.isclose(got[i], 1 / (1 + math.exp(-(model.base + model.slope * surprise(text)))), rel_tol=1e-6, abs_tol=1e-12)
+
+
+def test_law_without_hits_and_with_too_many():
+    rate, log_k = toxicity.law(np.array([5.0, 7.0]), 100_000, 0, np.empty(0))
+    assert rate > 0 and math.isfinite(log_k)
+    rate, _ = toxicity.law(np.array([1.5]), 100, 60, np.full(60, 1.5))  # most words score: still no fall-back
+    assert rate > 0
+    assert toxicity.law(np.array([-3.0]), 100, 0, np.empty(0)) == (1.0, 0.0)
+
+
+def test_toxicity_of_long_repeated_and_extra(spark, edge):
+    rows = multilingual(2500)
+    texts = [(r[0], r[1]) for r in rows] + [(9000, "calm " * 60_000 + "vermina verminen verminost"), (9001, "calm " * 60_000), (9002, None), (9002, None), (9003, "!!")]
+    docs = spark.createDataFrame([(i, t, 1, "x", 2.0) for i, t in texts], "doc_id long, text string, toxicity int, score string, passages double")
+    labels = spark.createDataFrame([(r[0], r[3], 1) for r in rows] * 2, "doc_id long, toxic int, text int")
+    got = {}
+    for r in toxicity.score_documents(docs, labels).collect():
+        assert got.setdefault(r.doc_id, r.score) == r.score
+    assert got[9000] > 0.5 > got[9001] and got[9002] == got[9003] < 0.5
+
+
 def test_passages_are_found(spark):
     rows = [(i, ("calm words here again " * 8) + ("vile nasty slur " * 2 if i % 2 else "")) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
