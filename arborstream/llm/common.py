@@ -36,14 +36,18 @@ def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application in that of spark.checkpoint.dir; where it is unset (tests), in one made here.
+    """A folder of this application in that of spark.checkpoint.dir; where it is unset and Spark is local (tests), in one made here.
 
-    The path is qualified by the file system that Spark resolves it with.
+    On a cluster an unset folder is an error: executors do not see each
+    other's local ones.  The path is qualified by the file system that Spark
+    resolves it with.
     """
     sc = spark.sparkContext
     own = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not own:
         have = sc._jsc.sc().getCheckpointDir()
+        if not have.isDefined() and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = have.get() if have.isDefined() else tempfile.mkdtemp(prefix="arborstream-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(own)
@@ -62,15 +66,25 @@ def sweep(spark: SparkSession) -> None:
 def cut(df: DataFrame, files: int | None = None) -> DataFrame:
     """Write the rows to the shared folder and read them back, which ends their lineage.
 
-    files: into so many files at most, by default two a core of the cluster; a
-    small result of many partitions would leave as many tiny files.
+    A file a partition: partitions follow the bytes of splits or, after
+    shuffles, of the advisory size, so tasks stay of one size on any cluster.
+    files: into so many at most, for results known to be small.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.coalesce(files or 2 * spark.sparkContext.defaultParallelism).write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_HELD: list[DataFrame] = []
+
+
+def release() -> None:
+    """Let go of all rows held so far.  Only once the results that read them are written: what is read later is made again."""
+    while _HELD:
+        _HELD.pop().unpersist()
+
+
 def hold(df: DataFrame, now: bool = False) -> DataFrame:
     """Keep rows that several later steps read in the executors' memory and disks.
 
@@ -79,6 +93,7 @@ def hold(df: DataFrame, now: bool = False) -> DataFrame:
     steps that run side by side would otherwise each begin to.
     """
     held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _HELD.append(held)
     if now:
         held.count()
     return held

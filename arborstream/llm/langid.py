@@ -138,6 +138,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
     best = counts.where("kind = 0").groupBy("h").agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST).orderBy(F.desc("all"), "h").limit(MAX_WORDS)
     words = counts.where("kind = 0").join(best.select(F.col("h").alias("bh")), F.col("h") == F.col("bh")).drop("bh")
     table = counts.where("kind > 0").unionByName(words).toArrow()  # bounded by MAX_WORDS, SLOTS and the languages
+    counts.unpersist()
     return Model(table) if table.num_rows else None
 
 

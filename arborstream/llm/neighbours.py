@@ -94,4 +94,5 @@ def deal(df: DataFrame, key_cols: list[str], edges: list[tuple[tuple, tuple]], t
     schema = ", ".join(f"`{f.name}` {'binary' if f.name == text_col else f.dataType.simpleString()}" for f in df.schema.fields) + ", __part int, __edge int"
     if not edges:
         return df.sparkSession.createDataFrame([], schema)
-    return df.mapInArrow(run, schema).repartition(max(1, n), "__part")
+    # by number, not by its hash: every range has a partition of its own
+    return df.mapInArrow(run, schema).repartitionById(max(1, n), F.col("__part"))

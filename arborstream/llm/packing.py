@@ -2,7 +2,8 @@
 
 Each partition packs its pieces best-fit and emits the bins that are nearly
 full; bins below that are items of the next round, in which fewer partitions
-each take the leftovers of several, until one partition packs the last of them.
+each take the leftovers of several, until one partition packs the last of them
+or a round frees hardly any bin: then what is left does not fit together.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ CAPACITY = 2048
 SLACK = 8
 #: Partitions whose leftovers meet in one partition of the next round.
 FAN_IN = 8
+#: A round that frees a smaller part of its bins than this is the last one.
+LEAST_FREED = 1 / 64
 #: Distinct words a worker remembers; beyond that it starts anew.
 CACHE_WORDS = 400_000
 END_ID = 0
@@ -190,18 +193,25 @@ def pack(pieces: DataFrame, item: str, size: str, capacity: int = CAPACITY, slac
     Items are dealt by a hash and sorted within partitions, so a round that a
     lost executor makes run again fills the same bins.  A partition holds one row of
     bookkeeping a bin and an item of its own range; a later round gets only
-    underfull bins, of which a best-fit partition leaves few.
+    underfull bins, of which a best-fit partition leaves few.  Where items do
+    not fit together (most fill over half a bin) no round would thin them out,
+    and rounds end before all meet in one task.
     """
     spark = pieces.sparkSession
     todo = pieces.select(F.col(item).alias("item"), F.col(size).cast("int").alias("size"))
-    n, level, rounds = parts(spark), 1, []
+    n, level, rounds = max(parts(spark), pieces.rdd.getNumPartitions()), 1, []
     while True:
         dealt = todo.repartition(n, F.xxhash64("item")) if n > 1 else todo.coalesce(1)
         packed = hold(dealt.sortWithinPartitions(F.desc("size"), "item").mapInArrow(_pack(level, capacity), "item long, bin long, at long, fill long"), now=True)
         rounds.append(packed)
         if n == 1:
             break
-        todo = packed.where(F.col("fill") < capacity - slack).groupBy("bin").agg(F.first("fill").alias("size")).select(F.col("bin").alias("item"), "size")
+        if level > 1:
+            items, bins = packed.agg(F.count("*"), F.count_if(F.col("at") == 0)).first()
+            if items - bins < LEAST_FREED * items:
+                break
+        # a bin's first item speaks for it, as `at` is 0 once a bin
+        todo = packed.where((F.col("fill") < capacity - slack) & (F.col("at") == 0)).select(F.col("bin").alias("item"), F.col("fill").cast("int").alias("size"))
         n, level = -(-n // FAN_IN), level + 1
     placed = rounds[0].select("item", F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
     for packed in rounds[1:]:

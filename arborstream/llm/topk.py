@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, cut, hold
 
 #: Bytes of a block of queries (as doubles): what is broadcast at once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
 TILE = 2048
 FAN_IN = 16
 _LIMIT = 1 << 53
@@ -49,14 +49,23 @@ def _products(queries: np.ndarray, tile: np.ndarray) -> np.ndarray:
     return np.array([[sum(x * y for x, y in zip(a, b, strict=True)) for b in big[1]] for a in big[0]], dtype=object)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k highest scores, ties to the smaller id."""
-    if len(scores) > 4 * k and scores.dtype != object:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = np.flatnonzero(scores >= least)
-        scores, ids = scores[near], ids[near]
-    order = sorted(range(len(ids)), key=lambda j: (-int(scores[j]), int(ids[j])))[:k]
-    return scores[order], ids[order]
+def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (query, id, score) rows each query's k highest scores, ties to the smaller id."""
+    order = np.lexsort((ids, -scores, query)) if scores.dtype != object else np.array(sorted(range(len(ids)), key=lambda j: (query[j], -scores[j], ids[j])), np.int64)
+    query, ids, scores = query[order], ids[order], scores[order]
+    first = np.searchsorted(query, query)
+    kept = np.arange(len(query)) - first < k
+    return query[kept], ids[kept], scores[kept]
+
+
+def _tile_best(qids: np.ndarray, tids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) rows of a tile of products: each query's k best, but for itself; ties at the k-th place may add rows."""
+    other = tids[None, :] != qids[:, None]
+    if scores.dtype != object and scores.shape[1] > k + 1:
+        least = np.partition(np.where(other, scores, np.iinfo(np.int64).min), scores.shape[1] - k, axis=1)[:, -k]
+        other &= scores >= least[:, None]
+    i, j = np.nonzero(other)
+    return qids[i], tids[j], scores[i, j]
 
 
 def _search(block: list[tuple[int, np.ndarray]], k: int):
@@ -67,7 +76,7 @@ def _search(block: list[tuple[int, np.ndarray]], k: int):
         by_dim[d] = np.array([i for i, _ in own], np.int64), np.array([v for _, v in own]).reshape(len(own), d)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        kept: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         for batch in batches:
             ids = batch.column(0)
             valid, vectors = _vectors(batch.column(1))
@@ -78,30 +87,18 @@ def _search(block: list[tuple[int, np.ndarray]], k: int):
                 for t in range(0, len(own), TILE):
                     rows = own[t : t + TILE]
                     tile, tids = np.array([vectors[j] for j in rows]).reshape(len(rows), d), ids[rows]
+                    found = [kept] if kept else []
                     for a in range(0, len(qids), TILE // 2):
-                        scores = _products(queries[a : a + TILE // 2], tile)
-                        for i, s in zip(qids[a : a + TILE // 2].tolist(), scores, strict=True):
-                            other = tids != i
-                            s, c = (s, tids) if other.all() else (s[other], tids[other])
-                            if len(c):
-                                s, c = _best(s, c, k)
-                                if i in kept:
-                                    s, c = _best(np.concatenate([kept[i][0], s]), np.concatenate([kept[i][1], c]), k)
-                                kept[i] = s, c
+                        near = qids[a : a + TILE // 2]
+                        found.append(_best(*_tile_best(near, tids, _products(queries[a : a + TILE // 2], tile), k), k))
+                    kept = _best(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
         if kept:
             from pyspark import TaskContext
 
             part = TaskContext.get().partitionId()
-            n = [len(c) for _, c in kept.values()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(np.fromiter(kept, np.int64), n)),
-                    pa.array(np.full(sum(n), part, np.int32)),
-                    pa.array(np.concatenate([c for _, c in kept.values()])),
-                    pa.array([int(x) for s, _ in kept.values() for x in s], pa.int64()),
-                ],
-                names=["query_id", "part", "vec_id", "score"],
-            )
+            query, ids, scores = kept
+            cols = [pa.array(query), pa.array(np.full(len(query), part, np.int32)), pa.array(ids), pa.array([int(x) for x in scores], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["query_id", "part", "vec_id", "score"])
 
     return run
 
