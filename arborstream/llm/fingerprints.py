@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, arrow_rows, cut, mix64, word_chunks
+from .common import U64, Words, arrow_rows, cut, hold, mix64, word_chunks
 from .neighbours import AFTER, BEFORE, OWN, deal, ranges, unsqueeze
 
 BITS = 256
 #: Of copies with a 5-word Jaccard similarity of 0.78 to 0.82, 99 % lie within it (sf0.1; see the README).
 RADIUS = 31
+#: Fingerprints of a key that one task compares; more are cut into chunks of about so many that meet pairwise.
+CHUNK = 1 << 15
 #: Pairs of rows of a key that are compared at once.
 STRIP = 1 << 19
 _LANES = BITS // 64
@@ -120,11 +122,15 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array((b << 8) + raw[:, b].astype(np.int32), pa.int32()), fps, batch.column(1)], names=["key", "fp", "copies"])
 
 
-def _close(place: int, raw: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """For rows that agree in the byte at `place`: the copies within the radius that no earlier table has brought together."""
+def _close(place: int, raw: np.ndarray, weight: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
+    """For rows that agree in the byte at `place`: the copies within the radius that no earlier table has brought together.
+
+    With `side`, only rows of different sides meet.
+    """
     other = raw[:, place ^ 1].astype(np.int64)
     order = np.argsort(other, kind="stable")
     raw, weight, other = raw[order], weight[order], other[order]
+    side = None if side is None else side[order]
     wide = raw.view(np.uint64)
     start = np.searchsorted(other, np.arange(257))
     here = np.arange(len(raw))
@@ -141,6 +147,9 @@ def _close(place: int, raw: np.ndarray, weight: np.ndarray) -> np.ndarray:
             count = (last - first)[lo:hi]
             x = np.repeat(here[lo:hi], count)
             y = np.arange(len(x)) + np.repeat(first[lo:hi] - (ends[lo:hi] - count - done), count)
+            if side is not None:
+                apart = side[x] != side[y]
+                x, y = x[apart], y[apart]
             far = np.zeros(len(x), np.int64)
             for k in range(_LANES):
                 far += np.bitwise_count(wide[x, k] ^ wide[y, k])
@@ -158,29 +167,29 @@ def _close(place: int, raw: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by key to (fp, near), where there are any."""
+    """Rows (unit, key, fp, copies, side) by unit to (fp, near), where there are any; a side of -1: all rows of the unit meet."""
 
-    def finish(key: int, held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[bytes], list[int]]:
-        raw, weight = (np.concatenate([h[j] for h in held]) for j in (0, 1))
-        near = _close(key >> 8, raw, weight)
+    def finish(key: int, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[list[bytes], list[int]]:
+        raw, weight, side = (np.concatenate([h[j] for h in held]) for j in (0, 1, 2))
+        near = _close(key >> 8, raw, weight, None if side[0] < 0 else side)
         some = np.flatnonzero(near)
         return [raw[i].tobytes() for i in some], near[some].tolist()
 
-    key, held = None, []
+    unit, key, held = None, 0, []
     for batch in batches:
         out: tuple[list[bytes], list[int]] = ([], [])
-        keys, weight = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-        raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(keys), _BYTES)
-        cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        units, keys, weight, side = (batch.column(j).to_numpy() for j in (0, 1, 3, 4))
+        raw = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(keys), _BYTES)
+        cuts = [0, *(np.flatnonzero(np.diff(units)) + 1).tolist(), len(keys)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if a == b:
                 continue
-            if keys[a] != key:
+            if units[a] != unit:
                 if held:
                     for mine, new in zip(out, finish(key, held), strict=True):
                         mine += new
-                key, held = int(keys[a]), []
-            held.append((raw[a:b], weight[a:b]))
+                unit, key, held = units[a], int(keys[a]), []
+            held.append((raw[a:b], weight[a:b], side[a:b]))
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64())], names=["fp", "near"])
     if held:
         f, n = finish(key, held)
@@ -192,11 +201,25 @@ def count_near(prints: DataFrame, column: str = "fingerprint") -> DataFrame:
 
     Equal fingerprints are counted once and weigh as many rows as they stand
     for, so groups of copies never meet; each close pair counts in the first
-    table that holds both.
+    table that holds both.  A key of more than CHUNK fingerprints is cut into
+    chunks by a hash; every pair of chunks is a unit of its own.
     """
-    distinct = prints.groupBy(column).agg(F.count("*").alias("copies"))
+    distinct = hold(prints.groupBy(column).agg(F.count("*").alias("copies")))
     tables = distinct.mapInArrow(_tables, "key int, fp binary, copies long")
-    near = tables.repartition("key").sortWithinPartitions("key").mapInArrow(_within, "fp binary, near long")
+    sizes = tables.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).collect()  # 256 keys a table at most
+    unit = F.col("key").cast("long")
+    if sizes:
+        cuts = F.create_map(*[F.lit(int(x)) for r in sizes for x in (r.key, -(-r.n // CHUNK))])
+        parts = F.coalesce(F.element_at(cuts, F.col("key")), F.lit(1))
+        tables = tables.withColumn("parts", parts).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+        tables = tables.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        low, high = F.least("i", "j"), F.greatest("i", "j")
+        unit = unit + ((low * F.col("parts") + high).cast("long") + F.when(F.col("parts") > 1, 1).otherwise(0)) * (_BYTES << 8)
+        side = F.when(F.col("i") == F.col("j"), -1).otherwise((F.col("i") > F.col("j")).cast("int"))
+        tables = tables.select(unit.alias("unit"), "key", "fp", "copies", side.cast("int").alias("side"))
+    else:
+        tables = tables.select(unit.alias("unit"), "key", "fp", "copies", F.lit(-1).alias("side"))
+    near = tables.repartition("unit").sortWithinPartitions("unit").mapInArrow(_within, "fp binary, near long")
     return near.groupBy("fp").agg(F.sum("near").alias("others"))
 
 

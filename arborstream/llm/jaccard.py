@@ -33,8 +33,11 @@ SHARED = 14
 #: A key of more classes is hot: only classes with SHARED hot keys meet by it
 #: (any others that are linked share a key that is not hot).
 HOT = 128
-#: Classes of a unit; more are cut into chunks of about so many that meet pairwise.
+#: Classes of a unit; more are cut into chunks of about so many that meet pairwise ...
 CHUNK = 2048
+#: ... and so are units where classes times shingles are more than this, which
+#: bounds the bitmaps of two chunks by a quarter of so many bytes.
+UNIT_PRODUCT = 1 << 30
 #: Smallest keys that are not hot, and smallest hot ones, by which a class meets
 #: others.  Two linked sets differ in a fifth of their union at most, so of the
 #: part by which they must meet three quarters or more is shared, and the chance
@@ -50,20 +53,29 @@ def _set_id(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, n_shingles, set_id, keys)."""
-    for batch in batches:
-        sizes, ids, keys = [], [], []
-        for lo, hi, words in word_chunks(batch.column(1)):
-            for i in range(hi - lo):
-                s = shingle_hashes(words, i, WORDS)
-                sizes.append(len(s))
-                ids.append(_set_id(s))
-                keys.append(s[:KEYS].view(np.int64))
-        off = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-        flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(off), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), lists], names=["doc_id", "n_shingles", "set_id", "keys"])
+def _sketch(exact: bool):
+    """(doc_id, text) to (doc_id, n_shingles, set_id, keys): the KEYS smallest shingles, or all of the prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, ids, keys = [], [], []
+            for lo, hi, words in word_chunks(batch.column(1)):
+                for i in range(hi - lo):
+                    s = shingle_hashes(words, i, WORDS)
+                    sizes.append(len(s))
+                    ids.append(_set_id(s))
+                    keys.append(s[: prefix(len(s)) if exact else KEYS].view(np.int64))
+            off = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(off), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), lists], names=["doc_id", "n_shingles", "set_id", "keys"])
+
+    return run
+
+
+def prefix(n: int) -> int:
+    """So many of a set's n smallest shingles hold one of those of any set it links to: an overlap of PERCENT of its size leaves fewer outside."""
+    return n - -(-n * PERCENT // 100) + 1 if n else 0
 
 
 def _slot(ids: np.ndarray) -> np.ndarray:
@@ -221,21 +233,21 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(keys: DataFrame) -> DataFrame:
-    """Rows (key, c, need) of keys by which classes meet, with how often each stands (`times`)."""
+    """Of rows (key, c, need, n_shingles) those of keys by which classes meet, without `need`."""
     for _ in range(2):  # the second time, of partners that are left
         times = keys.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").withColumnRenamed("key", "k")
         met = keys.join(times, F.col("key") == F.col("k")).drop("k")
         mine = W.partitionBy("c")  # KEYS rows at most
         met = met.withColumn("met", F.count("*").over(mine)).withColumn("hot", F.sum((F.col("times") > HOT).cast("int")).over(mine))
-        keys = cut(met.where("met >= need").select("key", "c", "need", "times", "hot"))
-        result, keys = keys, keys.select("key", "c", "need")
+        keys = cut(met.where("met >= need").select("key", "c", "n_shingles", "need", "times", "hot"))
+        result, keys = keys, keys.select("key", "c", "n_shingles", "need")
     warm = F.col("times") > HOT
     result = result.where(~warm | (F.col("hot") >= F.col("need"))).withColumn("warm", warm)
     rank = F.row_number().over(W.partitionBy("c", "warm").orderBy("key"))
-    return result.withColumn("rank", rank).where(F.col("rank") <= USED).select("key", "c")
+    return result.withColumn("rank", rank).where(F.col("rank") <= USED).select("key", "c", "n_shingles")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id for every row.
 
     Two documents link when 100 * |A and B| >= 80 * |A or B| over their sets of
@@ -246,24 +258,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets (copies, repeated rows) are one class and never compared.  A null id
     takes part and is never the smallest unless alone.  Shingles are 64-bit
     hashes.  An empty table gives no rows; other columns are ignored.
+
+    By default classes meet by shared bottom samples, which misses a link with
+    a probability below 1e-11.  exact: by any shingle that the fifth of their
+    smallest ones share, which misses none and moves several times as many keys.
     """
     spark = docs.sparkSession
     arrow_rows(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = rows.mapInArrow(_sketch, "doc_id long, n_shingles long, set_id binary, keys array<long>")
-    sketch = cut(sketch.withColumn("uid", F.monotonically_increasing_id()), files=4 * spark.sparkContext.defaultParallelism)
+    sketch = rows.mapInArrow(_sketch(exact), "doc_id long, n_shingles long, set_id binary, keys array<long>")
+    sketch = cut(sketch.withColumn("uid", F.monotonically_increasing_id()))
     classes = cut(sketch.where("n_shingles > 0").groupBy("set_id").agg(F.min("uid").alias("c"), F.min("doc_id").alias("low")))
     one = classes.select("c", F.col("set_id").alias("cs"))
     reps = sketch.join(one, (F.col("uid") == F.col("c")) & (F.col("set_id") == F.col("cs")))
     need = F.least(F.lit(SHARED), F.ceil(F.col("n_shingles") * (SHARED / KEYS))).cast("int")
-    keys = reps.select("c", need.alias("need"), F.explode("keys").alias("key"))
-    met = _candidates(keys)
+    keys = reps.select("c", "n_shingles", need.alias("need"), F.explode("keys").alias("key"))
+    met = cut(keys.select("key", "c", "n_shingles")) if exact else _candidates(keys)
 
     # keys with the same members are one unit
-    mark = met.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "c")).alias("y"))
-    units = mark.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("unit"))
-    members = met.join(units.select("unit", "n"), F.col("key") == F.col("unit")).select("unit", "n", "c")
-    cuts = F.ceil(F.col("n") / CHUNK).cast("int")
+    mark = met.groupBy("key").agg(
+        F.count("*").alias("n"), F.sum("n_shingles").alias("total"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "c")).alias("y")
+    )
+    units = mark.where("n > 1").groupBy("n", "total", "x", "y").agg(F.min("key").alias("unit"))
+    members = met.join(units.select("unit", "n", "total"), F.col("key") == F.col("unit")).select("unit", "n", "total", "c")
+    # of so many chunks each has its part of the classes and of the shingles
+    cuts = F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.sqrt(F.col("n") * F.col("total") / UNIT_PRODUCT)))).cast("int")
     chunk = F.pmod(F.xxhash64("c"), cuts).cast("int")
     # every pair of chunks is a unit, which holds the pairs inside them too
     other = F.when(cuts == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), cuts - 1), chunk))
@@ -278,6 +297,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = rows.mapInArrow(_sets(bits), "doc_id long, set_id binary, shingles binary")
     named = needed.select("c", F.col("doc_id").alias("nd"), F.col("set_id").alias("ns"))
     sets = sets.join(named, F.col("doc_id").eqNullSafe(F.col("nd")) & (F.col("set_id") == F.col("ns"))).select(F.col("c").alias("sc"), "shingles")
+    sets = sets.groupBy("sc").agg(F.first("shingles").alias("shingles"))  # a row that stands several times is one set; the join below needs this order too
     with_sets = members.join(sets, F.col("c") == F.col("sc")).select("unit", "c", "shingles")
     edges = with_sets.repartition("unit").sortWithinPartitions("unit").mapInArrow(_units, "u long, v long")
 

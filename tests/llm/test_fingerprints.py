@@ -1,9 +1,13 @@
 import hashlib
+import math
 import random
+import re
+import sys
 
 import numpy as np
 
 from arborstream.llm import fingerprints as fp
+from arborstream.llm.common import Words, mix64
 
 
 def test_matches_brute_force(spark, edge):
@@ -41,6 +45,50 @@ def test_block_tables_find_every_pair_within_the_radius(spark):
         assert got.get(text, 0) == n
 
 
+def test_hot_keys_are_cut(spark, monkeypatch):
+    """Keys of many times CHUNK fingerprints give the counts of brute force."""
+    monkeypatch.setattr(fp, "CHUNK", 64)
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2, 256, dtype=np.uint8)
+    bits = np.repeat(base[None, :], 500, axis=0)
+    for row in bits:
+        row[rng.choice(256, rng.integers(0, 24), replace=False)] ^= 1
+    raw = np.packbits(bits, axis=1)
+    rows = [(r.tobytes().hex(),) for r in raw] + [(raw[0].tobytes().hex(),)] * 3
+    got = {bytes(r.fp).hex(): r.others for r in fp.count_near(spark.createDataFrame(rows, "fingerprint string")).collect()}
+    wide = np.stack([np.frombuffer(bytes.fromhex(r[0]), np.uint64) for r in rows])
+    for (text,), p in zip(rows, wide):
+        far = np.bitwise_count(wide ^ p).sum(axis=1)
+        assert got.get(text, 0) == ((far > 0) & (far <= fp.RADIUS)).sum()
+
+
+def brute_print(text):
+    """The fingerprint by its definition: every distinct word votes with its weight on each of 256 signed bits."""
+    words = [w.encode() for w in re.split("[\x20\x09-\x0d]+", text.translate({i: i + 32 for i in range(65, 91)})) if w]
+    votes = [0.0] * fp.BITS
+    for w in set(words):
+        own = Words(np.frombuffer(w, np.uint8), np.array([0, len(w)]))
+        weight = round((1 + math.log(words.count(w))) * min(len(w), 16) * 16)
+        h = int(own.hash[0])
+        for lane in range(4):
+            x = int(mix64(np.array([(h + ((2 * lane + 1) * 0x9E3779B97F4A7C15)) % 2**64], np.uint64))[0]).to_bytes(8, sys.byteorder)
+            for k in range(64):
+                votes[64 * lane + k] += weight if x[k // 8] >> (7 - k % 8) & 1 else -weight
+    return int("".join("1" if v > 0 else "0" for v in votes), 2).to_bytes(32, "big").hex()
+
+
+def test_fingerprints_match_brute_force(spark, edge):
+    docs = edge.where("doc_id is not null and doc_id <> 10").dropDuplicates(["doc_id"])
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True)
+    got = {r.doc_id: r for r in fp.fingerprint_documents(docs).collect()}
+    for (i, text), (_, following) in zip(rows, rows[1:] + rows[:1]):
+        new = fp.edited(text, following)
+        own, edited, after = (brute_print(t) for t in (text, new, following))
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (own, edited)
+        alike = lambda a, b: 1 - (int(a, 16) ^ int(b, 16)).bit_count() / 256
+        assert (got[i].near_edited, got[i].near_next) == (alike(own, edited), alike(own, after))
+
+
 def test_edges(spark, edge, empty):
     assert fp.fingerprint_documents(empty).count() == 0
     assert fp.fingerprint_documents(edge).count() == edge.count()

@@ -45,9 +45,10 @@ def brute(rows):
 
 def check(spark, rows):
     df = spark.createDataFrame([(i, t, None, None, None, *TAIL) for i, t in rows], SCHEMA).repartition(3)
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()), key=repr)
     sizes, groups = brute(rows)
-    assert got == sorted(((i, n, c) for (i, _), n, c in zip(rows, sizes, groups)), key=repr)
+    for exact in (False, True):
+        got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df, exact=exact).collect()), key=repr)
+        assert got == sorted(((i, n, c) for (i, _), n, c in zip(rows, sizes, groups)), key=repr)
 
 
 def variants(rng, text, edits):
@@ -82,6 +83,44 @@ def test_hot_keys_and_chunks(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_units_bounded_by_their_shingles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "UNIT_PRODUCT", 20_000)
+    rng = random.Random(8)
+    base = prose(rng, 400)
+    rows = [(i, variants(rng, base, rng.randrange(0, 9))) for i in range(60)] + [(70, base)] * 5
+    check(spark, rows)
+
+
+def test_hot_group_at_production_values(spark):
+    """6,000 different near copies of one text, more than HOT and CHUNK, beside pairs at the very threshold."""
+    rng = random.Random(12)
+    base = prose(rng, 100, 10**6)
+    words = base.split()
+    rows = []
+    for i in range(6000):  # two words beside each other: 90 of 102 shingles or so stay
+        own = list(words)
+        at = rng.randrange(5, 94)
+        own[at : at + 2] = [f"p{i}", f"q{i}"]
+        rows.append((i, " ".join(own)))
+    group = len(rows)
+    for i in range(200):  # 80 of 100 shingles shared: just linked; 79: just not
+        text = prose(rng, 94, 10**9).split()
+        cut_at = 10 if i % 2 else 11
+        rows += [(10_000 + 2 * i, " ".join(text)), (10_001 + 2 * i, " ".join(text[cut_at:] + [f"n{i}_{k}" for k in range(cut_at)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    sets = {i: shingles(t) for i, t in rows}
+    want = {}
+    for i in range(200):
+        a, b = 10_000 + 2 * i, 10_001 + 2 * i
+        want[a], want[b] = a, a if linked(sets[a], sets[b]) else b
+    assert {want[10_001 + 2 * i] == 10_000 + 2 * i for i in range(200)} == {True, False}
+    assert all(linked(sets[0], sets[i]) or any(linked(sets[i], sets[j]) for j in range(50)) for i in range(0, group, 97))
+    for exact in (False, True):
+        got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(df, exact=exact).collect()}
+        assert {got[i] for i in range(group)} == {0}
+        assert {i: c for i, c in got.items() if i >= 10_000} == want
+
+
 def test_unit_links_equal_all_pairs():
     rng = np.random.default_rng(2)
     for _ in range(20):

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from arborstream.llm import packing
+from arborstream.llm import common, packing
 from arborstream.llm.queries import tokenizer_path
 
 
@@ -65,5 +65,16 @@ def test_rounds_come_near_the_bound(spark):
     assert bins <= 1.01 * len(one.fill)
 
 
+def test_items_that_do_not_fit_together_end_the_rounds(spark):
+    """20,000 items over half a bin: no round frees a bin, so they never meet in one task."""
+    df = spark.range(20_000, numPartitions=16).selectExpr("id as item", "cast(1030 + id % 500 as int) as length")
+    before = len(common._HELD)
+    placed = packing.pack(df, "item", "length")
+    rounds = common._HELD[before:]
+    assert len(rounds) == 2 and rounds[-1].rdd.getNumPartitions() > 1
+    assert placed.count() == 20_000 == placed.select("sequence_id").distinct().count()
+    assert placed.where("offset <> 0").count() == 0
+
+
 def test_edges(spark, empty):
     assert packing.pack_documents(empty, tokenizer_path()).count() == 0
