@@ -186,7 +186,15 @@ def held_out(id_col: str = "doc_id"):
 
 
 def predict_documents(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> DataFrame:
-    """doc_id, held_out, lang_pred, score: fitted on the rows outside the held-out fold. A null id is never held out."""
+    """doc_id, held_out, lang_pred, score for every row, fitted on the rows outside the held-out fold.
+
+    A null id is never held out.  Null, empty and letterless texts are `und`
+    with score 0, and so is every text where no row has a language to learn
+    from.  Very long texts are read whole, a chunk of rows or one row at a
+    time.  Equal texts, repeated rows and rows with one id are predicted alike;
+    ties go to the first language in alphabetical order.  An empty table gives
+    no rows.  Other columns, whatever their names, are ignored.
+    """
     model = fit(docs.where(~held_out()), per_lang=per_lang)
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
     return identify(rows, model, keep=["doc_id", "held_out"])

@@ -370,7 +370,8 @@ def archive_and_read(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFr
     holds no payload, and its header names the full payload's digest and
     length.  A null html is an empty payload.  Rows that repeat one id with one
     payload are all responses (a record never refers to its own id).  A null id
-    reads back as null.  An empty table gives no rows; other columns are ignored.
+    reads back as null; its record is a response even where another page has
+    its payload, and no revisit refers to it.  An empty table gives no rows; other columns are ignored.
     """
     spark = pages.sparkSession
     register(spark)

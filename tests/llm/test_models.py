@@ -34,6 +34,58 @@ def test_language_edges(spark, edge, empty):
     assert langid.keep_identified(edge).columns == edge.columns
 
 
+def brute_language(train, text):
+    """(language, score) by the definition, with dictionaries: known words first, then at each letter the longest known n-gram."""
+    words, grams = Counter(), Counter()
+    slot = lambda w, end, n: (n, int(langid.gram_slots(LetterWords([w]), np.array([end]), n)[0]))
+    for t, lang in train:
+        for w in t.lower().split():
+            words[w, lang] += 1
+            for n in range(1, langid.ORDERS + 1):
+                grams.update((slot(w, end, n), lang) for end in range(n - 1, len(w)))
+    langs = sorted({lang for _, lang in train})
+    every = Counter()
+    for (w, _), n in words.items():
+        every[w] += n
+    vocab = {w for w, n in every.items() if n >= langid.LEAST}
+    seen = {g for g, _ in grams}
+    score = dict.fromkeys(langs, 0.0)
+    for lang in langs:
+        all_words = sum(n for (w, x), n in words.items() if x == lang and w in vocab) + 0.5 * len(vocab)
+        all_grams = {k: sum(n for ((m, _), x), n in grams.items() if x == lang and m == k) + 0.5 * langid.SLOTS for k in range(1, langid.ORDERS + 1)}
+        for w in text.lower().split():
+            if w in vocab:
+                score[lang] += math.log((words[w, lang] + 0.5) / all_words)
+                continue
+            for end in range(len(w)):
+                for n in range(min(langid.ORDERS, end + 1), 0, -1):
+                    if slot(w, end, n) in seen:
+                        score[lang] += langid.GRAM_WEIGHT * math.log((grams[slot(w, end, n), lang] + 0.5) / all_grams[n])
+                        break
+    best = max(langs, key=lambda x: score[x])
+    return best, 1 / sum(math.exp(langid.SOFTEN * (score[x] - score[best])) for x in langs)
+
+
+def test_language_matches_brute_force(spark):
+    rng = random.Random(4)
+    letters = {"aa": "abcdef", "bb": "cdefgh", "cc": "efghij"}
+    rows = [(i, " ".join("".join(rng.choice(letters[x]) for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(1, 12))), x) for i in range(120) for x in [rng.choice(list(letters))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    train = [(t, x) for i, t, x in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    got = {r.doc_id: r for r in langid.predict_documents(docs).collect()}
+    for i, text, _ in rows:
+        lang, score = brute_language(train, text)
+        assert math.isclose(got[i].score, score, rel_tol=1e-4)
+        assert got[i].lang_pred == lang or math.isclose(score, 0.5, abs_tol=1e-3)
+
+
+def test_language_of_long_repeated_and_extra(spark, edge):
+    rows = [(1, "the word of the day " * 60_000, "en"), (2, "das wort des tages", "de"), (2, "das wort des tages", "de"), (3, "das wort", None), (3, None, None)]
+    docs = spark.createDataFrame([(*r, "x", 0.5) for r in rows] * 3, "doc_id long, text string, lang string, lang_pred string, score double")
+    got = langid.predict_documents(docs).collect()
+    assert len(got) == 15 and {(r.doc_id, r.lang_pred) for r in got} == {(1, "en"), (2, "de"), (3, "de"), (3, "und")}
+
+
 def test_held_out_folds(spark, edge):
     rows = edge.select("doc_id", langid.held_out().alias("a"), toxicity.held_out().alias("b"), fold("doc_id", 4).alias("four"), fold("doc_id", 5).alias("five")).collect()
     for r in rows:
