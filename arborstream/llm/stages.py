@@ -1,4 +1,8 @@
-"""Pipeline stages: each takes documents and returns documents, but for packing, which returns pieces."""
+"""Pipeline stages: each takes documents and returns documents, but for packing, which returns pieces.
+
+A stage's documents are read from files that the stage before has written, so
+each begins by letting go of the rows that were held for that.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import jaccard, langid, mixing, packing, toxicity
-from .common import cut, load
+from .common import cut, load, release
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,6 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     no row has a language to learn from; repeated rows are judged alike.  An
     empty table stays empty.  Columns, and their names, are as they were.
     """
+    release()
     return langid.keep_identified(docs)
 
 
@@ -27,6 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     everything where the labels are of one kind or none; repeated rows are
     judged alike.  An empty table stays empty.  Columns are as they were.
     """
+    release()
     return toxicity.keep_civil(docs, load(spark, sf_dir, "labels"))
 
 
@@ -35,6 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Documents without words are components of their own and stay.
     """
+    release()
     groups = cut(jaccard.near_duplicates(docs).select("doc_id", "component_id"))
     rows, back = _plain(docs)
     gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone"))
@@ -60,6 +67,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts are moved once, by a join with the number of uses; rows that share an
     id are used equally often, rounded up.
     """
+    release()
     uses = mixing.mix(docs, max_repeat=2.0, keep=["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("uses"))
     rows = docs.groupBy("doc_id").agg(F.count("*").alias("rows"))
     times = uses.join(rows.withColumnRenamed("doc_id", "same"), F.col("doc_id").eqNullSafe(F.col("same")))
@@ -76,6 +84,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     every 2048 ids; repeated rows are packed each for itself.  An empty table
     gives no pieces.  Other columns are ignored.
     """
+    release()
     from .queries import tokenizer_path
 
     return packing.pack_documents(docs, tokenizer_path())

@@ -34,7 +34,7 @@ LEAST_ODDS = 2.0
 #: ... and a word is scored at all if its odds lie so far from even.  All others score DRIFT, so that running scores fall outside passages.
 DRIFT = -0.02
 #: Forms that a partition counts before it adds up what it has.
-HELD_FORMS = 2_000_000
+HELD_FORMS = 400_000
 HELD_OUT = (5, 0)
 
 
