@@ -18,9 +18,8 @@ from ..operators.glocal import GlobalLocal
 from ..operators.multi import MultiSeries
 from ..operators.predictive import PredictiveForest
 from ..operators.scan import scan
-from ..sources import generators, snapshot
+from ..sources import generators
 from ..streaming.processor import ROCKSDB, detect_stream
-from .forests import model
 from .relational import ORDER, Query, events, masked, table
 
 QUERIES: dict[str, Query] = {}
@@ -270,17 +269,6 @@ def multi_series_bandit(spark, sf_dir):
     return scan(ev, "group", ["t", "event_id"], ["user_id", "value", "event_id"], start, "user_id long, event_id long, score double, grade double")
 
 
-@query
-def snapshot_roundtrip(spark, sf_dir):
-    """Scores by a forest and by the same forest written and read again."""
-    from ..operators.forest import ask
-
-    p, f = model(spark, sf_dir)
-    again = snapshot.from_table(snapshot.to_table(spark, f))
-    both = ask(p, f, ["x0", "x1"], lambda m, q: m.score(q), ["seq", "x0", "x1"], "seq long, x0 double, x1 double, score double", ["score"])
-    return ask(both, again, ["x0", "x1"], lambda m, q: m.score(q), ["seq", "score"], "seq long, score double, again double", ["again"])
-
-
 @query
 def generated_mixture(spark, sf_dir):
     return generators.normal_mixture(spark, 2000, 3, seed=5).select("seq", "anomalous", "changed", *[F.get("v", F.lit(i)).alias(f"v{i}") for i in range(3)])
