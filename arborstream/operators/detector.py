@@ -7,6 +7,7 @@ detector pickles, so a stream resumes where it stopped.
 
 from __future__ import annotations
 
+import heapq
 import math
 import random
 from dataclasses import dataclass, field
@@ -43,6 +44,7 @@ class StreamForest:
         self.capacity, self.decay, self.accept = capacity, decay, accept
         self.rng = random.Random(seed)
         self.trees = [DynamicTree(self.rng.random) for _ in range(trees)]
+        #: Each tree's points as a heap by falling key: (-key, number, point).
         self.samples: list[list[tuple[float, int, tuple]]] = [[] for _ in range(trees)]
         self.updates = 0
         self.shift = 0.0
@@ -62,20 +64,18 @@ class StreamForest:
         if self.frozen:
             raise RuntimeError("the forest is frozen for readers")
         self.updates += 1
+        random, log, old = self.rng.random, math.log, self.updates * self.decay + self.shift
         for tree, sample in zip(self.trees, self.samples, strict=True):
-            key = math.log(-math.log(max(self.rng.random(), 1e-300))) - self.updates * self.decay - self.shift
+            item = (old - log(-log(max(random(), 1e-300))), self.updates, x)
             if len(sample) < self.capacity:
                 share = len(sample) / self.capacity
-                if self.accept < 1 and share >= self.accept and self.rng.random() > 1 - (share - self.accept) / (1 - self.accept):
+                if self.accept < 1 and share >= self.accept and random() > 1 - (share - self.accept) / (1 - self.accept):
                     continue
+                heapq.heappush(sample, item)
             else:
-                worst = max(range(len(sample)), key=lambda i: sample[i][0])
-                if key >= sample[worst][0]:
+                if item[0] <= sample[0][0]:
                     continue
-                tree.delete(sample[worst][2])
-                sample[worst] = sample[-1]
-                sample.pop()
-            sample.append((key, self.updates, x))
+                tree.delete(heapq.heapreplace(sample, item)[2])
             tree.insert(x)
 
     def attribution(self, x: tuple) -> list[float]:
@@ -120,7 +120,38 @@ class StreamForest:
         return [v / n for v in total]
 
     def score(self, x: tuple) -> float:
-        return sum(self.attribution(x)) if self.ready else 0.0
+        """The sum of the attribution, by a walk upwards that ends at the first box that holds the point: those above hold it too."""
+        if not self.ready:
+            return 0.0
+        total, log2 = 0.0, math.log2
+        for tree in self.trees:
+            n, depth = tree.root, 0
+            if n is None:
+                continue
+            mass = n.mass
+            while n.dim >= 0:
+                n = n.left if x[n.dim] <= n.cut else n.right
+                depth += 1
+            if n.point == x:
+                s = (1 - n.mass / (2 * mass)) / (depth + log2(n.mass + 1))
+            else:
+                s = 1 / (depth + 1)
+                n = n.up
+                while n is not None:
+                    depth -= 1
+                    gap = 0.0
+                    for v, lo, hi in zip(x, n.low, n.high):  # noqa: B905
+                        if v > hi:
+                            gap += v - hi
+                        elif v < lo:
+                            gap += lo - v
+                    if gap == 0:
+                        break
+                    p = gap / (gap + sum(n.high) - sum(n.low))
+                    s = p / (depth + 1) + (1 - p) * s
+                    n = n.up
+            total += s * log2(mass + 1)
+        return total / len(self.trees)
 
     def interpolation(self, x: tuple) -> np.ndarray:
         """Measure, distances and probability mass (rows) above (first half) and below in each dimension: the mean of folds.Density over the trees."""

@@ -2,12 +2,16 @@
 
 The sample after n rows is the rows with the smallest keys
 -(sequence) * decay + ln(-ln u / weight): a row's key never changes, so the
-sample of a union is the top-k of the samples, and every step is a partial
-and final aggregate for Spark.
+sample of a union is the top-k of the samples: partitions keep their own
+smallest keys in one pass, and a final top-k merges what they kept.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,12 +28,51 @@ def sample_key(u: Column, sequence: Column, decay: float | Column, weight: Colum
 def reservoir(df: DataFrame, trees: int, capacity: int, sequence: str, decay: float | Column, seed: int = 0, weight: Column | None = None, identity: str | None = None) -> DataFrame:
     """The sample of each tree: df's columns, tree and sample_key. Rows of weight 0 are never taken.
 
-    `identity` is the column that seeds a row's uniforms (default: the sequence).
+    `identity` is the column that seeds a row's uniforms (default: the
+    sequence).  Each partition keeps `capacity` rows a tree as its rows pass,
+    so a row is never repeated for the trees that do not take it; the few that
+    are left meet in one top-k.
     """
     rows = df.where(weight > 0) if weight is not None else df
-    drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    keyed = drawn.withColumn("sample_key", sample_key(uniform(seed, "tree", identity or sequence), F.col(sequence), decay, weight))
-    return smallest(keyed, capacity, sequence)
+    every = F.sequence(F.lit(0), F.lit(trees - 1))
+    keys = F.transform(every, lambda t: sample_key(uniform(seed, t, identity or sequence), F.col(sequence), decay, weight))
+    names = [f"c{i}" for i in range(len(rows.columns))]
+    kinds = [f.dataType.simpleString() for f in rows.schema.fields]
+    sent = rows.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(rows.columns, names, strict=True)], keys.alias("keys"), F.col(sequence).cast("long").alias("at"))
+    schema = "".join(f"{n} {k}, " for n, k in zip(names, kinds, strict=True)) + "tree int, sample_key double"
+    kept = sent.mapInArrow(_kept(trees, capacity), schema).toDF(*rows.columns, "tree", "sample_key")
+    return smallest(kept, capacity, sequence)
+
+
+def _kept(trees: int, capacity: int):
+    """Rows (columns, keys, at) to (columns, tree, key): of each tree the partition's `capacity` smallest keys, ties to the earlier row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # rows that some tree keeps
+        own = [(np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)) for _ in range(trees)]  # key, sequence, row in held
+        for batch in batches:
+            keys = batch.column(batch.num_columns - 2).flatten().to_numpy().reshape(-1, trees)
+            at = batch.column(batch.num_columns - 1).to_numpy()
+            base = held.num_rows if held is not None else 0
+            for t in range(trees):
+                k, s, r = own[t]
+                near = np.arange(len(at)) if len(k) < capacity else np.flatnonzero(keys[:, t] <= k[-1])
+                if len(near):
+                    k, s, r = np.append(k, keys[near, t]), np.append(s, at[near]), np.append(r, base + near)
+                    order = np.lexsort((s, k))[:capacity]
+                    own[t] = k[order], s[order], r[order]
+            rows = pa.Table.from_batches([batch.select(range(batch.num_columns - 2))])
+            held = pa.concat_tables([held, rows]) if held is not None else rows
+            used, place = np.unique(np.concatenate([r for *_, r in own]), return_inverse=True)
+            held = held.take(pa.array(used)).combine_chunks()
+            for t, (k, s, r) in enumerate(own):
+                own[t], place = (k, s, place[: len(r)]), place[len(r) :]
+        if held is not None:
+            table = held.take(pa.array(np.concatenate([r for *_, r in own])))
+            table = table.append_column("tree", pa.array(np.repeat(np.arange(trees, dtype=np.int32), [len(k) for k, *_ in own])))
+            yield from table.append_column("sample_key", pa.array(np.concatenate([k for k, *_ in own]))).combine_chunks().to_batches()
+
+    return run
 
 
 def smallest(keyed: DataFrame, capacity: int, sequence: str) -> DataFrame:

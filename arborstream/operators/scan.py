@@ -38,5 +38,7 @@ def scan(df: DataFrame, key: str, order: list[str], columns: list[str], start: C
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, target, strict=True)], schema=target)
 
     sent = df.select(F.col(key).alias("__key"), *columns, *[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)])
-    dealt = sent.repartition("__key").sortWithinPartitions("__key", *[f"__o{i}" for i in range(len(order))])
+    # a stated number: the work of a row is in its state, so small partitions must not be joined by their bytes
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    dealt = sent.repartition(n, "__key").sortWithinPartitions("__key", *[f"__o{i}" for i in range(len(order))])
     return dealt.select("__key", *columns).mapInArrow(run, schema)

@@ -7,6 +7,7 @@ makes a tree a function of its sample: rebuilt anywhere, it comes out the same.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -176,24 +177,26 @@ class DynamicTree:
         if self.root is None:
             self.root = self.Node(x, list(x), list(x), 1, None)
             return
-        n = self.root
+        n, random = self.root, self.random
         while True:
-            low = [min(a, b) for a, b in zip(n.low, x, strict=True)]
-            high = [max(a, b) for a, b in zip(n.high, x, strict=True)]
+            low = [a if a < b else b for a, b in zip(n.low, x)]  # noqa: B905
+            high = [a if a > b else b for a, b in zip(n.high, x)]  # noqa: B905
             total = sum(high) - sum(low)
             if n.dim < 0 and total <= 0:  # a copy of the leaf's point
                 self._grow(n, x)
                 return
-            rest, dim = self.random() * total, -1
-            for d in range(len(x)):
-                r = high[d] - low[d]
+            rest, dim = random() * total, -1
+            for d, (a, b) in enumerate(zip(low, high)):  # noqa: B905
+                r = b - a
                 if r > 0:
                     dim = d
                     if rest <= r:
                         break
                     rest -= r
-            cut = min(low[dim] + rest, _below(high[dim]))
-            if x[dim] <= cut < n.low[dim] or n.high[dim] <= cut < x[dim]:
+            cut, v = low[dim] + rest, x[dim]
+            if cut >= high[dim]:
+                cut = math.nextafter(high[dim], -math.inf)
+            if v <= cut < n.low[dim] or n.high[dim] <= cut < v:
                 self._splice(n, x, dim, cut, low, high)
                 return
             if n.dim < 0:
@@ -247,10 +250,14 @@ class DynamicTree:
             top.left = other
         else:
             top.right = other
+        shrinks = True
         while top is not None:
             top.mass -= 1
-            top.low = [min(a, b) for a, b in zip(top.left.low, top.right.low, strict=True)]
-            top.high = [max(a, b) for a, b in zip(top.left.high, top.right.high, strict=True)]
+            if shrinks:  # a box that stays leaves those above as they are
+                low = [a if a < b else b for a, b in zip(top.left.low, top.right.low)]  # noqa: B905
+                high = [a if a > b else b for a, b in zip(top.left.high, top.right.high)]  # noqa: B905
+                shrinks = low != top.low or high != top.high
+                top.low, top.high = low, high
             top = top.up
 
     def path(self, x: tuple) -> list[DynamicTree.Node]:
@@ -259,7 +266,3 @@ class DynamicTree:
             out.append(n)
             n = None if n.dim < 0 else n.left if x[n.dim] <= n.cut else n.right
         return out
-
-
-def _below(x: float) -> float:
-    return float(np.nextafter(x, -np.inf))
