@@ -122,6 +122,8 @@ def scores(tree: Tree, queries: np.ndarray) -> np.ndarray:
     """The Score fold with its default functions, without keeping the gaps of each dimension."""
     out = np.empty(len(queries))
     total = tree.total
+    d = tree.low.shape[1]
+    room, ones = np.empty((2 * STRIP, d)), np.ones(d)
     for a in range(0, len(queries), STRIP):
         q = np.ascontiguousarray(queries[a : a + STRIP], dtype=float)
         path = routes(tree, q)
@@ -136,11 +138,14 @@ def scores(tree: Tree, queries: np.ndarray) -> np.ndarray:
             if not len(rows):
                 continue
             node = path[rows, k]
-            x = q if len(rows) == len(q) else q[rows]
-            gap, below = x - tree.high[node], tree.low[node] - x
+            x = q if len(rows) == len(q) else q.take(rows, axis=0)
+            gap = tree.high.take(node, axis=0, out=room[: len(rows)], mode="clip")
+            below = tree.low.take(node, axis=0, out=room[STRIP : STRIP + len(rows)], mode="clip")
+            np.subtract(x, gap, out=gap)
+            np.subtract(below, x, out=below)
             np.maximum(gap, below, out=gap)
             np.maximum(gap, 0.0, out=gap)
-            s = gap.sum(axis=1)
+            s = gap @ ones
             out_of = s > 0
             r, s, n = rows[out_of], s[out_of], node[out_of]
             p = s / (s + tree.width[n])
