@@ -11,6 +11,7 @@ import heapq
 import math
 import random
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 
@@ -35,6 +36,10 @@ TRIGGER_RATIO = 1.2
 RUN_ALLOWED = 2
 SUPPORT = 0.1
 GAP_FACTOR = 1.5
+NEAR_FACTOR = 1.1
+FAST_FORWARD_SHINGLES = 3
+INITIAL_ROWS = 10
+TIME_FACTOR = 1.3
 
 
 class StreamForest:
@@ -49,6 +54,7 @@ class StreamForest:
         self.updates = 0
         self.shift = 0.0
         self.frozen = False
+        self.paused = False
 
     @property
     def ready(self) -> bool:
@@ -60,9 +66,11 @@ class StreamForest:
         self.decay = decay
 
     def update(self, x: tuple) -> None:
-        """Offer a point to each tree's sample: the points with the smallest keys stay."""
+        """Offer a point to each tree's sample: the points with the smallest keys stay. While sampling is paused nothing changes."""
         if self.frozen:
             raise RuntimeError("the forest is frozen for readers")
+        if self.paused:
+            return
         self.updates += 1
         random, log, old = self.rng.random, math.log, self.updates * self.decay + self.shift
         for tree, sample in zip(self.trees, self.samples, strict=True):
@@ -227,6 +235,14 @@ class StreamForest:
                     out[i if a > b else d + i] += abs(a - b) / len(self.trees)
         return out
 
+    def near(self, x: tuple) -> list[tuple[float, tuple, int]]:
+        """(Euclidean distance, leaf's point, trees) of the leaves that the point falls to, equal points as one."""
+        count: dict[tuple, int] = {}
+        for t in self.trees:
+            if (leaf := t.leaf(x)) is not None:
+                count[leaf.point] = count.get(leaf.point, 0) + 1
+        return sorted((math.dist(x, p), p, n) for p, n in count.items())
+
     def conditional(self, x: tuple, missing: list[int]) -> list[tuple[float, tuple]]:
         """(distance over the observed coordinates, sample point) of each tree's best fit."""
         hidden = set(missing)
@@ -281,6 +297,8 @@ class Result:
     past: list[float] | None = None
     expected: list[float] | None = None
     imputes: int = 0
+    skipped: int = 0
+    delta_shift: list[float] | None = None
 
 
 @dataclass
@@ -289,7 +307,17 @@ class Detector:
 
     base: values a row; shingle: rows a point.  STREAMING_IMPUTE fills missing
     values and gaps in time by `imputation` (RCF: from the model once it is
-    ready; NEXT and LINEAR know no later row yet and repeat the last); TIME_AUGMENTED adds the normalised time step as one more value.
+    ready, the last row repeated before; rows of a gap lie on the line to the
+    row after it with LINEAR and equal that row with NEXT; for missing values
+    of a row itself those two know no later row yet and repeat the last).  Every
+    row of a gap is filled, however long it is; with `fast_forward` a gap of
+    three shingles or more that the model would fill becomes a shingle of
+    typical rows.  TIME_AUGMENTED adds the normalised time step as one more value.
+
+    initial: rows that are kept back at the start; then their missing values
+    are interpolated in time, the transforms' statistics start from all of
+    them, and they are learnt at once (their results have score 0).  By default
+    ten where statistics scale the values or time matters, else none.
     """
 
     base: int = 1
@@ -312,6 +340,8 @@ class Detector:
     ignore_ratio: float = 0.0
     impute_fraction: float = 0.5
     accept: float = 1.0
+    initial: int | None = None
+    fast_forward: bool = False
 
     def __post_init__(self) -> None:
         for value, known, what in ((self.mode, MODES, "mode"), (self.strategy, STRATEGIES, "strategy"), (self.imputation, IMPUTATIONS, "imputation")):
@@ -319,6 +349,10 @@ class Detector:
                 raise ValueError(f"unknown {what} {value}")
         if self.base < 1 or self.shingle < 1 or self.capacity < 2 or self.trees < 1:
             raise ValueError("base, shingle, trees and capacity must be positive")
+        if self.initial is None:
+            needs = self.transform in ("NORMALIZE", "NORMALIZE_DIFFERENCE", "SUBTRACT_MA") or self.mode != "STANDARD"
+            self.initial = INITIAL_ROWS if needs else 0
+        self.early: list[tuple[int, list[float | None]]] = []
         self.width = self.base + (self.mode == "TIME_AUGMENTED")
         decay = self.decay if self.decay is not None else 1 / (10 * self.capacity)
         self.forest = StreamForest(self.trees, self.capacity, decay, self.seed, self.accept)
@@ -361,6 +395,41 @@ class Detector:
             out[i] = self.fixed if self.imputation == "FIXED_VALUES" else 0.0 if self.imputation == "ZERO" else before[i]
         return out
 
+    def _start(self) -> None:
+        """The rows kept back: interpolated, the statistics' first rows, learnt."""
+        rows, self.early = self.early, []
+        times = [t for t, _ in rows]
+        missing = sum(v is None or v != v for _, own in rows for v in own)
+        columns = [self._interpolated(times, [own[j] for _, own in rows]) for j in range(self.base)]
+        if self.mode == "TIME_AUGMENTED":
+            columns.append([0.0, *[float(b - a) for a, b in pairwise(times)]])
+        for t, column in zip(self.transforms, columns, strict=True):
+            for v in column:
+                t.update(v)
+            t.last = None
+        for a, b in pairwise(times):
+            self.steps.update(float(b - a))
+        for time, *row in zip(times, *columns, strict=True):
+            self.quality.update(1 - missing / (len(rows) * self.base))
+            scaled = []
+            for t, v in zip(self.transforms, row, strict=True):
+                scaled.append(t.forward(v))
+                t.last = v
+            self.window.append(scaled)
+            self.filled.append(False)
+            del self.window[: -self.shingle], self.filled[: -self.shingle]
+            if len(self.window) == self.shingle:
+                self.forest.update(tuple(v for r in self.window for v in r))
+            self.last_time, self.last_values = time, row[: self.base]
+
+    def _interpolated(self, times: list[int], values: list[float | None]) -> list[float]:
+        """Missing values on the line between those around them, at the ends the nearest; ZERO and FIXED_VALUES fill in their own, and so do columns without any."""
+        known = [i for i, v in enumerate(values) if v is not None and v == v]
+        if not known or self.imputation in ("ZERO", "FIXED_VALUES"):
+            default = 0.0 if self.imputation == "ZERO" else self.fixed
+            return [float(values[i]) if i in known else default for i in range(len(values))]
+        return np.interp(times, [times[i] for i in known], [float(values[i]) for i in known]).tolist()
+
     def _take(self, values: list[float], time: int, filled: bool) -> tuple | None:
         """Move the window on by one row; the point once the window is full."""
         row = list(values)
@@ -377,21 +446,28 @@ class Detector:
     def step(self, values: list[float | None], time: int) -> Result:
         """Score a row, then learn it."""
         out = Result()
+        before = self.early[-1][0] if self.early else self.last_time
+        if self.mode == "STREAMING_IMPUTE" and before is not None and time <= before:
+            raise ValueError("rows must come in rising order of time")
+        if self.clock < self.initial:
+            self.clock += 1
+            out.clock = self.clock
+            self.early.append((time, list(values)))
+            if self.clock == self.initial:
+                self._start()
+            self.last = out
+            return out
+        learnt: list[tuple] = []  # rows that fill a gap are learnt with the row after it, once that is scored
         if self.mode == "STREAMING_IMPUTE" and self.last_time is not None:
-            if time <= self.last_time:
-                raise ValueError("rows must come in rising order of time")
-            gap = time - self.last_time
-            if self.steps.count > 1 and gap >= GAP_FACTOR * self.steps.mean > 0:
-                missing = min(4 * self.shingle, math.ceil(gap / self.steps.mean) - 1)
-                for _ in range(missing):
-                    self._learn(self._fill_step(time), True)
-                out.imputes = missing
+            learnt = self._fill_gap(values, time, out)
         share = sum(v is None or v != v for v in values) / len(values)
         self.quality.update(1.0 - share)
         row = self._fill(values)
         past = self.last_values
         shift, scale = [t.shift for t in self.transforms], [t.scale for t in self.transforms]
-        point = self._take(row, time, share > 0)
+        filled = share == 1
+        point = self._take(row, time, filled)
+        out.delta_shift = [t.shift - s for t, s in zip(self.transforms, shift, strict=True)]
         if self.last_time is not None:
             self.steps.update(float(time - self.last_time))
         self.last_time, self.last_values = time, row
@@ -402,24 +478,65 @@ class Detector:
             self._detect(out, point, scale, shift)
             if out.grade > 0:
                 self._explain(out, row, past)
-            self._learn(point, share > 0)
+        for x in learnt:
+            self.forest.update(x)
+        if point is not None and self._allowed():
+            self.forest.update(point)
         n = self.forest.updates
         out.ready = self.forest.ready
         out.confidence = self.quality.mean * (1 - math.exp(-n * self.forest.decay)) if out.ready else 0.0
         self.last = out
         return out
 
-    def _fill_step(self, time: int) -> tuple | None:
-        row = self._fill([None] * self.base)
-        self.last_values = row
-        return self._take(row, time, True)
-
-    def _learn(self, point: tuple | None, filled: bool) -> None:
-        if point is None:
-            return
-        if filled and sum(self.filled) > self.impute_fraction * self.shingle:
-            return
-        self.forest.update(point)
+    def _fill_gap(self, values: list[float | None], time: int, out: Result) -> list[tuple]:
+        """Move the window over the rows that a gap in time lacks; the points of them that may be learnt."""
+        gap = time - self.last_time
+        if self.steps.count <= 1 or not gap >= GAP_FACTOR * self.steps.mean > 0:
+            return []
+        missing = math.ceil(gap / self.steps.mean) - 1
+        by_model = self.imputation == "RCF" and self.forest.ready
+        learnt = []
+        if by_model and self.fast_forward and missing >= FAST_FORWARD_SHINGLES * self.shingle:
+            out.skipped, missing = missing, 0
+            self.filled = [False] * len(self.filled)
+            for _ in range(self.shingle - 1):
+                typical = [t.inverse(0.0, t.last) for t in self.transforms[: self.base]]
+                self.last_values = typical
+                point = self._take(typical, time, False)
+                learnt += [point] if point is not None and self._allowed() else []
+        first, last = self.last_values, self._fill(values)
+        for i in range(missing):
+            part = (i + 1) / (missing + 1)
+            if self.imputation == "LINEAR":
+                row = [a + (b - a) * part for a, b in zip(first, last, strict=True)]
+            else:
+                row = last if self.imputation == "NEXT" else self._fill([None] * self.base)
+            self.last_values = row
+            point = self._take(row, time, True)
+            learnt += [point] if point is not None and self._allowed() else []
+        out.imputes = missing
+        return learnt
+
+    def _allowed(self) -> bool:
+        """Whether the window may be learnt: less than `impute_fraction` of its rows are filled in."""
+        return not any(self.filled) or sum(self.filled) < self.impute_fraction * self.shingle
+
+    def pause(self, paused: bool = True) -> None:
+        """Go on scoring without learning, or (False) learn again."""
+        self.forest.paused = paused
+
+    def reconfigure(self, **settings: object) -> None:
+        """Change settings of a running detector: decay, strategy, auto_adjust, alert_once, ignore_near, ignore_ratio, impute_fraction, z, rate, fixed, fast_forward."""
+        free = ("strategy", "auto_adjust", "alert_once", "ignore_near", "ignore_ratio", "impute_fraction", "fixed", "fast_forward")
+        for name, value in settings.items():
+            if name == "decay":
+                self.forest.set_decay(value)
+            elif name in ("z", "rate"):
+                for t in (self.by_depth, self.by_distance):
+                    setattr(t, name, value)
+            elif name not in free or (name == "strategy" and value not in STRATEGIES):
+                raise ValueError(f"{name} = {value} cannot be set on a running detector")
+            setattr(self, name, value)
 
     # -- decision ----------------------------------------------------------------------------------
 
@@ -462,13 +579,33 @@ class Detector:
         rest = sum(abs(now[i] - ideal[i]) + abs(now[d + i] - ideal[d + i]) for i in range(d - difference, d))
         return rest > DIFFERENTIAL * self.significant.score and rest * d / max(1, difference) > TRIGGER_RATIO * limit
 
-    def _repaired(self, point: tuple, gap: int) -> tuple:
-        """The window as it would be had the last anomaly been as expected."""
+    def _repaired(self, point: tuple, gap: int, scale: list[float]) -> tuple:
+        """The window as it would be had the last anomaly been as expected.
+
+        Its rows up to the anomaly are those expected.  Where steps are seen,
+        the first row after it gets back what the anomaly took; a moving mean
+        that it has shifted comes back with the decay, over two shingles.
+        """
         s = self.significant
-        if s is None or s.expected_point is None or gap >= self.shingle:
+        if s is None or s.expected_point is None or gap < 1:
             return point
-        kept = len(point) - gap * self.width
-        return s.expected_point[gap * self.width :] + point[kept:]
+        n, d, out = len(point), self.width, list(point)
+        if gap < self.shingle:
+            out[: n - gap * d] = s.expected_point[gap * d :]
+        if gap <= self.shingle and s.relative == 0:
+            excess = [a - b for a, b in zip(s.point[-d:], s.expected_point[-d:], strict=True)]
+            after = n - gap * d
+            if self.transforms[0].differenced:
+                for i in range(self.base):
+                    out[after + i] += excess[i]
+            if self.mode == "TIME_AUGMENTED":
+                out[after + d - 1] += excess[-1]
+        if gap < 2 * self.shingle and self.transform in ("NORMALIZE", "SUBTRACT_MA") and s.delta_shift:
+            for i in range(self.base):
+                back = s.delta_shift[i] * math.exp(-gap * self.transforms[i].decay) / scale[i]
+                for k in range(min(gap, self.shingle)):
+                    out[n - (k + 1) * d + i] += back
+        return tuple(out)
 
     def _detect(self, out: Result, point: tuple, scale: list[float], shift: list[float]) -> None:
         depth = self.forest.score(point)
@@ -496,7 +633,7 @@ class Detector:
         if self.strategy == "MULTI_MODE_RECALL" and grade == 0 and gap >= self.shingle:
             limit, grade = self.by_distance.primary_both(distance)
             by_distance = grade > 0
-        repaired = self._repaired(point, gap)
+        repaired = self._repaired(point, gap, scale)
         corrected = score
         if grade > 0:
             level = self._signal(repaired, scale, shift)
@@ -521,7 +658,7 @@ class Detector:
         if grade > 0:
             out.relative = 0 if self.shingle == 1 else self._block(parts, start)
             at = len(point) + (out.relative - 1) * self.width
-            if self.auto_adjust and self._explained(point, at, scale):
+            if self.auto_adjust and self._explained(point, repaired, at, scale):
                 grade, out.correction = 0.0, "CONDITIONAL_FORECAST"
             else:
                 expected = self._expect(parts, at, repaired)
@@ -562,12 +699,14 @@ class Detector:
         n = self.width
         return 1.0 if any(abs(v) * scale[i % n] > PRECISION * (1 + abs(shift[i % n])) for i, v in enumerate(point)) else 0.0
 
-    def _explained(self, point: tuple, at: int, scale: list[float]) -> bool:
-        """Whether enough of the trees' conditional samples lie near the row."""
-        missing = list(range(at, at + self.width))
-        close = 0
-        for _, p in self.forest.conditional(point, missing):
-            close += all(abs(p[i] - point[i]) <= NOISE_FACTOR * self.transforms[i % self.width].stats.step.deviation / scale[i % self.width] for i in missing)
+    def _explained(self, point: tuple, repaired: tuple, at: int, scale: list[float]) -> bool:
+        """Whether enough trees hold a neighbour of the repaired point, none much farther than the others, whose row lies within the noise of the point's."""
+        near = self.forest.near(repaired)
+        if not near:
+            return False
+        mean = sum(d for d, _, _ in near) / len(near)
+        noise = [NOISE_FACTOR * t.stats.step.deviation / s for t, s in zip(self.transforms, scale, strict=True)]
+        close = sum(n for d, p, n in near if d < NEAR_FACTOR * mean and all(abs(p[at + i] - point[at + i]) <= v for i, v in enumerate(noise)))
         return close >= SUPPORT * self.trees
 
     def _near(self, point: tuple, expected: tuple, at: int, scale: list[float]) -> bool:
@@ -612,7 +751,7 @@ class Detector:
             return []
         flat = tuple(v for r in self.window for v in r)
         gap = self.clock - self.significant.clock if self.significant else self.shingle
-        window = self._repaired(flat, gap) if gap < self.shingle else flat
+        window = self._repaired(flat, gap, [t.scale for t in self.transforms]) if gap < self.shingle else flat
         steps: list[list[tuple]] = []
         for _ in range(horizon):
             window = window[self.width :] + (0.0,) * self.width
@@ -620,8 +759,34 @@ class Detector:
             got = self.forest.impute(window, missing, shares)
             window = got[0]
             steps.append([tuple(g[i] for g in got) for i in missing])
+        self.foretold = [s[-1] for s in steps] if self.mode == "TIME_AUGMENTED" else None
         columns = []
         for j, t in enumerate(self.transforms[: self.base]):
             v, lo, hi = zip(*[(s[j][0], min(s[j]), max(s[j])) for s in steps], strict=True)
             columns.append(t.inverse_range(list(v), list(lo), list(hi)))
         return [list(x) for x in zip(*columns, strict=True)]
+
+    def extrapolate_timed(self, horizon: int) -> list[tuple[list[tuple[float, float, float]], tuple[int, int, int] | None]]:
+        """For each step ahead its values as extrapolate() gives them and its time (expected, earliest, latest).
+
+        With TIME_AUGMENTED the times are forecast too, each counted on from
+        the latest of the step before; with STREAMING_IMPUTE there are none;
+        else steps are as long as they are on average, give or take 1.3
+        deviations.
+        """
+        values = self.extrapolate(horizon)
+        if not values or self.mode == "STREAMING_IMPUTE":
+            return [(v, None) for v in values]
+        out, at = [], self.last_time
+        mean, far = self.steps.mean, TIME_FACTOR * self.steps.deviation
+        for h, v in enumerate(values):
+            if self.foretold is not None:
+                t = self.transforms[-1]
+                step, low, high = (max(0.0, t.inverse(x)) for x in self.foretold[h])
+                now, early, late = (at + round(x) for x in (step, min(step, low, high), max(step, low, high)))
+                at = late
+            else:
+                now, early, late = (at + round(x) for x in (mean, max(0.0, mean - far), mean + far))
+                at = now
+            out.append((v, (now, early, late)))
+        return out
