@@ -298,6 +298,7 @@ class Result:
     expected: list[float] | None = None
     imputes: int = 0
     skipped: int = 0
+    arm: int = 0
     delta_shift: list[float] | None = None
 
 
@@ -372,6 +373,7 @@ class Detector:
         self.significant: Result | None = None
         self.run = 0
         self.clock = 0
+        self.foretold: list | None = None
         self.actual = [Deviation(0.1) for _ in range(self.width)]
         self.foreseen = [Deviation(0.1) for _ in range(self.width)]
 

@@ -67,6 +67,23 @@ class MultiSeries:
         self.rng = random.Random(self.seed)
 
     def step(self, key, value: float) -> Result:
+        """Score a row, then learn it."""
+        out = self._score(key, value)
+        self._learn(out)
+        return out
+
+    def process(self, batch: dict) -> dict:
+        """Results by id of a micro-batch (id: value): all rows are scored by the models as they are at its start, then all are learnt."""
+        found = {key: self._score(key, value) for key, value in batch.items()}
+        for out in found.values():
+            self._learn(out)
+        return found
+
+    def _learn(self, out: Result) -> None:
+        if out.point is not None and self.rng.random() < self.update_share:
+            self.forests[out.arm].update(out.point)
+
+    def _score(self, key, value: float) -> Result:
         s = self.series.setdefault(key, SeriesState(bandit=Bandit(self.models, seed=hash(str(key)) & 0xFFFF if isinstance(key, str) else int(key))))
         s.window.append(value)
         del s.window[: -self.shingle]
@@ -74,7 +91,7 @@ class MultiSeries:
         if len(s.window) < self.shingle:
             return out
         point = tuple(s.window)
-        arm = s.bandit.choose()
+        arm = out.arm = s.bandit.choose()
         forest = self.forests[arm]
         out.point, out.ready = point, forest.ready
         out.score = forest.score(point)
@@ -83,6 +100,4 @@ class MultiSeries:
             s.thresholder.observe(out.score, out.score, s.last)
             s.bandit.learn(arm, out.score)
             s.last = out.score
-        if self.rng.random() < self.update_share:
-            forest.update(point)
         return out

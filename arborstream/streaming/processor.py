@@ -2,21 +2,24 @@
 
 Rows of a micro-batch are sorted by time within each key, stepped through the
 detector that the batch scan uses, and rows that come too late go to the output
-marked as such.
+marked as such.  States are versioned (`sources.state`), so a stream resumes
+under newer code.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from ..operators.detector import Detector
+from ..operators.multi import MultiSeries
+from ..sources import state
 
 SCHEMA = "key long, time long, score double, threshold double, grade double, correction string, late boolean"
 
@@ -31,17 +34,18 @@ class DetectorProcessor(StatefulProcessor):
         self.state = handle.getValueState("detector", StructType([StructField("blob", BinaryType())]))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        detector = pickle.loads(self.state.get()[0]) if self.state.exists() else Detector(**self.settings)
+        detector = state.load(self.state.get()[0]) if self.state.exists() else Detector(**self.settings)
         pdf = pd.concat(rows).sort_values(self.time, kind="stable")
         out = []
         for values in pdf[[self.time, *self.columns]].itertuples(index=False):
             t, row = int(values[0]), [None if v != v else float(v) for v in values[1:]]
-            if detector.last_time is not None and t <= detector.last_time:
+            before = detector.early[-1][0] if detector.early else detector.last_time
+            if before is not None and t <= before:
                 out.append((key[0], t, 0.0, 0.0, 0.0, "NONE", True))
                 continue
             r = detector.step(row, t)
             out.append((key[0], t, r.score, r.threshold, r.grade, r.correction, False))
-        self.state.update((pickle.dumps(detector),))
+        self.state.update((state.dump(detector),))
         yield pd.DataFrame(out, columns=["key", "time", "score", "threshold", "grade", "correction", "late"])
 
     def close(self) -> None:
@@ -54,4 +58,45 @@ def detect_stream(stream: DataFrame, key: str, time: str, columns: list[str], **
     return stream.groupBy(key).transformWithStateInPandas(processor, outputStructType=SCHEMA, outputMode="Update", timeMode="None")
 
 
+MULTI_SCHEMA = "group long, key long, time long, score double, threshold double, grade double, late boolean"
+
+
+class MultiProcessor(StatefulProcessor):
+    """Series of a group over the group's shared models; rows of one time are a micro-batch of theirs."""
+
+    def __init__(self, settings: dict[str, Any], key: str, time: str, value: str):
+        self.settings, self.columns = settings, [time, key, value]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("models", StructType([StructField("blob", BinaryType()), StructField("time", LongType())]))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        blob, last = self.state.get() if self.state.exists() else (None, None)
+        models = state.load(blob) if blob is not None else MultiSeries(**self.settings, seed=int(key[0]))
+        pdf = pd.concat(rows)[self.columns].sort_values(self.columns[:2], kind="stable")
+        out = []
+        for t, own in pdf.groupby(self.columns[0], sort=True):
+            late = last is not None and t <= last
+            # a series that has several rows of one time is stepped through them, one micro-batch after the other
+            for _, batch in own.groupby(own.groupby(self.columns[1]).cumcount()):
+                ids = batch[self.columns[1]].tolist()
+                found = {} if late else models.process(dict(zip(ids, batch[self.columns[2]].astype(float).tolist(), strict=True)))
+                for i in ids:
+                    r = found.get(i)
+                    out.append((key[0], i, int(t), *((r.score, r.threshold, r.grade) if r else (0.0, 0.0, 0.0)), late))
+            last = t if last is None else max(last, t)
+        self.state.update((state.dump(models), int(last)))
+        yield pd.DataFrame(out, columns=["group", "key", "time", "score", "threshold", "grade", "late"])
+
+    def close(self) -> None:
+        pass
+
+
+def detect_many_stream(stream: DataFrame, key: str, time: str, value: str, groups: int = 16, **settings: Any) -> DataFrame:
+    """A streaming DataFrame of MULTI_SCHEMA: series (long ids) are dealt into `groups` groups by a hash, each with shared models (arguments of MultiSeries)."""
+    rows = stream.select(F.col(key).cast("long").alias("key"), F.col(time).alias("time"), F.col(value).alias("value"), F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(groups)).alias("group"))
+    processor = MultiProcessor(settings, "key", "time", "value")
+    return rows.groupBy("group").transformWithStateInPandas(processor, outputStructType=MULTI_SCHEMA, outputMode="Update", timeMode="None")
+
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
