@@ -533,9 +533,12 @@ class Detector:
         for name, value in settings.items():
             if name == "decay":
                 self.forest.set_decay(value)
-            elif name in ("z", "rate"):
+            elif name == "z":
+                self.by_depth.z = self.by_distance.z = value
+            elif name == "rate":
                 for t in (self.by_depth, self.by_distance):
-                    setattr(t, name, value)
+                    t.discount = t.primary.discount = t.secondary.discount = value
+                    t.below.discount = value / 2
             elif name not in free or (name == "strategy" and value not in STRATEGIES):
                 raise ValueError(f"{name} = {value} cannot be set on a running detector")
             setattr(self, name, value)

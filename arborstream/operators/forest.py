@@ -54,6 +54,17 @@ class Forest:
             total = r if total is None else total + r
         return total / len(self.trees)
 
+    def accumulate(self, queries: np.ndarray, make: Callable[[], folds.TreeFold], combine: Callable, each: Callable | None = None, finish: Callable | None = None, done: Callable | None = None) -> np.ndarray:
+        """Trees' results put together by any accumulator: `each` maps a tree's result, `combine` joins two, `done` may end the trees early, `finish` ends."""
+        total = None
+        for t in self.trees:
+            r = folds.traverse(t, queries, make())
+            r = r if each is None else each(r)
+            total = r if total is None else combine(total, r)
+            if done is not None and done(total):
+                break
+        return total if finish is None else finish(total)
+
     def per_tree(self, queries: np.ndarray, make: Callable[[], folds.TreeFold]) -> np.ndarray:
         return np.stack([folds.traverse(t, queries, make()) for t in self.trees], axis=1)
 
@@ -75,7 +86,7 @@ class Forest:
             total = m.sum(axis=1) / self.capacity
             return np.where(total > 0, total / (q * total + (t * p).sum(axis=1)), 0.0)
 
-    def approximate(self, queries: np.ndarray, make: Callable[[], folds.TreeFold] = folds.Score, precision: float = 0.1, least: int = 5, high_is_critical: bool = True) -> np.ndarray:
+    def approximate(self, queries: np.ndarray, make: Callable[[], folds.TreeFold] = folds.Score, precision: float = 0.1, least: int = 5, high_is_critical: bool = True, ignore_mass: int = 0) -> np.ndarray:
         """Mean over the leading trees, stopped once 1/precision of them are witnesses.
 
         A witness's total lies half a deviation beyond the running mean on the
@@ -87,7 +98,7 @@ class Forest:
         count, hits = np.zeros(n), np.zeros(n)
         sums, squares = np.zeros(n), np.zeros(n)
         for t in self.trees:
-            r = folds.traverse(t, queries[left], make())
+            r = folds.traverse(t, queries[left], make(), ignore_mass)
             if total is None:
                 total = np.zeros((n, *r.shape[1:]))
             total[left] += r

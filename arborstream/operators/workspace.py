@@ -9,6 +9,8 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests), under a temporary one."""
+    """A new folder under spark.checkpoint.dir; where that is unset and Spark is local (tests), under a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base or tempfile.mkdtemp(prefix='arborstream-')}/{uuid.uuid4().hex}"

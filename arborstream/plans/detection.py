@@ -18,7 +18,6 @@ from ..operators.glocal import GlobalLocal
 from ..operators.multi import MultiSeries
 from ..operators.predictive import PredictiveForest
 from ..operators.scan import scan
-from ..sources import generators
 from ..streaming.processor import ROCKSDB, detect_stream
 from .relational import ORDER, Query, events, masked, table
 
@@ -269,11 +268,6 @@ def multi_series_bandit(spark, sf_dir):
     return scan(ev, "group", ["t", "event_id"], ["user_id", "value", "event_id"], start, "user_id long, event_id long, score double, grade double")
 
 
-@query
-def generated_mixture(spark, sf_dir):
-    return generators.normal_mixture(spark, 2000, 3, seed=5).select("seq", "anomalous", "changed", *[F.get("v", F.lit(i)).alias(f"v{i}") for i in range(3)])
-
-
 @query
 def stream_replay(spark, sf_dir):
     """The detector as a stateful stream over the event files, all that is there now."""

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from .plans import detection, forests, relational
+from .plans import detection, forests, online, relational
 
 
 def queries() -> dict:
-    return {**relational.QUERIES, **forests.QUERIES, **detection.QUERIES}
+    return {**relational.QUERIES, **forests.QUERIES, **detection.QUERIES, **online.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {**relational.ORACLES, **forests.ORACLES, **detection.ORACLES}
+    return {**relational.ORACLES, **forests.ORACLES, **detection.ORACLES, **online.ORACLES}

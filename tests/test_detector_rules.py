@@ -152,7 +152,8 @@ def test_pause_and_live_settings():
     d.pause(False)
     d.step([3.0], 2010)
     assert d.forest.updates == n + 1
-    d.reconfigure(z=4.0, strategy="MULTI_MODE", decay=0.01, auto_adjust=True)
+    d.reconfigure(z=4.0, rate=0.02, strategy="MULTI_MODE", decay=0.01, auto_adjust=True)
+    assert (d.by_depth.primary.discount, d.by_distance.below.discount) == (0.02, 0.01)
     assert (d.by_depth.z, d.strategy, d.forest.decay, d.auto_adjust) == (4.0, "MULTI_MODE", 0.01, True)
     for bad in ({"shingle": 3}, {"strategy": "X"}):
         with pytest.raises(ValueError):
