@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .near import small
+
 
 def weighted_percentile(df: DataFrame, group: list[str], value: str, weight: str, shares: dict[str, float]) -> DataFrame:
     """For each group and (name: share): the first value, ascending, whose cumulative weight reaches the share.
@@ -31,11 +33,10 @@ def weighted_moments(df: DataFrame, group: list[str], value: str, weight: str) -
 def soft_assign(points: DataFrame, centres: DataFrame, distance: Column, ratio: float = 1.25) -> DataFrame:
     """Shares of each point (point_id) among the centres (centre_id) no farther than `ratio` times its nearest.
 
-    `centres` is a stated small set (at most a few dozen rows): it is the one
-    side that is sent to every executor.  A point on a centre belongs to it
+    `centres` is sent to every executor if it is counted to be small.  A point on a centre belongs to it
     alone; otherwise shares fall with the distance.
     """
-    pairs = points.join(F.broadcast(centres)).withColumn("distance", distance)
+    pairs = points.join(small(centres)).withColumn("distance", distance)
     near = F.min("distance").over(W.partitionBy("point_id"))
     close = pairs.withColumn("__n", near).where(F.col("distance") <= ratio * F.col("__n"))
     raw = F.when(F.col("__n") == 0, F.when(F.col("distance") == 0, 1.0).otherwise(0.0)).otherwise(F.col("__n") / F.col("distance"))

@@ -16,6 +16,7 @@ from ..operators.caster import Caster
 from ..operators.detector import Detector
 from ..operators.glocal import GlobalLocal
 from ..operators.multi import MultiSeries
+from ..operators.near import small
 from ..operators.predictive import PredictiveForest
 from ..operators.scan import scan
 from ..streaming.processor import ROCKSDB, detect_stream
@@ -206,7 +207,7 @@ def _condensed(points: DataFrame) -> DataFrame:
     if (sizes.agg(F.max("n")).first()[0] or 0) <= CLUSTERED:
         return equal
     parts = sizes.select(F.col("c_nationkey").alias("nation"), F.ceil(F.col("n") / PART).alias("parts"))
-    dealt = equal.join(F.broadcast(parts), F.col("c_nationkey").eqNullSafe(F.col("nation")))  # nations: a fixed list
+    dealt = equal.join(small(parts), F.col("c_nationkey").eqNullSafe(F.col("nation")))
     dealt = dealt.select("c_nationkey", "x", "w", F.pmod(F.xxhash64("x"), F.col("parts")).alias("part"))
     return _condensed(dealt.groupBy("c_nationkey", "part").applyInPandas(part, "c_nationkey int, x double, w double"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as fn
 from ..functions.uniforms import uniform, uniform_sql
-from ..operators import fills, sampler, shingle, summary
+from ..operators import fills, near, sampler, shingle, summary
 from ..operators.deviation import Deviation
 from ..operators.scan import scan
 from ..operators.thresholder import Thresholder
@@ -435,32 +435,16 @@ def initial_admission(spark, sf_dir):
 
 # ---------------------------------------------------------------- distances, neighbours, summaries
 
-_EMB = "e AS (SELECT vec_id, label, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS v FROM embeddings)"
+_EMB = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
 
 
-#: Components that the queries with SQL take of a vector; their namesakes ending in _whole, without SQL, take all.
-SHORT = 8
-
-
-def _emb(spark: SparkSession, sf_dir: str, size: int | None = SHORT) -> DataFrame:
-    v = F.col("embedding").cast("array<double>")
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.slice(v, 1, size) if size else v).alias("v"))
-
-
-def _whole(f: Callable[[SparkSession, str, int | None], DataFrame]) -> Callable[[SparkSession, str, int | None], DataFrame]:
-    """Registers the query over whole vectors beside the one over short ones."""
-
-    def run(spark, sf_dir):
-        return f(spark, sf_dir, None)
-
-    run.__name__ = f"{f.__name__}_whole"
-    query()(run)
-    return f
+def _emb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
 
 
 def _distance(name: str, f: Callable[[Column, Column], Column]) -> Query:
-    def run(spark, sf_dir, size=SHORT):
-        e = _emb(spark, sf_dir, size)
+    def run(spark, sf_dir):
+        e = _emb(spark, sf_dir)
         a = e.select((F.col("vec_id") + 1).alias("next"), F.col("vec_id").alias("a"), F.col("v").alias("va"))
         return a.join(e, F.col("next") == F.col("vec_id")).select("a", F.col("vec_id").alias("b"), six(f(F.col("va"), F.col("v"))).alias("d"))
 
@@ -473,26 +457,27 @@ for _name, _f, _sql in (
     ("dist_l2", fn.l2, "sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"),
     ("dist_linf", fn.linf, "list_max(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2])))"),
 ):
-    query(f"WITH {_EMB} SELECT a.vec_id AS a, b.vec_id AS b, {sql_six(_sql)} AS d FROM e a JOIN e b ON b.vec_id = a.vec_id + 1")(_whole(_distance(_name, _f)))
+    query(f"WITH {_EMB} SELECT a.vec_id AS a, b.vec_id AS b, {sql_six(_sql)} AS d FROM e a JOIN e b ON b.vec_id = a.vec_id + 1")(_distance(_name, _f))
 
 _PD = "sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
 
 
-@query(f"WITH {_EMB}, p AS (SELECT a.vec_id AS query, b.vec_id AS near, {_PD} AS d FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id) SELECT query, near, {sql_six('d')} AS d FROM p WHERE d < 0.25")
-@_whole
-def neighbors_within(spark, sf_dir, size=SHORT):
+#: About one in twenty pairs of the embeddings lies nearer than this.
+RADIUS = 1.25
+
+
+@query(f"WITH {_EMB}, p AS (SELECT a.vec_id AS query, b.vec_id AS near, {_PD} AS d FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id) SELECT query, near, {sql_six('d')} AS d FROM p WHERE d < {RADIUS}")
+def neighbors_within(spark, sf_dir):
     """Rows of a stated query set (every hundredth) against all rows."""
-    e = _emb(spark, sf_dir, size)
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("vq"))
-    pairs = e.join(q, F.col("vec_id") != F.col("query")).withColumn("d", fn.l2(F.col("vq"), F.col("v"))).where("d < 0.25")
-    return pairs.select("query", F.col("vec_id").alias("near"), six("d").alias("d"))
+    got = near.within(_emb(spark, sf_dir), F.col("id") % 100 == 0, RADIUS, "vec_id", "v")
+    return got.select("query", "near", six("d").alias("d"))
 
 
-_CEN = "c AS (SELECT label AS centre, list(avg_x ORDER BY i) AS v FROM (SELECT label, i, avg(x::DOUBLE) AS avg_x FROM (SELECT label, unnest(embedding[1:8]) AS x, unnest(range(8)) AS i FROM embeddings) GROUP BY label, i) GROUP BY label)"
+_CEN = "c AS (SELECT label AS centre, list(avg_x ORDER BY i) AS v FROM (SELECT label, i, avg(x::DOUBLE) AS avg_x FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY label, i) GROUP BY label)"
 
 
-def _centres(spark: SparkSession, sf_dir: str, size: int | None = SHORT) -> DataFrame:
-    e = _emb(spark, sf_dir, size).select("label", F.posexplode("v").alias("i", "x"))
+def _centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _emb(spark, sf_dir).select("label", F.posexplode("v").alias("i", "x"))
     mean = e.groupBy("label", "i").agg(F.avg("x").alias("x"))
     ordered = F.sort_array(F.collect_list(F.struct("i", "x")))
     return mean.groupBy(F.col("label").alias("centre")).agg(F.transform(ordered, lambda s: s["x"]).alias("vc"))
@@ -505,12 +490,11 @@ SELECT query, centre, {sql_six('d')} AS d FROM p b WHERE NOT EXISTS (
   SELECT 1 FROM p a WHERE a.query = b.query AND a.d < b.d
   AND {_PD.replace('a.v', 'a.bv').replace('b.v', 'b.bv')} < b.d AND b.d > sqrt(a.d * a.d + pow({_PD.replace('a.v', 'a.bv').replace('b.v', 'b.bv')}, 2)))"""
 )
-@_whole
-def neighbors_occlusion(spark, sf_dir, size=SHORT):
+def neighbors_occlusion(spark, sf_dir):
     """Cluster centres that no nearer centre hides from the query."""
-    c = _centres(spark, sf_dir, size)
-    q = _emb(spark, sf_dir, size).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "v")
-    p = q.join(F.broadcast(c)).select("query", "centre", "vc", fn.l2(F.col("v"), F.col("vc")).alias("d"))  # a handful of labels
+    c = _centres(spark, sf_dir)
+    q = _emb(spark, sf_dir).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "v")
+    p = q.join(near.small(c)).select("query", "centre", "vc", fn.l2(F.col("v"), F.col("vc")).alias("d"))
     a = p.select(F.col("query").alias("q2"), F.col("vc").alias("va"), F.col("d").alias("da"))
     between = fn.l2(F.col("va"), F.col("vc"))
     hidden = (F.col("query") == F.col("q2")) & (F.col("da") < F.col("d")) & (between < F.col("d")) & (F.col("d") > F.sqrt(F.col("da") * F.col("da") + between * between))
@@ -541,22 +525,20 @@ def sample_summary(spark, sf_dir):
 r AS (SELECT *, CASE WHEN nd = 0 THEN CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END ELSE nd / d END AS raw FROM n WHERE d <= 1.25 * nd)
 SELECT point_id, centre_id, {sql_six('raw / sum(raw) OVER (PARTITION BY point_id)')} AS share FROM r"""
 )
-@_whole
-def soft_assign_step(spark, sf_dir, size=SHORT):
-    points = _emb(spark, sf_dir, size).select(F.col("vec_id").alias("point_id"), "v")
-    centres = _centres(spark, sf_dir, size).withColumnRenamed("centre", "centre_id")
+def soft_assign_step(spark, sf_dir):
+    points = _emb(spark, sf_dir).select(F.col("vec_id").alias("point_id"), "v")
+    centres = _centres(spark, sf_dir).withColumnRenamed("centre", "centre_id")
     got = summary.soft_assign(points, centres, fn.l2(F.col("v"), F.col("vc")))
     return got.select("point_id", "centre_id", six("share").alias("share"))
 
 
 @query(
-    """WITH x AS (SELECT label, i, v, sum(w) AS w FROM (SELECT label, unnest(range(8))::INTEGER AS i, unnest(embedding[1:8])::DOUBLE AS v, (1 + vec_id % 3)::DOUBLE AS w FROM embeddings) GROUP BY ALL),
+    """WITH x AS (SELECT label, i, v, sum(w) AS w FROM (SELECT label, unnest(range(len(embedding)))::INTEGER AS i, unnest(embedding)::DOUBLE AS v, (1 + vec_id % 3)::DOUBLE AS w FROM embeddings) GROUP BY ALL),
 r AS (SELECT *, sum(w) OVER (PARTITION BY label, i ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r, sum(w) OVER (PARTITION BY label, i) AS t FROM x)
 SELECT label, i, min(v) FILTER (r >= 0.5 * t) AS median FROM r GROUP BY label, i"""
 )
-@_whole
-def weighted_median_center(spark, sf_dir, size=SHORT):
-    e = _emb(spark, sf_dir, size).select("label", (1 + F.col("vec_id") % 3).cast("double").alias("w"), F.posexplode("v").alias("i", "x"))
+def weighted_median_center(spark, sf_dir):
+    e = _emb(spark, sf_dir).select("label", (1 + F.col("vec_id") % 3).cast("double").alias("w"), F.posexplode("v").alias("i", "x"))
     return summary.weighted_percentile(e, ["label", "i"], "x", "w", {"median": 0.5})
 
 
@@ -571,8 +553,8 @@ def edit_distance_assign(spark, sf_dir):
     """Strings to the nearest of a small set of representatives by edit distance."""
     p = table(spark, sf_dir, "part")
     reps = p.groupBy(F.col("p_brand").alias("brand")).agg(F.min("p_name").alias("rep"))
-    near = p.join(F.broadcast(reps)).withColumn("d", F.levenshtein("p_name", "rep"))  # brands: a fixed list
-    return near.groupBy("p_partkey").agg(F.min(F.struct("d", "brand")).alias("m")).select("p_partkey", "m.brand", "m.d")
+    each = p.join(near.small(reps)).withColumn("d", F.levenshtein("p_name", "rep"))
+    return each.groupBy("p_partkey").agg(F.min(F.struct("d", "brand")).alias("m")).select("p_partkey", "m.brand", "m.d")
 
 
 # ---------------------------------------------------------------- scores, thresholds, forecasts
@@ -596,13 +578,12 @@ def score_functions(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_EMB}, b AS (SELECT list(lo ORDER BY i) AS lo, list(hi ORDER BY i) AS hi FROM (SELECT i, min(x) AS lo, max(x) AS hi FROM (SELECT unnest(v) AS x, unnest(range(8)) AS i FROM e WHERE label = 0) GROUP BY i)),
-g AS (SELECT vec_id, list_sum(list_transform(range(1, 9), lambda i: greatest(0, v[i] - hi[i]) + greatest(0, lo[i] - v[i]))) AS s, list_sum(list_transform(range(1, 9), lambda i: hi[i] - lo[i])) AS r FROM e, b)
+    f"""WITH {_EMB}, b AS (SELECT list(lo ORDER BY i) AS lo, list(hi ORDER BY i) AS hi FROM (SELECT i, min(x) AS lo, max(x) AS hi FROM (SELECT unnest(v) AS x, unnest(range(len(v))) AS i FROM e WHERE label = 0) GROUP BY i)),
+g AS (SELECT vec_id, list_sum(list_transform(range(1, len(v) + 1), lambda i: greatest(0, v[i] - hi[i]) + greatest(0, lo[i] - v[i]))) AS s, list_sum(list_transform(range(1, len(v) + 1), lambda i: hi[i] - lo[i])) AS r FROM e, b)
 SELECT vec_id, {sql_six('CASE WHEN s = 0 THEN 0 ELSE s / (s + r) END')} AS p FROM g"""
 )
-@_whole
-def cut_probability(spark, sf_dir, size=SHORT):
-    e = _emb(spark, sf_dir, size)
+def cut_probability(spark, sf_dir):
+    e = _emb(spark, sf_dir)
     sides = e.where("label = 0").select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     side = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("i", c))), lambda s: s[c]).alias(c)
     box = sides.agg(side("lo"), side("hi"))
