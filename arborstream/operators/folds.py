@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from typing import Protocol
+from typing import Any, Protocol
 
 import numpy as np
 
@@ -185,7 +185,15 @@ class Attribution:
 
 
 class Density:
-    """Directional measure, distances and probability mass: an array of 3 a query and slot."""
+    """Directional measure, distances and probability mass: an array of 3 a query and slot.
+
+    field(node's mass, what the leaf brings) is what a separation there is
+    worth, by default their sum; influence(gaps) weighs it by the distance in
+    each direction, by default alike.
+    """
+
+    def __init__(self, field: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.add, influence: Callable[[np.ndarray], np.ndarray] = np.ones_like):
+        self.field, self.influence = field, influence
 
     def leaf(self, level: Level, equal: np.ndarray, tree: Tree) -> None:
         d2 = level.gaps.shape[1]
@@ -194,7 +202,7 @@ class Density:
         with np.errstate(invalid="ignore", divide="ignore"):
             share = np.where(whole > 0, level.gaps / whole, 0.0)
         same = np.full(level.gaps.shape, 1.0 / d2)  # an equal point lies on no side: its mass goes to all alike
-        self.measure = np.where(equal[:, None], same * self.mass[:, None], share * (level.mass + 1.0)[:, None])
+        self.measure = np.where(equal[:, None], same * self.mass[:, None], share * self.field(level.mass, np.ones(len(share)))[:, None] * self.influence(level.gaps))
         self.prob = np.where(equal[:, None], same, share)
         self.distance = np.where(equal[:, None], 0.0, share * level.gaps)
 
@@ -205,7 +213,7 @@ class Density:
             each = np.where(whole > 0, level.gaps / whole, 0.0)
         stay = 1.0 - each.sum(axis=1)[:, None]
         old = np.tile(level.high - level.low, 2)[:, : 2 * d]
-        self.measure[r] = each * (level.mass + self.mass[r])[:, None] + stay * self.measure[r]
+        self.measure[r] = each * self.field(level.mass, self.mass[r])[:, None] * self.influence(level.gaps) + stay * self.measure[r]
         self.prob[r] = each + stay * self.prob[r]
         self.distance[r] = each * (level.gaps + old) + stay * self.distance[r]
 
@@ -253,35 +261,67 @@ def neighbours(tree: Tree, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return point, np.sqrt(((tree.points[point] - queries) ** 2).sum(axis=1))
 
 
-def conditional(tree: Tree, query: np.ndarray, missing: list[int], centrality: float = 1.0, random: Callable[[], float] | None = None) -> tuple[int, float]:
-    """The sample point that fits the observed coordinates best: both sides of a cut on a missing one are tried.
+class BranchFold(Protocol):
+    """A fold that may go down both sides of a cut: what a leaf gives, how two sides meet, and what a node makes of what comes from below."""
 
-    Of the two the lower rank wins: the chance of being separated, damped by
-    `centrality` (1: rank alone; 0: at random).  Returns the point and its L1
-    distance over the observed coordinates.
-    """
-    hidden = set(missing)
-    observed = [i for i in range(len(query)) if i not in hidden]
-
-    def visit(n: int) -> tuple[float, int, float, np.ndarray]:
-        if tree.dim[n] < 0:
-            p = int(tree.point[n])
-            filled = query.copy()
-            filled[missing] = tree.points[p][missing]
-            far = float(np.abs(tree.points[p][observed] - query[observed]).sum())
-            rank = 0.0 if far == 0 else 1.0 / (float(tree.depth[n]) + 1.0)
-            return rank, p, far, filled
-        if tree.dim[n] in hidden:
-            best = min((visit(c) for c in (tree.left[n], tree.right[n])), key=lambda r: centrality * r[0] + (1 - centrality) * (random() if random else 0.5))
+    def splits(self, dim: int) -> bool: ...
+    def leaf(self, tree: Tree, node: int) -> Any: ...
+    def combine(self, left: Any, right: Any) -> Any: ...
+    def up(self, tree: Tree, node: int, below: Any) -> Any: ...
+
+
+def branch(tree: Tree, query: np.ndarray, fold: BranchFold) -> Any:
+    """Run a branching fold: both sides of a cut where it splits, else the query's side; the root's value."""
+
+    def visit(n: int) -> Any:
+        d = int(tree.dim[n])
+        if d < 0:
+            return fold.leaf(tree, n)
+        if fold.splits(d):
+            below = fold.combine(visit(tree.left[n]), visit(tree.right[n]))
         else:
-            best = visit(tree.left[n] if query[tree.dim[n]] <= tree.value[n] else tree.right[n])
-        rank, p, far, filled = best
-        s = float(np.maximum(0, filled - tree.high[n]).sum() + np.maximum(0, tree.low[n] - filled).sum())
-        r = float((tree.high[n] - tree.low[n]).sum())
+            below = visit(tree.left[n] if query[d] <= tree.value[n] else tree.right[n])
+        return fold.up(tree, n, below)
+
+    return visit(0)
+
+
+class Conditional:
+    """The sample point that fits the observed coordinates best: (rank, point, distance, query filled in by it).
+
+    Of two sides the lower rank wins: the chance of being separated, damped by
+    `centrality` (1: rank alone; 0: at random).
+    """
+
+    def __init__(self, query: np.ndarray, missing: list[int], centrality: float = 1.0, random: Callable[[], float] | None = None):
+        self.query, self.missing, self.hidden = query, missing, set(missing)
+        self.observed = [i for i in range(len(query)) if i not in self.hidden]
+        self.centrality, self.random = centrality, random or (lambda: 0.5)
+
+    def splits(self, dim: int) -> bool:
+        return dim in self.hidden
+
+    def leaf(self, tree: Tree, node: int) -> tuple[float, int, float, np.ndarray]:
+        p = int(tree.point[node])
+        filled = self.query.copy()
+        filled[self.missing] = tree.points[p][self.missing]
+        far = float(np.abs(tree.points[p][self.observed] - self.query[self.observed]).sum())
+        return (0.0 if far == 0 else 1.0 / (float(tree.depth[node]) + 1.0)), p, far, filled
+
+    def combine(self, left: tuple, right: tuple) -> tuple:
+        return min(left, right, key=lambda r: self.centrality * r[0] + (1 - self.centrality) * self.random())
+
+    def up(self, tree: Tree, node: int, below: tuple) -> tuple:
+        rank, p, far, filled = below
+        s = float(np.maximum(0, filled - tree.high[node]).sum() + np.maximum(0, tree.low[node] - filled).sum())
+        r = float((tree.high[node] - tree.low[node]).sum())
         chance = s / (s + r) if s > 0 else 0.0
-        return chance / (float(tree.depth[n]) + 1.0) + (1 - chance) * rank, p, far, filled
+        return chance / (float(tree.depth[node]) + 1.0) + (1 - chance) * rank, p, far, filled
 
-    _, p, far, _ = visit(0)
+
+def conditional(tree: Tree, query: np.ndarray, missing: list[int], centrality: float = 1.0, random: Callable[[], float] | None = None) -> tuple[int, float]:
+    """The sample point that fits the observed coordinates best, and its L1 distance over them."""
+    _, p, far, _ = branch(tree, query, Conditional(query, missing, centrality, random))
     return p, far
 
 

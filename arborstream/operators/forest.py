@@ -65,6 +65,10 @@ class Forest:
                 break
         return total if finish is None else finish(total)
 
+    def branch(self, query: np.ndarray, make: Callable[[], folds.BranchFold]) -> list:
+        """Each tree's value of a fold that may go down both sides of a cut."""
+        return [folds.branch(t, query, make()) for t in self.trees]
+
     def per_tree(self, queries: np.ndarray, make: Callable[[], folds.TreeFold]) -> np.ndarray:
         return np.stack([folds.traverse(t, queries, make()) for t in self.trees], axis=1)
 

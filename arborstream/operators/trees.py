@@ -57,6 +57,16 @@ class Tree:
                 sums[n] = sums[self.left[n]] + sums[self.right[n]]
         return sums / self.mass[:, None]
 
+    def propagate(self, attributes: list, combine: Callable) -> list:
+        """An attribute for every node: each point's own (in the order of `points`) are combined from the leaves up."""
+        out: list = [None] * len(self.dim)
+        for n in range(len(self.dim) - 1, -1, -1):
+            own = [attributes[i] for i in self.members[n]] if self.dim[n] < 0 else [out[self.left[n]], out[self.right[n]]]
+            out[n] = own[0]
+            for a in own[1:]:
+                out[n] = combine(out[n], a)
+        return out
+
     def validate(self) -> None:
         """Masses add up, and boxes hold their children's; raises ValueError otherwise."""
         for n in np.flatnonzero(self.dim >= 0):
