@@ -33,9 +33,11 @@ SHARED = 14
 #: A key of more classes is hot: only classes with SHARED hot keys meet by it
 #: (any others that are linked share a key that is not hot).
 HOT = 128
-#: Classes of a unit; more are cut into chunks of about so many that meet pairwise ...
+#: Classes of a unit; larger units are cut into chunks of about so many ...
 CHUNK = 2048
-#: ... and so are units where classes times shingles are more than this, which
+#: ... that first meet so many of the unit's classes; only what is not linked to most of the unit by then meets all chunks.
+PIVOTS = 8
+#: Units are cut as well where classes times shingles are more than this, which
 #: bounds the bitmaps of two chunks by a quarter of so many bytes.
 UNIT_PRODUCT = 1 << 30
 #: Smallest keys that are not hot, and smallest hot ones, by which a class meets
@@ -247,6 +249,50 @@ def _candidates(keys: DataFrame) -> DataFrame:
     return result.withColumn("rank", rank).where(F.col("rank") <= USED).select("key", "c", "n_shingles")
 
 
+def _linked(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (u, v) that join the linked classes of each unit of `members` (unit, c)."""
+    with_sets = members.join(sets, F.col("c") == F.col("sc")).select("unit", "c", "shingles")
+    return with_sets.repartition("unit").sortWithinPartitions("unit").mapInArrow(_units, "u long, v long")
+
+
+def _roots(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, root) of the components of all units of `members` (unit, n, cuts, i, c).
+
+    A unit of several chunks i would cost the square of its size if all chunks
+    met.  Only components are asked for, so each chunk first meets itself and
+    PIVOTS classes of the unit; what these join to the unit's largest component
+    needs no comparison within it.  The rest, in chunks of its own, then meets
+    all chunks: every pair that could still join two components stands in some
+    unit.
+    """
+    hot = members.where("cuts > 1")
+    if hot.isEmpty():
+        return components(_linked(members.select("unit", "c"), sets))
+    sets = cut(sets)
+    hot = cut(hot)
+    rank = F.row_number().over(W.partitionBy("unit").orderBy(F.xxhash64(F.lit(2), "c"), "c"))
+    pivots = hot.withColumn("rank", rank).where(F.col("rank") <= PIVOTS)
+    pivots = pivots.select("unit", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("i"), "c")
+    first = hot.select("unit", "i", "c").unionByName(pivots).select(F.xxhash64("unit", "i").alias("unit"), "c").distinct()
+    first = members.where("cuts = 1").select(F.xxhash64("unit", F.lit(-1)).alias("unit"), "c").unionByName(first)
+    edges = cut(_linked(first, sets))
+    roots = components(edges)
+    known = cut(hot.join(roots, F.col("c") == F.col("node"), "left").select("unit", "n", "cuts", "i", "c", F.coalesce("root", "c").alias("root")))
+    sizes = known.groupBy("unit", "root").agg(F.count("*").alias("size"))
+    most = sizes.groupBy(F.col("unit").alias("mu")).agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("top"))
+    # chunks of the rest, in the measure of the unit's own
+    most = most.where("all > top").withColumn("rest", F.col("all") - F.col("top"))
+    told = known.join(most, F.col("unit") == F.col("mu")).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rest") * F.col("cuts") / F.col("all"))).cast("int"))
+    told = cut(told.select("unit", "cuts", "parts", "i", "c", (F.col("root") != F.col("main")).alias("left")))
+    if told.isEmpty():
+        return roots
+    part = F.pmod(F.xxhash64(F.lit(3), "c"), F.col("parts")).cast("int")
+    here = told.where("left").select("unit", part.alias("p"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("i"), "c")
+    there = told.select("unit", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), "i", "c")
+    second = here.unionByName(there).select(F.xxhash64("unit", "p", "i").alias("unit"), "c").distinct()
+    return components(edges.unionByName(_linked(second, sets)))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id for every row.
 
@@ -280,15 +326,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.count("*").alias("n"), F.sum("n_shingles").alias("total"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "c")).alias("y")
     )
     units = mark.where("n > 1").groupBy("n", "total", "x", "y").agg(F.min("key").alias("unit"))
-    members = met.join(units.select("unit", "n", "total"), F.col("key") == F.col("unit")).select("unit", "n", "total", "c")
+    members = met.join(units.select("unit", "n", "total"), F.col("key") == F.col("unit"))
     # of so many chunks each has its part of the classes and of the shingles
     cuts = F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.sqrt(F.col("n") * F.col("total") / UNIT_PRODUCT)))).cast("int")
-    chunk = F.pmod(F.xxhash64("c"), cuts).cast("int")
-    # every pair of chunks is a unit, which holds the pairs inside them too
-    other = F.when(cuts == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), cuts - 1), chunk))
-    members = members.select("unit", "c", chunk.alias("i"), F.explode(other).alias("j"))
-    members = members.select(F.xxhash64("unit", F.least("i", "j"), F.greatest("i", "j")).alias("unit"), "c")
-    members = cut(members)
+    members = cut(members.select("unit", "n", cuts.alias("cuts"), F.pmod(F.xxhash64("c"), cuts).cast("int").alias("i"), "c"))
 
     needed = sketch.join(members.select("c").distinct(), F.col("uid") == F.col("c")).select("c", "doc_id", "set_id")
     slots = needed.select("doc_id").mapInArrow(_slots, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
@@ -298,10 +339,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = needed.select("c", F.col("doc_id").alias("nd"), F.col("set_id").alias("ns"))
     sets = sets.join(named, F.col("doc_id").eqNullSafe(F.col("nd")) & (F.col("set_id") == F.col("ns"))).select(F.col("c").alias("sc"), "shingles")
     sets = sets.groupBy("sc").agg(F.first("shingles").alias("shingles"))  # a row that stands several times is one set; the join below needs this order too
-    with_sets = members.join(sets, F.col("c") == F.col("sc")).select("unit", "c", "shingles")
-    edges = with_sets.repartition("unit").sortWithinPartitions("unit").mapInArrow(_units, "u long, v long")
-
-    roots = components(edges)
+    roots = _roots(members, sets)
     rooted = classes.join(roots, F.col("c") == F.col("node"), "left").select("set_id", "low", F.coalesce("root", "c").alias("root"))
     least = rooted.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("component_id"))
     named = rooted.join(least, F.col("root") == F.col("r")).select(F.col("set_id").alias("cs"), "component_id")
