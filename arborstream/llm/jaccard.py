@@ -262,7 +262,8 @@ def _roots(members: DataFrame, sets: DataFrame) -> DataFrame:
     met.  Only components are asked for, so each chunk first meets itself and
     PIVOTS classes of the unit; what these join to the unit's largest component
     needs no comparison within it.  The rest, in chunks of its own, then meets
-    all chunks: every pair that could still join two components stands in some
+    all chunks, or, where it is more than half of the unit, all chunks meet
+    pairwise: every pair that could still join two components stands in some
     unit.
     """
     hot = members.where("cuts > 1")
@@ -283,14 +284,18 @@ def _roots(members: DataFrame, sets: DataFrame) -> DataFrame:
     # chunks of the rest, in the measure of the unit's own
     most = most.where("all > top").withColumn("rest", F.col("all") - F.col("top"))
     told = known.join(most, F.col("unit") == F.col("mu")).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rest") * F.col("cuts") / F.col("all"))).cast("int"))
-    told = cut(told.select("unit", "cuts", "parts", "i", "c", (F.col("root") != F.col("main")).alias("left")))
+    told = cut(told.select("unit", "cuts", "parts", "i", "c", (F.col("root") != F.col("main")).alias("left"), (2 * F.col("rest") > F.col("all")).alias("most_left")))
     if told.isEmpty():
         return roots
+    other = F.array_remove(F.sequence(F.lit(0), F.col("cuts") - 1), F.col("i"))
+    paired = told.where("most_left").select("unit", "i", F.explode(other).alias("j"), "c")
+    paired = paired.select(F.xxhash64("unit", F.lit(-2), F.least("i", "j"), F.greatest("i", "j")).alias("unit"), "c")
+    told = told.where("not most_left")
     part = F.pmod(F.xxhash64(F.lit(3), "c"), F.col("parts")).cast("int")
     here = told.where("left").select("unit", part.alias("p"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("i"), "c")
     there = told.select("unit", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), "i", "c")
     second = here.unionByName(there).select(F.xxhash64("unit", "p", "i").alias("unit"), "c").distinct()
-    return components(edges.unionByName(_linked(second, sets)))
+    return components(edges.unionByName(_linked(second.unionByName(paired), sets)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
