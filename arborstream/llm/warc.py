@@ -14,6 +14,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
@@ -38,6 +39,8 @@ HEADER_FIELDS = {
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 ROWS_OUT = 256
+#: Archives that the driver gives their names at once when a write ends.
+COMMIT_THREADS = 32
 _EXTRA = b"sl"
 
 
@@ -304,10 +307,13 @@ class WarcWriter(DataSourceWriter):
 
     def commit(self, messages: list[Written]) -> None:
         fs, _ = file_system(self.path)
-        for m in messages:
-            if m and m.path:
-                folder, _, name = m.path.rpartition("/")
-                fs.move(m.path + ".part", f"{folder}/{name[1:]}")
+
+        def name(path: str) -> None:
+            folder, _, last = path.rpartition("/")
+            fs.move(path + ".part", f"{folder}/{last[1:]}")
+
+        with ThreadPoolExecutor(COMMIT_THREADS) as pool:  # a file a task, and stores answer slowly
+            list(pool.map(name, [m.path for m in messages if m and m.path]))
 
     def abort(self, messages: list[Written]) -> None:
         fs, _ = file_system(self.path)
