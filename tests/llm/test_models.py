@@ -258,6 +258,33 @@ def test_law_without_hits_and_with_too_many():
     assert toxicity.law(np.array([-3.0]), 100, 0, np.empty(0)) == (1.0, 0.0)
 
 
+def calibration(n, gap):
+    """log1p surprise, label and weight of n clean texts, a fiftieth of them up to 2.2, and n toxic ones from 2.2 + gap on."""
+    some = n // 50
+    x = np.concatenate([np.zeros(n - some), np.linspace(0.9, 2.2, some), 2.2 + gap + 1.4 * -np.log1p(-np.linspace(0, 0.99, n))])
+    y = np.repeat([0.0, 1.0], n)
+    return x, y, np.where(y > 0, 1.0, 11.5)
+
+
+@pytest.mark.parametrize("n", [500, 2000, 8000, 20000])
+@pytest.mark.parametrize("gap", [-0.2, 0.0, 0.05, 0.1, 0.2, 0.3, 0.6])
+def test_calibration_reaches_its_minimum(n, gap):
+    x, y, w = calibration(n, gap)
+    base, slope = toxicity._logistic(x, y, w)
+    p = (1 + np.tanh((base + slope * x) / 2)) / 2
+    assert abs((w * (y - p)).sum() - 1e-3 * base) < 1e-4 and abs((w * (y - p) * x).sum() - 1e-3 * slope) < 1e-4
+    assert (p[y > 0] >= 0.5).mean() > 0.8 and (p[y == 0] < 0.5).mean() > 0.99
+
+
+def test_calibration_outlasts_repeated_chance_words_and_backward_labels():
+    x, y, w = calibration(8000, 0.3)
+    x, y, w = np.append(x, [5.85] * 6), np.append(y, [0.0] * 6), np.append(w, [11.5] * 6)
+    base, slope = toxicity._logistic(x, y, w)
+    assert (base + slope * x[y > 0] >= 0).mean() > 0.99
+    base, slope = toxicity._logistic(np.array([0.0, 0.0, 1.0, 2.0]), np.array([1.0, 1.0, 0.0, 0.0]), np.array([1.0, 1.0, 1.0, 5.0]))
+    assert slope == 0 and math.isclose(1 / (1 + math.exp(-base)), 0.25, abs_tol=1e-3)
+
+
 def test_toxicity_of_long_repeated_and_extra(spark, edge):
     rows = multilingual(2500)
     texts = [(r[0], r[1]) for r in rows] + [(9000, "calm " * 60_000 + "vermina verminen verminost"), (9001, "calm " * 60_000), (9002, None), (9002, None), (9003, "!!")]
