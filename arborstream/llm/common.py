@@ -191,23 +191,23 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 class Words:
-    """Words `[^\\x20\\x09-\\x0D]+` of a chunk of rows after lower-casing A-Z.
+    """Words of a chunk of rows after lower-casing A-Z: runs of bytes outside `between`, by default `[^\\x20\\x09-\\x0D]+`.
 
     starts, ends: byte offsets in the chunk; row: the row of each word;
     hash: 64-bit hash; first: index of each row's first word (rows + 1 entries).
     """
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray):
+    def __init__(self, raw: np.ndarray, off: np.ndarray, between: np.ndarray = _SPACE):
         self.low = _LOWER[raw]
-        self.starts, self.ends, self.row = runs_of(self.low, off, ~_SPACE[self.low])
+        self.starts, self.ends, self.row = runs_of(self.low, off, ~between[self.low])
         self.hash = span_hash(_BYTE[self.low], self.starts, self.ends) if len(self.starts) else np.empty(0, U64)
         self.first = np.searchsorted(self.row, np.arange(len(off)))
 
 
-def word_chunks(arr: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
+def word_chunks(arr: pa.Array, most: int = CHUNK_BYTES, between: np.ndarray = _SPACE) -> Iterator[tuple[int, int, Words]]:
     raw, off = text_buffer(arr)
     for lo, hi in chunks(off, most):
-        yield lo, hi, Words(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+        yield lo, hi, Words(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], between)
 
 
 _K = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)]

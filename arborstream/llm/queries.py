@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html, jaccard, langid, mixing, packing, sharding, topk, toxicity, warc
+from . import decontam, fingerprints, html, jaccard, langid, lloyd, middle, mixing, packing, sharding, topk, toxicity, warc
 from .common import load
 
 
@@ -57,6 +57,24 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"), max_repeat=2.0)
 
 
+def op11_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lloyd.lloyd(load(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256.0, seed=2)
+    # as many rows as there are centroids
+    digest = F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256")
+    table = found.centroids.select("cluster", F.col("inertia").alias("cluster_inertia"), F.col("total").alias("inertia"), digest)
+    return found.assigned.join(F.broadcast(table), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = middle.restore(middle.fill_in_middle(load(spark, sf_dir, "documents"), seed=1, plain_percent=10, spm_percent=20))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), window=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -69,6 +87,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_sharding": op8_byte_sharding,
         "op9_warc": op9_warc,
         "op10_temperature_mixing": op10_temperature_mixing,
+        "op11_dual_tree_lloyd": op11_dual_tree_lloyd,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_benchmark_decontamination": op13_benchmark_decontamination,
     }
 
 
@@ -134,5 +155,73 @@ FROM d
 """
 
 
+
+
+def _op11(k: int = 40, rounds: int = 5) -> str:
+    """Every round as two table expressions: nearest centroids, then floors of means."""
+    steps = [
+        f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), embedding) - 1)::INTEGER AS c, q FROM v QUALIFY c < {k})"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, min(struct_pack(d := d, c := c)) AS s FROM (
+    SELECT v.r, c{i}.c, list_sum(list_transform(list_zip(v.q, c{i}.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{i}) GROUP BY r)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS MATERIALIZED (
+  SELECT c, list(m ORDER BY p) AS q FROM (
+    SELECT c, p, (s - (((s % n) + n) % n)) // n AS m FROM (
+      SELECT s.c AS c, p, sum(x)::BIGINT AS s, count(*) AS n FROM (
+        SELECT a{i}.s AS s, unnest(v.q) AS x, unnest(range(64)) AS p FROM v JOIN a{i} USING (r)) GROUP BY ALL)) GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(m{i}.q, c{i}.q) AS q FROM c{i} LEFT JOIN m{i} USING (c))""")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, s.c AS cluster, s.d AS distance, sum(s.d) OVER (PARTITION BY s.c)::BIGINT AS cluster_inertia, sum(s.d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c{rounds}.q, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} USING (r) JOIN c{rounds} ON c{rounds}.c = s.c
+"""
+
+
+_OP12 = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+g AS (
+  SELECT doc_id, t, length(t) AS n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS g FROM t),
+f AS (
+  SELECT *, CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR g[3] % 100 >= 90 THEN 'plain' WHEN g[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+    least(g[1] % (n + 1), g[2] % (n + 1)) AS a, greatest(g[1] % (n + 1), g[2] % (n + 1)) AS b FROM g),
+o AS (
+  SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1) AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM o
+"""
+
+_OP13_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_OP13_WORDS} AS ws FROM documents),
+i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_OP13_WORDS} AS ws FROM benchmark),
+w AS MATERIALIZED (
+  SELECT DISTINCT item, least(len(ws), 10) AS n, array_to_string(ws[s:s + least(len(ws), 10) - 1], ' ') AS w FROM (
+    SELECT item, ws, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS s FROM i WHERE len(ws) > 0)),
+p AS (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM w) WHERE len(ws) >= n),
+o AS MATERIALIZED (SELECT r, s, w.n, item FROM (SELECT r, s, n, array_to_string(ws[s:s + n - 1], ' ') AS w FROM p) p JOIN w ON w.w = p.w AND w.n = p.n),
+h AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS x FROM (SELECT DISTINCT r, s, n FROM o)) GROUP BY r),
+l AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM o) GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN l USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_signature_tree_jaccard": _OP2, "op3_exact_topk": _OP3, "op8_byte_sharding": _OP8, "op9_warc": _OP9}
+    return {
+        "op2_signature_tree_jaccard": _OP2,
+        "op3_exact_topk": _OP3,
+        "op8_byte_sharding": _OP8,
+        "op9_warc": _OP9,
+        "op11_dual_tree_lloyd": _op11(),
+        "op12_fill_in_middle": _OP12,
+        "op13_benchmark_decontamination": _OP13,
+    }
