@@ -5,10 +5,12 @@ path within its host; blocks that both share are the site's frame and go.
 Differencing alone gives wrong results in two ways: a frame may differ from
 page to page (menus of other words, a footer with a changing line), and two
 pages may truly share lines of their articles.  So marked-up frames go whatever
-the neighbour holds, and blocks inside an article stay.  A third: a page's
-nearest page may be a copy of it, which shares everything.  So pages of one
-path, or of nearly the same text, that follow each other are a run, and each
-page of a run is differenced against the pages beside the run.
+the neighbour holds, and blocks inside an article stay.  A mark is an element,
+a role, a hidden state or a whole class; where a word is only part of a class,
+the neighbour decides.  A third: a page's nearest page may be a copy of it,
+which shares everything.  So pages of one path and query, or of nearly the same
+text, that follow each other are a run, and each page of a run is differenced
+against the pages beside the run.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ from pyspark.sql import functions as F
 from .common import arrow_rows
 from .neighbours import AFTER, BEFORE, OWN, deal, ranges, unsqueeze
 
+#: Text, frame, whether it is the article's.
+Block = tuple[str, int, bool]
+
 # Elements of HTML by their part in a page.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -37,45 +42,77 @@ DROPPED = frozenset("nav header footer aside form script style noscript template
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 KEPT = frozenset("article main".split())
-#: Words of class, id and role that mark frames.
+#: Classes and ids (whole ones) that mark frames.
 FRAME_WORDS = frozenset(
-    "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary contentinfo cookie cookies "
-    "disqus footer header menu menubar modal nav navbar navigation newsletter notice notices pagination popup promo promoted related replies respond search "
-    "share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs complementary contentinfo cookie cookies footer header menu menubar "
+    "modal nav navbar navigation newsletter notice notices pagination popup promo promoted related search share sharing sidebar signup skip social sponsor "
+    "sponsored subscribe toolbar widget".split()
 )
+#: Classes and ids of reader comments, which are often articles themselves.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies respond".split())
+#: Roles that mark frames, and those that mark the article.
+FRAME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar".split())
+KEPT_ROLES = frozenset("article main".split())
 #: Pages that share this part of their text outside marked frames (by characters, of the longer one) are copies.
 COPY = 0.9
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+#: Of a block: the article's or none of these; in a frame by its class alone; in a frame by its element, role or state.
+PLAIN, MARKED, FRAME = 0, 1, 2
+# a quote opens a value only right after the equals sign
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*(?:"[^"]*"|'[^']*'|[^\s>]*+))*+)>""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|(\S*)))?""")
+_TELLING = re.compile("class|id|role|hidden|style", re.I)
+_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
-def _is_frame(tag: str, attributes: str) -> bool:
-    if tag in DROPPED:
-        return True
-    if not attributes or tag in ("html", "body"):
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    for m in _MARK.finditer(attributes):
-        if not FRAME_WORDS.isdisjoint(_WORD.findall((m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return False
+def attributes_of(text: str) -> dict[str, str]:
+    """Attributes of a tag by lower-case name; of repeated ones the first."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
+    return found
 
 
-def blocks(html: str) -> list[tuple[str, bool, bool]]:
-    """Text blocks in page order: (text, whether in a marked frame, whether in an article or main element).
+def _signs(tag: str, text: str) -> tuple[int, bool, bool]:
+    """What an element says of its blocks: frame (PLAIN, MARKED or FRAME), whether it is the article, whether a part of a class is a frame word.
+
+    An article's own classes say nothing of its text, but for reader comments.
+    """
+    if tag in DROPPED:
+        return FRAME, False, False
+    kept = tag in KEPT
+    if not text or not _TELLING.search(text):
+        return PLAIN, kept, False
+    own = attributes_of(text)
+    roles = set(own.get("role", "").lower().split())
+    kept = kept or not roles.isdisjoint(KEPT_ROLES)
+    hidden = own.get("hidden", "until-found").lower() != "until-found" or own.get("aria-hidden", "").lower() == "true" or _NONE.search(own.get("style", ""))
+    names = set(f"{own.get('class', '')} {own.get('id', '')}".lower().split())
+    if tag in ("html", "body"):
+        return PLAIN, kept, False
+    if hidden or not roles.isdisjoint(FRAME_ROLES) or not names.isdisjoint(COMMENT_WORDS):
+        return FRAME, kept, False
+    if kept:
+        return PLAIN, True, False
+    if not names.isdisjoint(FRAME_WORDS):
+        return MARKED, False, False
+    return PLAIN, False, any(not (FRAME_WORDS | COMMENT_WORDS).isdisjoint(_WORD.findall(n)) for n in names)
+
+
+def blocks(html: str) -> list[Block]:
+    """Text blocks in page order: (text, PLAIN, MARKED or FRAME, whether the article's).
 
     One pass over the markup.  Character references are decoded and white
     space is one space; empty blocks are left out.  Unclosed elements end with
-    the element around them.
+    the element around them.  A class outside an article says nothing of the
+    article's blocks; a class of which only a part is a frame word takes its
+    element out of the article, so that the neighbour decides.
     """
-    out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []
+    out: list[Block] = []
+    stack: list[tuple[str, int, bool]] = []
     text: list[str] = []
-    frame, kept, at, n = False, False, 0, len(html)
+    frame, kept, at, n = PLAIN, False, 0, len(html)
 
     def flush() -> None:
         if text:
@@ -123,8 +160,11 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
                         del stack[j:]
                     break
         stack.append((tag, frame, kept))
-        frame = frame or _is_frame(tag, m[3])
-        kept = kept or tag in KEPT
+        own, article, suspect = _signs(tag, m[3])
+        if article and frame == MARKED:
+            frame = PLAIN
+        frame = max(frame, own)
+        kept = article or (kept and not suspect)
     flush()
     return out
 
@@ -181,10 +221,15 @@ def shared_lines(page: list[str], other: list[str]) -> set[int]:
     return found
 
 
-def main_text(page: list[tuple[str, bool, bool]], other: list[tuple[str, bool, bool]] | None) -> tuple[str, int]:
-    """The page's text, and how many lines the neighbour shares."""
+def main_text(page: list[Block], other: list[Block] | None) -> tuple[str, int]:
+    """The page's text, and how many lines the neighbour shares.
+
+    Where nothing stands outside frames that only a class marks, the classes
+    are those of the whole page, and the neighbour alone decides.
+    """
     shared = shared_lines([b[0] for b in page], [b[0] for b in other]) if other else set()
-    lines = [b for i, (b, frame, kept) in enumerate(page) if not frame and (kept or i not in shared)]
+    least = MARKED if all(frame for _, frame, _ in page) else PLAIN
+    lines = [b for i, (b, frame, kept) in enumerate(page) if frame <= least and (kept or i not in shared)]
     return "\n".join(lines), len(shared)
 
 
@@ -204,14 +249,14 @@ class _Page:
 
     def __init__(self, page_id: int | None, url: str | None, packed: bytes | None, host: str, path: str) -> None:
         self.page_id, self.url, self.packed, self.host, self.path = page_id, url, packed, host, path
-        self.held: list[tuple[str, bool, bool]] | None = self.blocks()
+        self.held: list[Block] | None = self.blocks()
         self.sketch = sketch(self.held)
 
-    def blocks(self) -> list[tuple[str, bool, bool]]:
+    def blocks(self) -> list[Block]:
         return getattr(self, "held", None) or blocks(unsqueeze(pa.array([self.packed], pa.binary()))[0] or "")
 
 
-def sketch(page: list[tuple[str, bool, bool]]) -> Counter[str]:
+def sketch(page: list[Block]) -> Counter[str]:
     """Characters of each line outside marked frames, by a hash of the line."""
     out: Counter[str] = Counter()
     for line, frame, _ in page:
@@ -221,7 +266,7 @@ def sketch(page: list[tuple[str, bool, bool]]) -> Counter[str]:
 
 
 def copies(host: str, path: str, a: Counter[str], other_host: str, other_path: str, b: Counter[str]) -> bool:
-    """Whether two pages of a host have the same path or nearly the same text."""
+    """Whether two pages of a host have the same path and query or nearly the same text."""
     if host != other_host:
         return False
     longer = max(a.total(), b.total())
@@ -337,14 +382,17 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars, shared_lines for every page.
 
-    Pages lie in order of host, path and id; pages that follow each other with
-    one path, or nearly the same text, are a run.  Each page is differenced
+    Pages lie in order of host, path (with its query) and id; pages that follow
+    each other with one path, or nearly the same text, are a run.  Each page is differenced
     against the one of the two pages beside its run, on its host and no copy of
     it, with more leading path segments in common (the earlier one on a tie).
     A page without any is not differenced.  A
     null html is empty and gives an empty text; a null url is a host of its
-    own.  Repeated rows are separate pages.  An empty table gives no rows;
-    other columns are ignored.
+    own.  Repeated rows are separate pages.  A page is read whole, however
+    long; aligning n lines with n others takes n times the root of n bits.  A
+    run of any length spreads over ranges of pages, and a task holds the part
+    of it in its range, compressed.  An empty table gives no rows; other
+    columns are ignored.
     """
     arrow_rows(pages.sparkSession, 512)
     url = F.coalesce(F.col(url_col), F.lit(""))
@@ -353,7 +401,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.col(url_col).alias("url"),
         F.col(html_col).alias("html"),
         F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
-        F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"),
+        F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^#]*)", 1).alias("path"),
     )
     keys = ["host", "path", "page_id"]
     edges = ranges(rows.select(*keys))

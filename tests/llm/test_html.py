@@ -1,4 +1,7 @@
 import random
+from collections import Counter
+
+import pytest
 
 from arborstream.llm import html
 
@@ -83,3 +86,108 @@ def test_copies_do_not_erase_each_other(spark):
         assert all(got[100 + i] == story.format("second") + f"\n{i}" for i in range(30))
         assert got[200] == story.format("third")
         assert got[300] == got[301] == "Menu one\n" + story.format("lone") + "\nImprint"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="site no-sidebar"><article><p>a</p></article></div>', "a"),
+        ('<div class="sidebar"><main><p>a</p></main>b</div>', "a"),
+        ('<article title="The hidden cost"><p>a</p></article>', "a"),
+        ('<article class="post category-ad"><p class="social-policy">a</p><div class="share-price">b</div></article>', "a\nb"),
+        ("<p title=it's>Hello there.</p><p>It doesn't stop.</p>", "Hello there.\nIt doesn't stop."),
+        ('<p a="unclosed>a</p><p>b</p>', "a\nb"),
+        ('<a href="x>y">a</a> <b class=q"r>b</b>', "a b"),
+        ("<p hidden>n</p><p HIDDEN=''>n</p><p hidden=until-found>a</p><p style='Display : none'>n</p><p aria-hidden=\"true\">n</p><p data-hidden=1 data-class='ad'>b</p>", "a\nb"),
+        ('<div id="comments"><article><p>n</p></article></div><div role="navigation">n</div><div role="main"><p class="AD">n</p>a</div>', "a"),
+        ('<aside><article>n</article></aside><article>a<nav>n</nav></article>', "a"),
+        ('<nav>n</nav><div class="share"><p>a</p></div>', "a"),
+        ('<div class="menu">n</div><p>a &amp;amp; b</p>', "a &amp; b"),
+    ],
+)
+def test_marks_are_read_as_html_says(page, text):
+    assert html.main_text(html.blocks(page), None)[0] == text
+
+
+def test_a_part_of_a_class_leaves_it_to_the_neighbour():
+    page = '<article><p>own {0}</p><div class="share-bar"><p>tell a friend</p></div><div class="share-price"><p>up by {0}</p></div></article>'
+    one, two = (html.blocks(page.format(i)) for i in (1, 2))
+    assert html.main_text(one, two)[0] == "own 1\nup by 1"
+
+
+def shared(a, b):
+    """Places of a that the first longest common subsequence holds, from the full table."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x) - 1, -1, -1):
+        for j in range(len(y) - 1, -1, -1):
+            t[i][j] = t[i + 1][j + 1] + 1 if x[i] == y[j] else max(t[i + 1][j], t[i][j + 1])
+    found, i, j = {*range(head), *range(len(a) - tail, len(a))}, 0, 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            found.add(head + i)
+            i, j = i + 1, j + 1
+        elif t[i + 1][j] >= t[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return found
+
+
+def test_pairing_and_text_match_brute_force(spark):
+    """Pages are made of lines whose kind is known; the brute force never sees the markup."""
+    rng = random.Random(4)
+    wrap = {"plain": "<p>{}</p>", "nav": "<nav>{}</nav>", "ad": '<div class="x ad">{}</div>', "article": "<article><p>{}</p></article>"}
+    pages = []
+    for i in range(400):
+        host, path = f"h{i % 5}.x", rng.choice([f"/a/{rng.randrange(30)}", f"/b/c/{rng.randrange(30)}", f"/i?id={rng.randrange(40)}", "/same"])
+        lines = [(rng.choice(["plain", "plain", "article", "nav", "ad"]), f"line {rng.randrange(60)} of the site {host}") for _ in range(rng.randrange(0, 12))]
+        if pages and rng.random() < 0.3:
+            lines = list(rng.choice(pages)[3])
+        pages.append((i, host, path, lines))
+    rows = [(i, f"http://{h}{p}", "".join(wrap[k].format(t) for k, t in ls), "t") for i, h, p, ls in pages]
+
+    def copy(a, b):
+        u, v = (Counter() for _ in range(2))
+        for c, ls in ((u, a[3]), (v, b[3])):
+            for k, t in ls:
+                c[t] += len(t) * (k in ("plain", "article"))
+        longer = max(u.total(), v.total())
+        return a[1] == b[1] and (a[2] == b[2] or (longer > 0 and (u & v).total() >= 0.9 * longer))
+
+    order = sorted(pages, key=lambda p: (p[1], p[2], p[0]))
+    runs = []
+    for p in order:
+        if runs and copy(runs[-1][-1], p):
+            runs[-1].append(p)
+        else:
+            runs.append([p])
+    want = {}
+    for k, run in enumerate(runs):
+        for p in run:
+            best = None
+            for r in (runs[k - 1][-1] if k else None, runs[k + 1][0] if k + 1 < len(runs) else None):
+                if r is not None and r[1] == p[1] and not copy(p, r):
+                    near = next((n for n, (x, y) in enumerate(zip(p[2].split("/"), r[2].split("/"))) if x != y), min(p[2].count("/"), r[2].count("/")) + 1)
+                    if best is None or near > best[0]:
+                        best = near, r
+            gone = shared([t for _, t in p[3]], [t for _, t in best[1][3]]) if best else set()
+            least = {"plain", "article"} if any(c in ("plain", "article") for c, _ in p[3]) else {"ad"}
+            want[p[0]] = "\n".join(t for n, (c, t) in enumerate(p[3]) if c in least and (c == "article" or n not in gone))
+    for n in (1, 9):
+        got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string").repartition(n)).collect()}
+        assert got == want
+    assert len({k for k, _, p, _ in pages if p.startswith("/i?")}) and any(want[i] for i in want)
+
+
+def test_many_long_pages_of_one_path(spark):
+    rows = [(i, "http://h.x/i?id=1", "<div>Menu</div>" + "".join(f"<p>line {j} of page {i % 3}</p>" for j in range(800))) for i in range(60)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)).collect()
+    assert len(got) == 60
+    assert all(r.text == "Menu\n" + "\n".join(f"line {j} of page {r.page_id % 3}" for j in range(800)) for r in got)
