@@ -1,14 +1,20 @@
 """Stream transforms and their inverses.
 
 Running statistics are those of the rows before the current one, so a value
-never explains itself.
+never explains itself.  `statistics` and `transformed` are the columns of whole
+tables, by slices of built-in windows; `Stats` and `Transform` are the same
+rules for a detector that takes a row at a time.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 from .deviation import Deviation
+from .slices import discounted, previous, sliced
 
 NONE, WEIGHTED, SUBTRACT_MA, NORMALIZE, DIFFERENCE, NORMALIZE_DIFFERENCE = METHODS = (
     "NONE",
@@ -109,3 +115,47 @@ class Transform:
     def update(self, x: float, missing: bool = False) -> None:
         self.stats.update(x, self.last, missing)
         self.last = x
+
+
+def statistics(df: DataFrame, key: str, order: list[str], column: str, decay: float) -> DataFrame:
+    """df with `before` (the key's last value), `step`, and mean and deviation of value, step, spread, drift and step_spread, as `slices.discounted` names them."""
+    rows = previous(sliced(df, key, order), {"before": column})
+    rows = rows.add(step=F.coalesce(F.col(column) - F.col("before"), F.lit(0.0)))
+    rows = discounted(rows, {"value": (column, decay), "step": ("step", decay)})
+    slow = SLOW * decay
+    return discounted(rows, {"spread": ("value_deviation", decay), "drift": ("step_mean", slow), "step_spread": ("step_deviation", slow)}).rows
+
+
+def shift_and_scale(method: str) -> tuple[Column, Column]:
+    """What a row's value is moved and scaled by, from the statistics before it."""
+    if method in (SUBTRACT_MA, NORMALIZE):
+        return F.col("before_value_mean"), F.abs("before_spread_mean") + 1.0 if method == NORMALIZE else F.lit(1.0)
+    if method == NORMALIZE_DIFFERENCE:
+        return F.col("before_step_mean"), F.col("before_step_deviation") + 1.0
+    return F.lit(0.0), F.lit(1.0)
+
+
+def forward(method: str, column: str, weight: float = 1.0, clip: float = CLIP) -> Column:
+    """The transformed value of a row of `statistics`."""
+    if method not in METHODS:
+        raise ValueError(f"unknown transform {method}")
+    shift, scale = shift_and_scale(method)
+    x = F.col("step") if method in (DIFFERENCE, NORMALIZE_DIFFERENCE) else F.col(column)
+    y = (x - shift) / scale
+    if method in (NORMALIZE, NORMALIZE_DIFFERENCE):
+        y = F.greatest(F.lit(-clip), F.least(F.lit(clip), y))
+    return weight * y
+
+
+def inverse(method: str, y: Column, weight: float = 1.0) -> Column:
+    """The value that a row of `statistics` is transformed from; differences add to the value before."""
+    shift, scale = shift_and_scale(method)
+    x = y / weight * scale + shift
+    return x + F.coalesce("before", F.lit(0.0)) if method in (DIFFERENCE, NORMALIZE_DIFFERENCE) else x
+
+
+def transformed(df: DataFrame, key: str, order: list[str], column: str, method: str, new: str = "y", weight: float = 1.0, decay: float = 1 / 256, clip: float = CLIP) -> DataFrame:
+    """df with the transformed column; only the statistics that the method needs are made."""
+    y = forward(method, column, weight, clip).alias(new)
+    rows = df if method in (NONE, WEIGHTED) else statistics(df, key, order, column, decay)
+    return rows.select(*df.columns, y)

@@ -13,11 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as fn
 from ..functions.uniforms import uniform, uniform_sql
-from ..operators import fills, near, sampler, shingle, summary
-from ..operators.deviation import Deviation
-from ..operators.scan import scan
-from ..operators.thresholder import Thresholder
-from ..operators.transforms import Stats, Transform
+from ..operators import fills, near, sampler, shingle, slices, summary, thresholder, transforms
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,10 +43,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed stream: user_id, event_id, t (microseconds), value."""
+    return table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "value")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyed stream: user_id, event_id, t (microseconds), value, rn (row of its user)."""
-    ev = table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "value")
-    return shingle.ordered(ev, "user_id", ["t", "event_id"])
+    """The stream with rn, the row of its user."""
+    return shingle.ordered(stream(spark, sf_dir), "user_id", ["t", "event_id"])
 
 
 EV = """ev AS (SELECT user_id, event_id, epoch_us(ts) AS t, value,
@@ -58,9 +58,13 @@ EV = """ev AS (SELECT user_id, event_id, epoch_us(ts) AS t, value,
 ORDER = ["t", "event_id"]
 
 
+def _masked() -> Column:
+    return F.when(uniform(7, "event_id") >= 0.1, F.col("value"))
+
+
 def masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream with about a tenth of its values missing."""
-    return events(spark, sf_dir).withColumn("value", F.when(uniform(7, "event_id") >= 0.1, F.col("value")))
+    return events(spark, sf_dir).withColumn("value", _masked())
 
 
 EVM = EV + f""", evm AS (SELECT * REPLACE (CASE WHEN {uniform_sql("7", "event_id")} >= 0.1 THEN value END AS value) FROM ev)"""
@@ -147,31 +151,12 @@ def _spread(l: str, f: float = DISCOUNT) -> str:
 
 @query(f"WITH {EV}, a AS ({_dev('ev', 'value', 'v')}) SELECT user_id, event_id, {sql_six(_mean('l_v'))} AS mean, {sql_six(_spread('l_v'))} AS deviation FROM a")
 def deviation_discounted(spark, sf_dir):
-    def start(_):
-        d = Deviation(DISCOUNT)
-
-        def step(row):
-            d.update(row[1])
-            return [(row[0], row[2], d.mean, d.deviation)]
-
-        return step
-
-    got = scan(events(spark, sf_dir), "user_id", ORDER, ["user_id", "value", "event_id"], start, "user_id long, event_id long, mean double, deviation double")
-    return got.select("user_id", "event_id", six("mean").alias("mean"), six("deviation").alias("deviation"))
+    got = slices.discounted(slices.sliced(stream(spark, sf_dir), "user_id", ORDER), {"v": ("value", DISCOUNT)}).rows
+    return got.select("user_id", "event_id", six("v_mean").alias("mean"), six("v_deviation").alias("deviation"))
 
 
 def _transformed(spark: SparkSession, sf_dir: str, method: str, weight: float = 1.0) -> DataFrame:
-    def start(_):
-        t = Transform(method, weight, DISCOUNT)
-
-        def step(row):
-            y = t.forward(row[1])
-            t.update(row[1])
-            return [(row[0], row[2], y)]
-
-        return step
-
-    got = scan(events(spark, sf_dir), "user_id", ORDER, ["user_id", "value", "event_id"], start, "user_id long, event_id long, y double")
+    got = transforms.transformed(stream(spark, sf_dir), "user_id", ORDER, "value", method, "y", weight, DISCOUNT)
     return got.select("user_id", "event_id", six("y").alias("y"))
 
 
@@ -219,38 +204,17 @@ SELECT user_id, event_id, {sql_six('m')} AS value_mean, {sql_six('md')} AS step_
 )
 def transform_statistics(spark, sf_dir):
     """The five running statistics of a transform."""
-
-    def start(_):
-        s, last = Stats(DISCOUNT), [None]
-
-        def step(row):
-            s.update(row[1], last[0])
-            last[0] = row[1]
-            return [(row[0], row[2], s.value.mean, s.step.mean, s.spread.mean, s.drift.mean, s.step_spread.mean)]
-
-        return step
-
-    names = ["value_mean", "step_mean", "spread_mean", "drift", "step_spread"]
-    got = scan(events(spark, sf_dir), "user_id", ORDER, ["user_id", "value", "event_id"], start, "user_id long, event_id long, " + ", ".join(f"{n} double" for n in names))
-    return got.select("user_id", "event_id", *[six(n).alias(n) for n in names])
+    got = transforms.statistics(stream(spark, sf_dir), "user_id", ORDER, "value", DISCOUNT)
+    names = {"value_mean": "value_mean", "step_mean": "step_mean", "spread_mean": "spread_mean", "drift_mean": "drift", "step_spread_mean": "step_spread"}
+    return got.select("user_id", "event_id", *[six(c).alias(n) for c, n in names.items()])
 
 
 @query(f"WITH {EV} SELECT user_id, event_id, {sql_six('value')} AS back FROM ev")
 def transform_inverse(spark, sf_dir):
     """Forward and back: every value returns."""
-
-    def start(_):
-        t = Transform("NORMALIZE_DIFFERENCE", 2.0, DISCOUNT, clip=1e9)
-
-        def step(row):
-            x = t.inverse(t.forward(row[1])) if t.last is not None else row[1]
-            t.update(row[1])
-            return [(row[0], row[2], x)]
-
-        return step
-
-    got = scan(events(spark, sf_dir), "user_id", ORDER, ["user_id", "value", "event_id"], start, "user_id long, event_id long, back double")
-    return got.select("user_id", "event_id", six("back").alias("back"))
+    got = transforms.statistics(stream(spark, sf_dir), "user_id", ORDER, "value", DISCOUNT)
+    back = transforms.inverse("NORMALIZE_DIFFERENCE", transforms.forward("NORMALIZE_DIFFERENCE", "value", 2.0, 1e9), 2.0)
+    return got.select("user_id", "event_id", six(F.when(F.col("before").isNull(), F.col("value")).otherwise(back)).alias("back"))
 
 
 _GAP = f"{EV}, g AS (SELECT *, (t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id)) / 1e6 AS dt FROM ev)"
@@ -258,20 +222,9 @@ _GAP = f"{EV}, g AS (SELECT *, (t - lag(t) OVER (PARTITION BY user_id ORDER BY t
 
 @query(f"WITH {_GAP}, a AS (SELECT *, list(dt) FILTER (dt IS NOT NULL) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l FROM g) SELECT user_id, event_id, {sql_six(_mean('l'))} AS mean, {sql_six(_spread('l'))} AS deviation FROM a WHERE rn > 1")
 def time_gap_stats(spark, sf_dir):
-    def start(_):
-        d, last = Deviation(DISCOUNT), [None]
-
-        def step(row):
-            t, last[0] = last[0], row[1]
-            if t is None:
-                return []
-            d.update((row[1] - t) / 1e6)
-            return [(row[0], row[2], d.mean, d.deviation)]
-
-        return step
-
-    got = scan(events(spark, sf_dir), "user_id", ORDER, ["user_id", "t", "event_id"], start, "user_id long, event_id long, mean double, deviation double")
-    return got.select("user_id", "event_id", six("mean").alias("mean"), six("deviation").alias("deviation"))
+    rows = slices.previous(slices.sliced(stream(spark, sf_dir), "user_id", ORDER), {"last": "t"})
+    got = slices.discounted(rows.add(dt=(F.col("t") - F.col("last")) / 1e6), {"dt": ("dt", DISCOUNT)}).rows
+    return got.where("last is not null").select("user_id", "event_id", six("dt_mean").alias("mean"), six("dt_deviation").alias("deviation"))
 
 
 @query(
@@ -287,17 +240,9 @@ def time_augmented_shingle(spark, sf_dir):
 
 @query(f"WITH {EVM}, a AS ({_dev('evm', 'CASE WHEN value IS NULL THEN 0.0 ELSE 1.0 END', 'q')}) SELECT user_id, event_id, {sql_six(_mean('l_q'))} AS quality FROM a")
 def data_quality(spark, sf_dir):
-    def start(_):
-        d = Deviation(DISCOUNT)
-
-        def step(row):
-            d.update(0.0 if row[1] is None else 1.0)
-            return [(row[0], row[2], d.mean)]
-
-        return step
-
-    got = scan(masked(spark, sf_dir), "user_id", ORDER, ["user_id", "value", "event_id"], start, "user_id long, event_id long, quality double")
-    return got.select("user_id", "event_id", six("quality").alias("quality"))
+    known = stream(spark, sf_dir).withColumn("known", F.when(_masked().isNull(), 0.0).otherwise(1.0))
+    got = slices.discounted(slices.sliced(known, "user_id", ORDER), {"known": ("known", DISCOUNT)}).rows
+    return got.select("user_id", "event_id", six("known_mean").alias("quality"))
 
 
 @query(f"WITH {EV} SELECT user_id, event_id, {sql_six('CASE WHEN rn > 8 THEN 0.9 * (1 - exp(-(rn * 0.05))) ELSE 0 END')} AS confidence FROM ev")
@@ -622,18 +567,9 @@ SELECT user_id, event_id, {sql_six('CASE WHEN rn <= 10 THEN 0 ELSE m + 3 * s END
 {sql_six('CASE WHEN rn <= 10 THEN 0 WHEN s = 0 THEN CASE WHEN value > m + 1e-10 THEN 1 ELSE 0 END ELSE greatest(0, (least(6, (value - m) / s) - 3) / 3) END')} AS grade FROM b"""
 )
 def primary_grade(spark, sf_dir):
-    def start(_):
-        t = Thresholder(discount=DISCOUNT)
-
-        def step(row):
-            out = (row[0], row[2], t.primary_threshold(), t.primary_grade(row[1]))
-            t.update(row[1], 0.0)
-            return [out]
-
-        return step
-
-    got = scan(events(spark, sf_dir), "user_id", ORDER, ["user_id", "value", "event_id"], start, "user_id long, event_id long, threshold double, grade double")
-    return got.select("user_id", "event_id", six("threshold").alias("threshold"), six("grade").alias("grade"))
+    got = slices.discounted(slices.sliced(stream(spark, sf_dir), "user_id", ORDER), {"v": ("value", DISCOUNT)}).rows
+    threshold, grade = thresholder.primary(F.col("value"), F.col("before_v_count"), F.col("before_v_mean"), F.col("before_v_deviation"))
+    return got.select("user_id", "event_id", six(threshold).alias("threshold"), six(grade).alias("grade"))
 
 
 _TH = f"""{EV}, s AS (SELECT user_id, event_id, rn, value / 50 AS x, least(value / 50, 2.0) AS c, value / 50 - coalesce(lag(value / 50) OVER (PARTITION BY user_id ORDER BY rn), 0) AS dx FROM ev),
@@ -656,19 +592,8 @@ def full_threshold(spark, sf_dir):
 
 
 def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def start(_):
-        t, last = Thresholder(discount=DISCOUNT), [0.0]
-
-        def step(row):
-            x = row[1] / 50
-            limit, grade = t.grade(x, shingle=4)
-            t.observe(x, x, last[0])
-            last[0] = x
-            return [(row[0], row[2], limit, grade)]
-
-        return step
-
-    got = scan(events(spark, sf_dir), "user_id", ORDER, ["user_id", "value", "event_id"], start, "user_id long, event_id long, threshold double, grade double")
+    scores = stream(spark, sf_dir).withColumn("x", F.col("value") / 50)
+    got = thresholder.graded(slices.sliced(scores, "user_id", ORDER), "x", DISCOUNT, shingle=4)
     return got.select("user_id", "event_id", six("threshold").alias("threshold"), six("grade").alias("grade"))
 
 
