@@ -14,11 +14,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import folds
-from .sampler import reservoir, sample_key
+from .sampler import reservoir
 from .trees import Tree, build
 
 #: Most values that a model may hold on the driver and in a broadcast: 64 million doubles.
@@ -245,95 +244,13 @@ def attribute(df: DataFrame, forest: Forest, vector: list[str] | Column, keep: l
     return ask(df, forest, vector, lambda f, q: f.attribution(q), keep, keep_schema(df, keep, names), names)
 
 
-#: Rows of a unit of a replay, which one task holds.
-UNIT_ROWS = 1 << 16
-
-
-def _unit_starts(rows: DataFrame, per_unit: int) -> list[int]:
-    """The sequence numbers at places 0, per_unit, 2 * per_unit ... of all rows in order: only the numbers are dealt out and counted."""
-    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    ranged = rows.select("seq").repartitionByRange(n, "seq").withColumn("part", F.spark_partition_id()).persist()
-    before, counts = 0, {r.part: r.n for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    offset = {}
-    for part in sorted(counts):
-        offset[part], before = before, before + counts[part]
-    if not offset:
-        ranged.unpersist()
-        return []
-    at = F.element_at(F.create_map(*[F.lit(x) for kv in offset.items() for x in kv]), F.col("part")) + F.row_number().over(W.partitionBy("part").orderBy("seq")) - 1
-    starts = [r.seq for r in ranged.withColumn("at", at).where(F.col("at") % per_unit == 0).select("seq").orderBy("seq").collect()]  # one a unit
-    ranged.unpersist()
-    return starts
-
-
 def replay(df: DataFrame, vector: list[str], sequence: str, trees: int, capacity: int, decay: float, block: int, seed: int = 0) -> DataFrame:
     """Score each row against the model as of its block's start: sequence (a distinct long), score.
 
-    The ordered rows are cut into units of whole blocks.  Keys never change, so
-    the samples at a unit's start are the smallest keys of the units before:
-    each unit gives each tree `capacity` candidates (its own smallest keys,
-    limited before they are moved), and one short pass a tree over the
-    candidates carries the samples from unit to unit.  Every unit then runs by
-    itself: its rows move once, whatever the number of trees, and its blocks
-    are scored, then absorbed.
+    One stream of all rows in the order of `sequence`, as `blocks.replay` plays it.
     """
-    from ..functions.uniforms import uniform, uniform_of
-
-    points = df.select(F.col(sequence).cast("long").alias("seq"), vector_column(vector).alias("v"))
-    total = points.count()
-    n_units = 2 * max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // UNIT_ROWS))
-    per_unit = max(1, -(-total // n_units // block)) * block
-    starts = _unit_starts(points, per_unit)
-    edges = df.sparkSession.sparkContext.broadcast(np.array(starts, np.int64))
+    from . import blocks, slices
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            unit = np.searchsorted(edges.value, batch.column(0).to_numpy(), "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(unit.astype(np.int32)), *batch.columns], names=["unit", *batch.schema.names])
-
-    # candidates: numbers and keys alone are drawn for every tree, and vectors joined to those that are left
-    numbers = points.select("seq").mapInArrow(place, "unit int, seq long").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    keyed = numbers.withColumn("key", sample_key(uniform(seed, "tree", "seq"), F.col("seq"), decay))
-    rank = F.row_number().over(W.partitionBy("unit", "tree").orderBy("key", "seq"))
-    some = keyed.withColumn("rank", rank).where(F.col("rank") <= capacity).drop("rank")
-
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The sample of a tree at each unit's start, from the candidates of all units: units x capacity rows."""
-        tree, out = pdf["tree"].iloc[0], []
-        held = pdf.iloc[:0][["key", "seq"]]
-        for unit in range(len(edges.value)):
-            out.append(held.assign(unit=unit))
-            own = pdf[pdf["unit"] == unit][["key", "seq"]]
-            held = pd.concat([held, own]).sort_values(["key", "seq"]).head(capacity)
-        return pd.concat(out).assign(tree=tree)[["unit", "tree", "key", "seq"]]
-
-    begun = some.groupBy("tree").applyInPandas(carry, "unit int, tree int, key double, seq long")
-    begun = begun.join(points.withColumnRenamed("seq", "own"), F.col("seq") == F.col("own")).drop("own")
-
-    def run(key: tuple, own: pa.Table, begin: pa.Table) -> pa.Table:
-        seq = own.column("seq").to_numpy()
-        order = np.argsort(seq)
-        seq = seq[order]
-        x = np.array(own.column("v").to_pylist(), float)[order]
-        scores = np.zeros(len(seq))
-        held_by: dict[int, list] = {}
-        for t, k, i, v in zip(*[begin.column(c).to_pylist() for c in ("tree", "key", "seq", "v")], strict=True):
-            held_by.setdefault(t, []).append((k, i, v))
-        for t in range(trees):
-            held = held_by.get(t, [])
-            for a in range(0, len(seq), block):
-                b = min(a + block, len(seq))
-                if len(held) > max(1, capacity // 4):
-                    sample = np.array([v for _, _, v in sorted(held, key=lambda h: h[1])], float)
-                    scores[a:b] += folds.scores(build(sample, t, seed), x[a:b])
-                worst = max(held, key=lambda h: h[:2])[:2] if len(held) == capacity else (np.inf, 0)
-                new = [(float(np.log(-np.log(uniform_of(seed, t, s)))) - s * decay, s, i) for i, s in enumerate(seq[a:b].tolist(), a)]
-                held += [(k, s, x[i].tolist()) for k, s, i in new if (k, s) < worst]
-                held = sorted(held, key=lambda h: h[:2])[:capacity]
-        return pa.table({"seq": seq, "score": scores / trees})
-
-    dealt = points.select("seq", "v").mapInArrow(place, "unit int, seq long, v array<double>")
-    # a stated number: a unit's work lies in its trees, so units must not be joined by their bytes
-    left, right = (d.repartition(n_units, "unit").groupBy("unit") for d in (dealt, begun))
-    done = left.cogroup(right).applyInArrow(run, "seq long, score double")
-    return done.select(F.col("seq").alias(sequence), "score")
+    points = df.select(F.lit(0).alias("stream"), F.col(sequence).cast("long").alias("seq"), vector_column(vector).alias("v"))
+    every = slices.sliced(points, "stream", ["seq"])
+    return blocks.replay(every, "v", ["seq"], trees, capacity, decay, block, seed, F.col("seq"), F.col("seq")).toDF(sequence, "score")

@@ -18,7 +18,7 @@ from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 #: Rows of a slice of a hot key.
-SLICE_ROWS = 1 << 20
+SLICE_ROWS = 1 << 18
 #: Most slices of hot keys, whose edges are broadcast: with more rows, slices are longer.
 MOST_SLICES = 1 << 20
 #: Most slices of one key.
@@ -172,3 +172,45 @@ def discounted(seq: Sequences, stats: dict[str, tuple[str, float]]) -> Sequences
             spread = F.when(count > 0, F.sqrt(F.greatest(F.lit(0.0), second / weight - mean * mean))).otherwise(0.0)
             got += [count.alias(f"{p}{name}_count"), mean.alias(f"{p}{name}_mean"), spread.alias(f"{p}{name}_deviation")]
     return replace(seq, rows=ready.select(*seq.rows.columns, *got))
+
+
+def numbered(seq: Sequences, new: str) -> Sequences:
+    """Add each row's number within its key, from 1."""
+    local = F.row_number().over(seq.window()).cast("long")
+    if not seq.cut:
+        return seq.add(**{new: local})
+    sizes = seq.rows.groupBy(*seq.place).agg(F.count("*").alias("__size"))
+    before = sizes.withColumn("__ahead", F.sum("__size").over(W.partitionBy(seq.key).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)))
+    both = _joined(seq.rows.withColumn("__local", local), before, seq.key, [SLICE], ["__ahead"])
+    return replace(seq, rows=both.select(*seq.rows.columns, (F.col("__local") + F.coalesce("__ahead", F.lit(0))).alias(new)))
+
+
+def recent(seq: Sequences, new: str, columns: list[str], size: int) -> Sequences:
+    """Add the flat array of `columns` over the key's last `size` rows, the row itself last; null where there are fewer."""
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    local = F.collect_list(row).over(seq.window().rowsBetween(-(size - 1), 0))
+    flat = F.flatten(F.transform("__w", lambda r: F.array(*[r[f"c{i}"] for i in range(len(columns))])))
+    got = F.when(F.size("__w") == size, flat).alias(new)
+    if not seq.cut or size == 1:
+        return replace(seq, rows=seq.rows.withColumn("__w", local).select(*seq.rows.columns, got))
+    # a slice has a row at least, so the ends of size - 1 slices hold the size - 1 rows before
+    last = F.row_number().over(W.partitionBy(*seq.place).orderBy(*[F.desc(c) for c in seq.order]))
+    at = F.struct(*seq.order).alias("at")
+    ends = seq.rows.withColumn("__last", last).where(F.col("__last") < size).groupBy(*seq.place).agg(F.sort_array(F.collect_list(F.struct(at, row.alias("row")))).alias("end"))
+    frame = W.partitionBy(seq.key).orderBy(SLICE).rowsBetween(-(size - 1), -1)
+    before = ends.select(*seq.place, F.transform(F.flatten(F.collect_list("end").over(frame)), lambda e: e["row"]).alias("__tail"))
+    both = _joined(seq.rows.withColumn("__local", local), before, seq.key, [SLICE], ["__tail"])
+    whole = F.when(F.col("__tail").isNull(), F.col("__local")).otherwise(F.concat("__tail", "__local"))
+    cut = F.when(F.size(whole) > size, F.slice(whole, -size, size)).otherwise(whole)
+    return replace(seq, rows=both.withColumn("__w", cut).select(*seq.rows.columns, got))
+
+
+def latest(seq: Sequences, new: str, column: str) -> Sequences:
+    """Add the largest value of a column in the key's rows up to and with this one (null while there is none)."""
+    local = F.max(column).over(seq.window().rowsBetween(W.unboundedPreceding, 0))
+    if not seq.cut:
+        return seq.add(**{new: local})
+    tops = seq.rows.groupBy(*seq.place).agg(F.max(column).alias("__top"))
+    before = tops.withColumn("__over", F.max("__top").over(W.partitionBy(seq.key).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)))
+    both = _joined(seq.rows.withColumn("__local", local), before, seq.key, [SLICE], ["__over"])
+    return replace(seq, rows=both.select(*seq.rows.columns, F.greatest("__local", "__over").alias(new)))

@@ -8,13 +8,13 @@ rules for a detector that takes a row at a time.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .deviation import Deviation
-from .slices import discounted, previous, sliced
+from .slices import Sequences, discounted, previous
 
 NONE, WEIGHTED, SUBTRACT_MA, NORMALIZE, DIFFERENCE, NORMALIZE_DIFFERENCE = METHODS = (
     "NONE",
@@ -117,13 +117,13 @@ class Transform:
         self.last = x
 
 
-def statistics(df: DataFrame, key: str, order: list[str], column: str, decay: float) -> DataFrame:
-    """df with `before` (the key's last value), `step`, and mean and deviation of value, step, spread, drift and step_spread, as `slices.discounted` names them."""
-    rows = previous(sliced(df, key, order), {"before": column})
+def statistics(seq: Sequences, column: str, decay: float) -> Sequences:
+    """Add `before` (the key's last value), `step`, and mean and deviation of value, step, spread, drift and step_spread, as `slices.discounted` names them."""
+    rows = previous(seq, {"before": column})
     rows = rows.add(step=F.coalesce(F.col(column) - F.col("before"), F.lit(0.0)))
     rows = discounted(rows, {"value": (column, decay), "step": ("step", decay)})
     slow = SLOW * decay
-    return discounted(rows, {"spread": ("value_deviation", decay), "drift": ("step_mean", slow), "step_spread": ("step_deviation", slow)}).rows
+    return discounted(rows, {"spread": ("value_deviation", decay), "drift": ("step_mean", slow), "step_spread": ("step_deviation", slow)})
 
 
 def shift_and_scale(method: str) -> tuple[Column, Column]:
@@ -154,8 +154,8 @@ def inverse(method: str, y: Column, weight: float = 1.0) -> Column:
     return x + F.coalesce("before", F.lit(0.0)) if method in (DIFFERENCE, NORMALIZE_DIFFERENCE) else x
 
 
-def transformed(df: DataFrame, key: str, order: list[str], column: str, method: str, new: str = "y", weight: float = 1.0, decay: float = 1 / 256, clip: float = CLIP) -> DataFrame:
-    """df with the transformed column; only the statistics that the method needs are made."""
+def transformed(seq: Sequences, column: str, method: str, new: str = "y", weight: float = 1.0, decay: float = 1 / 256, clip: float = CLIP) -> Sequences:
+    """Add the transformed column; only the statistics that the method needs are made."""
     y = forward(method, column, weight, clip).alias(new)
-    rows = df if method in (NONE, WEIGHTED) else statistics(df, key, order, column, decay)
-    return rows.select(*df.columns, y)
+    rows = seq if method in (NONE, WEIGHTED) else statistics(seq, column, decay)
+    return replace(rows, rows=rows.rows.select(*seq.rows.columns, y))

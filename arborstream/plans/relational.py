@@ -48,6 +48,11 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "value")
 
 
+def streams(spark: SparkSession, sf_dir: str) -> slices.Sequences:
+    """The stream as one sequence a user."""
+    return slices.sliced(stream(spark, sf_dir), "user_id", ORDER)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream with rn, the row of its user."""
     return shingle.ordered(stream(spark, sf_dir), "user_id", ["t", "event_id"])
@@ -151,13 +156,13 @@ def _spread(l: str, f: float = DISCOUNT) -> str:
 
 @query(f"WITH {EV}, a AS ({_dev('ev', 'value', 'v')}) SELECT user_id, event_id, {sql_six(_mean('l_v'))} AS mean, {sql_six(_spread('l_v'))} AS deviation FROM a")
 def deviation_discounted(spark, sf_dir):
-    got = slices.discounted(slices.sliced(stream(spark, sf_dir), "user_id", ORDER), {"v": ("value", DISCOUNT)}).rows
+    got = slices.discounted(streams(spark, sf_dir), {"v": ("value", DISCOUNT)}).rows
     return got.select("user_id", "event_id", six("v_mean").alias("mean"), six("v_deviation").alias("deviation"))
 
 
 def _transformed(spark: SparkSession, sf_dir: str, method: str, weight: float = 1.0) -> DataFrame:
-    got = transforms.transformed(stream(spark, sf_dir), "user_id", ORDER, "value", method, "y", weight, DISCOUNT)
-    return got.select("user_id", "event_id", six("y").alias("y"))
+    got = transforms.transformed(streams(spark, sf_dir), "value", method, "y", weight, DISCOUNT)
+    return got.rows.select("user_id", "event_id", six("y").alias("y"))
 
 
 @query(f"WITH {EV} SELECT user_id, event_id, {sql_six('value * 2.5')} AS y FROM ev")
@@ -204,7 +209,7 @@ SELECT user_id, event_id, {sql_six('m')} AS value_mean, {sql_six('md')} AS step_
 )
 def transform_statistics(spark, sf_dir):
     """The five running statistics of a transform."""
-    got = transforms.statistics(stream(spark, sf_dir), "user_id", ORDER, "value", DISCOUNT)
+    got = transforms.statistics(streams(spark, sf_dir), "value", DISCOUNT).rows
     names = {"value_mean": "value_mean", "step_mean": "step_mean", "spread_mean": "spread_mean", "drift_mean": "drift", "step_spread_mean": "step_spread"}
     return got.select("user_id", "event_id", *[six(c).alias(n) for c, n in names.items()])
 
@@ -212,7 +217,7 @@ def transform_statistics(spark, sf_dir):
 @query(f"WITH {EV} SELECT user_id, event_id, {sql_six('value')} AS back FROM ev")
 def transform_inverse(spark, sf_dir):
     """Forward and back: every value returns."""
-    got = transforms.statistics(stream(spark, sf_dir), "user_id", ORDER, "value", DISCOUNT)
+    got = transforms.statistics(streams(spark, sf_dir), "value", DISCOUNT).rows
     back = transforms.inverse("NORMALIZE_DIFFERENCE", transforms.forward("NORMALIZE_DIFFERENCE", "value", 2.0, 1e9), 2.0)
     return got.select("user_id", "event_id", six(F.when(F.col("before").isNull(), F.col("value")).otherwise(back)).alias("back"))
 
@@ -222,7 +227,7 @@ _GAP = f"{EV}, g AS (SELECT *, (t - lag(t) OVER (PARTITION BY user_id ORDER BY t
 
 @query(f"WITH {_GAP}, a AS (SELECT *, list(dt) FILTER (dt IS NOT NULL) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l FROM g) SELECT user_id, event_id, {sql_six(_mean('l'))} AS mean, {sql_six(_spread('l'))} AS deviation FROM a WHERE rn > 1")
 def time_gap_stats(spark, sf_dir):
-    rows = slices.previous(slices.sliced(stream(spark, sf_dir), "user_id", ORDER), {"last": "t"})
+    rows = slices.previous(streams(spark, sf_dir), {"last": "t"})
     got = slices.discounted(rows.add(dt=(F.col("t") - F.col("last")) / 1e6), {"dt": ("dt", DISCOUNT)}).rows
     return got.where("last is not null").select("user_id", "event_id", six("dt_mean").alias("mean"), six("dt_deviation").alias("deviation"))
 
@@ -567,24 +572,29 @@ SELECT user_id, event_id, {sql_six('CASE WHEN rn <= 10 THEN 0 ELSE m + 3 * s END
 {sql_six('CASE WHEN rn <= 10 THEN 0 WHEN s = 0 THEN CASE WHEN value > m + 1e-10 THEN 1 ELSE 0 END ELSE greatest(0, (least(6, (value - m) / s) - 3) / 3) END')} AS grade FROM b"""
 )
 def primary_grade(spark, sf_dir):
-    got = slices.discounted(slices.sliced(stream(spark, sf_dir), "user_id", ORDER), {"v": ("value", DISCOUNT)}).rows
+    got = slices.discounted(streams(spark, sf_dir), {"v": ("value", DISCOUNT)}).rows
     threshold, grade = thresholder.primary(F.col("value"), F.col("before_v_count"), F.col("before_v_mean"), F.col("before_v_deviation"))
     return got.select("user_id", "event_id", six(threshold).alias("threshold"), six(grade).alias("grade"))
 
 
-_TH = f"""{EV}, s AS (SELECT user_id, event_id, rn, value / 50 AS x, least(value / 50, 2.0) AS c, value / 50 - coalesce(lag(value / 50) OVER (PARTITION BY user_id ORDER BY rn), 0) AS dx FROM ev),
+def threshold_sql(source: str, discount: float = DISCOUNT, z: str = "3.0") -> str:
+    """CTEs up to `v` (user_id, event_id, x, lim, lev): thresholds and grades of scores x in `source` (user_id, event_id, rn, x); z is an expression of m, the mean before."""
+    return f"""s AS (SELECT user_id, event_id, rn, x, least(x, 2.0) AS c, x - coalesce(lag(x) OVER (PARTITION BY user_id ORDER BY rn), 0) AS dx FROM {source}),
 p AS (SELECT *, list(c) OVER w AS l_c, list(dx) OVER w AS l_d FROM s WINDOW w AS (PARTITION BY user_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-q AS (SELECT *, {_mean('l_c')} AS m, {_spread('l_c')} AS sd, {_spread('l_d')} AS ch FROM p),
-g AS (SELECT *, CASE WHEN m > c THEN m - c END AS gap FROM q),
+q AS (SELECT *, {_mean('l_c', discount)} AS m, {_spread('l_c', discount)} AS sd, {_spread('l_d', discount)} AS ch FROM p),
+g AS (SELECT *, CASE WHEN m > c THEN m - c END AS gap, {z}::DOUBLE AS z FROM q),
 h AS (SELECT *, list(gap) FILTER (gap IS NOT NULL) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l_g FROM g),
-i AS (SELECT *, rn - 1 AS n, sqrt(2.0) * {_spread('l_g', DISCOUNT / 2)} AS fall FROM h),
+i AS (SELECT *, rn - 1 AS n, sqrt(2.0) * {_spread('l_g', discount / 2)} AS fall FROM h),
 j AS (SELECT *, greatest(0, least(1, (n - 10) / 10.0)) AS warm, 0.5 * least(sd, greatest(ch, fall)) + 0.5 * ch AS lt FROM i),
-k AS (SELECT *, 2 * lt + sd AS width, CASE WHEN warm >= 1 AND m < 0.9 THEN 0.8 * m / 0.9 ELSE 0.8 END AS fl FROM j),
+k AS (SELECT *, (z - 1) * lt + sd AS width, CASE WHEN warm >= 1 AND m < 0.9 THEN 0.8 * m / 0.9 ELSE 0.8 END AS fl FROM j),
 t AS (SELECT *, CASE WHEN n >= 10 THEN greatest(fl, warm * (m + width) + (1 - warm) * 1.5) ELSE greatest(1.5, fl) END AS lim FROM k),
-u AS (SELECT *, CASE WHEN x < lim THEN 0 WHEN n >= 10 THEN CASE WHEN width > 0 THEN greatest(0, least(3, (x - lim) * 3 / width) / 3) ELSE 2 END ELSE least(1, greatest(0, (x - 0.8) / 0.8)) END AS sur FROM t),
+u AS (SELECT *, CASE WHEN x < lim THEN 0 WHEN n >= 10 THEN CASE WHEN width > 0 THEN greatest(0, least(z, (x - lim) * z / width) / z) ELSE 2 END ELSE least(1, greatest(0, (x - 0.8) / 0.8)) END AS sur FROM t),
 v AS (SELECT *, least(1, floor(sur * 20) / 16) AS lev FROM u)"""
 
 
+_TH = f"{EV}, {threshold_sql('(SELECT user_id, event_id, rn, value / 50 AS x FROM ev)')}"
+
+
 @query(f"WITH {_TH} SELECT user_id, event_id, {sql_six('CASE WHEN x >= lim AND lev = 0 THEN x ELSE lim END')} AS threshold, {sql_six('lev')} AS grade FROM v")
 def full_threshold(spark, sf_dir):
     """Warm-up, long-term deviation and the stepped surprise of a score series."""

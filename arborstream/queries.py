@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from .plans import detection, forests, online, relational
+from .plans import detection, forests, online, relational, streams
 
 
 def queries() -> dict:
-    return {**relational.QUERIES, **forests.QUERIES, **detection.QUERIES, **online.QUERIES}
+    return {**relational.QUERIES, **forests.QUERIES, **detection.QUERIES, **online.QUERIES, **streams.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {**relational.ORACLES, **forests.ORACLES, **detection.ORACLES, **online.ORACLES}
+    return {**relational.ORACLES, **forests.ORACLES, **detection.ORACLES, **online.ORACLES, **streams.ORACLES}

@@ -87,9 +87,9 @@ def test_previous_crosses_slices(spark, monkeypatch, slice_rows):
 def test_transforms_match_row_by_row_and_return(spark, monkeypatch, method):
     monkeypatch.setattr(slices, "SLICE_ROWS", 100)
     data = [(k, t, i, float(i % 37) + (x or 0), *rest) for k, t, i, x, *rest in rows(5, 1500, 5)]
-    df = frame(spark, data)
-    got = {r.i: r.z for r in transforms.transformed(df, "k", ORDER, "x", method, "z", 2.0, 0.05).collect()}
-    full = transforms.statistics(df, "k", ORDER, "x", 0.05)
+    seq = slices.sliced(frame(spark, data), "k", ORDER)
+    got = {r.i: r.z for r in transforms.transformed(seq, "x", method, "z", 2.0, 0.05).rows.collect()}
+    full = transforms.statistics(seq, "x", 0.05).rows
     back = {r.i: r.back for r in full.select("i", transforms.inverse(method, transforms.forward(method, "x", 2.0, 1e12), 2.0).alias("back")).collect()}
     for own in by_key(data).values():
         t = Transform(method, 2.0, 0.05)
@@ -102,7 +102,7 @@ def test_transforms_match_row_by_row_and_return(spark, monkeypatch, method):
 def test_statistics_match_row_by_row(spark, monkeypatch):
     monkeypatch.setattr(slices, "SLICE_ROWS", 100)
     data = [(k, t, i, float(i % 37) + (x or 0), *rest) for k, t, i, x, *rest in rows(6, 1500, 5)]
-    got = {r.i: r for r in transforms.statistics(frame(spark, data), "k", ORDER, "x", 0.05).collect()}
+    got = {r.i: r for r in transforms.statistics(slices.sliced(frame(spark, data), "k", ORDER), "x", 0.05).rows.collect()}
     for own in by_key(data).values():
         s, last = Stats(0.05), None
         for r in own:
