@@ -5,8 +5,9 @@ block.  A row's sample key never changes, so that sample is the top-k of the
 samples of what lies before: a long key is cut into units of whole blocks,
 each unit gives the smallest keys of each tree, and a tree of merges over the
 units, up and down, gives every unit the sample that it starts with.  Rows
-move once, and no task holds more than a block, its samples, or the samples
-of FAN_IN units of one tree.
+move once to be scored, those of long keys once more for their units' samples,
+whatever the number of trees; no task holds more than a block, its samples, or
+the samples of FAN_IN units of one tree.
 """
 
 from __future__ import annotations

@@ -17,6 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
+from .workspace import cut
+
 #: Rows of a slice of a hot key.
 SLICE_ROWS = 1 << 18
 #: Most slices of hot keys, whose edges are broadcast: with more rows, slices are longer.
@@ -46,6 +48,10 @@ class Sequences:
     def window(self, *more: str) -> WindowSpec:
         return W.partitionBy(*self.place, *more).orderBy(*self.order)
 
+    def written(self) -> Sequences:
+        """With rows that both totals and rows are to be made from written once, so that chains of steps do not multiply."""
+        return replace(self, rows=cut(self.rows))
+
     def add(self, **columns: Column) -> Sequences:
         return replace(self, rows=self.rows.withColumns(columns))
 
@@ -87,9 +93,10 @@ def _joined(df: DataFrame, table: DataFrame, key: str, on: list[str], names: lis
 
 def previous(seq: Sequences, columns: dict[str, str]) -> Sequences:
     """Add, for each (new: column), its value in the key's row before (null in the first row)."""
-    df = seq.rows
     if not seq.cut:
         return seq.add(**{new: F.lag(c).over(seq.window()) for new, c in columns.items()})
+    seq = seq.written()
+    df = seq.rows
     row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns.values())])
     ends = df.groupBy(*seq.place).agg(F.max_by(row, F.struct(*seq.order)).alias("__last"))
     before = ends.withColumn("__before", F.lag("__last").over(W.partitionBy(seq.key).orderBy(SLICE))).where(F.col("__before").isNotNull())
@@ -156,6 +163,8 @@ def discounted(seq: Sequences, stats: dict[str, tuple[str, float]]) -> Sequences
     counts = [F.coalesce(F.count(x).over(frames["before_"]), F.lit(0)).alias(f"__nbefore_{i}") for i, _, x, _ in items]
     ready = rows.select("*", *sums, *counts)
     if composed:
+        rows = cut(rows)
+        ready = rows.select("*", *sums, *counts)
         own = [c for i, *_ in items for c in (F.max(f"__n{i}").alias(f"n{i}"), F.sum(f"__y{i}").alias(f"y{i}"), F.sum(f"__z{i}").alias(f"z{i}"))]
         starts = _starts(rows.groupBy(seq.key, SLICE, "__chunk").agg(*own), seq.key, discounts)
         ready = _joined(ready, starts, seq.key, [SLICE, "__chunk"], [f"__{v}{i}" for i, *_ in items for v in ("e", "sy", "sz")])
@@ -179,6 +188,7 @@ def numbered(seq: Sequences, new: str) -> Sequences:
     local = F.row_number().over(seq.window()).cast("long")
     if not seq.cut:
         return seq.add(**{new: local})
+    seq = seq.written()
     sizes = seq.rows.groupBy(*seq.place).agg(F.count("*").alias("__size"))
     before = sizes.withColumn("__ahead", F.sum("__size").over(W.partitionBy(seq.key).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)))
     both = _joined(seq.rows.withColumn("__local", local), before, seq.key, [SLICE], ["__ahead"])
@@ -193,6 +203,7 @@ def recent(seq: Sequences, new: str, columns: list[str], size: int) -> Sequences
     got = F.when(F.size("__w") == size, flat).alias(new)
     if not seq.cut or size == 1:
         return replace(seq, rows=seq.rows.withColumn("__w", local).select(*seq.rows.columns, got))
+    seq = seq.written()
     # a slice has a row at least, so the ends of size - 1 slices hold the size - 1 rows before
     last = F.row_number().over(W.partitionBy(*seq.place).orderBy(*[F.desc(c) for c in seq.order]))
     at = F.struct(*seq.order).alias("at")
@@ -210,6 +221,7 @@ def latest(seq: Sequences, new: str, column: str) -> Sequences:
     local = F.max(column).over(seq.window().rowsBetween(W.unboundedPreceding, 0))
     if not seq.cut:
         return seq.add(**{new: local})
+    seq = seq.written()
     tops = seq.rows.groupBy(*seq.place).agg(F.max(column).alias("__top"))
     before = tops.withColumn("__over", F.max("__top").over(W.partitionBy(seq.key).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)))
     both = _joined(seq.rows.withColumn("__local", local), before, seq.key, [SLICE], ["__over"])

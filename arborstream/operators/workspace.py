@@ -17,6 +17,13 @@ def folder(spark: SparkSession) -> str:
     return f"{base or tempfile.mkdtemp(prefix='arborstream-')}/{uuid.uuid4().hex}"
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Write the rows to a new shared folder and read them back, which ends their lineage."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _HELD: list[DataFrame] = []
 
 

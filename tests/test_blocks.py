@@ -71,8 +71,8 @@ def test_grown_scores_are_those_of_built_trees():
     assert np.allclose(alone, folds.scores(build(np.zeros((3, 2)), 0, 0), np.array([[0.0, 0.0], [1.0, 0.0]])))
 
 
-def test_a_hot_key_is_spread_and_rows_move_once(spark, monkeypatch):
-    """On shuffled input a row is shuffled once for its unit, and the samples that move are bounded by units, not by rows x trees."""
+def test_a_hot_key_is_spread_and_samples_are_bounded(spark, monkeypatch):
+    """On shuffled input too the candidates that move are bounded by units x trees x capacity, not by rows x trees."""
     monkeypatch.setattr(blocks, "UNIT_ROWS", 64)
     monkeypatch.setattr(blocks, "LEAST_UNIT_ROWS", 64)
     data = [("hot", i, i, [float(i % 7), float(i % 11)], "x") for i in range(3200)]
