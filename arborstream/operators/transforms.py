@@ -117,13 +117,22 @@ class Transform:
         self.last = x
 
 
-def statistics(seq: Sequences, column: str, decay: float) -> Sequences:
-    """Add `before` (the key's last value), `step`, and mean and deviation of value, step, spread, drift and step_spread, as `slices.discounted` names them."""
-    rows = previous(seq, {"before": column})
-    rows = rows.add(step=F.coalesce(F.col(column) - F.col("before"), F.lit(0.0)))
-    rows = discounted(rows, {"value": (column, decay), "step": ("step", decay)})
-    slow = SLOW * decay
-    return discounted(rows, {"spread": ("value_deviation", decay), "drift": ("step_mean", slow), "step_spread": ("step_deviation", slow)})
+#: Statistics that forward transforms need.
+_NEEDED = {SUBTRACT_MA: {"value"}, NORMALIZE: {"value", "spread"}, DIFFERENCE: set(), NORMALIZE_DIFFERENCE: {"step"}}
+
+
+def statistics(seq: Sequences, column: str, decay: float, needed: set[str] | None = None) -> Sequences:
+    """Add `before` (the key's last value), `step`, and mean and deviation of value, step, spread, drift and step_spread (or those needed), as `slices.discounted` names them."""
+    rows, slow = seq, SLOW * decay
+    if needed is None or not needed or "step" in needed:
+        rows = previous(rows, {"before": column})
+        rows = rows.add(step=F.coalesce(F.col(column) - F.col("before"), F.lit(0.0)))
+    first = {"value": (column, decay), "step": ("step", decay)}
+    second = {"spread": ("value_deviation", decay), "drift": ("step_mean", slow), "step_spread": ("step_deviation", slow)}
+    for level in (first, second):
+        own = {name: x for name, x in level.items() if needed is None or name in needed}
+        rows = discounted(rows, own) if own else rows
+    return rows
 
 
 def shift_and_scale(method: str) -> tuple[Column, Column]:
@@ -157,5 +166,5 @@ def inverse(method: str, y: Column, weight: float = 1.0) -> Column:
 def transformed(seq: Sequences, column: str, method: str, new: str = "y", weight: float = 1.0, decay: float = 1 / 256, clip: float = CLIP) -> Sequences:
     """Add the transformed column; only the statistics that the method needs are made."""
     y = forward(method, column, weight, clip).alias(new)
-    rows = seq if method in (NONE, WEIGHTED) else statistics(seq, column, decay)
+    rows = seq if method in (NONE, WEIGHTED) else statistics(seq, column, decay, _NEEDED[method])
     return replace(rows, rows=rows.rows.select(*seq.rows.columns, y))

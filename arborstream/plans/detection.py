@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cluster as cl
 from ..operators import forest as fo
+from ..operators import summaries
 from ..operators.caster import Caster
 from ..operators.detector import Detector
 from ..operators.glocal import GlobalLocal
@@ -226,6 +227,14 @@ def cluster_multi(spark, sf_dir):
     return _condensed(s).groupBy("c_nationkey").applyInPandas(one, "c_nationkey int, cluster int, representative double, weight double")
 
 
+@query
+def cluster_vectors(spark, sf_dir):
+    """All vectors by clusters of several representatives, which come from merged summaries."""
+    e = table(spark, sf_dir, "embeddings")
+    found = summaries.clusters(e, "embedding", 10, representatives=4, shrinkage=0.1, seed=1)
+    return summaries.assigned(e, "embedding", found, ["vec_id"])
+
+
 @query
 def glocal_numeric(spark, sf_dir):
     def start(key):
