@@ -29,6 +29,7 @@ CORRECTIONS = ("NONE", "NOISE", "MULTI_MODE", "ANOMALY_IN_SHINGLE", "CONDITIONAL
 
 # Fixed values of the correction rules.
 MAX_ATTRIBUTORS = 5
+ATTRIBUTION_LEAST = 0.1
 NOISE_FACTOR = 1.0
 PRECISION = 1e-3
 DIFFERENTIAL = 0.3
@@ -560,21 +561,30 @@ class Detector:
         return at + 1
 
     def _expect(self, parts: list[float], start: int, point: tuple) -> tuple | None:
-        """The point with its main contributors of one row imputed; None where the blame is spread."""
-        d = len(point)
-        each = sorted(((parts[i] + parts[d + i], i) for i in range(start, start + self.width)), reverse=True)
-        total = sum(parts)
-        taken, got = [], 0.0
-        for v, i in each[:MAX_ATTRIBUTORS]:
-            if v < 0.1 * total:
-                break
-            taken.append(i)
-            got += v
-            if got > 0.9 * total:
-                break
-        if not taken:
-            return None
-        return self.forest.impute(point, taken)[0]
+        """The point with the row's main contributors imputed; None where the blame is spread.
+
+        A row of one value is imputed.  Of several, all count that bring a
+        tenth of the row's sum or, if that is more, ATTRIBUTION_LEAST; there is
+        no expected point where the largest brings less than a tenth, where
+        more than MAX_ATTRIBUTORS count, or where they are more than half of
+        the window.
+        """
+        d, n = len(point), self.width
+        own = [parts[i] + parts[d + i] for i in range(start, start + n)]
+        if n == 1:
+            taken = [start]
+        else:
+            tenth, ranked = 0.1 * sum(own), sorted(own, reverse=True)
+            if ranked[0] < tenth:
+                return None
+            count = max(1, sum(v >= min(tenth, ATTRIBUTION_LEAST) for v in own))
+            if count > MAX_ATTRIBUTORS:
+                return None
+            taken = []
+            for i, v in enumerate(own):
+                if len(taken) < count and v >= ranked[count - 1] and (not taken or v > tenth):
+                    taken.append(start + i)
+        return self.forest.impute(point, taken)[0] if len(taken) <= 0.5 * d else None
 
     def _triggers(self, now: list[float], ideal: list[float], difference: int, limit: float) -> bool:
         """Whether the rows since the last anomaly bring enough of their own."""

@@ -173,3 +173,28 @@ def test_forecasts_have_times(mode):
             assert early <= now <= late and abs(now - at - 10) <= 1
             at = late if mode == "TIME_AUGMENTED" else now
     assert Detector().extrapolate_timed(3) == []
+
+
+@pytest.mark.parametrize(
+    ("base", "shingle", "own", "taken"),
+    [
+        (1, 4, [0.0], [1]),  # a row of one value is always imputed
+        (1, 1, [9.0], None),  # but not more than half of the window
+        (3, 4, [5.0, 0.5, 0.05], [3]),  # a second one only with more than a tenth
+        (3, 4, [5.0, 2.0, 0.05], [3, 4]),
+        (3, 4, [0.6, 0.06, 0.34], [3, 5]),
+        (8, 2, [1.0] * 8, None),  # more than five count
+        (8, 2, [4.0, *[0.01] * 7], [8]),
+        (20, 2, [0.05] * 20, None),  # the largest brings less than a tenth
+        (4, 1, [1.0, 1.0, 1.0, 0.0], None),  # more than half of the window
+        (4, 1, [1.0, 1.0, 0.0, 0.0], [0, 1]),
+    ],
+)
+def test_main_contributors_are_imputed(base, shingle, own, taken):
+    d = Detector(base=base, shingle=shingle, trees=2, capacity=8)
+    d.forest.impute = lambda point, at: [tuple(at)]
+    n, start = base * shingle, base if shingle > 1 else 0
+    parts = [0.0] * (2 * n)
+    for i, v in enumerate(own):
+        parts[start + i], parts[n + start + i] = v / 4, v * 3 / 4
+    assert d._expect(parts, start, (0.0,) * n) == (None if taken is None else tuple(taken))
