@@ -138,8 +138,12 @@ def attribution_sql(seen: str, unseen: str, damp: str) -> str:
     )
 
 
-def density_sql() -> str:
-    """`folds` with the leaf's mass k, and by direction the measure x, the probability q and the distance y."""
+def density_sql(field: str = "{m} + {k}", influence: str = "1") -> str:
+    """`folds` with the leaf's mass k, and by direction the measure x, the probability q and the distance y.
+
+    field: what a separation at a node of mass {m} is worth to what the leaf brings, {k}; influence: its weight at a distance {g}.
+    """
+    worth = lambda m, k, g: f"({field.format(m=m, k=k)}) * ({influence.format(g=g)})"
     zip3 = lambda old, new: f"list_transform(list_zip(v.g, {old}, v.r), lambda z: {new})"
     each, stay = "(CASE WHEN v.s = 0 THEN 0 ELSE z[1] / (v.s + v.w) END)", "(1 - v.p)"
     share = "(CASE WHEN v.s = 0 THEN 0 ELSE g / v.s END)"
@@ -147,13 +151,13 @@ def density_sql() -> str:
         {"k": "0.0::DOUBLE", "x": _LIST, "q": _LIST, "y": _LIST},
         {
             "k": "(CASE WHEN v.eq THEN 1 + v.m ELSE 1 END)::DOUBLE",
-            "x": f"list_transform(v.g, lambda g: CASE WHEN v.eq THEN (1 + v.m) / 4.0 ELSE {share} * (v.m + 1) END)",
+            "x": f"list_transform(v.g, lambda g: CASE WHEN v.eq THEN (1 + v.m) / 4.0 ELSE {share} * {worth('v.m', '1', 'g')} END)",
             "q": f"list_transform(v.g, lambda g: CASE WHEN v.eq THEN 0.25 ELSE {share} END)",
             "y": f"list_transform(v.g, lambda g: CASE WHEN v.eq THEN 0.0 ELSE {share} * g END)",
         },
         {
             "k": "a.k",
-            "x": zip3("a.x", f"{each} * (v.m + a.k) + {stay} * z[2]"),
+            "x": zip3("a.x", f"{each} * {worth('v.m', 'a.k', 'z[1]')} + {stay} * z[2]"),
             "q": zip3("a.q", f"{each} + {stay} * z[2]"),
             "y": zip3("a.y", f"{each} * (z[1] + z[3]) + {stay} * z[2]"),
         },

@@ -286,6 +286,14 @@ def forest_directional_density(spark, sf_dir):
     return _by_side(fo.ask(p, f, ["x0", "x1"], lambda m, q: m.density(q)[:, 0], ["seq"], "seq long, " + ", ".join(f"{n} double" for n in _SIDES), list(_SIDES)))
 
 
+@query(f"{_STEPS}, {density_sql('sqrt({m} * {k})', '1 / (1 + {g} / 10)')} SELECT seq, {_sides(f'sum(a.x[#]) / {TREES}')} FROM folds GROUP BY seq")
+def forest_density_kernel(spark, sf_dir):
+    """Measure by direction with a kernel that fades with the distance, of the masses' geometric mean."""
+    p, f = model(spark, sf_dir)
+    kernel = lambda: folds.Density(lambda mass, leaf: np.sqrt(mass * leaf), lambda gaps: 1 / (1 + gaps / 10))
+    return _by_side(fo.ask(p, f, ["x0", "x1"], lambda m, q: m.fold(q, kernel)[:, 0], ["seq"], "seq long, " + ", ".join(f"{n} double" for n in _SIDES), list(_SIDES)))
+
+
 def _last_pairs(p: DataFrame) -> DataFrame:
     return p.groupBy("user_id").agg(F.max_by(F.struct("x0", "x1"), "seq").alias("v")).select("user_id", "v.*")
 
