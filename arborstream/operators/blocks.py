@@ -12,7 +12,7 @@ the samples of FAN_IN units of one tree.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -227,9 +227,9 @@ def _states(batches: Iterator[pa.RecordBatch], trees: int, capacity: int, block:
         yield learnt(), waiting[-1].slice(0, 0), True
 
 
-def _scored(trees: int, capacity: int, block: int, seed: int):
+def _scored(trees: int, capacity: int, block: int, judge: Callable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending = _Pending(trees, seed)
+        pending = judge()
         for sample, rows, end in _states(batches, trees, capacity, block):
             if not end:
                 ready = sample.key.shape[1] > max(1, capacity // 4)
@@ -291,7 +291,18 @@ def _starts(candidates: DataFrame, units: int, capacity: int) -> DataFrame:
 
 
 def replay(
-    seq: Sequences, point: str, keep: list[str], trees: int, capacity: int, decay: float, block: int, seed: int = 0, identity: Column | None = None, sequence: Column | None = None
+    seq: Sequences,
+    point: str,
+    keep: list[str],
+    trees: int,
+    capacity: int,
+    decay: float,
+    block: int,
+    seed: int = 0,
+    identity: Column | None = None,
+    sequence: Column | None = None,
+    judge: Callable | None = None,
+    answer: str = "score double",
 ) -> DataFrame:
     """keep and score: each row by the forest of its key's rows before the row's block (`block` rows each, in order).
 
@@ -299,7 +310,8 @@ def replay(
     take no part.  A row's sample key is drawn by `identity` (a long; default:
     its number within the key) and decays by `sequence` (default: that
     number).  A forest that has learnt no more than a quarter of its capacity
-    scores 0.
+    scores 0.  judge, answer: what takes blocks with their samples instead of a
+    forest (as `_Pending` does), and the columns that it adds.
     """
     rows = numbered(Sequences(seq.rows.where(F.col(point).isNotNull()), seq.key, seq.order, seq.longest, seq.cut), "__number")
     spark = seq.rows.sparkSession
@@ -327,5 +339,6 @@ def replay(
     dealt = own.repartition(n, "key", "unit").sortWithinPartitions("key", "unit", "kind", "number")
     # keys are drawn after rows have moved
     ready = dealt.withColumn("keys", F.when(F.col("kind") == 1, keys)).select(*names)
-    out = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in sent.select(*kept).schema.fields], "score double"])
-    return ready.mapInArrow(_scored(trees, capacity, block, seed), out).toDF(*keep, "score")
+    out = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in sent.select(*kept).schema.fields], answer])
+    got = ready.mapInArrow(_scored(trees, capacity, block, judge or (lambda: _Pending(trees, seed))), out)
+    return got.toDF(*keep, *got.columns[len(keep) :])

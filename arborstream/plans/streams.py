@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.uniforms import uniform_sql
-from ..operators import block_detector
+from ..operators import block_detector, glocal_blocks
 from .forest_sql import levels_sql, scores_sql
-from .relational import _DIFF, EV, ORDER, Query, _mean, _spread, sql_six, six, stream, threshold_sql
+from .relational import _DIFF, EV, ORDER, Query, _mean, _spread, sql_six, six, stream, table, threshold_sql
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,71 @@ def block_detect_normalized_steps(spark, sf_dir):
 def block_detect_alert_once(spark, sf_dir):
     """The first row of a run of anomalies speaks for those that share its window."""
     return _detected(spark, sf_dir, alert_once=True)
+
+
+# ---------------------------------------------------------------- global and local
+
+KNOWN, FEW, KEPT = 32, 16, 4
+
+
+def _glocal_sql(source: str, apart: str) -> str:
+    """source: a SELECT of (user_id, event_id, rn, x); apart: a macro body, the distance of a and b."""
+    d = lambda a, b: apart.replace("$a", a).replace("$b", b)
+    key = f"ln(-ln({uniform_sql(str(SEED), '0', 'r.event_id')})) - r.rn * {1 / (10 * KNOWN)!r}"
+    steps = "".join(
+        f"""
+c{i} AS (SELECT user_id, blk, pos, x, CASE WHEN {d('x', 'f')} < away THEN {i} ELSE near END AS near, least(away, {d('x', 'f')}) AS away
+  FROM (SELECT *, first_value(x) OVER (PARTITION BY user_id, blk ORDER BY away DESC, pos) AS f FROM c{i - 1})),"""
+        for i in range(1, KEPT)
+    )
+    hidden = f"{d('k.c', 'e[1].c')} < e[1].d AND e[1].d > sqrt(k.d * k.d + pow({d('k.c', 'e[1].c')}, 2))"
+    return f"""WITH {EV}, base AS ({source}),
+rows AS (SELECT *, (rn - 1) // {FEW} AS blk FROM base),
+sample AS (
+  SELECT g.user_id, g.blk, r.x, row_number() OVER (PARTITION BY g.user_id, g.blk ORDER BY {key}, r.rn) AS pos
+  FROM (SELECT DISTINCT user_id, blk FROM rows) g JOIN rows r ON r.user_id = g.user_id AND r.blk < g.blk QUALIFY pos <= {KNOWN}),
+ripe AS (SELECT * FROM sample QUALIFY count(*) OVER (PARTITION BY user_id, blk) > {KNOWN // 4}),
+c0 AS (SELECT user_id, blk, pos, x, 0 AS near, {d('x', 'f')} AS away FROM (SELECT *, first_value(x) OVER (PARTITION BY user_id, blk ORDER BY x) AS f FROM ripe)),{steps}
+reps AS (
+  SELECT user_id, blk, near AS i, arg_min(x, pos) FILTER (away = 0) AS c, (sum(away) + any_value(typical)) / (count(*) + 1) AS r
+  FROM (SELECT *, avg(away) OVER (PARTITION BY user_id, blk) AS typical FROM c{KEPT - 1}) GROUP BY user_id, blk, near),
+met AS (
+  SELECT q.user_id, q.event_id, q.rn, list({{'d': {d('q.x', 'p.c')}, 'c': p.c, 'r': p.r}} ORDER BY {d('q.x', 'p.c')}, p.i) AS l
+  FROM rows q JOIN reps p ON p.user_id = q.user_id AND p.blk = q.blk GROUP BY q.user_id, q.event_id, q.rn),
+clear AS (
+  SELECT *, CASE WHEN l[1].d = 0 THEN l[1:1] ELSE list_reduce(list_transform(l, lambda e: [e]),
+    lambda a, e: CASE WHEN len(list_filter(a, lambda k: {hidden})) > 0 THEN a ELSE list_concat(a, e) END) END AS kept FROM met),
+fits AS (SELECT *, list_transform(kept, lambda k: CASE WHEN k.d = 0 THEN 0.0::DOUBLE WHEN k.r > 0 THEN k.d / k.r ELSE 'infinity'::DOUBLE END) AS ms FROM clear),
+scores AS (
+  SELECT user_id, event_id, rn, least(list_min(ms), 10) AS x, len(kept) AS near, kept[list_position(ms, list_min(ms))].c AS c,
+    exp(-list_min(ms) * list_min(ms)) AS own, list_sum(list_transform(ms, lambda m: exp(-m * m))) AS parts FROM fits),
+past AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rn) AS nth, list(x) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l_x FROM scores),
+stats AS (SELECT *, {_mean('l_x', 1 / (10 * KNOWN))} AS m, {_spread('l_x', 1 / (10 * KNOWN))} AS s FROM past)
+SELECT b.user_id, b.event_id, {sql_six('coalesce(t.x, 0)')} AS score, {sql_six('CASE WHEN t.nth > 10 THEN m + 3 * s ELSE 0 END')} AS threshold,
+  {sql_six('CASE WHEN t.nth > 10 THEN CASE WHEN s = 0 THEN CASE WHEN t.x > m + 1e-10 THEN 1 ELSE 0 END ELSE greatest(0, (least(6, (t.x - m) / s) - 3) / 3) END ELSE 0 END')} AS grade,
+  coalesce(t.near, 0)::INTEGER AS near, %s AS representative, {sql_six('CASE WHEN t.parts > 0 THEN t.own / t.parts ELSE 1.0 / t.near END')} AS share
+FROM base b LEFT JOIN stats t ON t.user_id = b.user_id AND t.event_id = b.event_id"""
+
+
+def _glocal(rows: DataFrame, representative) -> DataFrame:
+    got = glocal_blocks.detect(rows, "user_id", ORDER, "x", ["user_id", "event_id"], KNOWN, None, KEPT, FEW, seed=SEED, identity=F.col("event_id"))
+    figures = [six(c).alias(c) for c in ("score", "threshold", "grade", "share")]
+    return got.select("user_id", "event_id", *figures, "near", representative.alias("representative"))
+
+
+@query(_glocal_sql("SELECT user_id, event_id, rn, value AS x FROM ev", "abs($a - $b)") % "t.c")
+def glocal_blocks_values(spark, sf_dir):
+    """Every row of every user against representatives of the user's reservoir: score, grade, and the one it belongs to."""
+    rows = stream(spark, sf_dir).withColumn("x", F.array("value"))
+    return _glocal(rows, F.col("representative")[0])
+
+
+_VECTORS = "SELECT label AS user_id, vec_id AS event_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn, embedding::DOUBLE[] AS x FROM embeddings"
+
+
+@query(_glocal_sql(_VECTORS, "list_distance($a, $b)") % "t.c[1]")
+def glocal_blocks_vectors(spark, sf_dir):
+    """The same of vectors, a stream a label, in the order of their ids."""
+    e = table(spark, sf_dir, "embeddings")
+    rows = e.select(F.col("label").alias("user_id"), F.col("vec_id").alias("event_id"), F.col("vec_id").alias("t"), F.col("embedding").alias("x"))
+    return _glocal(rows, F.col("representative")[0])
