@@ -30,7 +30,7 @@ SHORTEST, LONGEST, WHOLE = 3, 8, 9
 #: Weight of the Dirichlet prior, in texts: a form behaves in so many more texts as its shorter form does.
 PRIOR = 2.0
 #: A form is told from its shorter form if its odds are further apart than this (natural logarithm) ...
-LEAST_ODDS = 2.0
+LEAST_ODDS = 3.0
 #: ... and a word is scored at all if its odds lie so far from even.  All others score DRIFT, so that running scores fall outside passages.
 DRIFT = -0.02
 #: Forms that a partition counts before it adds up what it has.
@@ -79,7 +79,8 @@ class Model:
     """vocab: ascending hashes of the forms that are told from their shorter forms; weight: their log-odds.
 
     roots: ascending hashes of the first letters of those forms.  rate and
-    log_k: the extreme-value law; base and slope: from surprise to probability.
+    log_k: the extreme-value law; base and slope: from surprise to probability;
+    least_odds: how far from even the odds of a word that is scored lie.
     """
 
     vocab: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
@@ -89,6 +90,7 @@ class Model:
     log_k: float = 0.0
     base: float = -2.0
     slope: float = 0.0
+    least_odds: float = LEAST_ODDS
 
     def scores(self, words: LetterWords) -> np.ndarray:
         """Each word's score: the log-odds of its longest form in the model, or DRIFT."""
@@ -105,7 +107,7 @@ class Model:
                 out[some[own[seen]]] = self.weight[at[seen]]
             at, seen = find(self.vocab, words.hash[some])
             out[some[seen]] = self.weight[at[seen]]
-        return np.where(np.abs(out) >= LEAST_ODDS, out, DRIFT)
+        return np.where(np.abs(out) >= self.least_odds, out, DRIFT)
 
     def passages(self, words: LetterWords) -> Iterator[tuple[int, int, list[tuple[int, int, float]]]]:
         """(row, number of words, maximal segments as word ranges of the row) for each row with words."""
@@ -190,7 +192,7 @@ def evidence(a, n, q):
         return 2 * (np.where(a > 0, a * np.log(a / (n * q)), 0.0) + np.where(b > 0, b * np.log(b / (n * (1 - q))), 0.0))
 
 
-def tell_apart(table: pa.Table, q0: float, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tell_apart(table: pa.Table, q0: float, least: float, least_odds: float = LEAST_ODDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forms (columns of _presence) to (vocab, weight, roots): from short to long, those whose share of toxic texts their shorter form does not explain."""
     h, shorter, root = (table.column(c).to_numpy().view(np.uint64) for c in ("h", "shorter", "root"))
     order = np.argsort(h)
@@ -202,7 +204,7 @@ def tell_apart(table: pa.Table, q0: float, least: float) -> tuple[np.ndarray, np
         own = np.flatnonzero(level == k)
         before = np.where(known[own], q[up[own]], q0)
         after = (a[own] + PRIOR * before) / (n[own] + PRIOR)
-        kept[own] = (evidence(a[own], n[own], before) >= least) & (np.abs(_logit(after) - _logit(before)) >= LEAST_ODDS)
+        kept[own] = (evidence(a[own], n[own], before) >= least) & (np.abs(_logit(after) - _logit(before)) >= least_odds)
         q[own] = np.where(kept[own], after, before)
     return h[kept], (_logit(q) - _logit(q0))[kept], np.unique(root[kept])
 
@@ -219,7 +221,7 @@ def _rate(score: np.ndarray, p: np.ndarray) -> float:
     return hi
 
 
-def law(weight: np.ndarray, words: int, segments_seen: int, hits: np.ndarray) -> tuple[float, float]:
+def law(weight: np.ndarray, words: int, segments_seen: int, hits: np.ndarray, least_odds: float = LEAST_ODDS) -> tuple[float, float]:
     """(rate, ln K) of the extreme-value law from the other texts: their number of words, of positive segments, and the scores of their words in the model.
 
     Every positive form counts half a word more than was seen, so that forms
@@ -227,7 +229,7 @@ def law(weight: np.ndarray, words: int, segments_seen: int, hits: np.ndarray) ->
     negative, all scores are lowered in the law until it is.  K is what the
     number of segments seen says of a segment of the least positive score.
     """
-    good = weight[weight >= LEAST_ODDS]
+    good = weight[weight >= least_odds]
     if not len(good):
         return 1.0, 0.0
     score = np.concatenate([good, hits, [DRIFT]])
@@ -271,15 +273,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return float(b[0]), float(b[1])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
+def marked(labels: DataFrame, without: int | None = None) -> DataFrame:
+    """(id, toxic) of the labelled ids outside the held-out fold, and outside the training fold `without`."""
+    own = labels.select(F.col("doc_id").alias("id"), "toxic").where(F.col("id").isNotNull() & F.col("toxic").isNotNull() & (fold("doc_id", HELD_OUT[0]) != HELD_OUT[1]))
+    own = own if without is None else own.where(fold("id", HELD_OUT[0]) != without)
+    return own.groupBy("id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, without: int | None = None) -> DataFrame:
     """(text, toxic, weight) of the training sample: at most about `per_class` rows of each label, by a hash of the id.
 
     Rows of the held-out fold, and null ids and labels, are left out; an id
     with several labels is toxic if one says so.  weight restores the shares
     of the classes.
     """
-    own = labels.select(F.col("doc_id").alias("id"), "toxic").where(F.col("id").isNotNull() & F.col("toxic").isNotNull() & (fold("doc_id", HELD_OUT[0]) != HELD_OUT[1]))
-    own = own.groupBy("id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    own = marked(labels, without)
     share = own.groupBy(F.col("toxic").alias("t")).agg(F.least(F.lit(1.0), F.lit(float(per_class)) / F.count("*")).alias("share"))
     chosen = own.join(F.broadcast(share), F.col("toxic") == F.col("t")).where(F.pmod(F.xxhash64(F.lit(4), "id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
     # two classes of per_class rows each: the broadcast is bounded
@@ -287,11 +295,11 @@ def labelled(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLA
     return docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("id")).select("text", "toxic", "weight")
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
-    """The model of the labelled rows; with no toxic or no other text, one that gives every text the same low probability."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, least_odds: float = LEAST_ODDS, without: int | None = None) -> Model:
+    """The model of the labelled rows (but for those of the training fold `without`); with no toxic or no other text, one that gives every text the same low probability."""
     spark = docs.sparkSession
     arrow_rows(spark)
-    train = hold(labelled(docs, labels, per_class))
+    train = hold(labelled(docs, labels, per_class, without))
     counts = train.select("text", "toxic").mapInArrow(_presence, _FORM_TYPES)
     counts = hold(counts.groupBy("h").agg(*[F.first(c).alias(c) for c in ("shorter", "root", "level")], *[F.sum(c).alias(c) for c in ("toxic", "texts")]))
     # a form of a single text is never told from its shorter form
@@ -307,7 +315,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     # what has no longer form with evidence against q0 tells nothing apart
     families = counts.where(both >= least).select(F.col("root").alias("family")).distinct()
     table = counts.join(families, F.col("root") == F.col("family"), "left_semi").select(*_FORMS).toArrow()  # bounded by the sample
-    model = Model(*tell_apart(table, q0, least))
+    model = Model(*tell_apart(table, q0, least, least_odds), least_odds=least_odds)
     held = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +335,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     toxic, size = got.column("toxic").to_numpy(), got.column("n").to_numpy()
     every, hits = got.column("every").to_pylist(), got.column("hits").to_pylist()
     other = np.flatnonzero(toxic == 0)
-    model.rate, model.log_k = law(model.weight, int(size[other].sum()), sum(len(every[i]) for i in other), np.array([s for i in other for s in hits[i]]))
+    model.rate, model.log_k = law(model.weight, int(size[other].sum()), sum(len(every[i]) for i in other), np.array([s for i in other for s in hits[i]]), least_odds)
     x = np.log1p([model.surprise(int(n), [(0, 0, s) for s in e]) for n, e in zip(size, every, strict=True)])
     model.base, model.slope = _logistic(x, toxic.astype(float), got.column("weight").to_numpy())
     train.unpersist()
@@ -367,6 +375,29 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "toxicity", *["passages"] * spans)
 
 
+def validated(docs: DataFrame, labels: DataFrame, choices: list[float], per_class: int = SAMPLE_PER_CLASS) -> list[tuple[float, float, float, float]]:
+    """(least odds, loss, share of toxic rows found, share of clean rows lost) of each choice, over the training folds.
+
+    Each training fold is scored by a model of the others, at 0.5; the loss is
+    the logistic one, both classes weighing alike.  The held-out fold has no
+    part in it: its labels choose nothing.
+    """
+    own = marked(labels)
+    out = []
+    for odds in choices:
+        got = []
+        for r in [f for f in range(HELD_OUT[0]) if f != HELD_OUT[1]]:
+            model = fit(docs, labels, per_class, odds, r)
+            rows = docs.select("doc_id", "text").join(own.where(fold("id", HELD_OUT[0]) == r), F.col("doc_id") == F.col("id"))
+            p = F.least(F.greatest(F.when(F.col("toxic") == 1, F.col("toxicity")).otherwise(1 - F.col("toxicity")), F.lit(1e-15)), F.lit(1.0))
+            each = score(rows, model, keep=["toxic"]).groupBy("toxic").agg(F.avg(-F.log(p)).alias("loss"), F.avg((F.col("toxicity") >= 0.5).cast("double")).alias("found"))
+            got.append({row.toxic: (row.loss, row.found) for row in each.collect()})  # two rows
+        both = [g for g in got if len(g) == 2]
+        mean = lambda t, i: float(np.mean([g[t][i] for g in both])) if both else math.nan
+        out.append((odds, (mean(0, 0) + mean(1, 0)) / 2, mean(1, 1), mean(0, 1)))
+    return out
+
+
 def held_out(id_col: str = "doc_id"):
     return F.coalesce(fold(id_col, HELD_OUT[0]) == HELD_OUT[1], F.lit(False))
 

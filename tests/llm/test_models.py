@@ -304,3 +304,18 @@ def test_passages_are_found(spark):
     got = toxicity.score(docs, model, spans=True).where("doc_id = 1").first()
     assert got.toxicity > 0.9 and [(p["first"], p["last"]) for p in got.passages] == [(32, 37)]
     assert toxicity.score(docs, model).where("doc_id = 2").first().toxicity < 0.1
+
+
+def test_choices_are_validated_on_training_folds_alone(spark):
+    docs, marks = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        docs.append((i, "the house and the garden " * 3 + ("vilifying slurword slurring " * 2 if bad else "flower meadow walking ")))
+        marks.append((i, int(bad)))
+    d, m = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    got = toxicity.validated(d, m, [2.0, 3.0])
+    assert [g[0] for g in got] == [2.0, 3.0]
+    assert all(found == 1 and lost == 0 and loss < 0.3 for _, loss, found, lost in got)
+    # labels of the held-out fold have no part: turned around they change nothing
+    turned = m.withColumn("toxic", F.when(toxicity.fold("doc_id", 5) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")).cast("int"))
+    assert toxicity.validated(d, turned, [2.0, 3.0]) == got
