@@ -15,15 +15,17 @@ import zlib
 from collections.abc import Callable
 from typing import Any
 
+from ..operators.caster import Caster, ErrorTracker
 from ..operators.detector import Detector, Result, StreamForest
 from ..operators.deviation import Deviation
 from ..operators.multi import Bandit, MultiSeries, SeriesState
+from ..operators.predictive import PredictiveForest
 from ..operators.thresholder import Thresholder
 from ..operators.transforms import Stats, Transform
 from ..operators.trees import DynamicTree
 
 VERSION = 2
-CLASSES = {c.__name__: c for c in (Detector, Result, StreamForest, Deviation, Bandit, MultiSeries, SeriesState, Thresholder, Stats, Transform)}
+CLASSES = {c.__name__: c for c in (Detector, Result, StreamForest, Deviation, Bandit, MultiSeries, SeriesState, Thresholder, Stats, Transform, Caster, ErrorTracker, PredictiveForest)}
 
 
 def _signs(state: dict) -> dict:
@@ -133,7 +135,7 @@ def _made(x: Any) -> Any:
 
 
 def dump(model: Any, compress: bool = True) -> bytes:
-    """The state of a Detector, StreamForest or MultiSeries."""
+    """The state of a Detector, Caster, PredictiveForest, StreamForest or MultiSeries."""
     text = json.dumps({"version": VERSION, "model": _plain(model)}, separators=(",", ":")).encode()
     return zlib.compress(text, 1) if compress else text
 
