@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.uniforms import uniform_sql
 from ..operators import block_detector, glocal_blocks
+from ..operators.workspace import folder
+from ..streaming.shared import SharedForests, backfill
 from .forest_sql import levels_sql, scores_sql
 from .relational import _DIFF, EV, ORDER, Query, _mean, _spread, sql_six, six, stream, table, threshold_sql
 
@@ -157,3 +159,58 @@ def glocal_blocks_vectors(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     rows = e.select(F.col("label").alias("user_id"), F.col("vec_id").alias("event_id"), F.col("vec_id").alias("t"), F.col("embedding").alias("x"))
     return _glocal(rows, F.col("representative")[0])
+
+
+# ---------------------------------------------------------------- many series over shared models
+
+SPANS, TOGETHER = 8, 64
+
+
+def _shared_sql() -> str:
+    """One forest for all users, as it is at the start of each of SPANS spans of time."""
+    key = f"ln(-ln({uniform_sql(str(SEED), 't.tree', 'r.name')})) - r.born / {10.0 * TOGETHER}"
+    fade = f"pow({1 - RATE!r}, s.n - s.i)"
+    return f"""WITH RECURSIVE {EV},
+span AS (SELECT min(t) AS low, (max(t) - min(t)) // {SPANS} + 1 AS width FROM ev),
+windows AS (
+  SELECT user_id, event_id AS seq, rn, (t - low) // width AS b, concat_ws('|', user_id, t, event_id) AS name, lag(value) OVER (PARTITION BY user_id ORDER BY rn) AS x0, value AS x1 FROM ev, span),
+counts AS (SELECT b, coalesce(sum(n) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS born FROM (SELECT b, count(x0) AS n FROM windows GROUP BY b)),
+rows AS (SELECT w.*, c.born FROM windows w JOIN counts c USING (b) WHERE x0 IS NOT NULL),
+sample AS (
+  SELECT c.b * {TREES} + t.tree AS tree, r.seq, r.x0, r.x1
+  FROM counts c JOIN rows r ON r.b < c.b, range({TREES}) t(tree) WHERE c.born > {max(1, TOGETHER // 4)}
+  QUALIFY row_number() OVER (PARTITION BY c.b, t.tree ORDER BY {key}, r.seq) <= {TOGETHER}),
+{levels_sql('rows', SEED, f'tree % {TREES}', f't.tree // {TREES} = q.b')},
+{scores_sql("(1 - {m} / (2.0 * {t})) / ({d} + log2({m} + 1))", "1.0 / ({d} + 1)", "1.0 / (v.d + 1)", "raw * log2(t + 1)")},
+forest AS (SELECT seq, sum(score) / {TREES} AS x FROM per_tree GROUP BY seq),
+judged AS (SELECT w.*, f.x FROM windows w LEFT JOIN forest f USING (seq)),
+past AS (
+  SELECT a.user_id, a.b, s.x, row_number() OVER (PARTITION BY a.user_id, a.b ORDER BY s.rn) AS i, count(*) OVER (PARTITION BY a.user_id, a.b) AS n
+  FROM (SELECT DISTINCT user_id, b FROM windows) a JOIN judged s ON s.user_id = a.user_id AND s.b < a.b WHERE s.x > 0),
+stats AS (SELECT user_id, b, max(n) AS n, sum(s.x * {fade}) / sum({fade}) AS m, sum(s.x * s.x * {fade}) / sum({fade}) AS q FROM past s GROUP BY user_id, b),
+limits AS (
+  SELECT s.user_id, s.seq AS event_id, coalesce(s.x, 0) AS x, m, sqrt(greatest(0, q - m * m)) AS dev, s.x > 0 AND n >= 10 AS found FROM judged s LEFT JOIN stats USING (user_id, b)),
+graded AS (
+  SELECT *, CASE WHEN found AND x > m + 3 * dev THEN CASE WHEN dev = 0 THEN CASE WHEN x > m + 1e-10 THEN 1 ELSE 0 END ELSE greatest(0, (least(6, (x - m) / dev) - 3) / 3) END ELSE 0 END AS g FROM limits)
+SELECT user_id, event_id, {sql_six('x')} AS score, {sql_six('CASE WHEN found THEN m + 3 * dev ELSE 0 END')} AS threshold, {sql_six('g')} AS grade FROM graded"""
+
+
+def _together(spark: SparkSession, sf_dir: str, models: int) -> DataFrame:
+    shared = SharedForests(folder(spark), models, SHINGLE, TREES, TOGETHER, rate=RATE, seed=SEED)
+    rows = stream(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("t").alias("time"), F.col("event_id").alias("id"), "value")
+    got = backfill(rows, shared, SPANS)
+    return got.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "arm", *[six(c).alias(c) for c in ("score", "threshold", "grade")])
+
+
+@query(_shared_sql())
+def shared_model(spark, sf_dir):
+    """All users' rows by one forest of all users, a version a span of time; no user is tied to a group."""
+    return _together(spark, sf_dir, 1).drop("arm")
+
+
+def shared_models(spark, sf_dir):
+    """Each user picks one of two forests by its losses; a brute-force version holds it."""
+    return _together(spark, sf_dir, 2)
+
+
+QUERIES["shared_models"] = shared_models
