@@ -5,13 +5,16 @@ sign of each sum is a bit of the fingerprint.  For the search, fingerprints
 are cut into 16 blocks of two bytes: two within the radius of 31 differ by one
 bit at most in one block at least, and so agree in one of its bytes.  Tables
 keyed by each byte in turn bring them together; within a key only rows whose
-other byte of the block differs by a bit at most are compared.
+other byte of the block differs by a bit at most are compared.  Where these
+tables' keys would be cut into many parts, the tables are keyed by whole blocks
+instead: a row goes to its own value and to each with one of its set bits
+cleared, so that its copies do not grow with the table.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +29,13 @@ BITS = 256
 RADIUS = 31
 #: Fingerprints of a key that one task compares; more are cut into chunks of about so many that meet pairwise.
 CHUNK = 1 << 15
+#: Parts of a byte's key beyond which tables are keyed by whole blocks: 32 copies a part there, 16 x 9 on average here.
+WIDE_PARTS = 5
 #: Pairs of rows of a key that are compared at once.
 STRIP = 1 << 19
 _LANES = BITS // 64
 _BYTES = BITS // 8
+_BLOCKS = BITS // 16
 assert RADIUS < _BYTES  # else a block's two bytes may both differ
 
 
@@ -122,56 +128,106 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array((b << 8) + raw[:, b].astype(np.int32), pa.int32()), fps, batch.column(1)], names=["key", "fp", "copies"])
 
 
-def _close(place: int, raw: np.ndarray, weight: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
-    """For rows that agree in the byte at `place`: the copies within the radius that no earlier table has brought together.
+def _met(raw: np.ndarray, weight: np.ndarray, first: np.ndarray, last: np.ndarray, side: np.ndarray | None, new: Callable[[np.ndarray], np.ndarray], near: np.ndarray) -> None:
+    """Compare each row x with rows first[x] to last[x]; add the copies of pairs within the radius to `near`, where `new` (of their differing bits) says so.
 
     With `side`, only rows of different sides meet.
     """
+    wide = raw.view(np.uint64)
+    here = np.arange(len(raw))
+    ends = np.cumsum(last - first)
+    lo = 0
+    while lo < len(raw):
+        done = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, done + STRIP, "right")))
+        count = (last - first)[lo:hi]
+        x = np.repeat(here[lo:hi], count)
+        y = np.arange(len(x)) + np.repeat(first[lo:hi] - (ends[lo:hi] - count - done), count)
+        if side is not None:
+            apart = side[x] != side[y]
+            x, y = x[apart], y[apart]
+        far = np.zeros(len(x), np.int64)
+        for k in range(_LANES):
+            far += np.bitwise_count(wide[x, k] ^ wide[y, k])
+            some = far <= RADIUS
+            x, y, far = x[some], y[some], far[some]
+        counts = new(raw[x] ^ raw[y])
+        np.add.at(near, x[counts], weight[y[counts]])
+        np.add.at(near, y[counts], weight[x[counts]])
+        lo = hi
+
+
+def _close(key: int, raw: np.ndarray, weight: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """For rows that agree in a byte: the copies within the radius that no earlier table has brought together.
+
+    Sides: -1, or only rows of different sides meet.
+    """
+    place = key >> 8
     other = raw[:, place ^ 1].astype(np.int64)
     order = np.argsort(other, kind="stable")
     raw, weight, other = raw[order], weight[order], other[order]
-    side = None if side is None else side[order]
-    wide = raw.view(np.uint64)
+    sides = None if side[0] < 0 else side[order]
     start = np.searchsorted(other, np.arange(257))
-    here = np.arange(len(raw))
     near = np.zeros(len(raw), np.int64)
+
+    def new(differing: np.ndarray) -> np.ndarray:
+        apart = np.bitwise_count(differing)
+        meets = (apart == 0) & (apart[:, np.arange(_BYTES) ^ 1] <= 1)
+        return meets.argmax(axis=1) == place
+
     for flip in (0, *(1 << k for k in range(8))):
         # each pair once: later rows of the same byte, or rows where the flipped bit is set
-        first = np.where(other & flip == 0, start[other ^ flip], 0) if flip else here + 1
+        first = np.where(other & flip == 0, start[other ^ flip], 0) if flip else np.arange(len(raw)) + 1
         last = np.where(other & flip == 0, start[(other ^ flip) + 1], 0) if flip else start[other + 1]
-        ends = np.cumsum(last - first)
-        lo = 0
-        while lo < len(raw):
-            done = ends[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(ends, done + STRIP, "right")))
-            count = (last - first)[lo:hi]
-            x = np.repeat(here[lo:hi], count)
-            y = np.arange(len(x)) + np.repeat(first[lo:hi] - (ends[lo:hi] - count - done), count)
-            if side is not None:
-                apart = side[x] != side[y]
-                x, y = x[apart], y[apart]
-            far = np.zeros(len(x), np.int64)
-            for k in range(_LANES):
-                far += np.bitwise_count(wide[x, k] ^ wide[y, k])
-                some = far <= RADIUS
-                x, y, far = x[some], y[some], far[some]
-            apart = np.bitwise_count(raw[x] ^ raw[y])
-            meets = (apart == 0) & (apart[:, np.arange(_BYTES) ^ 1] <= 1)
-            new = meets.argmax(axis=1) == place
-            np.add.at(near, x[new], weight[y[new]])
-            np.add.at(near, y[new], weight[x[new]])
-            lo = hi
+        _met(raw, weight, first, last, sides, new, near)
     out = np.empty_like(near)
     out[order] = near
     return out
 
 
-def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (unit, key, fp, copies, side) by unit to (fp, near), where there are any; a side of -1: all rows of the unit meet."""
+def _close_blocks(key: int, raw: np.ndarray, weight: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """For rows of a block's value, their own or with a bit cleared: the copies within the radius that no earlier block has brought together.
+
+    Sides as for `_close`, times 2, plus 1 for rows whose own value it is; of
+    these each meets all others, and rows with a cleared bit do not meet.
+    """
+    place = key >> 16
+    order = np.argsort(1 - (side & 1), kind="stable")
+    raw, weight, side = raw[order], weight[order], side[order]
+    own = int((side & 1).sum())
+    here = np.arange(len(raw))
+    near = np.zeros(len(raw), np.int64)
+
+    def new(differing: np.ndarray) -> np.ndarray:
+        apart = np.bitwise_count(differing).reshape(len(differing), _BLOCKS, 2).sum(axis=2)
+        return (apart <= 1).argmax(axis=1) == place
+
+    sides = None if side[0] < 0 else side >> 1
+    _met(raw, weight, np.where(here < own, here + 1, 0), np.full(len(raw), own), sides, new, near)
+    out = np.empty_like(near)
+    out[order] = near
+    return out
+
+
+def _block_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fingerprint, copies) to rows for each block: (block's place and value, fingerprint, copies, own), with the value itself, then with each set bit cleared."""
+    for batch in batches:
+        raw = np.frombuffer(bytes.fromhex("".join(batch.column(0).to_pylist())), np.uint8).reshape(batch.num_rows, _BYTES)
+        fps = pa.array([r.tobytes() for r in raw], pa.binary())
+        for b in range(_BLOCKS):
+            value = (raw[:, 2 * b].astype(np.int32) << 8) + raw[:, 2 * b + 1]
+            for bit in (0, *(1 << k for k in range(16))):
+                some = pa.array(np.flatnonzero(value & bit) if bit else np.arange(len(value)))
+                key = (b << 16) + (value[some.to_numpy()] ^ bit)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), fps.take(some), batch.column(1).take(some), pa.array(np.full(len(key), int(not bit)), pa.int32())], names=["key", "fp", "copies", "own"])
+
+
+def _within(batches: Iterator[pa.RecordBatch], close: Callable[..., np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows (unit, key, fp, copies, side) by unit to (fp, near), where there are any."""
 
     def finish(key: int, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[list[bytes], list[int]]:
         raw, weight, side = (np.concatenate([h[j] for h in held]) for j in (0, 1, 2))
-        near = _close(key >> 8, raw, weight, None if side[0] < 0 else side)
+        near = close(key, raw, weight, side)
         some = np.flatnonzero(near)
         return [raw[i].tobytes() for i in some], near[some].tolist()
 
@@ -196,30 +252,48 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(f, pa.binary()), pa.array(n, pa.int64())], names=["fp", "near"])
 
 
+def _units(tables: DataFrame, cuts: DataFrame | None, keys: int) -> DataFrame:
+    """Rows (unit, key, fp, copies, side, and own where it is given): keys with `parts` in `cuts` are dealt to the pairs of their chunks; side -1: all rows of the unit meet."""
+    own = ["own"] if "own" in tables.columns else []
+    if cuts is None:
+        return tables.select(F.col("key").cast("long").alias("unit"), "key", "fp", "copies", F.lit(-1).alias("side"), *own)
+    dealt = tables.join(F.broadcast(cuts), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("i", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low, high = F.least("i", "j"), F.greatest("i", "j")
+    unit = F.col("key").cast("long") + ((low * F.col("parts") + high).cast("long") + F.when(F.col("parts") > 1, 1).otherwise(0)) * keys
+    side = F.when(F.col("i") == F.col("j"), -1).otherwise((F.col("i") > F.col("j")).cast("int"))
+    return dealt.select(unit.alias("unit"), "key", "fp", "copies", side.cast("int").alias("side"), *own)
+
+
+def _dealt(distinct: DataFrame) -> tuple[DataFrame, Callable[..., np.ndarray]]:
+    """Distinct fingerprints (fingerprint, copies) to the units in which they meet, and how those of a unit are compared."""
+    tables, close, keys = distinct.mapInArrow(_tables, "key int, fp binary, copies long"), _close, _BYTES << 8
+    parts = F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")
+    cuts = hold(tables.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("key", parts))  # 8,192 keys at most
+    most = cuts.agg(F.max("parts")).first()[0] or 1
+    if most > WIDE_PARTS:
+        tables, close, keys = distinct.mapInArrow(_block_tables, "key int, fp binary, copies long, own int"), _close_blocks, _BLOCKS << 16
+        cuts = tables.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("key", parts)  # 1,048,576 keys at most
+    units = _units(tables, cuts if most > 1 else None, keys)
+    if close is _close_blocks:
+        units = units.withColumn("side", (F.col("side") * 2 + F.col("own")).cast("int")).drop("own")
+    return units, close
+
+
 def count_near(prints: DataFrame, column: str = "fingerprint") -> DataFrame:
     """(fp, others): for each distinct fingerprint the rows with another fingerprint within RADIUS bits, where there are any.
 
     Equal fingerprints are counted once and weigh as many rows as they stand
     for, so groups of copies never meet; each close pair counts in the first
     table that holds both.  A key of more than CHUNK fingerprints is cut into
-    chunks by a hash; every pair of chunks is a unit of its own.
+    chunks by a hash; every pair of chunks is a unit of its own.  Where a
+    byte's key would be cut into more than WIDE_PARTS chunks, tables are keyed
+    by blocks of two bytes, with the same result.
     """
-    distinct = hold(prints.groupBy(column).agg(F.count("*").alias("copies")))
-    tables = distinct.mapInArrow(_tables, "key int, fp binary, copies long")
-    sizes = tables.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).collect()  # 256 keys a table at most
-    unit = F.col("key").cast("long")
-    if sizes:
-        cuts = F.create_map(*[F.lit(int(x)) for r in sizes for x in (r.key, -(-r.n // CHUNK))])
-        parts = F.coalesce(F.element_at(cuts, F.col("key")), F.lit(1))
-        tables = tables.withColumn("parts", parts).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-        tables = tables.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        low, high = F.least("i", "j"), F.greatest("i", "j")
-        unit = unit + ((low * F.col("parts") + high).cast("long") + F.when(F.col("parts") > 1, 1).otherwise(0)) * (_BYTES << 8)
-        side = F.when(F.col("i") == F.col("j"), -1).otherwise((F.col("i") > F.col("j")).cast("int"))
-        tables = tables.select(unit.alias("unit"), "key", "fp", "copies", side.cast("int").alias("side"))
-    else:
-        tables = tables.select(unit.alias("unit"), "key", "fp", "copies", F.lit(-1).alias("side"))
-    near = tables.repartition("unit").sortWithinPartitions("unit").mapInArrow(_within, "fp binary, near long")
+    distinct = hold(prints.groupBy(F.col(column).alias("fingerprint")).agg(F.count("*").alias("copies")))
+    units, close = _dealt(distinct)
+    near = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(lambda batches: _within(batches, close), "fp binary, near long")
     return near.groupBy("fp").agg(F.sum("near").alias("others"))
 
 

@@ -5,6 +5,7 @@ import re
 import sys
 
 import numpy as np
+import pytest
 
 from arborstream.llm import fingerprints as fp
 from arborstream.llm.common import Words, mix64
@@ -45,9 +46,11 @@ def test_block_tables_find_every_pair_within_the_radius(spark):
         assert got.get(text, 0) == n
 
 
-def test_hot_keys_are_cut(spark, monkeypatch):
-    """Keys of many times CHUNK fingerprints give the counts of brute force."""
+@pytest.mark.parametrize("parts", [0, 1 << 20])
+def test_hot_keys_are_cut(spark, monkeypatch, parts):
+    """Keys of many times CHUNK fingerprints give the counts of brute force, keyed by blocks or by bytes."""
     monkeypatch.setattr(fp, "CHUNK", 64)
+    monkeypatch.setattr(fp, "WIDE_PARTS", parts)
     rng = np.random.default_rng(8)
     base = rng.integers(0, 2, 256, dtype=np.uint8)
     bits = np.repeat(base[None, :], 500, axis=0)
@@ -112,7 +115,9 @@ def test_copies_around_four_fifths_alike_are_near(spark):
     assert sum(r.near_rows == 1 for r in got) >= 0.95 * len(got)
 
 
-def test_pairs_at_every_distance_are_counted_once(spark):
+@pytest.mark.parametrize("parts", [0, 5])
+def test_pairs_at_every_distance_are_counted_once(spark, monkeypatch, parts):
+    monkeypatch.setattr(fp, "WIDE_PARTS", parts)
     rng = np.random.default_rng(5)
     rows = []
     for _ in range(40):
@@ -126,3 +131,19 @@ def test_pairs_at_every_distance_are_counted_once(spark):
     prints = [np.frombuffer(bytes.fromhex(r[0]), np.uint64) for r in rows]
     for (text,), p in zip(rows, prints):
         assert got.get(text, 0) == sum(0 < int(np.bitwise_count(p ^ q).sum()) <= fp.RADIUS for q in prints)
+
+
+def test_copies_of_a_fingerprint_do_not_grow_with_the_table(spark, monkeypatch):
+    """Tables whose bytes' keys need some 5 and some 20 parts: blocks keep the copies near 144, bytes take 32 a part."""
+    monkeypatch.setattr(fp, "CHUNK", 8)
+    rng = np.random.default_rng(4)
+
+    def copies(n: int, wide_parts: int) -> float:
+        monkeypatch.setattr(fp, "WIDE_PARTS", wide_parts)
+        rows = [(r.tobytes().hex(), 1) for r in rng.integers(0, 256, (n, 32), dtype=np.uint8)]
+        units, _ = fp._dealt(spark.createDataFrame(rows, "fingerprint string, copies long"))
+        return units.count() / n
+
+    small, large = copies(10_000, 4), copies(40_000, 4)
+    assert 140 < small < 150 and large < 1.3 * small
+    assert copies(40_000, 1 << 20) > 3 * large
