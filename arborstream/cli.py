@@ -30,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--shingle-cyclic", action="store_true")
     p.add_argument("--delimiter", default=",")
     p.add_argument("--header-row", action="store_true")
+    p.add_argument("--key-column", type=int, help="number of the cell, from 0, that names a line's stream; without it all lines are one stream, which one task steps through")
     p.add_argument("--random-seed", type=int, default=42)
     return p
 
@@ -87,7 +88,7 @@ def stepper(command: str, args: argparse.Namespace):
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("arborstream").getOrCreate()
-    rows = delimited.read(spark, args.input, args.delimiter, args.header_row).withColumn("stream", F.lit(0))
+    rows = delimited.read(spark, args.input, args.delimiter, args.header_row, args.key_column)
     got = scan(rows, "stream", ["line"], ["line", "cells", "v"], stepper(args.command, args), "line long, cells array<string>, result array<double>")
     shown = F.when(F.col("result").isNull(), delimited.MISSING).otherwise(F.concat_ws(args.delimiter, F.col("result").cast("array<string>")))
     delimited.write(delimited.lines(got, [shown], args.delimiter), args.output)

@@ -284,8 +284,7 @@ def stream_replay(spark, sf_dir):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     from ..operators.workspace import folder
 
-    ev = table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(ev.schema).option("pathGlobFilter", "*.parquet").parquet(_as_folder(spark, sf_dir, folder(spark)))
+    stream = _followed(spark, sf_dir, "events")
     rows = stream.select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("value").alias("v0"))
     out = folder(spark)
     running = detect_stream(rows, "key", "t", ["v0"], **SMALL).writeStream.outputMode("update").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
@@ -297,8 +296,14 @@ def stream_replay(spark, sf_dir):
     return spark.read.parquet(f"{out}/rows").drop("epoch")
 
 
-def _as_folder(spark: SparkSession, sf_dir: str, work: str) -> str:
-    """Streams read folders: the table is copied to one of the shared folder."""
-    path = f"{work}/events"
-    table(spark, sf_dir, "events").coalesce(2).write.parquet(path)
-    return path
+#: Bytes of files that a micro-batch takes, or one file if it is longer.
+BATCH_BYTES = 16 << 30
+
+
+def _followed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's files as a stream, where they lie: a folder of files, or one file of the folder of tables."""
+    known = table(spark, sf_dir, name)
+    reader = spark.readStream.schema(known.schema).option("maxBytesPerTrigger", str(BATCH_BYTES))
+    if known.inputFiles()[0].endswith(f"/{name}.parquet"):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return reader.parquet(f"{sf_dir}/{name}.parquet")

@@ -258,6 +258,35 @@ def test_command_line(spark, tmp_path, command, cells):
     assert command == "impute" or tail[0] == ["NA"]
 
 
+def test_command_line_with_a_key_column(spark, tmp_path):
+    """Each key's lines give what they give in a file of their own."""
+    rng = random.Random(2)
+    lines = [(f"{rng.gauss(0, 1)}", "ab"[rng.randrange(2)], f"{rng.gauss(0, 1)}") for _ in range(120)]
+    options = ["--number-of-trees", "5", "--sample-size", "16"]
+
+    def run(name: str, rows: list[tuple], *more: str) -> list[list[str]]:
+        (tmp_path / f"{name}.csv").write_text("".join(",".join(r) + "\n" for r in rows))
+        assert cli.main(["score", "--input", f"{tmp_path}/{name}.csv", "--output", f"{tmp_path}/{name}", *options, *more]) == 0
+        return [x.split(",") for p in sorted((tmp_path / name).glob("part-*")) for x in p.read_text().splitlines()]
+
+    got = run("both", lines, "--key-column", "1")
+    assert [tuple(g[:3]) for g in got] == lines
+    for key in "ab":
+        alone = run(key, [(r[0], r[2]) for r in lines if r[1] == key])
+        assert [g[3] for g in got if g[1] == key] == [g[2] for g in alone]
+    with pytest.raises(ValueError):
+        delimited.read(spark, f"{tmp_path}/both.csv", key=3)
+
+
+def test_a_stream_follows_a_table_of_one_file_or_of_many(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    for folder in (sf, str(tmp_path)):
+        name = f"followed_{len(folder)}"
+        detection._followed(spark, folder, "events").writeStream.format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+        assert spark.table(name).exceptAll(spark.read.parquet(f"{sf}/events.parquet")).count() == 0
+        assert spark.table(name).count() == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
 def test_ragged_text_fails(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("1|2\n3\n")
     with pytest.raises(Exception, match="expected 2 cells"):
