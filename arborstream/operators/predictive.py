@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from .cluster import summarize
-from .detector import StreamForest
+from .detector import Steps, StreamForest, run
 from .transforms import Transform
 
 
@@ -28,15 +28,23 @@ class PredictiveForest:
         return tuple(t.forward(float(v)) for t, v in zip(self.transforms, row, strict=True))
 
     def update(self, row) -> None:
-        self.forest.update(self._in(row))
+        run(self.updates(row))
+
+    def updates(self, row) -> Steps:
+        """update() by questions to the forest."""
+        yield "update", self.forest, self._in(row)
         for t, v in zip(self.transforms, row, strict=True):
             t.update(float(v))
 
     def predict(self, row, missing: list[int], shares: tuple[float, ...] = (0.5, 0.1, 0.9)) -> list[list[float]]:
         """The row with its missing values at each percentile."""
+        return run(self.predictions(row, missing, shares))
+
+    def predictions(self, row, missing: list[int], shares: tuple[float, ...] = (0.5, 0.1, 0.9)) -> Steps:
+        """predict() by questions to the forest."""
         filled = self._in([0.0 if i in missing else v for i, v in enumerate(row)])
         out = []
-        for got in self.forest.impute(filled, missing, shares):
+        for got in (yield "impute", self.forest, filled, missing, shares):
             out.append([self.transforms[i].inverse(got[i]) if i in missing else row[i] for i in range(self.dimensions)])
         return out
 
