@@ -231,9 +231,11 @@ def height() -> Score:
     return Score(lambda d, m: d + np.log(m), lambda d, m: 1.0 * d, lambda a, b: 1.0, lambda s, t: s)
 
 
-def simulated(tree: Tree, queries: np.ndarray, ranges: Callable[[np.ndarray, np.ndarray], np.ndarray], score: Score | None = None) -> np.ndarray:
-    """Score as if the tree's cuts had followed other weights: separation uses the weighed gaps and ranges."""
+def simulated(tree: Tree, queries: np.ndarray, ranges: Callable[[np.ndarray, np.ndarray], np.ndarray], score: Score | None = None, many: bool = False) -> np.ndarray:
+    """Score as if the tree's cuts had followed other weights: separation uses the weighed gaps and ranges. `many`: ranges takes boxes a row each."""
+    weights = (lambda low, high: ranges(low, high).sum(axis=1)) if many else lambda low, high: np.array([float(ranges(a, b).sum()) for a, b in zip(low, high, strict=True)])
     score = score or Score()
+    nodes = weights(tree.low, tree.high)
     path = routes(tree, queries)
     last = (path >= 0).sum(axis=1) - 1
     every = np.arange(len(queries))
@@ -245,8 +247,7 @@ def simulated(tree: Tree, queries: np.ndarray, ranges: Callable[[np.ndarray, np.
         node = path[rows, k]
         level = _level(queries, rows, node, tree, tree.low[node], tree.high[node])
         grown_low, grown_high = np.minimum(level.low, queries[rows]), np.maximum(level.high, queries[rows])
-        whole = np.array([float(ranges(a, b).sum()) for a, b in zip(grown_low, grown_high, strict=True)])
-        inner = np.array([float(ranges(a, b).sum()) for a, b in zip(level.low, level.high, strict=True)])
+        whole, inner = weights(grown_low, grown_high), nodes[node]
         with np.errstate(invalid="ignore", divide="ignore"):
             level.probability = np.where(whole > 0, np.clip((whole - inner) / whole, 0, 1), 0.0)
         score.up(level, equal[rows], tree)
@@ -325,6 +326,43 @@ def conditional(tree: Tree, query: np.ndarray, missing: list[int], centrality: f
     return p, far
 
 
+def conditionals(tree: Tree, queries: np.ndarray, missing: list[int]) -> np.ndarray:
+    """The sample point of `conditional` (by rank alone) for many queries at once: nodes that are looked at level by level, then ranks from the leaves up."""
+    hidden = np.isin(np.arange(queries.shape[1]), missing)
+    observed = np.flatnonzero(~hidden)
+    node, query, levels = np.zeros(len(queries), int), np.arange(len(queries)), []
+    while len(node):
+        inner = np.flatnonzero(tree.dim[node] >= 0)
+        n, own = node[inner], query[inner]
+        dim = tree.dim[n]
+        two = np.flatnonzero(hidden[dim])
+        first = np.where(hidden[dim] | (queries[own, dim] <= tree.value[n]), tree.left[n], tree.right[n])
+        one, other = np.full(len(node), -1), np.full(len(node), -1)
+        one[inner], other[inner[two]] = np.arange(len(inner)), len(inner) + np.arange(len(two))
+        levels.append((node, query, one, other))
+        node, query = np.concatenate([first, tree.right[n[two]]]), np.concatenate([own, own[two]])
+    rank, point = np.empty(0), np.empty(0, int)
+    for depth in range(len(levels) - 1, -1, -1):
+        node, query, one, other = levels[depth]
+        new, best = np.empty(len(node)), tree.point[node].copy()
+        a = np.flatnonzero(one < 0)
+        far = np.abs(tree.points[best[a]][:, observed] - queries[query[a]][:, observed]).sum(axis=1)
+        new[a] = np.where(far == 0, 0.0, 1.0 / (depth + 1.0))
+        a = np.flatnonzero(one >= 0)
+        if len(a):
+            i, j = one[a], other[a]
+            i = np.where((j >= 0) & (rank[j] < rank[i]), j, i)
+            best[a] = point[i]
+            filled, n = queries[query[a]].astype(float), node[a]
+            filled[:, missing] = tree.points[best[a]][:, missing]
+            s = np.maximum(0, filled - tree.high[n]).sum(axis=1) + np.maximum(0, tree.low[n] - filled).sum(axis=1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                chance = np.where(s > 0, s / (s + tree.width[n]), 0.0)
+            new[a] = chance / (depth + 1.0) + (1 - chance) * rank[i]
+        rank, point = new, best
+    return point
+
+
 def paths_of(tree: Tree, queries: np.ndarray) -> Iterator[list[int]]:
     for row in routes(tree, queries):
         yield [int(n) for n in row if n >= 0]

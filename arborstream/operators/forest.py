@@ -101,7 +101,7 @@ class Forest:
         count, hits = np.zeros(n), np.zeros(n)
         sums, squares = np.zeros(n), np.zeros(n)
         for t in self.trees:
-            r = folds.traverse(t, queries[left], make(), ignore_mass)
+            r = folds.scores(t, queries[left]) if make is folds.Score and not ignore_mass else folds.traverse(t, queries[left], make(), ignore_mass)
             if total is None:
                 total = np.zeros((n, *r.shape[1:]))
             total[left] += r
@@ -160,6 +160,32 @@ class Forest:
             out[k, missing] = values[min(len(values) - 1, max(0, int(np.ceil(s * len(values))) - 1))]
         return out
 
+    def impute_many(self, queries: np.ndarray, missing: list[int], shares: tuple[float, ...] = (0.5,)) -> np.ndarray:
+        """impute() by rank for many queries that lack the same coordinates: queries x shares x dimensions."""
+        queries = np.asarray(queries, float)
+        out = np.repeat(queries[:, None, :], len(shares), axis=1)
+        if not missing:
+            return out
+        got = np.stack([t.points[folds.conditionals(t, queries, missing)][:, missing] for t in self.trees], axis=1)
+        values = np.sort(got, axis=1)
+        for k, s in enumerate(shares):
+            out[:, k, missing] = values[:, min(len(self.trees) - 1, max(0, int(np.ceil(s * len(self.trees))) - 1))]
+        return out
+
+    def extrapolate_many(self, shingles: np.ndarray, base: int, horizon: int, shares: tuple[float, float, float] = (0.5, 0.1, 0.9)) -> np.ndarray:
+        """extrapolate() of many windows at once: windows x horizon x base x 3."""
+        window = np.asarray(shingles, float)
+        out = np.zeros((len(window), horizon, base, 3))
+        missing = list(range(window.shape[1] - base, window.shape[1]))
+        for h in range(horizon):
+            window = np.concatenate([window[:, base:], np.zeros((len(window), base))], axis=1)
+            got = self.impute_many(window, missing, shares)
+            window[:, missing] = got[:, 0, missing]
+            out[:, h] = np.swapaxes(got[:, :, missing], 1, 2)
+            out[:, h, :, 1] = np.minimum(out[:, h, :, 0], out[:, h, :, 1])
+            out[:, h, :, 2] = np.maximum(out[:, h, :, 0], out[:, h, :, 2])
+        return out
+
     def extrapolate(self, shingle: np.ndarray, base: int, horizon: int, shares: tuple[float, float, float] = (0.5, 0.1, 0.9), cyclic_at: int | None = None) -> np.ndarray:
         """Forecast (horizon x base x 3): impute the next block from the window, feed the median back, repeat.
 

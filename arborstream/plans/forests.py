@@ -235,7 +235,7 @@ def forest_simulated_score(spark, sf_dir):
     """Scores as if cuts had followed the squares of the ranges."""
     p, f = model(spark, sf_dir)
     weigh = lambda low, high: (high - low) ** 2
-    return _scored(p, f, lambda m, q: sum(folds.simulated(t, q, weigh) for t in m.trees) / len(m.trees))
+    return _scored(p, f, lambda m, q: sum(folds.simulated(t, q, weigh, many=True) for t in m.trees) / len(m.trees))
 
 
 _HYPER = f"""WITH RECURSIVE {PAIRS}, {sample_sql('(SELECT seq, x0, x1 FROM pairs)', TREES, CAPACITY, DECAY, SEED)},
@@ -353,7 +353,7 @@ def conditional_summary(spark, sf_dir):
 def impute_forest(spark, sf_dir):
     """Each shingle with its second value hidden and imputed."""
     p, f = model(spark, sf_dir)
-    return fo.ask(p, f, ["x0", "x1"], lambda m, q: np.array([m.impute(x, [1])[0, 1] for x in q]), ["seq", "x1"], "seq long, x1 double, imputed double", ["imputed"])
+    return fo.ask(p, f, ["x0", "x1"], lambda m, q: m.impute_many(q, [1])[:, 0, 1], ["seq", "x1"], "seq long, x1 double, imputed double", ["imputed"])
 
 
 _HORIZON = 5
@@ -371,11 +371,9 @@ def extrapolate_forest(spark, sf_dir):
 
     def run(pdfs):
         for pdf in pdfs:
-            rows = []
-            for u, a, b in pdf.itertuples(index=False):
-                for h, (v, lo, hi) in enumerate(held.value.extrapolate(np.array([a, b]), 1, _HORIZON)[:, 0]):
-                    rows.append((u, h + 1, v, lo, hi))
-            yield pd.DataFrame(rows, columns=["user_id", "h", "value", "lower", "upper"])
+            got = held.value.extrapolate_many(pdf.iloc[:, 1:3].to_numpy(float), 1, _HORIZON)[:, :, 0].reshape(-1, 3)
+            steps = np.tile(np.arange(1, _HORIZON + 1), len(pdf))
+            yield pd.DataFrame({"user_id": np.repeat(pdf.iloc[:, 0].to_numpy(), _HORIZON), "h": steps, "value": got[:, 0], "lower": got[:, 1], "upper": got[:, 2]})
 
     return _last_pairs(p).mapInPandas(run, "user_id long, h int, value double, lower double, upper double")
 
