@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.uniforms import uniform
+from . import slices
 
 
 def sample_key(u: Column, sequence: Column, decay: float | Column, weight: Column | None = None) -> Column:
@@ -107,10 +108,21 @@ def downsample(df: DataFrame, weight: str, identity: str, force: float, keep: fl
     return taken.withColumn(weight, F.when(heavy, F.col(weight)).otherwise(F.col(weight) / keep))
 
 
-def prefix_pick(df: DataFrame, group: str, order: str, weight: str, share: float) -> DataFrame:
-    """Each group's first row, in order, at which the running weight reaches `share` of the group's weight."""
-    running = F.sum(weight).over(W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    whole = F.sum(weight).over(W.partitionBy(group))
-    reached = df.withColumn("running", running).withColumn("whole", whole).where(F.col("running") >= share * F.col("whole"))
-    rank = F.row_number().over(W.partitionBy(group).orderBy(order))
-    return reached.withColumn("__r", rank).where("__r = 1").drop("__r")
+def prefix_pick(df: DataFrame, group: str, order: list[str], weight: str, share: float) -> DataFrame:
+    """Each group's first row, in order, at which the running weight reaches `share` of the group's weight.
+
+    A long group is cut into slices by its first column of `order` (a number):
+    each is summed where it lies, and begins with what those before it add up to.
+    """
+    seq = slices.sliced(df, group, order)
+    own = seq.rows.withColumn("__slice", F.col(slices.SLICE) if seq.cut else F.lit(0))
+    sums = own.groupBy(F.col(group).alias("__g"), F.col("__slice").alias("__s")).agg(F.sum(weight).alias("__sum"))
+    every = W.partitionBy("__g")
+    before = sums.withColumn("__before", F.sum("__sum").over(every.orderBy("__s").rowsBetween(W.unboundedPreceding, -1))).withColumn("whole", F.sum("__sum").over(every)).drop("__sum")
+    running = F.sum(weight).over(W.partitionBy(group, "__slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    met = own.withColumn("__own", running).join(before, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__slice") == F.col("__s")))
+    total = F.when(F.col("__before").isNull(), F.col("__own")).otherwise(F.col("__before") + F.coalesce("__own", F.lit(0)))
+    reached = met.withColumn("running", total).where(F.col("running") >= share * F.col("whole"))
+    names = [*df.columns, "running", "whole"]
+    first = reached.groupBy("__g").agg(F.min_by(F.struct(*names), F.struct(*order)).alias("__first"))
+    return first.select(*[F.col("__first")[n].alias(n) for n in names])

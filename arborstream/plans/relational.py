@@ -374,8 +374,9 @@ k AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY place) AS
 SELECT l_returnflag, l_orderkey, running FROM k WHERE rn = 1"""
 )
 def prefix_pick(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_quantity", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("place"))
-    return sampler.prefix_pick(li, "l_returnflag", "place", "l_quantity", 0.25).select("l_returnflag", "l_orderkey", "running")
+    place = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", *place)
+    return sampler.prefix_pick(li, "l_returnflag", place, "l_quantity", 0.25).select("l_returnflag", "l_orderkey", "running")
 
 
 @query(f"WITH {EV} SELECT user_id, event_id, {sql_six('CASE WHEN rn / 64.0 < 0.5 THEN 1 WHEN rn / 64.0 >= 1 THEN 0 ELSE 1 - (rn / 64.0 - 0.5) / 0.5 END')} AS p FROM ev")
