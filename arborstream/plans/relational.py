@@ -504,7 +504,13 @@ def edit_distance_assign(spark, sf_dir):
     """Strings to the nearest of a small set of representatives by edit distance."""
     p = table(spark, sf_dir, "part")
     reps = p.groupBy(F.col("p_brand").alias("brand")).agg(F.min("p_name").alias("rep"))
-    each = p.join(near.small(reps)).withColumn("d", F.levenshtein("p_name", "rep"))
+    few = reps.limit(near.SMALL_ROWS + 1).count() <= near.SMALL_ROWS
+    if few:  # all of them beside every row, whose nearest is found where it lies: no row is repeated
+        listed = reps.agg(F.collect_list(F.struct("brand", "rep")).alias("reps"))
+        nearest = F.array_min(F.transform("reps", lambda r: F.struct(F.levenshtein("p_name", r["rep"]).alias("d"), r["brand"].alias("brand"))))
+        each = p.select("p_partkey", "p_name").join(F.broadcast(listed)).select("p_partkey", nearest.alias("m")).select("p_partkey", "m.d", "m.brand")
+    else:
+        each = p.join(reps).withColumn("d", F.levenshtein("p_name", "rep"))
     return each.groupBy("p_partkey").agg(F.min(F.struct("d", "brand")).alias("m")).select("p_partkey", "m.brand", "m.d")
 
 
