@@ -114,8 +114,8 @@ class Score:
         return self.normalize(self.score, self.tree.total)
 
 
-#: Queries that walk a tree together: their rows stay in a core's cache.
-STRIP = 512
+#: Queries that walk a tree together, and values of them: their rows stay in a core's cache.
+STRIP, STRIP_VALUES = 512, 16_384
 
 
 def scores(tree: Tree, queries: np.ndarray) -> np.ndarray:
@@ -123,9 +123,10 @@ def scores(tree: Tree, queries: np.ndarray) -> np.ndarray:
     out = np.empty(len(queries))
     total = tree.total
     d = tree.low.shape[1]
-    room, ones = np.empty((2 * STRIP, d)), np.ones(d)
-    for a in range(0, len(queries), STRIP):
-        q = np.ascontiguousarray(queries[a : a + STRIP], dtype=float)
+    strip = max(STRIP, STRIP_VALUES // max(1, d))
+    room, ones = np.empty((2 * strip, d)), np.ones(d)
+    for a in range(0, len(queries), strip):
+        q = np.ascontiguousarray(queries[a : a + strip], dtype=float)
         path = routes(tree, q)
         last = (path >= 0).sum(axis=1) - 1
         leaf = path[np.arange(len(q)), last]
@@ -140,7 +141,7 @@ def scores(tree: Tree, queries: np.ndarray) -> np.ndarray:
             node = path[rows, k]
             x = q if len(rows) == len(q) else q.take(rows, axis=0)
             gap = tree.high.take(node, axis=0, out=room[: len(rows)], mode="clip")
-            below = tree.low.take(node, axis=0, out=room[STRIP : STRIP + len(rows)], mode="clip")
+            below = tree.low.take(node, axis=0, out=room[strip : strip + len(rows)], mode="clip")
             np.subtract(x, gap, out=gap)
             np.subtract(below, x, out=below)
             np.maximum(gap, below, out=gap)
@@ -150,7 +151,7 @@ def scores(tree: Tree, queries: np.ndarray) -> np.ndarray:
             r, s, n = rows[out_of], s[out_of], node[out_of]
             p = s / (s + tree.width[n])
             score[r] = p / (k + 1.0) + (1 - p) * score[r]
-        out[a : a + STRIP] = log_normalizer(score, total)
+        out[a : a + strip] = log_normalizer(score, total)
     return out
 
 

@@ -89,19 +89,23 @@ class Forest:
             total = m.sum(axis=1) / self.capacity
             return np.where(total > 0, total / (q * total + (t * p).sum(axis=1)), 0.0)
 
-    def approximate(self, queries: np.ndarray, make: Callable[[], folds.TreeFold] = folds.Score, precision: float = 0.1, least: int = 5, high_is_critical: bool = True, ignore_mass: int = 0) -> np.ndarray:
+    def approximate(self, queries: np.ndarray, make: Callable[[], folds.TreeFold] = folds.Score, precision: float = 0.1, least: int = 5, high_is_critical: bool = True, ignore_mass: int = 0, known: list[np.ndarray] | None = None) -> np.ndarray:
         """Mean over the leading trees, stopped once 1/precision of them are witnesses.
 
         A witness's total lies half a deviation beyond the running mean on the
-        critical side; each query stops on its own.
+        critical side; each query stops on its own. `known`: what each tree gives
+        for every query, if that is at hand.
         """
         n = len(queries)
         left = np.arange(n)
         total: np.ndarray | None = None
         count, hits = np.zeros(n), np.zeros(n)
         sums, squares = np.zeros(n), np.zeros(n)
-        for t in self.trees:
-            r = folds.scores(t, queries[left]) if make is folds.Score and not ignore_mass else folds.traverse(t, queries[left], make(), ignore_mass)
+        for i, t in enumerate(self.trees):
+            if known is not None:
+                r = known[i][left]
+            else:
+                r = folds.scores(t, queries[left]) if make is folds.Score and not ignore_mass else folds.traverse(t, queries[left], make(), ignore_mass)
             if total is None:
                 total = np.zeros((n, *r.shape[1:]))
             total[left] += r
