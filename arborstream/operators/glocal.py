@@ -8,7 +8,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from .cluster import Cluster, Distance, cluster
+from .cluster import Cluster, Distance, cluster, line, many_on_line
+from .detector import Steps, run
 from .thresholder import Thresholder
 
 #: Representatives lighter than this share of all weight are not looked at.
@@ -35,10 +36,11 @@ class Reservoir:
             return
         key = math.log(-math.log(max(self.rng.random(), 1e-300)) / weight) - self.count * self.decay
         if len(self.items) >= self.capacity:
-            worst = max(range(len(self.items)), key=lambda i: self.items[i][0])
-            if key >= self.items[worst][0]:
+            keys = [i[0] for i in self.items]
+            most = max(keys)
+            if key >= most:
                 return
-            self.items.pop(worst)
+            self.items.pop(keys.index(most))
         self.items.append((key, item, weight))
 
     @classmethod
@@ -73,14 +75,28 @@ class GlobalLocal:
         self.last_mean = 1.0
         self.wait = self.recluster_after or self.capacity // 2
 
-    def _recluster(self) -> None:
+    def _recluster(self) -> Steps:
         if self.sample.count <= self.last_clustered + self.wait:
             return
         mean = self.thresholder.primary.mean
         if abs(mean - self.last_mean) > 0.1 or mean > 1.7 or self.sample.count > self.last_clustered + 20 * self.wait:
             self.last_clustered, self.last_mean = self.sample.count, mean
             items = [(x, w) for _, x, w in self.sample.items]
-            self.clusters = cluster(items, self.clusters_most, self.distance, representatives=self.representatives, shrinkage=self.shrinkage, seed=self.seed)
+            settings = (self.clusters_most, self.representatives, self.shrinkage)
+            # the numbers of many keys are clustered together; a seed matters only where items are drawn
+            alike = self.distance is line and self.representatives > 1 and len(items) <= 4 * self.clusters_most
+            self.clusters = yield ("clustered" if alike else "clustered_alone"), self, items, settings
+
+    def clustered(self, items: list[tuple], settings: tuple) -> list[Cluster]:
+        return self.clustered_together([self], [items], settings)[0]
+
+    @staticmethod
+    def clustered_together(_: list[GlobalLocal], items: list[list[tuple]], settings: tuple) -> list[list[Cluster]]:
+        return many_on_line(items, *settings)
+
+    def clustered_alone(self, items: list[tuple], settings: tuple) -> list[Cluster]:
+        most, representatives, shrinkage = settings
+        return cluster(items, most, self.distance, representatives=representatives, shrinkage=shrinkage, seed=self.seed)
 
     def candidates(self, item: Any, local: Distance | None = None, occlusion: bool = True) -> list[tuple[Any, float]]:
         """(representative, distance over its cluster's radius), nearest first; with `occlusion`, none that a nearer one hides."""
@@ -104,9 +120,13 @@ class GlobalLocal:
         return [(k[2], measure(k)) for k in kept]
 
     def step(self, item: Any, weight: float = 1.0, local: Distance | None = None, occlusion: bool = True) -> dict:
+        return run(self.asking(item, weight, local, occlusion))
+
+    def asking(self, item: Any, weight: float = 1.0, local: Distance | None = None, occlusion: bool = True) -> Steps:
+        """The step with the clusters that it needs as a question, so that many keys' can be made together."""
         if weight < 0:
             raise ValueError("a weight cannot be negative")
-        self._recluster()
+        yield from self._recluster()
         out: dict[str, Any] = {"score": 0.0, "threshold": self.thresholder.primary_threshold(), "grade": 0.0, "representatives": []}
         if self.clusters:
             found = self.candidates(item, local, occlusion)

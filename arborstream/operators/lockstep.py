@@ -558,7 +558,7 @@ class Bank:
 
 
 #: Questions in the order in which they are answered while keys wait for one another.
-_ORDER = {"impute": 0, "distance": 1, "score": 2, "attribution": 3, "distance_attribution": 4, "update": 5}
+_ORDER = {"clustered": 0, "clustered_alone": 1, "impute": 2, "distance": 3, "score": 4, "attribution": 5, "distance_attribution": 6, "update": 7}
 
 
 def _answers(kind: str, asked: list[tuple[int, tuple]]) -> Iterator[tuple[int, Any]]:
@@ -569,10 +569,12 @@ def _answers(kind: str, asked: list[tuple[int, tuple]]) -> Iterator[tuple[int, A
         groups.setdefault((id(bank), *map(tuple, request[3:])), []).append((lane, request))
     for own in groups.values():
         forest, rest = own[0][1][1], own[0][1][3:]
-        if not isinstance(forest, Seat):
-            got = [getattr(r[1], kind)(*r[2:]) for _, r in own]
-        else:
+        if isinstance(forest, Seat):
             got = getattr(forest.bank, kind)([r[1] for _, r in own], [r[2] for _, r in own], *rest)
+        elif (many := getattr(forest, f"{kind}_together", None)) is not None:
+            got = many([r[1] for _, r in own], [r[2] for _, r in own], *rest)
+        else:
+            got = [getattr(r[1], kind)(*r[2:]) for _, r in own]
         yield from zip([lane for lane, _ in own], got or [None] * len(own), strict=True)
 
 
@@ -614,18 +616,19 @@ class _Hall:
         return self.banks[shape].seat(forest)
 
 
-def scan(df: DataFrame, key: str, order: list[str], columns: list[str], start: Start, schema: str) -> DataFrame:
+def scan(df: DataFrame, key: str, order: list[str], columns: list[str], start: Start, schema: str, thin: int | None = None) -> DataFrame:
     """As `scan.scan`, with steps that ask: start(key, seat) gives a step, and takes for each new forest what seat(forest) gives.
 
     A task holds LANES keys or HELD_ROWS rows at most. A key whose rows go on
     beyond them, and the last few of a set, go on with forests of their own.
     """
     parts = ROUNDS * df.sparkSession.sparkContext.defaultParallelism
-    return dealt(df, key, order, columns, lambda batches: _played(batches, start), schema, parts)
+    return dealt(df, key, order, columns, lambda batches: _played(batches, start, thin), schema, parts)
 
 
-def _played(batches: Iterator[tuple[list, list[tuple]]], start: Start) -> Iterator[list[tuple]]:
+def _played(batches: Iterator[tuple[list, list[tuple]]], start: Start, thin: int | None = None) -> Iterator[list[tuple]]:
     """Keys and rows, sorted by key, to output rows, key by key."""
+    thin = THIN if thin is None else thin
     names: list[Any] = []
     rows: list[list[tuple]] = []
     carried: list = []  # the step of the first key, if it began before
@@ -651,13 +654,13 @@ def _played(batches: Iterator[tuple[list, list[tuple]]], start: Start) -> Iterat
             steps[i] = start(names[i], seat)
 
         fresh = [i for i in range(len(names)) if steps[i] is None]
-        wide = len(fresh) > THIN
+        wide = len(fresh) > thin
         for i in fresh:
             begin(i, wide)
         place = 0
         if wide:
             on = fresh
-            while len(on) > THIN:
+            while len(on) > thin:
                 for i, got in together({i: steps[i](rows[i][place]) for i in on}).items():
                     out[i] += got
                 place += 1

@@ -242,17 +242,18 @@ def cluster_vectors(spark, sf_dir):
 
 @query
 def glocal_numeric(spark, sf_dir):
-    def start(key):
-        g = GlobalLocal(lambda a, b: abs(a - b), capacity=32, recluster_after=16, seed=int(key))
+    def start(key, seat):
+        g = GlobalLocal(cl.line, capacity=32, recluster_after=16, seed=int(key))
 
         def step(row):
-            r = g.step(row[1])
+            r = yield from g.asking(row[1])
             return [(row[0], row[2], float(r["score"]), r["threshold"], r["grade"], len(r["representatives"]))]
 
         return step
 
     ev = events(spark, sf_dir)
-    return scan(ev, "user_id", ORDER, ["user_id", "value", "event_id"], start, "user_id long, event_id long, score double, threshold double, grade double, near int")
+    schema = "user_id long, event_id long, score double, threshold double, grade double, near int"
+    return lockstep.scan(ev, "user_id", ORDER, ["user_id", "value", "event_id"], start, schema, thin=1)
 
 
 @query
