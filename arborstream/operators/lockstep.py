@@ -25,15 +25,21 @@ from .trees import DynamicTree
 
 #: Keys that go side by side, rows that are held for them, and the fewest keys for which arrays pay.
 LANES, HELD_ROWS, THIN = 4096, 524_288, 256
+#: Keys that are scored at once: what a pass makes should stay near the core.
+STRIP = 512
 #: Tasks a core: fewer and larger ones than Spark's own number, as the more keys a task has the less a row costs.
 ROUNDS = 2
 
 
 def _sums(m: np.ndarray) -> np.ndarray:
     """Sums of the rows as the built-in sum() makes them: with what the additions lose."""
-    s, lost = m[:, 0], None
-    for d in range(1, m.shape[1]):
-        x = m[:, d]
+    return _added(m.T)
+
+
+def _added(m: np.ndarray) -> np.ndarray:
+    """As _sums, of what lies along the first axis."""
+    s, lost = m[0], None
+    for x in m[1:]:
         t = s + x
         z = t - s
         e = (s - (t - z)) + (x - z)
@@ -42,6 +48,10 @@ def _sums(m: np.ndarray) -> np.ndarray:
     return s if lost is None else s + np.where(np.isfinite(lost), lost, 0.0)
 
 
+def _picked(m: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    return m.ravel().take(row.astype(np.int64) * m.shape[1] + column)
+
+
 class _Draws:
     """The uniforms that a seat has left, then its generator's."""
 
@@ -133,13 +143,18 @@ class Bank:
 
     def _widen(self, width: int) -> None:
         if self.width != width:
-            n = len(self.root) * self.slots
             self.width = width
-            #: low, high, and the sums of both
-            self.box = np.empty((n, 2 * width + 2))
-            self.dim, self.mass = np.full(n, -1, np.int16), np.empty(n, np.int32)
-            self.cut = np.empty(n)
-            self.left, self.right, self.up = np.empty(n, np.int32), np.empty(n, np.int32), np.empty(n, np.int32)
+            #: A node's fields lie side by side: low, high, the sums of both, dimension (-1: a leaf), cut, left, right, mass and node above.
+            d = 2 * width + 2
+            self.dim, self.cut, self.left, self.right, self.mass, self.up = range(d, d + 6)
+            self.node = np.full((len(self.root) * self.slots, d + 6), -1.0)
+
+    def _of(self, field: int, n: np.ndarray) -> np.ndarray:
+        return self.node[n, field].astype(np.int64)
+
+    def _columns(self, n: np.ndarray) -> np.ndarray:
+        """The fields of the nodes, a row a field."""
+        return np.ascontiguousarray(self.node.take(n, axis=0).T)
 
     def _draw(self, lane: np.ndarray) -> np.ndarray:
         at = self.at[lane]
@@ -204,15 +219,18 @@ class Bank:
             self.leaf[qo, so] = self._insert(qo, lane[own], x[own])
 
     def _insert(self, q: np.ndarray, lane: np.ndarray, x: np.ndarray) -> np.ndarray:
-        d = self.width
+        d, node = self.width, self.node
         at = self.root[q].astype(np.int64)
         ends = np.empty(len(q), np.int64)
+        points = np.ascontiguousarray(x.T)
 
         def leaf(rows: np.ndarray, up: np.ndarray | int) -> np.ndarray:
-            new, own = self._slot(q[rows]), x[rows]
-            sums = _sums(own)
-            self.box[new] = np.concatenate([own, own, sums[:, None], sums[:, None]], axis=1)
-            self.dim[new], self.mass[new], self.up[new] = -1, 1, up
+            new, own = self._slot(q[rows]), points.take(rows, axis=1)
+            made = np.empty((node.shape[1], len(rows)))
+            made[:d] = made[d : 2 * d] = own
+            made[2 * d] = made[2 * d + 1] = _added(own)
+            made[self.dim : self.mass], made[self.mass], made[self.up] = -1, 1, up
+            node[new] = np.ascontiguousarray(made.T)
             ends[rows] = new
             return new
 
@@ -221,76 +239,82 @@ class Bank:
             self.root[q[rows]] = leaf(rows, -1)
         rows = np.flatnonzero(at >= 0)
         while len(rows):
-            n, own = at[rows], x[rows]
-            box, dim = self.box[n], self.dim[n]
-            within = ((own >= box[:, :d]) & (own <= box[:, d : 2 * d])).all(axis=1) & (dim >= 0)
-            i = np.flatnonzero(within)
-            if len(i):  # nothing grows, so no cut separates: its draw is passed over
-                m, r = n[i], rows[i]
-                self.at[lane[r]] += 1
-                self.mass[m] += 1
-                at[r] = np.where(own[i, dim[i]] <= self.cut[m], self.left[m], self.right[m])
-                i = np.flatnonzero(~within)
-                inside, rows, n, own, box, dim = r, rows[i], n[i], own[i], box[i], dim[i]
+            n, own = at[rows], points.take(rows, axis=1)
+            held = self._columns(n)
+            grown = np.empty((2, d, len(rows)))
+            np.minimum(held[:d], own, out=grown[0])
+            np.maximum(held[d : 2 * d], own, out=grown[1])
+            end = held[self.dim] < 0
+            out = (grown.reshape(2 * d, -1) != held[: 2 * d]).any(axis=0) | end
+            inside = rows[:0]
+            if not out.all():  # nothing grows, so no cut separates: its draw is passed over
+                i = np.flatnonzero(~out)
+                m, inside = n[i], rows[i]
+                self.at[lane[inside]] += 1
+                node[m, self.mass] = held[self.mass].take(i) + 1
+                goes = _picked(own, held[self.dim].take(i), i) <= held[self.cut].take(i)
+                at[inside] = np.where(goes, held[self.left].take(i), held[self.right].take(i))
+                i = np.flatnonzero(out)
+                rows, n, own, held, grown, end = rows[i], n[i], own.take(i, axis=1), held.take(i, axis=1), grown.take(i, axis=2), end[i]
                 if not len(rows):
                     rows = inside
                     continue
-            else:
-                inside = i
-            grown = np.empty_like(box)
-            np.minimum(box[:, :d], own, out=grown[:, :d])
-            np.maximum(box[:, d : 2 * d], own, out=grown[:, d : 2 * d])
-            low, high = _sums(grown[:, :d]), _sums(grown[:, d : 2 * d])
-            grown[:, 2 * d], grown[:, 2 * d + 1] = low, high
+            low, high = _added(grown.swapaxes(0, 1))
             total = high - low
-            end = dim < 0
             same = end & (total <= 0)
             if same.any():
-                self.mass[n[same]] += 1
-                ends[rows[same]] = n[same]
-                rest = ~same
-                rows, n, own, box, grown, total, end = (a[rest] for a in (rows, n, own, box, grown, total, end))
+                i = np.flatnonzero(same)
+                node[n[i], self.mass] += 1
+                ends[rows[i]] = n[i]
+                i = np.flatnonzero(~same)
+                rows, n, own, held, grown, end, low, high, total = rows[i], n[i], own[:, i], held[:, i], grown[:, :, i], end[i], low[i], high[i], total[i]
                 if not len(rows):
                     rows = inside
                     continue
             every = np.arange(len(rows))
-            ranges = grown[:, d : 2 * d] - grown[:, :d]
-            left = np.empty((len(rows), d + 1))
-            left[:, 0] = self._draw(lane[rows]) * total
+            ranges = grown[1] - grown[0]
+            rest = self._draw(lane[rows]) * total
+            dim, open_ = np.full(len(rows), -1), np.ones(len(rows), bool)
+            left = np.zeros(len(rows))
             for k in range(d):
-                np.subtract(left[:, k], ranges[:, k], out=left[:, k + 1])
-            hits = (left[:, :d] <= ranges) & (ranges > 0)
-            dim = hits.argmax(axis=1)
-            rest = left[every, dim]
-            none = np.flatnonzero(~hits[every, dim])
+                hit = open_ & (rest <= ranges[k]) & (ranges[k] > 0)
+                dim[hit], left[hit] = k, rest[hit]
+                open_ &= ~hit
+                rest = rest - ranges[k]
+            none = np.flatnonzero(open_)
             if len(none):  # rounding used the ranges up: the last one that is not empty
-                dim[none] = d - 1 - (ranges[none, ::-1] > 0).argmax(axis=1)
-                rest[none] = left[none, d]
-            cut = grown[every, dim] + rest
-            most = grown[every, d + dim]
+                dim[none] = d - 1 - (ranges[::-1, none] > 0).argmax(axis=0)
+                left[none] = rest[none]
+            most = _picked(grown[1], dim, every)
+            cut = _picked(grown[0], dim, every) + left
             cut = np.where(cut >= most, np.nextafter(most, -np.inf), cut)
-            v = own[every, dim]
-            parts = ((v <= cut) & (cut < box[every, dim])) | ((box[every, d + dim] <= cut) & (cut < v))
+            v = _picked(own, dim, every)
+            goes = v <= cut
+            parts = np.where(goes, cut < _picked(held, dim, every), _picked(held, d + dim, every) <= cut)
+            held[: 2 * d], held[2 * d], held[2 * d + 1] = grown.reshape(2 * d, -1), low, high
             s = np.flatnonzero(parts)
             if len(s):
                 r, m = rows[s], n[s]
-                up = self.up[m]
                 inner = self._slot(q[r])
                 new = leaf(r, inner)
-                self.box[inner], self.mass[inner], self.up[inner] = grown[s], self.mass[m] + 1, up
-                self.dim[inner], self.cut[inner] = dim[s], cut[s]
-                goes = v[s] <= cut[s]
-                self.left[inner], self.right[inner] = np.where(goes, new, m), np.where(goes, m, new)
-                self.up[m] = inner
+                made = held.take(s, axis=1)
+                up = made[self.up].astype(np.int64)
+                made[self.dim], made[self.cut] = dim[s], cut[s]
+                made[self.left], made[self.right] = np.where(goes[s], new, m), np.where(goes[s], m, new)
+                made[self.mass] += 1
+                node[inner] = np.ascontiguousarray(made.T)
+                node[m, self.up] = inner
                 self._link(q[r], up, m, inner)
-            stay = ~parts
-            go = np.flatnonzero(stay & ~end)
+            go = np.flatnonzero(~parts & ~end)
             if len(go):
-                m = n[go]
-                self.mass[m] += 1
-                self.box[m] = grown[go]
-                at[rows[go]] = np.where(own[go, self.dim[m]] <= self.cut[m], self.left[m], self.right[m])
-            rows = np.concatenate([inside, rows[stay]]) if len(inside) else rows[stay]
+                made = held.take(go, axis=1)
+                made[self.mass] += 1
+                node[n[go]] = np.ascontiguousarray(made.T)
+                goes = _picked(own, made[self.dim], go) <= made[self.cut]
+                at[rows[go]] = np.where(goes, made[self.left], made[self.right])
+            rows = rows[~parts]
+            if len(inside):
+                rows = np.concatenate([inside, rows])
         return ends
 
     def _link(self, q: np.ndarray, up: np.ndarray, old: np.ndarray, new: np.ndarray) -> None:
@@ -298,27 +322,26 @@ class Bank:
         top = up < 0
         self.root[q[top]] = new[top]
         up, old, new = up[~top], old[~top], new[~top]
-        first = self.left[up] == old
-        self.left[up[first]] = new[first]
-        self.right[up[~first]] = new[~first]
+        self.node[up, np.where(self.node[up, self.left] == old, self.left, self.right)] = new
 
     def _delete(self, q: np.ndarray, leaf: np.ndarray) -> None:
-        d = self.width
+        d, node = self.width, self.node
         leaf = leaf.astype(np.int64)
-        many = self.mass[leaf] > 1
+        many = node[leaf, self.mass] > 1
         at = leaf.copy()
         one = np.flatnonzero(~many)
         if len(one):
             n, own = leaf[one], q[one]
-            up = self.up[n].astype(np.int64)
+            up = self._of(self.up, n)
             at[one] = -1
             last = up < 0
             self.root[own[last]] = -1
             self._release(own, n)
             n, own, up, one = n[~last], own[~last], up[~last], one[~last]
-            other = np.where(self.left[up] == n, self.right[up], self.left[up])
-            top = self.up[up]
-            self.up[other] = top
+            held = node[up]
+            other = np.where(held[:, self.left] == n, held[:, self.right], held[:, self.left]).astype(np.int64)
+            top = held[:, self.up].astype(np.int64)
+            node[other, self.up] = top
             self._link(own, top, up, other)
             self._release(own, up)
             at[one] = top
@@ -326,24 +349,24 @@ class Bank:
         rows = np.flatnonzero(at >= 0)
         at, shrinks = at[rows], shrinks[rows]
         while len(at):
-            self.mass[at] -= 1
+            held = node.take(at, axis=0)
+            node[at, self.mass] = held[:, self.mass] - 1
             s = np.flatnonzero(shrinks)
             if len(s):
-                n = at[s]
-                a, b, old = self.box[self.left[n]], self.box[self.right[n]], self.box[n]
-                new = np.empty_like(a)
-                np.minimum(a[:, :d], b[:, :d], out=new[:, :d])
-                np.maximum(a[:, d : 2 * d], b[:, d : 2 * d], out=new[:, d : 2 * d])
-                changed = (new[:, : 2 * d] != old[:, : 2 * d]).any(axis=1)
+                own = held[s]
+                a, b = self._columns(own[:, self.left].astype(np.int64)), self._columns(own[:, self.right].astype(np.int64))
+                new = np.empty((2, d, len(s)))
+                np.minimum(a[:d], b[:d], out=new[0])
+                np.maximum(a[d : 2 * d], b[d : 2 * d], out=new[1])
+                changed = (new.reshape(2 * d, -1) != own[:, : 2 * d].T).any(axis=0)
                 shrinks[s] = changed
                 c = np.flatnonzero(changed)
                 if len(c):
-                    own = new[c]
-                    own[:, 2 * d], own[:, 2 * d + 1] = _sums(own[:, :d]), _sums(own[:, d : 2 * d])
-                    self.box[n[c]] = own
-            at = self.up[at].astype(np.int64)
-            on = at >= 0
-            at, shrinks = at[on], shrinks[on]
+                    new = new[:, :, c]
+                    node[at[s[c]], : 2 * d + 2] = np.concatenate([new.reshape(2 * d, -1), _added(new.swapaxes(0, 1))]).T
+            up = held[:, self.up].astype(np.int64)
+            on = up >= 0
+            at, shrinks = up[on], shrinks[on]
 
     # -- questions ---------------------------------------------------------------------------------
 
@@ -355,49 +378,59 @@ class Bank:
 
     def _leaves(self, roots: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at, depth = roots.copy(), np.zeros(len(roots), np.int64)
-        rows = np.flatnonzero(self.dim[at] >= 0)
-        while len(rows):
-            n = at[rows]
-            n = np.where(x[rows, self.dim[n]] <= self.cut[n], self.left[n], self.right[n])
+        rows, n, fields = np.arange(len(roots)), at, self.node[:, self.dim : self.mass]
+        while True:
+            held = fields[n]
+            on = np.flatnonzero(held[:, 0] >= 0)
+            if not len(on):
+                return at, depth
+            if len(on) < len(rows):
+                rows, held = rows[on], held[on]
+            n = np.where(x[rows, held[:, 0].astype(np.int64)] <= held[:, 1], held[:, 2], held[:, 3]).astype(np.int64)
             at[rows] = n
             depth[rows] += 1
-            rows = rows[self.dim[n] >= 0]
-        return at, depth
 
     def score(self, seats: list[Seat], points: list[tuple]) -> list[float]:
-        d, found = self.width, np.zeros(len(seats))
+        found = np.zeros(len(seats))
         ripe = [i for i, s in enumerate(seats) if s.ready]
-        if not ripe:
-            return found.tolist()
-        roots, x = self._queries([seats[i] for i in ripe], [points[i] for i in ripe])
+        for a in range(0, len(ripe), STRIP):
+            own = ripe[a : a + STRIP]
+            found[own] = self._score(*self._queries([seats[i] for i in own], [points[i] for i in own]))
+        return found.tolist()
+
+    def _score(self, roots: np.ndarray, x: np.ndarray) -> np.ndarray:
+        d = self.width
         at, depth = self._leaves(roots, x)
-        mass, own = self.mass[roots], self.mass[at]
-        equal = (self.box[at, :d] == x).all(axis=1)
+        ends = self.node.take(at, axis=0)
+        mass, own = self._of(self.mass, roots), ends[:, self.mass].astype(np.int64)
+        points = np.ascontiguousarray(x.T)
+        equal = (ends[:, :d].T == points).all(axis=0)
         score = np.where(equal, (1 - own / (2 * mass)) / (depth + self.logs[own + 1]), 1 / (depth + 1))
         rows = np.flatnonzero(~equal)
-        at, depth, x = self.up[at[rows]].astype(np.int64), depth[rows], x[rows]
-        on = at >= 0
-        while on.any():
-            if not on.all():
-                rows, at, depth, x = rows[on], at[on], depth[on], x[on]
+        at, depth, points = ends[rows, self.up].astype(np.int64), depth[rows], points[:, rows]
+        on = np.flatnonzero(at >= 0)
+        while len(on):
+            if len(on) < len(rows):
+                rows, at, depth, points = rows[on], at[on], depth[on], points[:, on]
             depth = depth - 1
-            box = self.box[at]
-            gap = np.zeros(len(at))
-            for k in range(d):
-                v, lo, hi = x[:, k], box[:, k], box[:, d + k]
-                gap += np.where(v > hi, v - hi, np.where(v < lo, lo - v, 0.0))
+            held = self._columns(at)
+            gaps = np.maximum(np.maximum(points - held[d : 2 * d], held[:d] - points), 0.0)
+            gap = gaps[0]
+            for k in range(1, d):
+                gap = gap + gaps[k]
             out = gap != 0
-            rows, at, depth, x, gap, box = rows[out], at[out], depth[out], x[out], gap[out], box[out]
-            p = gap / (gap + box[:, 2 * d + 1] - box[:, 2 * d])
-            score[rows] = p / (depth + 1) + (1 - p) * score[rows]
-            at = self.up[at].astype(np.int64)
-            on = at >= 0
+            p = np.where(out, gap, 1.0)
+            p = p / (p + held[2 * d + 1] - held[2 * d])
+            old = score[rows]
+            score[rows] = np.where(out, p / (depth + 1) + (1 - p) * old, old)
+            # a box that holds the point lies in all those above
+            at = np.where(out, held[self.up], -1).astype(np.int64)
+            on = np.flatnonzero(at >= 0)
         score = (score * self.logs[mass + 1]).reshape(-1, self.count)
         total = np.zeros(len(score))
         for t in range(self.count):
             total += score[:, t]
-        found[ripe] = total / self.count
-        return found.tolist()
+        return total / self.count
 
     def distance(self, seats: list[Seat], points: list[tuple]) -> list[float]:
         found = np.zeros(len(seats))
@@ -405,7 +438,7 @@ class Bank:
         if ripe:
             roots, x = self._queries([seats[i] for i in ripe], [points[i] for i in ripe])
             at, _ = self._leaves(roots, x)
-            far = _sums(np.abs(self.box[at, : self.width] - x)).reshape(-1, self.count)
+            far = _sums(np.abs(self.node[at, : self.width] - x)).reshape(-1, self.count)
             found[ripe] = _sums(far) / self.count
         return found.tolist()
 
@@ -415,7 +448,7 @@ class Bank:
         out = [[list(p) for _ in shares] for p in points]
         places = [min(self.count - 1, max(0, math.ceil(s * self.count) - 1)) for s in shares]
         for i in missing:
-            values = np.sort(self.box[best, i].reshape(-1, self.count), axis=1)[:, places].tolist()
+            values = np.sort(self.node[best, i].reshape(-1, self.count), axis=1)[:, places].tolist()
             for own, new in zip(out, values, strict=True):
                 for row, v in zip(own, new, strict=True):
                     row[i] = v
@@ -430,26 +463,25 @@ class Bank:
         node, query = roots, np.arange(len(roots))
         levels = []  # nodes that are looked at, whose queries they are, and where their sides are among those a level below
         while len(node):
-            dim = self.dim[node]
-            inner = np.flatnonzero(dim >= 0)
-            n, own = node[inner], query[inner]
-            both = hidden[dim[inner]]
-            side = np.where(x[own, dim[inner]] <= self.cut[n], self.left[n], self.right[n])
-            first = np.where(both, self.left[n], side)
+            held = self.node.take(node, axis=0)
+            inner = np.flatnonzero(held[:, self.dim] >= 0)
+            own, dim = query[inner], held[inner, self.dim].astype(np.int64)
+            both = hidden[dim]
+            side = np.where(both | (x[own, dim] <= held[inner, self.cut]), held[inner, self.left], held[inner, self.right])
             two = np.flatnonzero(both)
             one, other = np.full(len(node), -1), np.full(len(node), -1)
             one[inner] = np.arange(len(inner))
             other[inner[two]] = len(inner) + np.arange(len(two))
-            levels.append((node, query, one, other))
-            node, query = np.concatenate([first, self.right[n[two]]]).astype(np.int64), np.concatenate([own, own[two]])
+            levels.append((held, node, query, one, other))
+            node, query = np.concatenate([side, held[inner[two], self.right]]).astype(np.int64), np.concatenate([own, own[two]])
         rank, best = np.empty(0), np.empty(0, np.int64)
         for depth in range(len(levels) - 1, -1, -1):
-            node, query, one, other = levels[depth]
+            held, node, query, one, other = levels[depth]
             new, fit = np.empty(len(node)), node.copy()
             leaf = one < 0
             a = np.flatnonzero(leaf)
             if len(a):
-                same = (self.box[node[a]][:, seen] == x[query[a]][:, seen]).all(axis=1) if seen else np.ones(len(a), bool)
+                same = (held[a][:, seen] == x[query[a]][:, seen]).all(axis=1) if seen else np.ones(len(a), bool)
                 new[a] = np.where(same, 0.0, 1 / (depth + 1))
             a = np.flatnonzero(~leaf)
             if len(a):
@@ -457,7 +489,7 @@ class Bank:
                 second = (j >= 0) & (rank[j] < rank[i])
                 i = np.where(second, j, i)
                 fit[a] = best[i]
-                box, own = self.box[node[a]], x[query[a]]
+                box, own = held[a], x[query[a]]
                 s = _sums(np.maximum(0.0, own - box[:, d : 2 * d])[:, seen] + np.maximum(0.0, box[:, :d] - own)[:, seen]) if seen else np.zeros(len(a))
                 with np.errstate(invalid="ignore", divide="ignore"):
                     p = np.where(s != 0, s / (s + box[:, 2 * d + 1] - box[:, 2 * d]), 0.0)
@@ -468,16 +500,16 @@ class Bank:
     def leaf_points(self, seat: Seat, x: tuple) -> list[list[float]]:
         """The point of each tree's leaf that x falls to."""
         at, _ = self._leaves(*self._queries([seat], [x]))
-        return self.box[at, : self.width].tolist()
+        return self.node[at, : self.width].tolist()
 
     def distance_attribution(self, seats: list[Seat], points: list[tuple]) -> list[list[float]]:
         roots, x = self._queries(seats, points)
-        point = self.box[self._leaves(roots, x)[0], : self.width]
+        point = self.node[self._leaves(roots, x)[0], : self.width]
         far = np.abs(x - point) / self.count
         parts = np.concatenate([np.where(x > point, far, 0.0), np.where(x > point, 0.0, far)], axis=1)
-        return self._added(parts).tolist()
+        return self._over_trees(parts).tolist()
 
-    def _added(self, parts: np.ndarray) -> np.ndarray:
+    def _over_trees(self, parts: np.ndarray) -> np.ndarray:
         """Sums over the trees, one tree after the other."""
         parts = parts.reshape(-1, self.count, parts.shape[1])
         total = np.zeros((len(parts), parts.shape[2]))
@@ -489,13 +521,14 @@ class Bank:
         """As StreamForest.attribution, all trees level by level."""
         d = self.width
         at, own = self._queries(seats, points)
-        mass = self.mass[at]
+        mass = self._of(self.mass, at)
         norm = self.logs[mass + 1]
         stay, part = np.ones(len(at)), np.zeros((len(at), 2 * d))
         rows, k = np.arange(len(at)), 0
         while len(rows):
             n = at[rows]
-            box, dim = self.box[n], self.dim[n]
+            box = self.node.take(n, axis=0)
+            dim = box[:, self.dim].astype(np.int64)
             v = own[rows]
             above, below = v - box[:, d : 2 * d], box[:, :d] - v
             gaps = np.concatenate([np.where(above > 0, above, 0.0), np.where(below > 0, below, 0.0)], axis=1)
@@ -512,14 +545,14 @@ class Bank:
             same = np.flatnonzero(end & (box[:, :d] == v).all(axis=1))
             if len(same):  # a point's own leaf has its score spread alike, and what the path has brought does not count
                 r = rows[same]
-                m, t = self.mass[n[same]], mass[r]
+                m, t = box[same, self.mass].astype(np.int64), mass[r]
                 part[r] = ((1 - m / (2 * t)) / (k + self.logs[m + 1]) * norm[r] / (2 * d))[:, None]
                 norm[r] = 1.0
             go = np.flatnonzero(~end)
-            rows, n = rows[go], n[go]
-            at[rows] = np.where(own[rows, self.dim[n]] <= self.cut[n], self.left[n], self.right[n])
+            rows, box = rows[go], box[go]
+            at[rows] = np.where(own[rows, dim[go]] <= box[:, self.cut], box[:, self.left], box[:, self.right])
             k += 1
-        return (self._added(part * norm[:, None]) / self.count).tolist()
+        return (self._over_trees(part * norm[:, None]) / self.count).tolist()
 
     def forest(self, seat: Seat) -> StreamForest:
         """The lane's forest as one of its own, which goes on as the lane would."""
@@ -534,9 +567,9 @@ class Bank:
             todo = [(int(self.root[q]), None, "")] if self.root[q] >= 0 else []
             if todo:
                 a = q * self.slots
-                own = slice(a, a + self.slots)
-                box, dim, mass, cut = (v[own].tolist() for v in (self.box, self.dim, self.mass, self.cut))
-                left, right = self.left[own].tolist(), self.right[own].tolist()
+                box = self.node[a : a + self.slots]
+                dim, mass, left, right = (box[:, f].astype(np.int64).tolist() for f in (self.dim, self.mass, self.left, self.right))
+                box, cut = box.tolist(), box[:, self.cut].tolist()
             while todo:
                 n, up, side = todo.pop()
                 i = n - a

@@ -99,3 +99,17 @@ def test_a_forest_leaves_its_seat_as_it_is():
         else:
             seat.update(x)
         twin.update(x)
+
+
+def test_a_nodes_fields_lie_side_by_side_and_strips_give_the_same_scores(monkeypatch):
+    bank = lockstep.Bank(7, 4, 8, 0.01, 1.0)
+    seats = [bank.seat(StreamForest(4, 8, 0.01, seed)) for seed in range(7)]
+    rng = random.Random(4)
+    for _ in range(30):
+        bank.update(seats, [(rng.gauss(0, 1), rng.gauss(0, 1)) for _ in seats])
+    # one read brings all of a node: both corners, their sums, dimension, cut, left, right, mass and the node above
+    assert bank.node.shape == (7 * 4 * 16, 2 * 2 + 2 + 6) and bank.node.flags.c_contiguous
+    points = [(rng.gauss(0, 2), rng.gauss(0, 2)) for _ in seats]
+    whole = bank.score(seats, points)
+    monkeypatch.setattr(lockstep, "STRIP", 3)
+    assert bank.score(seats, points) == whole == [bank.forest(s).score(p) for s, p in zip(seats, points, strict=True)]
