@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 from dataclasses import dataclass, field
+from itertools import islice
 
 from .detector import Result, StreamForest
 from .deviation import Deviation
 from .thresholder import Thresholder
+from .versions import Nodes, VersionedForest
 
 
 @dataclass
@@ -84,20 +86,76 @@ class MultiSeries:
             self.forests[out.arm].update(out.point)
 
     def _score(self, key, value: float) -> Result:
-        s = self.series.setdefault(key, SeriesState(bandit=Bandit(self.models, seed=hash(str(key)) & 0xFFFF if isinstance(key, str) else int(key))))
+        s, out = self._chosen(key, value)
+        if out.point is not None:
+            self._judged(s, out, self.forests[out.arm].score(out.point))
+        return out
+
+    def _chosen(self, key, value: float) -> tuple[SeriesState, Result]:
+        """A row's series, with its point and forest, if it has a point yet."""
+        s = self.series.get(key)
+        if s is None:
+            s = self.series[key] = SeriesState(bandit=Bandit(self.models, seed=hash(str(key)) & 0xFFFF if isinstance(key, str) else int(key)))
         s.window.append(value)
         del s.window[: -self.shingle]
         out = Result()
-        if len(s.window) < self.shingle:
-            return out
-        point = tuple(s.window)
-        arm = out.arm = s.bandit.choose()
-        forest = self.forests[arm]
-        out.point, out.ready = point, forest.ready
-        out.score = forest.score(point)
-        if out.score > 0:
-            out.threshold, out.grade = s.thresholder.grade(out.score, shingle=self.shingle)
-            s.thresholder.observe(out.score, out.score, s.last)
-            s.bandit.learn(arm, out.score)
-            s.last = out.score
-        return out
+        if len(s.window) == self.shingle:
+            out.point, out.arm = tuple(s.window), s.bandit.choose()
+            out.ready = self.forests[out.arm].ready
+        return s, out
+
+    def _judged(self, s: SeriesState, out: Result, score: float) -> None:
+        out.score = score
+        if score > 0:
+            out.threshold, out.grade = s.thresholder.grade(score, shingle=self.shingle)
+            s.thresholder.observe(score, score, s.last)
+            s.bandit.learn(out.arm, score)
+            s.last = score
+
+
+#: Rows of a ManySeries that are scored at once, and nodes beyond which those of no tree are dropped.
+WINDOW, NODES = 256, 65_536
+
+
+@dataclass
+class ManySeries(MultiSeries):
+    """A MultiSeries that is given many rows at once, for a whole table: results are those of a step a row, to the last bit.
+
+    What a forest learns does not hang on scores, and which forest a series takes hangs on that series alone. So
+    rows are learnt in order up to the next row of a series that is among them, and then scored
+    together, each by the trees as they were before it.
+    """
+
+    def __post_init__(self) -> None:
+        super().__post_init__()
+        self.nodes = Nodes(self.capacity)
+        self.forests = [VersionedForest(self.nodes, self.trees, self.capacity, f.decay, self.seed + i) for i, f in enumerate(self.forests)]
+
+    def steps(self, rows: list[tuple]) -> list[Result]:
+        """Results of (id, value) rows, in order."""
+        found: list[Result] = []
+        seen: set = set()
+        asked: list[tuple[SeriesState, Result, list[int]]] = []
+
+        def judge() -> None:
+            scores = self.nodes.scores([out.point for _, out, _ in asked], [roots for _, _, roots in asked])
+            for (s, out, _), score in zip(asked, scores, strict=True):
+                self._judged(s, out, score)
+            seen.clear()
+            asked.clear()
+            if len(self.nodes.nodes) > NODES:
+                roots = iter(self.nodes.kept([n for f in self.forests for n in f.roots]))
+                for f in self.forests:
+                    f.roots = list(islice(roots, self.trees))
+
+        for key, value in rows:
+            if key in seen or len(seen) >= WINDOW:
+                judge()
+            s, out = self._chosen(key, value)
+            found.append(out)
+            if out.ready:
+                seen.add(key)
+                asked.append((s, out, self.forests[out.arm].roots[:]))
+            self._learn(out)
+        judge()
+        return found

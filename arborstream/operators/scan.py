@@ -35,8 +35,11 @@ def scan(df: DataFrame, key: str, order: list[str], columns: list[str], start: C
     return dealt(df, key, order, columns, play, schema)
 
 
-def dealt(df: DataFrame, key: str, order: list[str], columns: list[str], play: Callable[[Iterator[tuple[list, list[tuple]]]], Iterator[list[tuple]]], schema: str, parts: int | None = None) -> DataFrame:
-    """Rows dealt by key and sorted: play takes (keys, rows of `columns`) batch by batch and gives lists of output rows."""
+def dealt(df: DataFrame, key: str, order: list[str], columns: list[str], play: Callable[[Iterator[tuple[list, list[tuple]]]], Iterator[list[tuple]]], schema: str, parts: int | None = None, numbered: bool = False) -> DataFrame:
+    """Rows dealt by key and sorted: play takes (keys, rows of `columns`) batch by batch and gives lists of output rows.
+
+    Keys are dealt by a hash, or, where few long ones would meet in a task by it, `numbered` ones by themselves.
+    """
     kind = _parse_datatype_string(schema)
     assert isinstance(kind, StructType)
     target = to_arrow_schema(kind)
@@ -54,5 +57,6 @@ def dealt(df: DataFrame, key: str, order: list[str], columns: list[str], play: C
     sent = df.select(F.col(key).alias("__key"), *columns, *[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)])
     # a stated number: the work of a row is in its state, so small partitions must not be joined by their bytes
     n = parts or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
-    dealt = sent.repartition(n, "__key").sortWithinPartitions("__key", *[f"__o{i}" for i in range(len(order))])
+    spread = sent.repartitionById(n, F.col("__key").cast("int")) if numbered else sent.repartition(n, "__key")
+    dealt = spread.sortWithinPartitions("__key", *[f"__o{i}" for i in range(len(order))])
     return dealt.select("__key", *columns).mapInArrow(run, schema)

@@ -5,6 +5,9 @@ They have no SQL; the tests hold them to scenarios and invariants.
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import itemgetter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +19,10 @@ from ..operators import lockstep, summaries
 from ..operators.caster import Caster
 from ..operators.detector import Detector
 from ..operators.glocal import GlobalLocal
-from ..operators.multi import MultiSeries
+from ..operators.multi import ManySeries
 from ..operators.near import small
 from ..operators.predictive import PredictiveForest
-from ..operators.scan import scan
+from ..operators.scan import dealt, scan
 from ..streaming.processor import ROCKSDB, detect_stream
 from .relational import ORDER, Query, events, masked, table
 
@@ -274,14 +277,22 @@ def glocal_text(spark, sf_dir):
 
 @query
 def multi_series_bandit(spark, sf_dir):
-    """Users dealt into groups that share models."""
-
-    def start(key):
-        m = MultiSeries(2, 4, 10, 64, seed=int(key))
-        return lambda row: [(row[0], row[2], (r := m.step(row[0], row[1])).score, r.grade)]
+    """Users dealt into groups that share models; a group is a task."""
+
+    def play(batches):
+        group, models = None, None
+        for keys, rows in batches:
+            out = []
+            for key, own in groupby(zip(keys, rows, strict=True), itemgetter(0)):
+                if models is None or key != group:
+                    group, models = key, ManySeries(2, 4, 10, 64, seed=int(key))
+                own = [row for _, row in own]
+                out += [(row[0], row[2], r.score, r.grade) for row, r in zip(own, models.steps([row[:2] for row in own]), strict=True)]
+            yield out
 
     ev = events(spark, sf_dir).withColumn("group", F.col("user_id") % 16)
-    return scan(ev, "group", ["t", "event_id"], ["user_id", "value", "event_id"], start, "user_id long, event_id long, score double, grade double")
+    schema = "user_id long, event_id long, score double, grade double"
+    return dealt(ev, "group", ["t", "event_id"], ["user_id", "value", "event_id"], play, schema, 16, numbered=True)
 
 
 @query
