@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import random
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -52,16 +53,6 @@ def _picked(m: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
     return m.ravel().take(row.astype(np.int64) * m.shape[1] + column)
 
 
-class _Draws:
-    """The uniforms that a seat has left, then its generator's."""
-
-    def __init__(self, left: list[float], rng: np.random.RandomState):
-        self.left, self.rng = left[::-1], rng
-
-    def random(self) -> float:
-        return self.left.pop() if self.left else self.rng.random_sample()
-
-
 class Seat:
     """Stands for one key's forest in a bank; what a bank does not do for all is done on a copy of the forest."""
 
@@ -115,6 +106,11 @@ class Seat:
         return sorted((math.dist(x, p), p, n) for p, n in count.items())
 
 
+def seated(forest: StreamForest) -> bool:
+    """Whether a forest can have a seat in a bank."""
+    return not (forest.shift or forest.frozen or forest.paused)
+
+
 class Bank:
     """Forests of one shape, a lane each. A tree has slots for its nodes; a leaf's box is its point."""
 
@@ -130,16 +126,57 @@ class Bank:
         self.margin = 3 * capacity + 16
         self.uniforms, self.at = np.empty((lanes, 4 * self.margin)), np.full(lanes, 4 * self.margin)
         self.rngs: list[np.random.RandomState] = []
+        #: A lane's uniforms made so far, and (how many, the generator) before each of the last two times that more were made.
+        self.made: list[int] = []
+        self.marks: list[list[tuple[int, tuple]]] = []
         self.logs = np.array([0.0, *[math.log2(m) for m in range(1, capacity + 2)]])
 
     def seat(self, forest: StreamForest) -> Seat:
-        if forest.updates or forest.shift or forest.frozen or forest.paused:
-            raise ValueError("only a new forest takes a seat")
+        if not seated(forest):
+            raise ValueError("a forest whose decay has changed, or that is frozen or paused, takes no seat")
         _, inner, _ = forest.rng.getstate()
         rng = np.random.RandomState()
         rng.set_state(("MT19937", np.array(inner[:-1], np.uint32), inner[-1]))
         self.rngs.append(rng)
-        return Seat(self, len(self.rngs) - 1, forest)
+        self.made.append(0)
+        self.marks.append([])
+        seat = Seat(self, len(self.rngs) - 1, forest)
+        if forest.updates:
+            self._take(seat, forest)
+        return seat
+
+    def _take(self, seat: Seat, forest: StreamForest) -> None:
+        """A lane goes on as a forest that has learnt."""
+        seat.updates = forest.updates
+        width = next((len(sample[0][2]) for sample in forest.samples if sample), 0)
+        if not width:
+            return
+        self._widen(width)
+        for t, (tree, sample) in enumerate(zip(forest.trees, forest.samples, strict=True)):
+            q = t * self.lanes + seat.lane
+            leaves: dict[tuple, int] = {}
+            rows: list[list] = []
+            numbers: list[int] = []
+            todo = [(tree.root, -1, 0)] if tree.root is not None else []
+            while todo:
+                node, up, field = todo.pop()
+                self.top[q] -= 1
+                n = q * self.slots + int(self.free[q, self.top[q]])
+                numbers.append(n)
+                rows.append([*node.low, *node.high, sum(node.low), sum(node.high), node.dim, node.cut if node.dim >= 0 else -1, -1, -1, node.mass, -1 if up < 0 else numbers[up]])
+                if up < 0:
+                    self.root[q] = n
+                else:
+                    rows[up][field] = n
+                if node.dim < 0:
+                    leaves[node.point] = n
+                else:
+                    todo += [(node.left, len(rows) - 1, self.left), (node.right, len(rows) - 1, self.right)]
+            if rows:
+                self.node[numbers] = rows
+            k = self.taken[q] = len(sample)
+            self.keys[q, :k], self.born[q, :k] = [key for key, _, _ in sample], [born for _, born, _ in sample]
+            self.leaf[q, :k] = [leaves[point] for _, _, point in sample]
 
     def _widen(self, width: int) -> None:
         if self.width != width:
@@ -166,6 +203,8 @@ class Bank:
         for i in lane[self.at[lane] > size - self.margin]:
             left = self.uniforms[i, self.at[i] :].copy()
             self.uniforms[i, : len(left)] = left
+            self.marks[i] = [*self.marks[i][-1:], (self.made[i], self.rngs[i].get_state())]
+            self.made[i] += size - len(left)
             self.uniforms[i, len(left) :] = self.rngs[i].random_sample(size - len(left))
             self.at[i] = 0
 
@@ -554,11 +593,21 @@ class Bank:
             k += 1
         return (self._over_trees(part * norm[:, None]) / self.count).tolist()
 
+    def _generator(self, lane: int) -> random.Random:
+        """The lane's generator, at the first uniform that was not used."""
+        taken = self.made[lane] - (self.uniforms.shape[1] - int(self.at[lane]))
+        before, state = next((m for m in reversed(self.marks[lane]) if m[0] <= taken), (taken, self.rngs[lane].get_state()))
+        out = random.Random()
+        out.setstate((3, (*state[1].tolist(), int(state[2])), None))
+        for _ in range(taken - before):
+            out.random()
+        return out
+
     def forest(self, seat: Seat) -> StreamForest:
         """The lane's forest as one of its own, which goes on as the lane would."""
         out = StreamForest(0, self.capacity, self.decay, 0, self.accept)
         out.updates = seat.updates
-        out.rng = _Draws(self.uniforms[seat.lane, self.at[seat.lane] :].tolist(), self.rngs[seat.lane])
+        out.rng = self._generator(seat.lane)
         d = self.width
         for t in range(self.count):
             q = t * self.lanes + seat.lane
@@ -633,10 +682,21 @@ def together(steps: dict[int, Steps]) -> dict[int, Any]:
     return done
 
 
+def abreast(on: list[int], steps: list, rows: list[list[tuple]], out: list[list[tuple]], thin: int) -> tuple[int, list[int]]:
+    """Step lanes side by side, a row each, until `thin` are left; how many rows of each are done, and the lanes that are left."""
+    place = 0
+    while len(on) > thin:
+        for i, got in together({i: steps[i](rows[i][place]) for i in on}).items():
+            out[i] += got
+        place += 1
+        on = [i for i in on if len(rows[i]) > place]
+    return place, on
+
+
 Start = Callable[[Any, Callable[[StreamForest], Any]], Callable[[tuple], Steps]]
 
 
-class _Hall:
+class Hall:
     """Banks by shape."""
 
     def __init__(self, lanes: int):
@@ -669,7 +729,7 @@ def _played(batches: Iterator[tuple[list, list[tuple]]], start: Start, thin: int
 
     def play(goes_on: bool) -> list[tuple]:
         nonlocal carried, held, names, rows
-        hall = _Hall(len(names))
+        hall = Hall(len(names))
         out: list[list[tuple]] = [[] for _ in names]
         own: list[list] = [[] for _ in names]  # a lane's seats as [seat, forest of its own]
         steps: list[Callable[[tuple], Steps] | None] = []
@@ -692,12 +752,7 @@ def _played(batches: Iterator[tuple[list, list[tuple]]], start: Start, thin: int
             begin(i, wide)
         place = 0
         if wide:
-            on = fresh
-            while len(on) > thin:
-                for i, got in together({i: steps[i](rows[i][place]) for i in on}).items():
-                    out[i] += got
-                place += 1
-                on = [i for i in on if len(rows[i]) > place]
+            place, on = abreast(fresh, steps, rows, out, thin)
             leaving = set(on)
             if goes_on:
                 leaving.add(len(names) - 1)

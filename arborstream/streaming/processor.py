@@ -1,61 +1,136 @@
 """Structured Streaming: one detector a key, its state in the state store.
 
-Rows of a micro-batch are sorted by time within each key, stepped through the
-detector that the batch scan uses, and rows that come too late go to the output
+Keys are dealt into buckets. Rows of a micro-batch are sorted by time within each
+key, stepped through the detector that the batch scan uses, many keys of a bucket
+side by side (`operators.lockstep`), and rows that come too late go to the output
 marked as such.  States are versioned (`sources.state`), so a stream resumes
 under newer code.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
-from ..operators.detector import Detector
+from ..operators import lockstep
+from ..operators.detector import Detector, Steps, run
 from ..operators.multi import MultiSeries
 from ..sources import state
 
 SCHEMA = "key long, time long, score double, threshold double, grade double, correction string, late boolean"
 
 
+#: Buckets of keys of a stream, and the keys and rows of a bucket that go side by side. A stream keeps its buckets: a key's state is found by them.
+BUCKETS, LANES, ROWS = 96, 2048, 262_144
+#: Numbers of partitions that divide it get buckets as evenly as can be.
+EVEN = 4800
+
+
 class DetectorProcessor(StatefulProcessor):
-    """settings: arguments of Detector; value columns v0..v(base - 1), and t."""
+    """settings: arguments of Detector; value columns v0..v(base - 1), and t. The keys of a bucket are stepped side by side."""
 
     def __init__(self, settings: dict[str, Any], columns: list[str], time: str):
         self.settings, self.columns, self.time = settings, columns, time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("detector", StructType([StructField("blob", BinaryType())]))
+        key = StructType([StructField("keyless", BooleanType()), StructField("key", LongType())])
+        self.state = handle.getMapState("detectors", key, StructType([StructField("blob", BinaryType())]))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        detector = state.load(self.state.get()[0]) if self.state.exists() else Detector(**self.settings)
-        pdf = pd.concat(rows).sort_values(self.time, kind="stable")
-        out = []
-        for values in pdf[[self.time, *self.columns]].itertuples(index=False):
-            t, row = int(values[0]), [None if v != v else float(v) for v in values[1:]]
-            before = detector.early[-1][0] if detector.early else detector.last_time
-            if before is not None and t <= before:
-                out.append((key[0], t, 0.0, 0.0, 0.0, "NONE", True))
-                continue
-            r = detector.step(row, t)
-            out.append((key[0], t, r.score, r.threshold, r.grade, r.correction, False))
-        self.state.update((state.dump(detector),))
-        yield pd.DataFrame(out, columns=["key", "time", "score", "threshold", "grade", "correction", "late"])
+        pdf = pd.concat(rows).sort_values(["keyless", "key", self.time], kind="stable")
+        known = self.state.exists()
+        names = list(zip(pdf["keyless"].tolist(), pdf["key"].tolist(), strict=True))
+        starts = [i for i, name in enumerate(names) if i == 0 or name != names[i - 1]]
+        ends = [*starts[1:], len(names)]
+        for own in _shared(starts, ends):
+            first, last = starts[own[0]], ends[own[-1]]
+            times = pdf[self.time].iloc[first:last].tolist()
+            cells = zip(*[pdf[c].iloc[first:last].tolist() for c in self.columns], strict=True)
+            held = [(int(t), [None if v != v or v is None else float(v) for v in values]) for t, values in zip(times, cells, strict=True)]
+            keys = [names[starts[i]] for i in own]
+            models = []
+            for k in keys:
+                blob = self.state.getValue(k) if known else None
+                models.append(state.load(blob[0]) if blob is not None else Detector(**self.settings))
+            found = _stepped(models, [held[starts[i] - first : ends[i] - first] for i in own])
+            for k, model in zip(keys, models, strict=True):
+                self.state.updateValue(k, (state.dump(model),))
+            out = [(None if keyless else name, *r) for (keyless, name), own_rows in zip(keys, found, strict=True) for r in own_rows]
+            done = pd.DataFrame(out, columns=["key", "time", "score", "threshold", "grade", "correction", "late"])
+            yield done.astype({"key": "Int64"})
 
     def close(self) -> None:
         pass
 
 
+def _shared(starts: list[int], ends: list[int]) -> Iterator[list[int]]:
+    """Keys (by number) that go side by side: as alike in number as LANES allows, with ROWS rows or a key more."""
+    size = math.ceil(len(starts) / math.ceil(len(starts) / LANES))
+    own: list[int] = []
+    for i in range(len(starts)):
+        if own and (len(own) == size or ends[i - 1] - starts[own[0]] >= ROWS):
+            yield own
+            own = []
+        own.append(i)
+    yield own
+
+
+def _stepped(models: list[Detector], rows: list[list[tuple]]) -> list[list[tuple]]:
+    """Output rows (without the key) of each detector's (time, values); the detectors have forests of their own before and after."""
+
+    def stepping(d: Detector) -> Callable[[tuple], Steps]:
+        def step(row: tuple) -> Steps:
+            t, values = row
+            before = d.early[-1][0] if d.early else d.last_time
+            if before is not None and t <= before:
+                return [(t, 0.0, 0.0, 0.0, "NONE", True)]
+            r = yield from d.asking(values, t)
+            return [(t, r.score, r.threshold, r.grade, r.correction, False)]
+
+        return step
+
+    out: list[list[tuple]] = [[] for _ in models]
+    steps = [stepping(d) for d in models]
+    place = 0
+    if len(models) > lockstep.THIN:
+        hall = lockstep.Hall(len(models))
+        for d in models:
+            if lockstep.seated(d.forest):
+                d.forest = hall.seat(d.forest)
+        place, _ = lockstep.abreast(list(range(len(models))), steps, rows, out, lockstep.THIN)
+        for d in models:
+            if isinstance(d.forest, lockstep.Seat):
+                d.forest = d.forest.forest()
+    for i, step in enumerate(steps):
+        for row in rows[i][place:]:
+            out[i] += run(step(row))
+    return out
+
+
+def bucket_names(spark: SparkSession) -> list[int]:
+    """The first number whose hash leaves 0, the first that leaves 1, and so on up to BUCKETS: a few names at random would meet in some tasks and leave others idle."""
+    left = F.pmod(F.hash("id"), F.lit(EVEN))
+    found = spark.range(0, 40 * EVEN, 1, 4).select("id", left.alias("left")).where(F.col("left") < BUCKETS).groupBy("left").agg(F.min("id").alias("id"))
+    names = [r.id for r in found.orderBy("left").collect()]
+    if len(names) < BUCKETS:
+        raise RuntimeError("a bucket has no name")
+    return names
+
+
 def detect_stream(stream: DataFrame, key: str, time: str, columns: list[str], **settings: Any) -> DataFrame:
-    """A streaming DataFrame of SCHEMA; needs the RocksDB state store provider."""
-    processor = DetectorProcessor({"base": len(columns), **settings}, columns, time)
-    return stream.groupBy(key).transformWithStateInPandas(processor, outputStructType=SCHEMA, outputMode="Update", timeMode="None")
+    """A streaming DataFrame of SCHEMA (long keys, null is one of its own); needs the RocksDB state store provider."""
+    own = F.col(key).cast("long")
+    bucket = F.get(F.array(*[F.lit(n) for n in bucket_names(stream.sparkSession)]), F.pmod(F.xxhash64(own), F.lit(BUCKETS)).cast("int"))
+    rows = stream.select(bucket.alias("bucket"), own.isNull().alias("keyless"), F.coalesce(own, F.lit(0)).alias("key"), F.col(time).alias("time"), *columns)
+    processor = DetectorProcessor({"base": len(columns), **settings}, columns, "time")
+    return rows.groupBy("bucket").transformWithStateInPandas(processor, outputStructType=SCHEMA, outputMode="Update", timeMode="None")
 
 
 MULTI_SCHEMA = "group long, key long, time long, score double, threshold double, grade double, late boolean"
