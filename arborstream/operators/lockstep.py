@@ -30,6 +30,8 @@ LANES, HELD_ROWS, THIN = 4096, 524_288, 256
 STRIP = 512
 #: Bytes that the banks of a task may have where a scan states its forests' shapes, and the rows that are then held.
 ROOM, ROOM_ROWS = 256 << 20, 131_072
+#: Times that the most uniforms that an update of a tree takes are kept for a lane.
+UNIFORMS = 12
 #: Tasks a core: fewer and larger ones than Spark's own number, as the more keys a task has the less a row costs.
 ROUNDS = 2
 
@@ -131,7 +133,7 @@ class Bank:
         self.taken = np.zeros(q, np.int32)
         self.free, self.top = np.tile(np.arange(self.slots, dtype=np.int16), (q, 1)), np.full(q, self.slots, np.int32)
         self.margin = 3 * capacity + 16
-        self.uniforms, self.at = np.empty((lanes, 4 * self.margin)), np.full(lanes, 4 * self.margin)
+        self.uniforms, self.at = np.empty((lanes, UNIFORMS * self.margin)), np.full(lanes, UNIFORMS * self.margin)
         self.rngs: list[np.random.RandomState] = []
         #: A lane's uniforms made so far, and (how many, the generator) before each of the last two times that more were made.
         self.made: list[int] = []
@@ -142,7 +144,7 @@ class Bank:
     def lane_bytes(trees: int, capacity: int, width: int) -> int:
         """Of a lane: nodes of two slots a point, samples, free slots, uniforms, and its generator with the marks of it."""
         nodes, points, margin = 2 * capacity * 8 * (2 * width + 8), capacity * (8 + 4 + 4), 3 * capacity + 16
-        return trees * (nodes + points + 2 * capacity * 2 + 12) + 4 * margin * 8 + 12_000
+        return trees * (nodes + points + 2 * capacity * 2 + 12) + UNIFORMS * margin * 8 + 12_000
 
     def seat(self, forest: StreamForest) -> Seat:
         if not seated(forest):
@@ -242,7 +244,8 @@ class Bank:
         for t in range(self.count):
             self._refill(lane)
             q = t * self.lanes + lane
-            key = number * self.decay - np.log(-np.log(np.maximum(self._draw(lane), 1e-300)))
+            # numpy's logarithm may differ from that of StreamForest in the last bit
+            key = number * self.decay - np.array([math.log(-math.log(u)) for u in np.maximum(self._draw(lane), 1e-300).tolist()])
             size = self.taken[q]
             enter = size < self.capacity
             room = np.flatnonzero(enter)
@@ -660,6 +663,33 @@ class Bank:
             out.samples.append(sample)
         return out
 
+    def state(self, seat: Seat) -> tuple[random.Random, list[list[float]], list, list[list[list]]]:
+        """What `sources.state` keeps of the lane's forest: generator, points, trees as nested lists and samples; no node becomes an object."""
+        d, own = self.width, slice(seat.lane, None, self.lanes)
+        box = self.node.reshape(-1, self.slots, self.node.shape[1])[own].reshape(-1, self.node.shape[1])
+        dim, mass = (box[:, f].astype(np.int64).tolist() for f in (self.dim, self.mass))
+        cut, corner = box[:, self.cut].tolist(), list(map(tuple, box[:, :d].tolist()))
+        # nodes of the lane are numbered on from tree to tree
+        shift = np.repeat(np.arange(self.count) * (self.lanes - 1) + seat.lane, self.slots) * self.slots
+        left, right = ((box[:, f].astype(np.int64) - shift).tolist() for f in (self.left, self.right))
+        number: dict[tuple, int] = {}
+
+        def node(n: int) -> list:
+            if dim[n] < 0:
+                return [mass[n], number.setdefault(corner[n], len(number))]
+            return [dim[n], cut[n], mass[n], node(left[n]), node(right[n])]
+
+        trees, samples = [], []
+        for t in range(self.count):
+            q = t * self.lanes + seat.lane
+            away = (q - t) * self.slots
+            trees.append(node(int(self.root[q]) - away) if self.root[q] >= 0 else None)
+            k = self.taken[q]
+            sample = [(key, born, number[corner[n]]) for key, born, n in zip(self.keys[q, :k].tolist(), self.born[q, :k].tolist(), (self.leaf[q, :k] - away).tolist(), strict=True)]
+            heapq.heapify(sample)
+            samples.append(list(map(list, sample)))
+        return self._generator(seat.lane), list(map(list, number)), trees, samples
+
 
 #: Questions in the order in which they are answered while keys wait for one another.
 _ORDER = {"clustered": 0, "clustered_alone": 1, "impute": 2, "distance": 3, "score": 4, "attribution": 5, "distance_attribution": 6, "update": 7}

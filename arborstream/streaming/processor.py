@@ -10,7 +10,7 @@ under newer code.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -29,6 +29,8 @@ SCHEMA = "key long, time long, score double, threshold double, grade double, cor
 
 #: Buckets of keys of a stream, and the keys and rows of a bucket that go side by side. A stream keeps its buckets: a key's state is found by them.
 BUCKETS, LANES, ROWS = 96, 2048, 262_144
+#: The fewest keys of a set that go side by side, and the last of a set that do not: a forest that leaves its seat costs as much as some 20 rows.
+FEW, LAST = 112, 32
 #: Numbers of partitions that divide it get buckets as evenly as can be.
 EVEN = 4800
 
@@ -55,11 +57,15 @@ class DetectorProcessor(StatefulProcessor):
             cells = zip(*[pdf[c].iloc[first:last].tolist() for c in self.columns], strict=True)
             held = [(int(t), [None if v != v or v is None else float(v) for v in values]) for t, values in zip(times, cells, strict=True)]
             keys = [names[starts[i]] for i in own]
-            models = []
-            for k in keys:
-                blob = self.state.getValue(k) if known else None
-                models.append(state.load(blob[0]) if blob is not None else Detector(**self.settings))
-            found = _stepped(models, [held[starts[i] - first : ends[i] - first] for i in own])
+            models: list[Detector] = []
+
+            def begun(keys: list = keys, models: list = models) -> Iterator[Detector]:
+                for k in keys:
+                    blob = self.state.getValue(k) if known else None
+                    models.append(state.load(blob[0]) if blob is not None else Detector(**self.settings))
+                    yield models[-1]
+
+            found = _seated(begun(), [held[starts[i] - first : ends[i] - first] for i in own])
             for k, model in zip(keys, models, strict=True):
                 self.state.updateValue(k, (state.dump(model),))
             out = [(None if keyless else name, *r) for (keyless, name), own_rows in zip(keys, found, strict=True) for r in own_rows]
@@ -84,6 +90,15 @@ def _shared(starts: list[int], ends: list[int]) -> Iterator[list[int]]:
 
 def _stepped(models: list[Detector], rows: list[list[tuple]]) -> list[list[tuple]]:
     """Output rows (without the key) of each detector's (time, values); the detectors have forests of their own before and after."""
+    out = _seated(models, rows)
+    for d in models:
+        if isinstance(d.forest, lockstep.Seat):
+            d.forest = d.forest.forest()
+    return out
+
+
+def _seated(models: Iterable[Detector], rows: list[list[tuple]]) -> list[list[tuple]]:
+    """The same, but detectors may keep their seats: as objects, the forests of many keys take some six times as much memory."""
 
     def stepping(d: Detector) -> Callable[[tuple], Steps]:
         def step(row: tuple) -> Steps:
@@ -96,21 +111,21 @@ def _stepped(models: list[Detector], rows: list[list[tuple]]) -> list[list[tuple
 
         return step
 
-    out: list[list[tuple]] = [[] for _ in models]
-    steps = [stepping(d) for d in models]
-    place = 0
-    if len(models) > lockstep.THIN:
-        hall = lockstep.Hall(len(models))
-        for d in models:
-            if lockstep.seated(d.forest):
-                d.forest = hall.seat(d.forest)
-        place, _ = lockstep.abreast(list(range(len(models))), steps, rows, out, lockstep.THIN)
-        for d in models:
-            if isinstance(d.forest, lockstep.Seat):
-                d.forest = d.forest.forest()
-    for i, step in enumerate(steps):
+    wide = len(rows) > min(FEW, lockstep.THIN)
+    hall = lockstep.Hall(len(rows))
+    steps, held = [], []
+    for d in models:  # one by one: a state that is loaded takes its seat before the next one is
+        if wide and lockstep.seated(d.forest):
+            d.forest = hall.seat(d.forest)
+        steps.append(stepping(d))
+        held.append(d)
+    out: list[list[tuple]] = [[] for _ in rows]
+    place, on = lockstep.abreast(list(range(len(rows))), steps, rows, out, min(LAST, lockstep.THIN)) if wide else (0, list(range(len(rows))))
+    for i in on:
+        if isinstance(held[i].forest, lockstep.Seat):
+            held[i].forest = held[i].forest.forest()
         for row in rows[i][place:]:
-            out[i] += run(step(row))
+            out[i] += run(steps[i](row))
     return out
 
 
