@@ -69,3 +69,19 @@ def test_lanes_are_imputed_strip_by_strip_as_alone(monkeypatch, missing):
             twin.update(x)
         points = [tuple(rng.gauss(0, 3) for _ in range(4)) if i % 2 else x for i, x in enumerate(points)]
         assert bank.impute(seats, points, missing, (0.5, 0.1, 0.9)) == [t.impute(x, missing, (0.5, 0.1, 0.9)) for t, x in zip(twins, points, strict=True)]
+
+
+def test_rows_held_for_casters_are_bounded(monkeypatch):
+    monkeypatch.setattr(lockstep, "ROOM_ROWS", 60)
+
+    def start(key, seat):
+        def step(row):
+            return [row]
+            yield
+
+        return step
+
+    rows = [(k, i) for k in range(9) for i in range(25)]
+    outs = list(lockstep._played(iter([([r[0] for r in rows], rows)]), start, 2, 100))
+    assert [r for out in outs for r in out] == rows and max(map(len, outs)) <= 75
+    assert len(list(lockstep._played(iter([([r[0] for r in rows], rows)]), start, 2))) == 1
